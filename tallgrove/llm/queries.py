@@ -1,10 +1,12 @@
 """The training-data queries and their SQL."""
 from __future__ import annotations
 
-from tallgrove.llm import bpe
+from tallgrove.llm import bpe, langid, secrets
 
 QUERIES = {
+    "op7_language": langid.op7_language,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 #: DuckDB SQL for those that SQL can express.
