@@ -1,13 +1,18 @@
 """The training-data queries and their SQL."""
 from __future__ import annotations
 
-from tallgrove.llm import bpe, langid, secrets
+from tallgrove.llm import bpe, chat, langid, quality, secrets
 
 QUERIES = {
+    "op5_quality": quality.op5_quality,
+    "op6_chat": chat.op6_chat,
     "op7_language": langid.op7_language,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_quality": quality.SQL,
+    "op6_chat": chat.SQL,
+}
