@@ -1,18 +1,21 @@
 """The training-data queries and their SQL."""
 from __future__ import annotations
 
-from tallgrove.llm import bpe, chat, langid, quality, secrets
+from tallgrove.llm import bpe, chat, langid, lmscore, mixing, quality, secrets
 
 QUERIES = {
+    "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
     "op6_chat": chat.op6_chat,
     "op7_language": langid.op7_language,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_lm_score": lmscore.op10_lm_score,
 }
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
+    "op4_mix": mixing.SQL,
     "op5_quality": quality.SQL,
     "op6_chat": chat.SQL,
 }
