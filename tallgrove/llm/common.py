@@ -54,16 +54,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")
 
 
-def batches(it, columns: int = 0):
-    """Arrow batches cut so that none holds more than about 8 MB of the text column."""
+def batches(it, columns: int = 0, most: int = 8 << 20):
+    """Arrow batches cut so that none holds more than about ``most`` bytes of the text column."""
     for b in it:
         start, size = 0, 0
         column = b.column(columns)
         for i in range(b.num_rows):
             v = column[i]
             size += 16 if not v.is_valid else len(v.as_buffer() or b"")
-            if size > 8 << 20:
+            if size > most:
                 yield b.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < b.num_rows:
             yield b.slice(start)
+
+
+def near(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else it is joined as Spark plans it."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -38,8 +38,10 @@ MOST_BYTES, MOST_HOT = 64 << 20, 1 << 20
 BACKOFF = 10.0
 #: One in so many hashes is kept to estimate how many pairs there are.
 SAMPLE = 64
+#: Bytes of text that numpy handles at once: its arrays stay within the processor's cache.
+ATONCE = 2 << 20
 #: Entries that a task sums up before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Multipliers of the 64-bit mixer, the end token's hash, and the salts of levels and pairs.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 END, LEVEL, PAIR = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -103,14 +105,19 @@ def levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Bit places within a segment, one after the other."""
+def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bit place within a segment and the step to the next ones."""
     with np.errstate(over="ignore"):
         g = mixed(h + np.uint64(level) * LEVEL)
     low = np.uint64(SEGMENT - 1)
-    a, step = g & low, ((g >> np.uint64(21)) & low) | np.uint64(1)
+    return g & low, ((g >> np.uint64(21)) & low) | np.uint64(1)
+
+
+def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    """Bit places within a segment, one after the other."""
+    a, step = starts(h, level)
     for i in range(HASHES):
-        yield (a + np.uint64(i) * step) & low
+        yield (a + np.uint64(i) * step) & np.uint64(SEGMENT - 1)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -119,19 +126,21 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
 
 def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndarray:
     """Counts read back (0 if missing); ``bits`` has the segments from ``first`` on."""
-    level = np.zeros(len(h), np.int64)
+    level = np.zeros(len(h), np.int8)
     active = np.arange(len(h))
     base = (segment_of(h, segments) - np.uint64(first)) * np.uint64(SEGMENT // 8)
     for q in range(1, 64):
-        x, b = h[active], base[active]
-        ok = np.ones(len(x), bool)
-        for place in places(x, q):
-            ok &= (bits[b + (place >> np.uint64(3))] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        active = active[ok]
+        a, step = starts(h, q)
+        for i in range(HASHES):
+            place = (a + np.uint64(i) * step) & np.uint64(SEGMENT - 1)
+            byte = bits[(base + (place >> np.uint64(3))).view(np.int64)]
+            hit = np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            if len(hit) < len(active):
+                active, h, base, a, step = (x[hit] for x in (active, h, base, a, step))
         if not len(active):
             break
         level[active] = q
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0)))
 
 
 def built(rows: DataFrame, segments: int, parts: int) -> np.ndarray:
@@ -146,7 +155,7 @@ def built(rows: DataFrame, segments: int, parts: int) -> np.ndarray:
         sums = Sums()
         for b in it:
             sums.add(b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-            if sums.held > 2 * HELD:
+            if sums.held > 8 * HELD:
                 sums.add(*sums.take())
         h, n = sums.take()
         seg, q = segment_of(h, segments), levels(n)
@@ -175,7 +184,7 @@ def counted(train: DataFrame, pairs: bool) -> DataFrame:
             h, n = sums[kind].take()
             return pa.record_batch([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
 
-        for b in batches(it):
+        for b in batches(it, most=ATONCE):
             hashes, stream, _ = tokens(b.column(0).to_pylist())
             if not pairs:
                 sums[1].add(hashes, np.bincount(stream, minlength=len(hashes)))
@@ -253,10 +262,10 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             task = TaskContext.get().partitionId() << 36
             hot_h, hot_n = hot.value
             row = 0
-            for b in batches(it, 1):
+            for b in batches(it, 1, ATONCE):
                 hashes, stream, sizes = tokens(b.column(1).to_pylist())
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                by_text = lambda x: np.add.reduceat(x, starts)
+                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                by_text = lambda x: np.add.reduceat(x, begin)
                 uni = probe(word_bits.value, 0, word_segments, hashes)
                 h = hashes[stream]
                 two = pairs_of(before(h), h)
@@ -282,7 +291,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                     cols[3], cols[4] = by_text(flags.astype(np.int64)), by_text(base)
                     rest = np.flatnonzero(~flags)
                     if len(rest):
-                        owner = np.searchsorted(starts, rest, side="right") - 1
+                        owner = np.searchsorted(begin, rest, side="right") - 1
                         key, times = np.unique(owner * len(hashes) + stream[rest], return_counts=True)
                         yield batch([ids[key // len(hashes)], pa.nulls(len(key), pa.int64()), *(np.zeros(len(key), t) for t in (np.int64, np.int64, float, float)), hashes[key % len(hashes)].view(np.int64), times])
                 yield batch(cols)
