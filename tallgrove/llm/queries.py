@@ -1,10 +1,11 @@
 """The training-data queries and their SQL."""
 from __future__ import annotations
 
-from tallgrove.llm import bpe, chat, fingerprints, langid, lmscore, mixing, ngram_join, quality, secrets
+from tallgrove.llm import bpe, chat, fingerprints, langid, lmscore, mixing, ngram_join, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
