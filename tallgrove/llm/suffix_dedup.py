@@ -17,8 +17,9 @@ equal strings meet at their anchor, and about one position in 16 is an anchor.
 
 A document that equals one with a smaller id is settled by its hash (MD5). Packed masks and requests are
 broadcast if they are at most ``PACKED_BYTES`` (measured), else joined by a shuffle. Memory: a text is taken in slices of
-``SLICE`` bytes, groups are streamed, fragments are taken ``FRAGMENTS`` at a time, and a larger group of
-one anchor is split by the strings' hashes.
+``SLICE`` bytes, groups are streamed, fragments are taken ``FRAGMENTS`` at a time, and the fragments of an
+anchor with more than ``MANY`` contexts are dealt out string by string, by the strings' hashes; of equal
+strings the one of the smallest document is all that a later piece of the group needs.
 
 Defined results: null texts are empty; texts under 50 bytes lose nothing; strings are judged on
 the input; rows with equal ids do not cut each other; a null id neither cuts nor is cut; an
@@ -42,6 +43,8 @@ FRAGMENT = LENGTH + SIDE
 WHOLE = (1 << (SIDE + 1)) - 1
 SLICE, FRAGMENTS, STREAMED = 1 << 20, 1 << 14, 1 << 18
 PACKED_BYTES = 32 << 20
+#: Contexts of one anchor from which on its strings are dealt out one by one; the bit of a wanted number that says so.
+MANY, HOT = 4096, 1 << 30
 #: Fixed value: base of the polynomial hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,14 +174,16 @@ def settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(group)
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         kinds = np.bincount(g, kind)
+        hot = np.zeros(len(kinds), bool)
         if goes_on:
-            several[0], kinds[0] = True, 2
+            several[0], kinds[0], hot[0] = True, 2, True
         if going:
-            several[-1], kinds[-1] = True, 2
+            several[-1], kinds[-1], hot[-1] = True, 2, True
             carried = (int(a[-1]), int(c[-1]), int(least[-1]))
         whole = doc > least[k]
         wanted = ~whole & several[g] & (kinds[g] > 1)
         out = whole | wanted
+        nr = np.where(wanted & ((kinds > MANY) | hot)[g], nr | HOT, nr).astype(np.int32)
         yield pa.record_batch([pa.array(doc[out]), pa.array(nr[out]), pa.array(whole[out])], ["doc", "nr", "whole"])
 
     for b in it:
@@ -199,13 +204,23 @@ def fragments_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, a, c = anchors(raw)
             first, _ = numbered(c)
             nr = np.frombuffer(wanted.as_buffer(), np.int32)
+            hot, nr = nr >= HOT, nr & (HOT - 1)
             at = p[first[nr]]
             x = np.zeros(len(raw) + 2 * SIDE + LENGTH, np.uint8)
             x[SIDE : SIDE + len(raw)] = np.frombuffer(raw, np.uint8)
             rows = x[at[:, None] + np.arange(FRAGMENT)]
             low = np.maximum(SIDE - at, 0)
             high = np.minimum(len(raw) - at - GRAM, SIDE)
-            parts.append((a[first[nr]].view(np.int64), np.full(len(nr), doc, np.int64), nr, low.astype(np.int32), high.astype(np.int32), rows))
+            route = a[first[nr]]
+            if hot.any():
+                i, o = np.nonzero((np.arange(SIDE + 1) >= low[:, None]) & (np.arange(SIDE + 1) <= high[:, None]) & hot[:, None])
+                with np.errstate(over="ignore"):
+                    h = windows_hashed(rows[i].astype(np.uint64).ravel() + np.uint64(1), LENGTH)[np.arange(len(i)) * FRAGMENT + o]
+                    h = mix64(h + np.uint64(1) + o.astype(np.uint64))
+                keep = np.flatnonzero(~hot)
+                route, nr, low, high = np.concatenate([route[keep], h]), np.concatenate([nr[keep], nr[i]]), np.concatenate([low[keep], o]), np.concatenate([high[keep], o])
+                rows = np.concatenate([rows[keep], rows[i]])
+            parts.append((route.view(np.int64), np.full(len(nr), doc, np.int64), nr.astype(np.int32), low.astype(np.int32), high.astype(np.int32), rows))
         if parts:
             a, doc, nr, low, high, rows = (np.concatenate(x) for x in zip(*parts))
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FRAGMENT), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
@@ -284,6 +299,9 @@ def matched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield work(t.slice(0, end))
                 held = t.slice(end).combine_chunks().to_batches()
                 size = t.num_rows - end
+            elif size >= 4 * FRAGMENTS:  # one string of many documents; the first has the smallest id
+                yield work(t)
+                held, size = t.slice(0, 1).to_batches(), 1
     if size:
         yield work(pa.Table.from_batches(held))
 
