@@ -137,3 +137,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = encode_decode(docs, vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
     return done.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokenised corpus: doc_id, lang, source, n_tokens and packed ids of every document; ids that do not decode to the text fail the run."""
+    import public_tokenizers as vocab
+
+    done = encode_decode(docs.select("doc_id", "lang", "source", "text"), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN, out="__bpe")
+    same = F.decode("__bpe.decoded", "utf-8") == F.coalesce("text", F.lit(""))
+    ids = F.when(same, F.col("__bpe.ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text")))
+    return done.select("doc_id", "lang", "source", F.col("__bpe.n_tokens").alias("n_tokens"), ids.alias("ids"))

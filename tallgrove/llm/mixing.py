@@ -24,12 +24,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import WHITE, table, written
+from tallgrove.llm.common import WHITE, near, table, written
 
 BLOCK, MOST_EPOCHS, SEED = 512, 3, ":mix"
 GOLDEN = (1 + 5**0.5) / 2
 #: Sources up to which their table (about 60 bytes each) is broadcast; beyond it Spark joins as it likes.
 SMALL = 100_000
+#: Documents up to which the stage broadcasts how often each is taken (12 bytes each).
+FEW = 2_000_000
 #: Ranges into which the slots of the schedule are cut for ranking.
 RANGES = 4096
 
@@ -134,12 +136,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: documents as often as the mix takes them whole (its taken words over its size, rounded up), none not taken.
 
-    A document that the mix takes in part stays whole.
+    The documents of a source are taken in stream order, so at most one a source is taken in part; it stays whole.
     """
     taken = taken_words(docs).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.col("__size"))).cast("int")
-    joined = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    times_of = written(taken.select(F.col("doc_id").alias("__id"), times.alias("__times")).where("__times > 0"))
+    joined = docs.join(near(times_of, FEW), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 SIZES_SQL = r"sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents)"

@@ -8,9 +8,9 @@ from every document of the host, except from the text of the smallest doc_id tha
 the base rules fail, or if what is left has fewer than ``LEAST_WORDS`` words or less than
 ``LEAST_LEFT`` of its words.
 
-Everything is built-in expressions. No text is shuffled unless the cleaned text is asked
-for: measures and line hashes (16 bytes a line) are. The removable lines of one host are at most its
-lines a document over ``SHARE``, however large it is.
+Everything is built-in expressions. Only line hashes are shuffled; the texts stay where they
+are while the removable lines are few enough to be broadcast (``MOST_BROADCAST``). The removable
+lines of one host are at most its lines a document over ``SHARE``, however large it is.
 
 Defined results: null or empty texts have no words and fail the base rules; a null source
 is a host of its own; rows with equal doc_id are documents of their own, and equal texts count
@@ -21,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import WHITE, table
+from tallgrove.llm.common import WHITE, table, written
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 LEAST_DOCS, SHARE, LEAST_LEFT = 20, 0.05, 0.3
+#: Removable lines of all hosts (16 bytes each) up to which they are broadcast; beyond it they are joined by host.
+MOST_BROADCAST = 1_000_000
 
 
 def _split(text: Column) -> Column:
@@ -88,14 +90,17 @@ def assess(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     base = base.drop(*(c for c in df.columns if c.lower() in made))
     m = measured(base).withColumn("__x", F.xxhash64("__t"))
     m = m.withColumn("__n", F.transform("__l", lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(_split(x)).alias("w"))))
-    m = m.join(removable_lines(base), F.col("__host").eqNullSafe(F.col("__hot_host")), "left")
+    hot_lines = written(removable_lines(base))
+    if (hot_lines.agg(F.sum(F.size("__hot"))).first()[0] or 0) <= MOST_BROADCAST:
+        hot_lines = F.broadcast(hot_lines)
+    m = m.join(hot_lines, F.col("__host").eqNullSafe(F.col("__hot_host")), "left")
     hot = lambda h: F.exists("__hot", lambda y: (y["h"] == h) & (y["keep"] != F.col("__x")))
     gone = F.when(F.col("__hot").isNull(), F.filter("__n", lambda x: F.lit(False))).otherwise(F.filter("__n", lambda x: hot(x["h"])))
     m = m.withColumn("__gone", gone)
     left = F.col("n_words") - F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + x["w"])
     m = m.withColumn("n_words_left", left).withColumn("n_lines_removed", F.size("__gone").cast("long"))
     m = m.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= LEAST_WORDS) & (F.col("n_words_left") >= LEAST_LEFT * F.col("n_words")))
-    clean = F.array_join(F.filter(F.split("__t", "\n"), lambda x: ~hot(F.xxhash64(_normal(x)))), "\n")
+    clean = F.array_join(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~hot(F.xxhash64(_normal(x)))), "\n")
     m = m.withColumn("clean_text", F.when(F.col("n_lines_removed") == 0, F.col(text)).otherwise(clean))
     return m.drop("__t", "__id", "__host", "__w", "__h", "__s", "__l", "__x", "__n", "__gone", "__hot", "__hot_host")
 
@@ -110,7 +115,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents without their removed lines; n_chars follows the text."""
-    done = assess(docs).where("kept").withColumn("text", F.col("clean_text"))
+    # an id that is never negative keeps the optimiser from pushing the whole verdict below the steps that it is built from
+    done = assess(docs).withColumn("__kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).otherwise(False)).where("__kept").withColumn("text", F.col("clean_text"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -44,7 +44,7 @@ WHOLE = (1 << (SIDE + 1)) - 1
 SLICE, FRAGMENTS, STREAMED = 1 << 20, 1 << 14, 1 << 18
 PACKED_BYTES = 32 << 20
 #: Contexts of one anchor from which on its strings are dealt out one by one; the bit of a wanted number that says so.
-MANY, HOT = 4096, 1 << 30
+MANY, HOT = 1 << 15, 1 << 30
 #: Fixed value: base of the polynomial hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -299,7 +299,7 @@ def matched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield work(t.slice(0, end))
                 held = t.slice(end).combine_chunks().to_batches()
                 size = t.num_rows - end
-            elif size >= 4 * FRAGMENTS:  # one string of many documents; the first has the smallest id
+            elif size >= 4 * MANY:  # one string of many documents; the first has the smallest id
                 yield work(t)
                 held, size = t.slice(0, 1).to_batches(), 1
     if size:
