@@ -153,7 +153,7 @@ with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
   union all select -1, 0, 'user', '{OWN}' union all select -1, 1, 'assistant', '{OWN}'),
 e as (select *, regexp_replace(text, '([<\[])(\\*){CONTROL}', '\1\\\2\3', 'g') as esc from r),
 p as (select *, case role when 'user' then 7 + length(esc) + 8 when 'assistant' then 7 + length(esc) + 4
-  else 8 + length(url_encode(role)) + length(esc) + 4 end as piece from e)
+  else 8 + length(replace(url_encode(role), '%20', '+')) + length(esc) + 4 end as piece from e)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
