@@ -231,12 +231,14 @@ class Model:
         self.hot = spark.sparkContext.broadcast((h[order], n[order]))
         self.rare = words.where(F.col("n") < self.least).select(F.col("h").alias("rare_h"), F.col("n").alias("rare_n"))
 
+    def one_pass(self) -> bool:
+        return self.pair_segments * (SEGMENT // 8) <= MOST_BYTES
+
     def shards(self) -> Iterator[tuple[int, int, object]]:
         """(first segment, end, broadcast bits) of the pair filter, one after the other."""
         spark = self.train.sparkSession
-        bits = built(counted(self.train, pairs=True).where("kind = 2"), self.pair_segments, self.parts) if self.pair_segments * (SEGMENT // 8) <= MOST_BYTES else None
-        if bits is not None:
-            yield 0, self.pair_segments, spark.sparkContext.broadcast(bits)
+        if self.one_pass():
+            yield 0, self.pair_segments, spark.sparkContext.broadcast(built(counted(self.train, pairs=True).where("kind = 2"), self.pair_segments, self.parts))
             return
         each = MOST_BYTES * 8 // SEGMENT
         rows, total = counted(self.train, pairs=True).where("kind = 2"), self.pair_segments
@@ -301,7 +303,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     def batch(cols: list) -> pa.RecordBatch:
         return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], NAMES)
 
-    passes = [pass_over(*s) for s in model.shards()]
+    # a row's number holds its partition's, which a union would shift: each of several passes is written on its own
+    passes = [pass_over(*s) if model.one_pass() else written(pass_over(*s)) for s in model.shards()]
     rows = passes[0]
     for more in passes[1:]:
         rows = rows.unionByName(more.withColumns({"n_tokens": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("long")}))
