@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import WHITE, near, table, written
+from tallgrove.llm.common import WHITE, free_name, near, table, written
 
 BLOCK, MOST_EPOCHS, SEED = 512, 3, ":mix"
 GOLDEN = (1 + 5**0.5) / 2
@@ -140,9 +140,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = taken_words(docs).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.col("__size"))).cast("int")
-    times_of = written(taken.select(F.col("doc_id").alias("__id"), times.alias("__times")).where("__times > 0"))
-    joined = docs.join(near(times_of, FEW), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(docs.columns)
+    own, n, copy = (free_name(docs, x) for x in ("id", "times", "copy"))
+    times_of = written(taken.select(F.col("doc_id").alias(own), times.alias(n)).where(F.col(n) > 0))
+    joined = docs.join(near(times_of, FEW), docs["doc_id"].eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 SIZES_SQL = r"sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents)"

@@ -28,6 +28,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 LEAST_DOCS, SHARE, LEAST_LEFT = 20, 0.05, 0.3
 #: Removable lines of all hosts (16 bytes each) up to which they are broadcast; beyond it they are joined by host.
 MOST_BROADCAST = 1_000_000
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "n_lines_removed", "kept", "clean_text"]
 
 
 def _split(text: Column) -> Column:
@@ -85,9 +86,9 @@ def assess(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
     Columns of ``df`` with these names are replaced.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "n_lines_removed", "kept", "clean_text"}
-    base = df.withColumns({"__t": F.coalesce(F.col(text), F.lit("")), "__id": F.col(doc_id), "__host": F.col(host)})
-    base = base.drop(*(c for c in df.columns if c.lower() in made))
+    made = set(MADE)
+    kept = [c for c in df.columns if c.lower() not in made]
+    base = df.select(F.struct(*(df[c] for c in df.columns)).alias("__row"), F.coalesce(df[text], F.lit("")).alias("__t"), df[doc_id].alias("__id"), df[host].alias("__host"))
     m = measured(base).withColumn("__x", F.xxhash64("__t"))
     m = m.withColumn("__n", F.transform("__l", lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(_split(x)).alias("w"))))
     hot_lines = written(removable_lines(base))
@@ -100,9 +101,9 @@ def assess(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     left = F.col("n_words") - F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + x["w"])
     m = m.withColumn("n_words_left", left).withColumn("n_lines_removed", F.size("__gone").cast("long"))
     m = m.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= LEAST_WORDS) & (F.col("n_words_left") >= LEAST_LEFT * F.col("n_words")))
-    clean = F.array_join(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~hot(F.xxhash64(_normal(x)))), "\n")
-    m = m.withColumn("clean_text", F.when(F.col("n_lines_removed") == 0, F.col(text)).otherwise(clean))
-    return m.drop("__t", "__id", "__host", "__w", "__h", "__s", "__l", "__x", "__n", "__gone", "__hot", "__hot_host")
+    clean = F.array_join(F.filter(F.split(F.coalesce(F.col("__row")[text], F.lit("")), "\n"), lambda x: ~hot(F.xxhash64(_normal(x)))), "\n")
+    m = m.withColumn("clean_text", F.when(F.col("n_lines_removed") == 0, F.col("__row")[text]).otherwise(clean))
+    return m.select(*(F.col("__row")[c].alias(c) for c in kept), *MADE)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "n_lines_removed"]
@@ -115,9 +116,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents without their removed lines; n_chars follows the text."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "source", "text")
     # an id that is never negative keeps the optimiser from pushing the whole verdict below the steps that it is built from
-    done = assess(docs).withColumn("__kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).otherwise(False)).where("__kept").withColumn("text", F.col("clean_text"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    done = assess(rows).withColumn("keep", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).otherwise(False)).where("keep")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 #: Everything up to the verdict, over a relation ``docs_in`` with doc_id, source and text.
