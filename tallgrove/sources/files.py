@@ -76,7 +76,7 @@ def extracted(files: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["doc_name", "page", "text", "doc_type", "error"])
 
-    return files.select(file_stem(F.col("name")), "name", F.lower("ext"), "content").mapInArrow(extract, PAGE + ", error string")
+    return files.select(file_stem(F.col("name")).alias("stem"), "name", F.lower("ext").alias("ext"), "content").mapInArrow(extract, PAGE + ", error string")
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
