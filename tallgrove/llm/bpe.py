@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrove.llm.common import parts
+
 #: Distinct pre-tokens whose ids a task remembers; beyond it the memory starts afresh (speed only).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -68,31 +70,31 @@ def serialise(tokens: list[bytes]) -> bytes:
     return m.SerializeToString()
 
 
-class Codec:
-    """Encodes whole texts to packed little-endian unsigned 32-bit ids, and back to bytes."""
+class Codec(dict):
+    """Encodes whole texts to packed little-endian unsigned 32-bit ids, and back to bytes.
+
+    As a dictionary it remembers the packed ids of pre-tokens. Nothing in it refers back to it, so a task's codec goes when the task ends.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         import regex
         import sentencepiece
 
+        super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(pattern).findall
         chars = byte_characters()
-        self.to_chars = {b: c for b, c in enumerate(chars)}
+        self.to_chars = dict(enumerate(chars))
         to_byte = {c: b for b, c in enumerate(chars)}
         n = self.sp.get_piece_size()
         self.bytes_of = [bytes(to_byte[c] for c in self.sp.id_to_piece(i)) for i in range(1, n)]
         self.whole = {t: i for i, t in enumerate(self.bytes_of)}
-        codec = self
-
-        class Memory(dict):
-            def __missing__(self, token: str) -> bytes:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[token] = ids = codec.pre_token(token)
-                return ids
 
-        self.memory = Memory()
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = ids = self.pre_token(token)
+        return ids
 
     def pre_token(self, token: str) -> bytes:
         raw = token.encode("utf-8")
@@ -102,7 +104,7 @@ class Codec:
         return b"".join((i - 1).to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, self.find(text)))
+        return b"".join(map(self.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
@@ -120,7 +122,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", o
     @F.arrow_udf("n_tokens long, ids binary, decoded binary")
     def codec(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = Codec(model, pattern)
-        for batch in texts:
+        for batch in parts(texts):
             ids = [c.encode(x.as_py() or "") for x in batch]
             yield pa.StructArray.from_arrays(
                 [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())],

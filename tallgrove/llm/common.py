@@ -72,3 +72,16 @@ def batches(it, columns: int = 0, most: int = 8 << 20):
 def near(df: DataFrame, most: int) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows; else it is joined as Spark plans it."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def parts(texts, most: int = 2 << 20):
+    """Arrow arrays of texts cut so that none holds more than about ``most`` bytes: an iterator UDF then keeps little at once."""
+    for a in texts:
+        start, size = 0, 0
+        for i, v in enumerate(a):
+            size += 16 if not v.is_valid else len(v.as_buffer() or b"")
+            if size > most:
+                yield a.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < len(a):
+            yield a.slice(start)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrove.llm.common import parts
+
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 MOST_LANGUAGES = 1000
 #: Code points that numpy handles at once.
@@ -117,7 +119,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     @F.arrow_udf("lang string, score double")
     def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         logs = shared.value
-        for batch in texts:
+        for batch in parts(texts):
             rows = [x.as_py() for x in batch]
             told = [i for i, x in enumerate(rows) if names and has_letter(x)]
             lang: list[str] = ["und"] * len(rows)
