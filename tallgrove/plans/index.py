@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
@@ -80,6 +80,15 @@ class Index:
             found = search.reranked(found, rerank(F.col("__q"), F.col("text")), top_k, "chunk_id").drop("__q")
         return found
 
+    def search_by_document(self, queries: DataFrame, doc: str, top_k: int = 5) -> DataFrame:
+        """The best chunks of one document, found by an over-fetched search that is filtered afterwards; may be fewer than top_k."""
+        c = self.table("chunks")
+        n, own = c.agg(F.count(F.lit(1)), F.count_if(F.col("doc_name") == doc)).first()
+        budget = max(1, min(n, max(3 * top_k, int(top_k / (own / n))))) if own else 1
+        hits = self.search(queries, budget).where(F.col("doc_name") == doc)
+        w = Window.partitionBy("qid").orderBy("rank")
+        return hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top_k).withColumn("rank", F.col("__n")).drop("__n")
+
     def stats(self) -> DataFrame:
         c = self.table("chunks")
         return c.agg(F.count(F.lit(1)).alias("num_chunks"), F.count_distinct("doc_name").alias("num_docs"), F.array_sort(F.collect_set("doc_name")).alias("docs"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, evaluation, incremental, search
+from tallgrove.operators import chunking, context, evaluation, incremental, records, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -572,3 +572,33 @@ def planner_json(t):
 def llm_json(t):
     raw = F.when(F.col("value") > 10, F.lit('Well:\n```json\n{"a": [1, 2]}\n```')).otherwise('so ["x"] it is')
     return t("events").select("event_id", T.llm_json(raw).alias("json"))
+
+
+@query("""with h as (select item_id as qid, doc_id, row_number() over (partition by item_id order by doc_id) as rank, source, lang, left(documents.text, 50) as snippet from benchmark join documents on item_id = doc_id // 8)
+select qid, string_agg('[Source: ' || source || ', Page ' || doc_id || ', Section: ' || lang || ']' || chr(10) || snippet, chr(10) || chr(10) order by rank) as context from h where rank <= 5 group by qid""")
+def prompt_contexts(t):
+    d = t("documents").withColumn("qid", F.expr("doc_id div 8")).join(F.broadcast(t("benchmark").select(F.col("item_id").alias("qid"))), "qid")
+    h = d.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).alias("rank"), F.col("source").alias("doc_name"), F.col("doc_id").alias("page"), F.col("lang").alias("section"), F.substring("text", 1, 50).alias("text"))
+    return records.prompt_contexts(h, 5)
+
+
+@query("""select 'd' || doc_id as chunk_id, source as doc_name, coalesce(case when quality = 1 then 'good' end, '') as summary, (case when quality = 1 then 1 else 0 end)::bigint as n_questions from documents left join labels using (doc_id)""")
+def index_metadata(t):
+    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    good = F.col("quality") == 1
+    c = d.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), F.lit(1).alias("page"), F.col("lang").alias("section"), "text", F.when(good, "good").alias("summary"), F.when(good, F.array(F.lit("q"))).alias("questions"))
+    return records.metadata(c).select("chunk_id", "doc_name", "summary", long(F.size("questions")).alias("n_questions"))
+
+
+@query(f"""with {DENSE20} select qid, 'v' || vec_id as chunk_id, '' as section, round(score, 6) as score, 0.0::double as similarity, 'q' || qid as source_query from hits""")
+def retrieved_chunks(t):
+    r = _hits(t, 20).select("qid", F.concat(F.lit("v"), "vec_id").alias("chunk_id"), F.lit("d").alias("doc_name"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"), F.lit("t").alias("text"), "score", F.lit(None).cast("double").alias("similarity"))
+    return records.retrieved(r, F.concat(F.lit("q"), "qid")).select("qid", "chunk_id", "section", r6("score"), "similarity", "source_query")
+
+
+@query("select source, lang as section, count(*) as n from documents where source = 'src3' and lang <> '' group by source, lang")
+def one_document(t):
+    c = t("documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("section"), F.col("doc_id").alias("ord"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"))
+    s = records.document_sections(c, "src3")
+    own = c.where("doc_name = 'src3'").groupBy(F.col("doc_name").alias("source"), "section").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(s, "section", "left_semi").select("source", "section", "n")

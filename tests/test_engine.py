@@ -176,6 +176,53 @@ def test_sources_and_index(spark, tmp_path):
     assert index.update(stored, seen.where("name = 'b'")) == "rebuilt" and index.stats().first().docs == ["b"]
 
 
+def test_agent(spark, tmp_path):
+    from tallgrove.plans import agent
+
+    pages = spark.createDataFrame([("pump", 1, "The pump runs at 30 bar. Keep it cool."), ("valve", 1, "The valve opens at 7 bar.")], "doc_name string, page int, text string")
+    index = Index(spark, str(tmp_path / "i"), hashed_embed())
+    index.build(pages)
+    q = spark.createDataFrame([(1, "pump bar"), (2, "zzz qqq")], "qid long, text string")
+    plan = lambda t: F.when(t == "pump bar", F.lit('{"sub_queries": [{"text": "the pump"}, {"text": "the valve"}]}')).otherwise("no plan")
+    assert {(r.qid, r.sub, r.text) for r in agent.sub_queries(q, plan).collect()} == {(1, 0, "the pump"), (1, 1, "the valve"), (2, 0, "zzz qqq")}
+    hits, coverage = agent.retrieve(index, agent.sub_queries(q, plan), 1, passes=3, reformulate=lambda t: F.lit("The valve opens at 7 bar."))
+    assert {r.doc_name for r in hits.where("qid = 1").collect()} == {"pump", "valve"}
+    assert {(r.qid, r.sub): r.passes for r in coverage.collect()}[(2, 0)] == 2
+    llm = lambda p: F.lit("At 30 bar [^1].\n[^1]: pump, Page 1")
+    a = {r.qid: r for r in agent.answered(index, q, plan, llm).collect()}
+    assert [c.doc_name for c in a[1].citations] == ["pump"] and a[1].confidence == "high" and a[1].mismatches == []
+    assert [r.doc_name for r in index.search_by_document(q.where("qid = 1"), "valve", 1).collect()] == ["valve"]
+    assert index.search_by_document(q, "nothing", 1).count() == 0
+
+
+def test_records_and_log(spark, tmp_path):
+    from tallgrove.operators import records
+
+    assert records.checked_query(" q ", 3) == ("q", 3) and records.clamped_days(0) == 1
+    for bad in (("", 1), ("x" * 2001, 1), ("q", 0), ("q", 101), ("q", True)):
+        with pytest.raises(ValueError):
+            records.checked_query(*bad)
+    chunks = spark.createDataFrame([("a", "d", "B", 2), ("b", "d", "A", 0), ("c", "d", "", 1), ("a", "d", "B", 5)], "chunk_id string, doc_name string, section string, ord int")
+    assert records.chunk_by_id(chunks, "a").first().ord == 2 and records.chunk_by_id(chunks, "x").count() == 0
+    assert [r.section for r in records.document_sections(chunks, "d").collect()] == ["A", "B"]
+    assert records.section_chunks(chunks, "d", "B").count() == 2
+    log = records.QueryLog(spark, str(tmp_path / "log"))
+    q = spark.sql("select 1L qid, 'a' query, timestamp'2024-01-30 00:00:00' timestamp, 5 top_k, 2.0D latency_ms, true cache_hit, true use_rerank, false generate_answer union all select 2L, 'a', timestamp'2023-01-01 00:00:00', 5, 4.0D, false, true, false")
+    r = spark.createDataFrame([(1, 1, 0.5, 2.0), (1, 2, 0.9, None)], "qid long, rank int, similarity double, rerank_score double")
+    log.log_queries(q, r)
+    log.log_queries(q, r)
+    log.log_feedback(spark.createDataFrame([("x", 5, "c" * 2000)], "query_id string, rating int, comments string"))
+    out = log.exported("2024-01-31", "now").first()
+    assert out.query_stats_7d.total_queries == 2 and out.query_stats_7d.cache_hits == 2 and out.top_queries[0].n == 4 and out.feedback_stats.positive == 1
+    assert log.table("queries").where("qid = 1").first().top_similarity == 0.5 and len(log.table("feedback").first().comments) == 1000
+    result = "named_struct('chunk_id', 'k', 'text', 'it is 30 bar', 'doc_name', 'd')"
+    res = spark.sql(f"select 1L qid, 'q' query, 'agentic' pipeline, 'It is 30' answer, 'high' confidence, array(named_struct('chunk_id', 'k', 'doc_name', 'd')) citations, array({result}) chunks, named_struct('calls', 2, 'prompt_tokens', 3, 'completion_tokens', 4) usage, 1.239D total_latency_ms")
+    lab = spark.createDataFrame([("q", ["it is 30"], ["d"], False)], "query string, expected_facts array<string>, must_cite array<string>, out_of_scope boolean")
+    s = records.scored_answers(res, lab).first()
+    assert (s.fact_coverage, s.must_cite_recall, s.citation_validity, s.grounding, s.abstained, s.total_tokens, s.resilience) == (1.0, 1.0, 1.0, 1.0, False, 7, None)
+    assert json.loads(records.wire(res).first().json)["total_latency_ms"] == 1.24
+
+
 def test_changes(spark):
     old = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "name string, mtime long, size long")
     new = spark.createDataFrame([("a", 1, 5), ("b", 2, 5), ("d", 1, 5)], "name string, mtime long, size long")
