@@ -32,14 +32,6 @@ def written(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not parts else spark.read.parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a frame made by ``written`` once nothing reads it any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrove.llm import bpe, chat, langid, lmscore, mixing, ngram_join, quality, secrets, suffix_dedup
+from tallgrove.llm import bpe, chat, fingerprints, langid, lmscore, mixing, ngram_join, quality, secrets, suffix_dedup
 from tallgrove.llm.queries import QUERIES, SQL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __t string, kept int, x int, __id int"
@@ -131,6 +131,21 @@ def test_fingerprints(spark, small):
     assert one(found, 4).fingerprint == "" and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
 
 
+def test_next_document_for_any_ids(spark, tmp_path, monkeypatch):
+    """Ids far apart, negative ones among them, many ranges: the edited texts are right."""
+    ids = [-(10**15), -7, -3, *range(0, 40), 10**6, 10**17, 10**17 + 1]
+    docs = {i: f"text {i} " * 3 for i in ids}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 4)
+    order = sorted(ids, reverse=True)
+    for r in result(spark, str(tmp_path), "op3_fingerprints"):
+        t, after = docs[r.doc_id], docs[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(t) // 2
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    ranges = fingerprints.with_next(spark.createDataFrame(list(docs.items()), "doc_id long, __t string")).where("__ghost = 0").groupBy("__range").count().collect()
+    assert len(ranges) >= 8 and max(r["count"] for r in ranges) <= 8
+
+
 def test_mixing(spark, small):
     found = result(spark, small, "op4_mix")
     assert len(found) == len(rows()) and all(r.taken <= 3 * r.size for r in found)
