@@ -10,6 +10,8 @@ from tallgrove.functions.vectors import dot, similarity
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 #: Rows of a query set up to which it is broadcast; beyond it Spark joins as it likes.
 SMALL = 200_000
+#: Query vectors that are broadcast at once (8 bytes a dimension each).
+BLOCK = 20_000
 
 
 def near(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -61,11 +63,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
 def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
     """(qid, rank, key, score): exact inner products of each query (qid, q) with every vector, best k.
 
-    Each block of vectors meets the broadcast query set; the partial top k of each task is taken before the shuffle.
+    Queries are broadcast in blocks of about ``BLOCK`` at most, each block in a scan of its own over the
+    vectors; every task keeps its best k of a query before the shuffle.
     """
-    pairs = vectors.select(key, vector).crossJoin(F.broadcast(queries.select("qid", "q")))
-    scored = pairs.select("qid", key, dot(F.col("q"), F.col(vector)).alias("score"))
-    return ranked(scored, "score", key, k=k).select("qid", "rank", key, "score")
+    wanted = queries.select("qid", "q")
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        pairs = vectors.select(key, vector).crossJoin(F.broadcast(own))
+        scored = pairs.select("qid", key, dot(F.col("q"), F.col(vector)).alias("score"))
+        best = ranked(scored, "score", key, k=k).select("qid", "rank", key, "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fused(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:

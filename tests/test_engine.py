@@ -120,6 +120,14 @@ def test_bm25_small(spark):
     assert [r.id for r in rare] == [1] and math.isclose(rare[0].score, want)
 
 
+def test_dense_in_blocks(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    want = sorted(map(tuple, search.dense(v, q, "vec_id", 3).collect()))
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert sorted(map(tuple, search.dense(v, q, "vec_id", 3).collect())) == want
+
+
 def test_metrics_by_hand(spark):
     hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "z")], "qid long, rank int, key string")
     rel = spark.createDataFrame([(1, "b"), (1, "c"), (1, "x"), (1, "x")], "qid long, key string")
