@@ -143,8 +143,9 @@ def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndar
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0)))
 
 
-def built(rows: DataFrame, segments: int, parts: int) -> np.ndarray:
-    """The filter of (h, n) rows, which may repeat h; rows meet by segment."""
+def built(rows: DataFrame, segments: int, parts: int, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Segments ``first`` to ``end`` of the filter of (h, n) rows, which may repeat h; rows meet by segment."""
+    end = segments if end is None else end
 
     def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -168,9 +169,11 @@ def built(rows: DataFrame, segments: int, parts: int) -> np.ndarray:
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
     dealt_rows = rows.select("h", "n").mapInArrow(dealt, "seg int, h long, n long").repartition(parts, "seg")
-    out = np.zeros(segments * (SEGMENT // 8), np.uint8)
-    for seg, bits in dealt_rows.mapInArrow(put, "seg int, bits binary").toLocalIterator():
-        out[seg * (SEGMENT // 8) : (seg + 1) * (SEGMENT // 8)] = np.frombuffer(bits, np.uint8)
+    got = dealt_rows.mapInArrow(put, "seg int, bits binary").toArrow()  # (end - first) * 256 KB, MOST_BYTES at most
+    out = np.zeros((end - first) * (SEGMENT // 8), np.uint8)
+    for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits")):
+        at = (seg - first) * (SEGMENT // 8)
+        out[at : at + SEGMENT // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
@@ -247,8 +250,7 @@ class Model:
             end = min(first + each, total)
             seg = F.expr(f"(shiftrightunsigned(h, 40) * {total}L) div 16777216L")
             own = rows.where((seg >= first) & (seg < end))
-            whole = built(own, total, self.parts)[first * (SEGMENT // 8) : end * (SEGMENT // 8)].copy()
-            yield first, end, spark.sparkContext.broadcast(whole)
+            yield first, end, spark.sparkContext.broadcast(built(own, total, self.parts, first, end))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
