@@ -12,9 +12,9 @@ fingerprints. Texts without words have an empty fingerprint; two of those are al
 and another text are not (0).
 
 The next document of a document (descending doc_id) is found without a global sort: ids are
-cut into ranges of equal width with about ``RANGE_DOCS`` documents each, every range also gets
-a copy of the first document of the next one that has any, and a window inside the range does the rest. The
-texts move once.
+cut at approximate quantiles into ranges of about ``RANGE_DOCS`` documents (at most ``RANGES``
+ranges), however the ids are spread; every range also gets a copy of the first document of the next one
+that has any, and a window inside the range does the rest. The texts move once.
 
 Defined results: null texts are empty; rows with equal doc_id follow each other in the order of
 their texts' hashes; a null id sorts after all others; an empty table gives an empty table; a
@@ -22,12 +22,14 @@ single document is its own next one; texts are used whole.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrove.llm.common import WHITE, table
 
-SAMPLES, RANGE_DOCS = 32, 2000
+SAMPLES, RANGE_DOCS, RANGES = 32, 2000, 10_000
 
 
 def samples(df: DataFrame, term: str, log_weight: str, keys: list[str], n: int = SAMPLES) -> DataFrame:
@@ -91,20 +93,32 @@ def fingerprinted(df: DataFrame, texts: dict[str, str], keys: list[str]) -> Data
     return out
 
 
+def _range(x: Column, bounds: list[int]) -> Column:
+    """Number of bounds up to x, by two steps: about the square root of all bounds is looked at, twice."""
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    array = lambda v: "array(" + ",".join(f"{i}L" for i in v) + ")"
+    if not groups:
+        return F.lit(0)
+    group = F.size(F.filter(F.expr(array(g[0] for g in groups)), lambda b: b <= x)) - 1
+    inner = F.get(F.expr("array(" + ",".join(map(array, groups)) + ")"), group)
+    return F.coalesce(group * step + F.size(F.filter(inner, lambda b: b <= x)), F.lit(0))
+
+
 def with_next(df: DataFrame) -> DataFrame:
     """Rows of (doc_id, __t text, __x) plus __range, __rank, and ghosts: the first row of the following range and, at the end, of all."""
     spark = df.sparkSession
     low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) * RANGE_DOCS // max(n, 1)))
-    part = F.expr(f"(coalesce(doc_id, {low}L) - {low}L) div {width}L")
+    ranges = min(RANGES, n // RANGE_DOCS)
+    at = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx("doc_id", at, 10 * RANGES)).first()[0] if at else None
+    part = _range(F.coalesce(F.col("doc_id"), F.lit(low)), sorted({*(bounds or []), *([low] if low is not None else [])}))
     docs = df.withColumn("__range", part)
     # ids only: the first (largest) of each range, and the range that needs it
     heads = docs.groupBy("__range").agg(F.max("doc_id").alias("head"), F.min(F.when(F.col("doc_id").isNull(), 0)).alias("null_here"))
     order = Window.orderBy(F.col("__range").desc())
     needed = heads.select("__range", F.lead("head").over(order).alias("ghost"))
-    needed = needed.select("__range", F.coalesce("ghost", F.lit(high)).alias("ghost"), F.col("ghost").isNull().cast("int").alias("__last"))
+    needed = needed.select("__range", F.coalesce("ghost", F.lit(high).cast("long")).alias("ghost"), F.col("ghost").isNull().cast("int").alias("__last"))
     first_of = df.join(F.broadcast(needed) if n // RANGE_DOCS < 200_000 else needed, F.col("doc_id") == F.col("ghost")).select("doc_id", "__t", "__range")
     return docs.withColumn("__ghost", F.lit(0)).unionByName(first_of.withColumn("__ghost", F.lit(1)))
 
