@@ -84,7 +84,7 @@ def schedule(sources: DataFrame, n: int) -> DataFrame:
     counts = slots.groupBy("idx", "range").agg(F.count(F.lit(1)).alias("k"))
     ahead = counts.select("idx", "range", F.coalesce(F.sum("k").over(Window.partitionBy("idx").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = slots.withColumn("at", F.row_number().over(Window.partitionBy("idx", "range").orderBy("slot")))
-    ranked = inside.join(ahead, ["idx", "range"]).withColumn("rank", F.col("ahead") + F.col("at") - 1)
+    ranked = inside.join(ahead.hint("merge"), ["idx", "range"]).withColumn("rank", F.col("ahead") + F.col("at") - 1)
     ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks"))
     begun = F.expr("rank div blocks") * F.col("source_size") + F.col("block") * BLOCK
     take = F.least(F.lit(BLOCK).cast("long"), F.col("source_size") - F.col("block") * BLOCK, F.col("words") - begun)
@@ -99,7 +99,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     parts = docs.groupBy("idx", "part").agg(F.sum("size").alias("k"))
     ahead = parts.select("idx", "part", F.coalesce(F.sum("k").over(Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = F.sum("size").over(Window.partitionBy("idx", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("inside", inside).join(ahead, ["idx", "part"]).withColumn("at", F.col("ahead") + F.col("inside") - F.col("size")).drop("key", "part", "inside", "ahead")
+    return docs.withColumn("inside", inside).join(ahead.hint("merge"), ["idx", "part"]).withColumn("at", F.col("ahead") + F.col("inside") - F.col("size")).drop("key", "part", "inside", "ahead")
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,7 +115,8 @@ def mix(df: DataFrame, text: str = "text", source: str = "source") -> tuple[Data
     end = F.least(F.col("at") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK).cast("long"))
     segments = segments.select("doc_id", "size", "idx", "source_size", "target", "at", "block", begin.alias("begin"), end.alias("end"))
     slots = schedule(sources, n) if n else spark.createDataFrame([], "slot long, idx long, rank long, block long, take long")
-    joined = segments.join(slots, ["idx", "block"], "left")
+    # slots come from few rows by explode, so Spark takes them for small; they grow with the corpus and must not be broadcast
+    joined = segments.join(slots.hint("merge"), ["idx", "block"], "left")
     taken = F.greatest(F.least(F.coalesce("take", F.lit(0)), F.col("end")) - F.col("begin"), F.lit(0))
     none = sizes.where("size = 0").join(near.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).select("doc_id", "size", "source_size", "target")
     return none, joined.withColumn("taken", taken), sources
