@@ -1 +1,9 @@
-"""Spark-native document retrieval analytics: chunking, indexing, hybrid search, evaluation."""
+"""Spark-native document retrieval analytics: chunking, indexing, hybrid search, evaluation.
+
+Functions that run on Python workers are pickled by value, so executors need no copy of this package.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
