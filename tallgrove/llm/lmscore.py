@@ -181,26 +181,31 @@ def counted(train: DataFrame, pairs: bool) -> DataFrame:
     """(kind, h, n) summed within tasks: words (kind 1) and a sample of pairs (kind 2), or all pairs (kind 2)."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {1: Sums(), 2: Sums()}
+        words, held, size = Sums(), [], 0
 
-        def handed(kind: int) -> pa.RecordBatch:
-            h, n = sums[kind].take()
+        def batch(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
 
         for b in batches(it, most=ATONCE):
             hashes, stream, _ = tokens(b.column(0).to_pylist())
             if not pairs:
-                sums[1].add(hashes, np.bincount(stream, minlength=len(hashes)))
+                words.add(hashes, np.bincount(stream, minlength=len(hashes)))
+                if words.held > HELD:
+                    h, n = words.take()
+                    if len(h) > HELD // 2:
+                        yield batch(1, h, n)
+                    else:
+                        words.add(h, n)
             h = hashes[stream]
             two = pairs_of(before(h), h)
-            sums[2].add(*np.unique(two if pairs else two[two % np.uint64(SAMPLE) == 0], return_counts=True))
-            for kind in sums:
-                if sums[kind].held > HELD:
-                    h, n = sums[kind].take()
-                    sums[kind].add(h, n)
-                    if len(h) > HELD // 2:
-                        yield handed(kind)
-        yield from map(handed, sums)
+            held.append(two if pairs else two[two % np.uint64(SAMPLE) == 0])
+            size += len(held[-1])
+            if size > HELD:
+                yield batch(2, *np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        yield batch(1, *words.take())
+        if held:
+            yield batch(2, *np.unique(np.concatenate(held), return_counts=True))
 
     return train.select("text").mapInArrow(count, "kind int, h long, n long")
 
