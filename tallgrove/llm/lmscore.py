@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallgrove.llm.common import batches, table, written
 
-SEGMENT = 1 << 21
+SEGMENT, LINE = 1 << 21, 512
 HASHES, BITS = 4, 4 / math.log(2)
 MOST_BYTES, MOST_HOT = 64 << 20, 1 << 20
 BACKOFF = 10.0
@@ -105,19 +105,22 @@ def levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bit place within a segment and the step to the next ones."""
+def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line of an n-gram within its segment, first bit place in the line and the step to the next ones.
+
+    All bits of all levels of an n-gram lie in one line of 64 bytes, so reading a count touches memory once.
+    """
     with np.errstate(over="ignore"):
         g = mixed(h + np.uint64(level) * LEVEL)
-    low = np.uint64(SEGMENT - 1)
-    return g & low, ((g >> np.uint64(21)) & low) | np.uint64(1)
+    low = np.uint64(LINE - 1)
+    return (h & np.uint64(SEGMENT // LINE - 1)) * np.uint64(LINE), g & low, ((g >> np.uint64(9)) & low) | np.uint64(1)
 
 
 def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
     """Bit places within a segment, one after the other."""
-    a, step = starts(h, level)
+    line, a, step = starts(h, level)
     for i in range(HASHES):
-        yield (a + np.uint64(i) * step) & np.uint64(SEGMENT - 1)
+        yield line | ((a + np.uint64(i) * step) & np.uint64(LINE - 1))
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -130,13 +133,13 @@ def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndar
     active = np.arange(len(h))
     base = (segment_of(h, segments) - np.uint64(first)) * np.uint64(SEGMENT // 8)
     for q in range(1, 64):
-        a, step = starts(h, q)
+        line, a, step = starts(h, q)
         for i in range(HASHES):
-            place = (a + np.uint64(i) * step) & np.uint64(SEGMENT - 1)
+            place = line | ((a + np.uint64(i) * step) & np.uint64(LINE - 1))
             byte = bits[(base + (place >> np.uint64(3))).view(np.int64)]
             hit = np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
             if len(hit) < len(active):
-                active, h, base, a, step = (x[hit] for x in (active, h, base, a, step))
+                active, h, base, line, a, step = (x[hit] for x in (active, h, base, line, a, step))
         if not len(active):
             break
         level[active] = q
