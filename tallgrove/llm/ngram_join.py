@@ -4,12 +4,10 @@
 2. Each text samples its ``PATHS`` smallest shingle hashes; each is a path of the root. A pair
    shares none of its sampled paths with probability (1 - J) ** PATHS at most: 2.6e-6 at J = 0.8.
    That is the recall aimed at; ``PATHS`` is the number of runs.
-3. A bucket holds the texts that share a path. A bucket of at most ``SMALL`` texts is brute-forced.
-   A larger one is split further by the other sampled paths of its texts: the child of a path whose
-   own bucket is small lies within that bucket and is not formed again, so texts leave the large
-   bucket unless a quarter of their paths are large. What remains are texts that splitting
-   cannot tell apart (they share nearly all they have); they are brute-forced in blocks, each pair
-   of blocks on its own, so no task holds more than two blocks.
+3. A bucket holds the texts that share a path. A bucket of at most ``SMALL`` texts is brute-forced
+   at once, a larger one in blocks, each pair of blocks on its own, so no task holds more than two
+   blocks. No text leaves a bucket: a pair is looked for in the bucket of its smallest common path
+   only, so both have to be there, however large it is.
 4. Brute force counts common values of sketches (the ``SKETCH`` smallest hashes) by matrix
    products; texts with a partner go on, with whole shingle sets, to an exact check. A pair is
    handled only in the bucket of its smallest common path, so it counts once and pairs are never
@@ -183,15 +181,11 @@ def in_buckets(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
 
 def buckets(reps: DataFrame) -> DataFrame:
     """(tok, bi, bj, block, x): where each text is compared."""
-    paths = reps.select("x", F.explode(F.slice("sketch", 1, PATHS)).alias("tok"), F.least(F.size("sketch"), F.lit(PATHS)).alias("paths"))
+    paths = reps.select("x", F.explode(F.slice("sketch", 1, PATHS)).alias("tok"))
     counts = paths.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = written(paths.join(counts, "tok"))
     small = rows.where(F.col("n") <= SMALL).select("tok", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("block"), "x")
-    large = rows.where(F.col("n") > SMALL)
-    stay = large.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.max("paths").alias("p")).where("4 * k >= p").select("x")
-    large = large.join(stay, "x")
-    again = large.groupBy("tok").agg(F.count(F.lit(1)).alias("m"))
-    large = large.join(again, "tok").where("m > 1").withColumn("nb", F.ceil(F.col("m") / SMALL).cast("int"))
+    large = rows.where(F.col("n") > SMALL).withColumn("nb", F.ceil(F.col("n") / SMALL).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("x", F.lit(7)), F.col("nb")).cast("int"))
     large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     large = large.select("tok", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "x")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallgrove.llm import bpe, chat, fingerprints, langid, lmscore, mixing, ngram_join, quality, secrets, suffix_dedup
 from tallgrove.llm.queries import QUERIES, SQL
+from tallgrove.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __t string, kept int, x int, __id int"
 BASE = " ".join(f"word{i % 97} and{i % 13}" for i in range(120)) + ".\n"
@@ -94,6 +95,21 @@ def test_join_blocks(spark, small, monkeypatch):
     assert {(r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()} == {(0, 39)}
 
 
+def test_join_keeps_pairs_of_one_large_path(spark, monkeypatch):
+    """Every text has exactly one large path, which is the smallest common one of each near pair."""
+    phrases = [f"all texts have phrase{i} here" for i in range(20000)]
+    popular = min(phrases, key=dict(zip(phrases, (s[0] for s in shingle_sets(phrases, 5)))).get)
+    texts = {2 * i + k: f"{popular} " + " ".join(f"w{i}x{j}" for j in range(40)) + f" end{k}" for i in range(12) for k in range(2)}
+    first = {s[0] for s in shingle_sets(list(texts.values()), 5)}
+    assert len(first) == 1
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    near = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    links = {i: sum(near(t, u) for j, u in texts.items() if j != i) for i, t in texts.items()}
+    found = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in found} == links and set(links.values()) == {1}
+    assert {r.doc_id: r.class_id for r in found} == {i: i - i % 2 for i in texts}
+
+
 def cut(docs):
     seen, out = [], {}
     for i, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
