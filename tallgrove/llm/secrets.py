@@ -3,7 +3,9 @@
 The lexer reads source and configuration syntax (``name = "value"``, ``name: value``,
 ``"name": 'value'``, ``name := a + "b"``, ``d["name"] = value``) into name-literal pairs,
 follows constants (a name that was bound to literals stands for them when it is assigned or
-concatenated later), and scores every literal that reaches a sensitive target name.
+concatenated later), and judges every literal that reaches a sensitive target name: a strong name
+(password, token, ...) takes any literal of ``LEAST_LITERAL`` characters that is no placeholder or
+reference, a weaker one those whose entropy is high enough.
 
 Defined results: a null or empty text has no spans; texts are scanned whole; equal starts
 sort by kind in the order of ``KINDS``, then end; repeated rows each get their own result; an
@@ -34,8 +36,15 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0,
     "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.6, "private": 0.6, "access": 0.4, "client": 0.2,
 }
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "todo", "none", "null", "true", "false")
-#: A literal is a secret from this product of name weight and literal weight on.
+PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****")
+#: Placeholders if there is nothing else, or after "todo" anything.
+NOTHING = re.compile(r"\W*(?:todo\b.*|(?:none|null|true|false)(?:\W+(?:none|null|true|false))*\W*)", re.S)
+#: Names of other values, as templates and shells write them.
+REFERENCE = re.compile(r"\$[A-Za-z_][A-Za-z0-9_]*|\$?\{.*\}|\$\(.*\)|<.*>", re.S)
+LEAST_LITERAL = 6
+#: A name of this weight says by itself that its value is a secret.
+STRONG = 1.0
+#: Under a weaker name a literal is a secret from this product of name weight and literal weight on.
 LEAST_SCORE = 0.5
 #: Bits of a literal (entropy a character times length) that count as fully random.
 FULL_BITS = 60.0
@@ -53,10 +62,15 @@ def name_weight(name: str) -> float:
     return max(weight, *(v for k, v in SENSITIVE.items() if len(k) > 5 and k in name.lower()), 0.0) if name else 0.0
 
 
-def literal_weight(value: str) -> float:
-    """0 for short values, placeholders, references and prose; else its bits over ``FULL_BITS``, 1 at most."""
+def candidate(value: str) -> bool:
+    """Whether a literal can be a secret: neither short nor white nor a placeholder nor a reference."""
     low = value.lower()
-    if len(value) < 6 or " " in value or value[0] in "$<{" or any(p in low for p in PLACEHOLDERS):
+    return len(value) >= LEAST_LITERAL and not value.isspace() and not any(p in low for p in PLACEHOLDERS) and not NOTHING.fullmatch(low) and not REFERENCE.fullmatch(value)
+
+
+def literal_weight(value: str) -> float:
+    """0 for prose; else its bits over ``FULL_BITS``, 1 at most."""
+    if " " in value:
         return 0.0
     n = len(value)
     bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
@@ -64,6 +78,11 @@ def literal_weight(value: str) -> float:
     return min(1.0, bits / FULL_BITS) * (1.0 if variety > 1 else 0.6)
 
 
+def is_secret(weight: float, value: str) -> bool:
+    """Under a strong name every candidate, whatever its entropy; under a weaker one what scores enough."""
+    return weight > 0 and candidate(value) and (weight >= STRONG or weight * literal_weight(value) >= LEAST_SCORE)
+
+
 class Scanner:
     def __init__(self) -> None:
         self.assign = re.compile(ASSIGN, re.I | re.A).finditer
@@ -93,7 +112,7 @@ class Scanner:
         out = []
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in self.assign(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
-            out += {("literal", s, e): 0 for name, v, s, e in self.pairs(text) if (w := name_weight(name)) and w * literal_weight(v) >= LEAST_SCORE}
+            out += {("literal", s, e): 0 for name, v, s, e in self.pairs(text) if is_secret(name_weight(name), v)}
         if "AKIA" in text:
             out += [("access", *m.span()) for m in self.access(text)]
         out += [("hex", *m.span()) for m in self.hex(text)]

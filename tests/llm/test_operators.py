@@ -237,6 +237,21 @@ def test_secrets(spark, small):
     assert done.columns == docs.columns and "hunter2" not in one(done.collect(), 8).text
 
 
+def literals(text):
+    return [text[a:b] for k, a, b in secrets.Scanner()(text) if k == "literal"]
+
+
+def test_secrets_of_little_entropy():
+    """Ordinary passwords under strong names; entropy decides under weaker ones only."""
+    for text, want in [
+        ('password = "aB3$xYz9"', ["aB3$xYz9"]), ('db_pwd = "Tr0ub4dor"', ["Tr0ub4dor"]), ('PW = "S3cr3t!x"\npassword = PW', ["S3cr3t!x"]),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]), ("pwd = 'qwerty'", ["qwerty"]), ('password = "TrueLove99"', ["TrueLove99"]),
+        ('password = "12345"', []), ('password = "<your password>"', []), ('pwd = "${DB_PWD}"', []), ('pwd = "changeme1"', []), ('token = "      "', []), ('secret = "null null"', []), ('pwd = "none shall pass"', ["none shall pass"]),
+        ('auth = "aB3$xYz9"', []), ('key = "some words of prose, not a key"', []), ('auth = "a8Zk2-QpL9+xV7tR3mW5"', ["a8Zk2-QpL9+xV7tR3mW5"]), ('colour = "aB3$xYz9kkPq"', []),
+    ]:
+        assert literals(text) == want, text
+
+
 def test_lm_score(spark, small):
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
