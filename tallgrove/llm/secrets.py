@@ -91,28 +91,39 @@ class Scanner:
         self.statement = re.compile(rf"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*)["']?\]?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*((?:{_ATOM})(?:[ \t]*\+[ \t]*(?:{_ATOM}))*)""").finditer
         self.atom = re.compile(_ATOM).finditer
 
-    def pairs(self, text: str) -> Iterator[tuple[str, str, int, int]]:
-        """(target name, literal, start, end), constants followed; offsets are of the literal itself."""
-        known: dict[str, list[tuple[str, int, int]]] = {}
+    def literals(self, text: str) -> set[tuple[int, int]]:
+        """(start, end) of the literals that are secrets, constants followed; offsets are of the literal itself.
+
+        A value keeps its own literals and the values it is made of, and is gone through again
+        only for a stronger name, so chains of constants are followed whole in linear time.
+        """
+        known: dict[str, list] = {}
+        out: set[tuple[int, int]] = set()
         for m in self.statement(text):
-            name, found = m[1], []
+            own, made_of = [], []
             for a in self.atom(text, m.start(2), m.end(2)):
                 v = a[0]
                 if v[0] in "\"'":
-                    found.append((v[1:-1], a.start() + 1, a.end() - 1))
+                    own.append((v[1:-1], a.start() + 1, a.end() - 1))
                 elif v in known:
-                    found += known[v]
+                    made_of.append(known[v])
                 else:
-                    found.append((v, a.start(), a.end()))
-            known[name] = found[:16]
-            for value, start, end in found:
-                yield name, value, start, end
+                    own.append((v, a.start(), a.end()))
+            value = known[m[1]] = [0.0, own, made_of]
+            weight, todo = name_weight(m[1]), [value]
+            while todo:
+                value = todo.pop()
+                if value[0] < weight:
+                    value[0] = weight
+                    out.update((start, end) for v, start, end in value[1] if is_secret(weight, v))
+                    todo += value[2]
+        return out
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         out = []
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in self.assign(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
-            out += {("literal", s, e): 0 for name, v, s, e in self.pairs(text) if is_secret(name_weight(name), v)}
+            out += [("literal", start, end) for start, end in self.literals(text)]
         if "AKIA" in text:
             out += [("access", *m.span()) for m in self.access(text)]
         out += [("hex", *m.span()) for m in self.hex(text)]

@@ -252,6 +252,15 @@ def test_secrets_of_little_entropy():
         assert literals(text) == want, text
 
 
+def test_secrets_of_many_parts():
+    """Constants of many literals, chains of them and doubled ones are followed whole."""
+    parts = [f"part{i:02d}" for i in range(40)]
+    assert literals("KEY = " + " + ".join(f'"{p}"' for p in parts) + "\napi_key = KEY\n") == parts
+    chain = f'C0 = "{parts[0]}"\n' + "".join(f'C{i} = C{i - 1} + "{p}"\n' for i, p in enumerate(parts) if i) + "auth = C39\ntoken = C39\n"
+    assert literals(chain) == parts
+    assert literals('A = "part00"\n' + "A = A + A\n" * 3000 + "password = A") == ["part00"]
+
+
 def test_lm_score(spark, small):
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
@@ -284,7 +293,6 @@ def test_lm_shards_and_rare_words(spark, small, monkeypatch):
 
 
 
-
 def test_stages_keep_columns(spark, small):
     import corpus_pipeline
 
