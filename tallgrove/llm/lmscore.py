@@ -9,8 +9,8 @@ a = c(v) / (c(v) + BACKOFF), all c by probes. A text begins after an end token a
 Sizes: a filter is made of segments of 256 KB, ``BITS`` bits a level. The pair filter is
 cut into shards of at most ``MOST_BYTES``; each shard is broadcast in a pass of its own over the
 texts, and the pass adds up the words whose pair falls into the shard, so any number of pairs is
-scored with bounded memory. The word filter takes ``MOST_BYTES`` at most; beyond about 40
-million different words its error rate rises, nothing is left out.
+scored with bounded memory. A word filter of more than ``MOST_BYTES`` is not built: the counts
+of the words that are not broadcast are joined to the texts by hash, and read as the same levels.
 
 The base score needs exact counts: at most ``MOST_HOT`` of the most frequent words are
 broadcast (12 bytes each); the others, each rarer than all of those, are joined by hash.
@@ -105,6 +105,18 @@ def levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
+def counts_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0)))
+
+
+def found_in(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Values of ``h`` by sorted keys, 0 for those that are missing."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], 0)
+
+
 def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line of an n-gram within its segment, first bit place in the line and the step to the next ones.
 
@@ -143,12 +155,11 @@ def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndar
         if not len(active):
             break
         level[active] = q
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0)))
+    return counts_of(level)
 
 
-def built(rows: DataFrame, segments: int, parts: int, first: int = 0, end: int | None = None) -> np.ndarray:
-    """Segments ``first`` to ``end`` of the filter of (h, n) rows, which may repeat h; rows meet by segment."""
-    end = segments if end is None else end
+def built(rows: DataFrame, segments: int, parts: int) -> DataFrame:
+    """(seg, bits): segments of the filter of (h, n) rows, which may repeat h; rows meet by segment."""
 
     def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -172,7 +183,12 @@ def built(rows: DataFrame, segments: int, parts: int, first: int = 0, end: int |
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
     dealt_rows = rows.select("h", "n").mapInArrow(dealt, "seg int, h long, n long").repartition(parts, "seg")
-    got = dealt_rows.mapInArrow(put, "seg int, bits binary").toArrow()  # (end - first) * 256 KB, MOST_BYTES at most
+    return dealt_rows.mapInArrow(put, "seg int, bits binary")
+
+
+def gathered(filters: DataFrame, first: int, end: int) -> np.ndarray:
+    """Segments ``first`` to ``end``, one after the other."""
+    got = filters.where((F.col("seg") >= first) & (F.col("seg") < end)).toArrow()  # (end - first) * 256 KB, MOST_BYTES at most
     out = np.zeros((end - first) * (SEGMENT // 8), np.uint8)
     for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits")):
         at = (seg - first) * (SEGMENT // 8)
@@ -223,10 +239,13 @@ class Model:
         level = F.sum(1 + F.floor(F.log2("n"))).cast("long")
         self.n, self.v, of_words = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1)), level).first())
         of_pairs = SAMPLE * (sample.agg(level).first()[0] or 0)
-        self.word_segments = max(1, min(math.ceil(of_words * BITS / SEGMENT), MOST_BYTES * 8 // SEGMENT))
+        self.word_segments = max(1, math.ceil(of_words * BITS / SEGMENT))
         self.pair_segments = max(1, math.ceil(of_pairs * BITS / SEGMENT))
         parts = lambda k: max(k // 4, spark.sparkContext.defaultParallelism)
-        self.words = spark.sparkContext.broadcast(built(words, self.word_segments, parts(self.word_segments)))
+        #: Whether word counts are joined, as their filter is too large for a broadcast.
+        self.joined = self.word_segments * (SEGMENT // 8) > MOST_BYTES
+        bits = None if self.joined else gathered(built(words, self.word_segments, parts(self.word_segments)), 0, self.word_segments)
+        self.words = spark.sparkContext.broadcast(bits)
         self.train = train
         self.parts = parts(self.pair_segments)
         by_size = words.groupBy(F.floor(F.log2("n")).cast("int").alias("q")).agg(F.count(F.lit(1)).alias("k")).collect()
@@ -248,17 +267,38 @@ class Model:
     def shards(self) -> Iterator[tuple[int, int, object]]:
         """(first segment, end, broadcast bits) of the pair filter, one after the other."""
         spark = self.train.sparkSession
+        filters = built(counted(self.train, pairs=True).where("kind = 2"), self.pair_segments, self.parts)
         if self.one_pass():
-            yield 0, self.pair_segments, spark.sparkContext.broadcast(built(counted(self.train, pairs=True).where("kind = 2"), self.pair_segments, self.parts))
+            yield 0, self.pair_segments, spark.sparkContext.broadcast(gathered(filters, 0, self.pair_segments))
             return
-        each = MOST_BYTES * 8 // SEGMENT
-        rows, total = counted(self.train, pairs=True).where("kind = 2"), self.pair_segments
-        rows = written(rows)
-        for first in range(0, total, each):
-            end = min(first + each, total)
-            seg = F.expr(f"(shiftrightunsigned(h, 40) * {total}L) div 16777216L")
-            own = rows.where((seg >= first) & (seg < end))
-            yield first, end, spark.sparkContext.broadcast(built(own, total, self.parts, first, end))
+        filters = written(filters)
+        each = max(1, MOST_BYTES * 8 // SEGMENT)
+        for first in range(0, self.pair_segments, each):
+            end = min(first + each, self.pair_segments)
+            yield first, end, spark.sparkContext.broadcast(gathered(filters, first, end))
+
+
+def with_counts(df: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text, row, rare_h, rare_n): the rows with the trained counts of those of their words that are not broadcast."""
+    hot = model.hot
+
+    def numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for b in it:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(row + np.arange(b.num_rows))], ["doc_id", "text", "row"])
+            row += b.num_rows
+
+    def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 1, ATONCE):
+            hashes, stream, sizes = tokens(b.column(1).to_pylist())
+            rest = np.flatnonzero(found_in(*hot.value, hashes)[stream] == 0)
+            key = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rest] * len(hashes) + stream[rest])
+            yield pa.record_batch([pa.array(b.column(2).to_numpy()[key // len(hashes)]), pa.array(hashes[key % len(hashes)].view(np.int64))], ["row", "h"])
+
+    rows = written(df.select("doc_id", "text").mapInArrow(numbered, "doc_id long, text string, row long"))
+    found = rows.mapInArrow(rare, "row long, h long").join(model.rare, F.col("h") == F.col("rare_h"))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("rare_h", "rare_n")).alias("c"))
+    return written(rows.join(found, "row", "left").select("doc_id", "text", "row", F.col("c.rare_h").alias("rare_h"), F.col("c.rare_n").alias("rare_n")))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
@@ -266,7 +306,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     A row is told apart by its place in the scan, so ``df`` must be read from a table.
     """
-    n, v, word_bits, word_segments, pair_segments, hot = model.n, model.v, model.words, model.word_segments, model.pair_segments, model.hot
+    n, v, word_bits, word_segments, pair_segments, hot, joined = model.n, model.v, model.words, model.word_segments, model.pair_segments, model.hot, model.joined
+    df = with_counts(df, model) if joined else df.select("doc_id", "text")
     total = math.log10(n + v + 1)
 
     def pass_over(first: int, end: int, bits: object) -> DataFrame:
@@ -278,7 +319,12 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 hashes, stream, sizes = tokens(b.column(1).to_pylist())
                 begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 by_text = lambda x: np.add.reduceat(x, begin)
-                uni = probe(word_bits.value, 0, word_segments, hashes)
+                if joined:
+                    rare_h, first_at = np.unique(b.column(3).flatten().to_numpy().view(np.uint64), return_index=True)
+                    exact = np.maximum(found_in(hot_h, hot_n, hashes), found_in(rare_h, b.column(4).flatten().to_numpy()[first_at], hashes))
+                    uni = counts_of(np.where(exact > 0, levels(exact), 0))
+                else:
+                    uni = probe(word_bits.value, 0, word_segments, hashes)
                 h = hashes[stream]
                 two = pairs_of(before(h), h)
                 seg = segment_of(two, pair_segments)
@@ -286,11 +332,11 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 pair = np.zeros(len(h))
                 pair[own] = probe(bits.value, first, pair_segments, two[own])
                 c = uni[stream]
-                ahead = np.concatenate([[probe(word_bits.value, 0, word_segments, np.array([END]))[0]], c[:-1]])
+                ahead = np.concatenate([uni[hashes == END], c[:-1]])  # every text has an end token
                 a = ahead / (ahead + BACKOFF)
                 p = a * np.minimum(1.0, pair / np.maximum(np.maximum(ahead, pair), 1.0)) + (1 - a) * np.minimum(1.0, (c + 1) / (n + v + 1))
                 logs = np.where(own, np.log10(np.minimum(p, 1.0)), 0.0)
-                ids = task + row + np.arange(len(sizes))
+                ids = b.column(2).to_numpy() if joined else task + row + np.arange(len(sizes))
                 row += len(sizes)
                 k = len(sizes)
                 cols = [ids, b.column(0), sizes, np.zeros(k, np.int64), np.zeros(k), by_text(logs), mixed(ids.astype(np.uint64)).view(np.int64), np.zeros(k, np.int64)]
@@ -308,7 +354,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                         yield batch([ids[key // len(hashes)], pa.nulls(len(key), pa.int64()), *(np.zeros(len(key), t) for t in (np.int64, np.int64, float, float)), hashes[key % len(hashes)].view(np.int64), times])
                 yield batch(cols)
 
-        return df.select("doc_id", "text").mapInArrow(one, ", ".join(f"{x} {t}" for x, t in zip(NAMES, TYPES)))
+        return df.mapInArrow(one, ", ".join(f"{x} {t}" for x, t in zip(NAMES, TYPES)))
 
     def batch(cols: list) -> pa.RecordBatch:
         return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], NAMES)

@@ -293,6 +293,45 @@ def test_lm_shards_and_rare_words(spark, small, monkeypatch):
 
 
 
+def exact_scores(train, texts):
+    """The score's formula by exact counts of words and pairs, as levels."""
+    tok = lambda t: t.encode().lower().split() + [b"\n"]
+    words, pairs = collections.Counter(), collections.Counter()
+    for t in train:
+        words.update(tok(t))
+        pairs.update(zip([b"\n", *tok(t)], tok(t)))
+    level = lambda c: float(c) if c < 2 else 1.5 * 2 ** (c.bit_length() - 1)
+    total, out = sum(words.values()) + len(words) + 1, []
+    for t in texts:
+        s = 0.0
+        for v, w in zip([b"\n", *tok(t)], tok(t)):
+            ahead, c, pair = level(words[v]), level(words[w]), level(pairs[v, w])
+            a = ahead / (ahead + lmscore.BACKOFF)
+            s += math.log10(min(1.0, a * min(1.0, pair / max(ahead, pair, 1.0)) + (1 - a) * min(1.0, (c + 1) / total)))
+        out.append(s)
+    return out
+
+
+def lm_tables(spark, top, train, texts):
+    for name, rows in (("train", train), ("texts", texts)):
+        spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{top}/{name}")
+    return spark.read.parquet(f"{top}/train"), spark.read.parquet(f"{top}/texts")
+
+
+def test_lm_word_counts_at_any_size(spark, tmp_path, monkeypatch):
+    """More words than a broadcast filter has room for: absent ones still count as absent."""
+    train = [" ".join(f"t{i}x{k}" for k in range(25000)) for i in range(40)]
+    texts = [" ".join(f"t{i}x{7 * k} n{i}y{k}" for k in range(500)) for i in range(20)]
+    train_df, texts_df = lm_tables(spark, tmp_path, train, texts)
+    monkeypatch.setattr(lmscore, "MOST_BYTES", lmscore.SEGMENT // 8)
+    monkeypatch.setattr(lmscore, "MOST_HOT", 3)
+    model = lmscore.Model(train_df)
+    model.pair_segments, lmscore.MOST_BYTES = 20, 64 << 20  # all pairs in one pass
+    got = {r.doc_id: r.score for r in lmscore.score(texts_df, model).collect()}
+    error = sum(abs(got[i] - s) for i, s in enumerate(exact_scores(train, texts))) / 20_000
+    assert error < 0.01
+
+
 def test_stages_keep_columns(spark, small):
     import corpus_pipeline
 
