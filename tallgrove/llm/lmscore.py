@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from tallgrove.llm.common import batches, table, written
 
 SEGMENT, LINE = 1 << 21, 512
-HASHES, BITS = 4, 4 / math.log(2)
+#: Hashes of 9 bits each and bits an entry: an absent n-gram is read as seen about 9 times in 10,000.
+HASHES, BITS = 7, 18
 MOST_BYTES, MOST_HOT = 64 << 20, 1 << 20
 BACKOFF = 10.0
 #: One in so many hashes is kept to estimate how many pairs there are.
@@ -117,22 +118,21 @@ def found_in(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, values[at], 0)
 
 
-def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line of an n-gram within its segment, first bit place in the line and the step to the next ones.
+def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line of an n-gram within its segment and the hash whose 9-bit fields are the bit places in the line.
 
     All bits of all levels of an n-gram lie in one line of 64 bytes, so reading a count touches memory once.
     """
     with np.errstate(over="ignore"):
         g = mixed(h + np.uint64(level) * LEVEL)
-    low = np.uint64(LINE - 1)
-    return (h & np.uint64(SEGMENT // LINE - 1)) * np.uint64(LINE), g & low, ((g >> np.uint64(9)) & low) | np.uint64(1)
+    return (h & np.uint64(SEGMENT // LINE - 1)) * np.uint64(LINE), g
 
 
 def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
     """Bit places within a segment, one after the other."""
-    line, a, step = starts(h, level)
+    line, g = starts(h, level)
     for i in range(HASHES):
-        yield line | ((a + np.uint64(i) * step) & np.uint64(LINE - 1))
+        yield line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -145,13 +145,13 @@ def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndar
     active = np.arange(len(h))
     base = (segment_of(h, segments) - np.uint64(first)) * np.uint64(SEGMENT // 8)
     for q in range(1, 64):
-        line, a, step = starts(h, q)
+        line, g = starts(h, q)
         for i in range(HASHES):
-            place = line | ((a + np.uint64(i) * step) & np.uint64(LINE - 1))
+            place = line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))
             byte = bits[(base + (place >> np.uint64(3))).view(np.int64)]
             hit = np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
             if len(hit) < len(active):
-                active, h, base, line, a, step = (x[hit] for x in (active, h, base, line, a, step))
+                active, h, base, line, g = (x[hit] for x in (active, h, base, line, g))
         if not len(active):
             break
         level[active] = q

@@ -318,6 +318,17 @@ def lm_tables(spark, top, train, texts):
     return spark.read.parquet(f"{top}/train"), spark.read.parquet(f"{top}/texts")
 
 
+def test_lm_score_by_exact_pair_counts(spark, tmp_path):
+    """A filter that is filled to its measure: pairs never seen are not read as seen."""
+    random = __import__("random").Random(5)
+    text = lambda n: " ".join(f"w{random.randrange(3000)}" for _ in range(n))
+    train, texts = [text(5000) for _ in range(70)], [text(1000) for _ in range(20)]
+    train_df, texts_df = lm_tables(spark, tmp_path, train, texts)
+    got = {r.doc_id: r.score for r in lmscore.score(texts_df, lmscore.Model(train_df)).collect()}
+    error = sum(got[i] - s for i, s in enumerate(exact_scores(train, texts))) / 20_000
+    assert abs(error) < 0.01
+
+
 def test_lm_word_counts_at_any_size(spark, tmp_path, monkeypatch):
     """More words than a broadcast filter has room for: absent ones still count as absent."""
     train = [" ".join(f"t{i}x{k}" for k in range(25000)) for i in range(40)]
