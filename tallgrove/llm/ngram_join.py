@@ -209,9 +209,13 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("x"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) for every row; n_links counts the other documents that are near it, equal ones too."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
+def with_hash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, x): x stands for the text, null as empty."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """(x2, class_id, keep_x, n_links) of each different text of ``with_hash``; keep_x is the text of the class's row to be kept."""
     reps = written(sketched(docs))
     rows = buckets(reps)
     found = written(in_buckets(rows.join(reps.select("x", "size", "sketch"), "x").select("tok", "bi", "bj", "block", "x", "size", "sketch"), promising, "tok long, bi int, bj int, block int, x long"))
@@ -231,9 +235,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(exact.select(F.col("x").alias("a"), F.col("root").alias("b")))
     classes = reps.select("x", "doc_id", "copies").join(links, "x", "left").join(roots, "x", "left")
     classes = classes.select("x", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "x").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(least, "root").select(F.col("x").alias("x2"), "class_id", "n_links")
-    return docs.select("doc_id", "x").join(classes, F.col("x") == F.col("x2")).select("doc_id", "class_id", "n_links")
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")).alias("k"))
+    least = least.select("root", F.col("k.doc_id").alias("class_id"), F.col("k.x").alias("keep_x"))
+    return classes.join(least, "root").select(F.col("x").alias("x2"), "class_id", "keep_x", "n_links")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) for every row; n_links counts the other documents that are near it, equal ones too."""
+    docs = with_hash(docs, doc_id, text)
+    return docs.select("doc_id", "x").join(classes_of(docs), F.col("x") == F.col("x2")).select("doc_id", "class_id", "n_links")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,10 +252,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the class id, once if its id repeats."""
-    classes = near_duplicates(docs)
-    gone = written(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct())
-    own = free_name(docs, "gone")
-    kept = docs.join(near(gone.withColumnRenamed("doc_id", own), FEW), docs["doc_id"].eqNullSafe(F.col(own)), "left_anti")
+    """One row of each class: of the smallest id (a null one last), then of the smallest text hash. Rows go by id and text, never by id alone."""
+    hashed = with_hash(docs)
+    rows = hashed.select("doc_id", "x").join(classes_of(hashed), F.col("x") == F.col("x2"))
+    gone = written(rows.where((F.col("x") != F.col("keep_x")) | ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "x").distinct())
+    x, own, own_x = free_name(docs, "hash"), free_name(docs, "gone"), free_name(docs, "gone_hash")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("x").alias(own_x))
+    kept = docs.withColumn(x, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = kept.join(near(gone, FEW), (F.col(x) == F.col(own_x)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", x])).drop(x)

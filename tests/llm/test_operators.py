@@ -110,6 +110,16 @@ def test_join_keeps_pairs_of_one_large_path(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in found} == {i: i - i % 2 for i in texts}
 
 
+def test_join_stage_goes_by_row(spark):
+    """Rows of one id with different texts are documents of their own; a duplicate takes none of them along."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    docs = [(1, text("a")), (1, text("b")), (1, text("b")), (7, text("a") + " tail"), (7, text("c")), (None, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (None, None), (8, text("e") + " tail"), (9, text("f"))]
+    done = ngram_join.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert done.columns == ["doc_id", "text"]
+    want = [(1, text("a")), (1, text("b")), (7, text("c")), (None, text("d")), (8, text("e") + " tail"), (None, None), (9, text("f"))]
+    assert sorted(map(tuple, done.collect()), key=repr) == sorted(want, key=repr)
+
+
 def cut(docs):
     seen, out = [], {}
     for i, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
