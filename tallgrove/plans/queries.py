@@ -582,6 +582,14 @@ def prompt_contexts(t):
     return records.prompt_contexts(h, 5)
 
 
+@query(f"""with {BM25} select qid, string_agg('[Source: ' || coalesce(source, '') || ', Page ' || doc_id || ', Section: ' || case when coalesce(lang, '') = '' then 'N/A' else lang end || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context
+from lex join documents using (doc_id) where rank <= 5 group by qid""")
+def bm25_prompt_contexts(t):
+    d = t("documents").select("doc_id", F.coalesce("source", F.lit("")).alias("doc_name"), F.col("doc_id").alias("page"), F.col("lang").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = search.bm25(t("documents").select("doc_id", "text"), _items(t), "doc_id", 5).select("qid", "rank", "doc_id")
+    return records.prompt_contexts(d.join(hits, "doc_id"), 5)
+
+
 @query("""select 'd' || doc_id as chunk_id, source as doc_name, coalesce(case when quality = 1 then 'good' end, '') as summary, (case when quality = 1 then 1 else 0 end)::bigint as n_questions from documents left join labels using (doc_id)""")
 def index_metadata(t):
     d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
