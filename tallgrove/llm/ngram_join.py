@@ -7,7 +7,8 @@
 3. A bucket holds the texts that share a path. A bucket of at most ``SMALL`` texts is brute-forced
    at once, a larger one in blocks, each pair of blocks on its own, so no task holds more than two
    blocks. No text leaves a bucket: a pair is looked for in the bucket of its smallest common path
-   only, so both have to be there, however large it is.
+   only, so both have to be there, however large it is. There is one level of buckets: large ones
+   are not split by further samples.
 4. Brute force counts common values of sketches (the ``SKETCH`` smallest hashes) by matrix
    products; texts with a partner go on, with whole shingle sets, to an exact check. A pair is
    handled only in the bucket of its smallest common path, so it counts once and pairs are never
