@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import parts
+from tallgrove.llm.common import parts, small_batches
 
-#: Distinct pre-tokens whose ids a task remembers; beyond it the memory starts afresh (speed only).
-REMEMBERED = 200_000
+#: Distinct pre-tokens whose ids a task remembers, of at most ``SHORT`` characters each; beyond it the memory starts afresh (speed only).
+REMEMBERED, SHORT = 100_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -91,9 +91,11 @@ class Codec(dict):
         self.whole = {t: i for i, t in enumerate(self.bytes_of)}
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = ids = self.pre_token(token)
+        ids = self.pre_token(token)
+        if len(token) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = ids
         return ids
 
     def pre_token(self, token: str) -> bytes:
@@ -129,7 +131,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", o
                 fields=list(kind),
             )
 
-    return df.withColumn(out, codec(F.col(text)))
+    return small_batches(df).withColumn(out, codec(F.col(text)))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shared helpers of the training-data operators."""
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -8,20 +9,45 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that separate words in every operator here.
 WHITE = r"\x20\x09-\x0D"
-#: The only place set by this library when spark.checkpoint.dir is unset (tests).
+#: Where intermediates go if spark.checkpoint.dir is unset and all of Spark is one process on one machine (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands at most ``ARROW_BYTES`` (and one row) at once to Python workers, so that neither they nor the JVM's buffers grow with the rows."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key)
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one that spark.checkpoint.dir names; a cluster without that setting is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         top = LOCAL_CHECKPOINTS
-    return f"{top.rstrip('/')}/tallgrove-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/tallgrove-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder for one intermediate table."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Call it once the results that were made from them are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
@@ -29,7 +55,7 @@ def written(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*parts) if parts else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not parts else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, base: str) -> str:
