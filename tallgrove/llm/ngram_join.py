@@ -1,57 +1,115 @@
 """N-gram Jaccard self-join by chosen paths: all pairs of texts whose word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
-1. Equal texts become one (told apart by a 64-bit hash); everything below is about different texts.
-2. Each text samples its ``PATHS`` smallest shingle hashes; each is a path of the root. A pair
-   shares none of its sampled paths with probability (1 - J) ** PATHS at most: 2.6e-6 at J = 0.8.
-   That is the recall aimed at; ``PATHS`` is the number of runs.
-3. A bucket holds the texts that share a path. A bucket of at most ``SMALL`` texts is brute-forced
-   at once, a larger one in blocks, each pair of blocks on its own, so no task holds more than two
-   blocks. No text leaves a bucket: a pair is looked for in the bucket of its smallest common path
-   only, so both have to be there, however large it is. There is one level of buckets: large ones
-   are not split by further samples.
-4. Brute force counts common values of sketches (the ``SKETCH`` smallest hashes) by matrix
-   products; texts with a partner go on, with whole shingle sets, to an exact check. A pair is
-   handled only in the bucket of its smallest common path, so it counts once and pairs are never
+1. Equal texts become one (told apart by a 64-bit hash); everything below is about different texts. Each text
+   keeps a sketch, the ``SKETCH`` smallest hashes of its shingles.
+2. There are ``RUNS`` runs. Each run owns a class of tokens; a text chooses its ``PICKS`` smallest ones of the class, and
+   the texts that share a chosen token form a node. A node of more than ``SMALL`` texts is split again: each text
+   chooses ``PICKS`` further tokens of its sketch, by a hash seeded with the node's path, and so on, down to ``DEPTH``
+   levels. Small nodes are leaves. So is a node whose children would hold more than ``PAYS`` of its own pairs (texts that are
+   alike: splitting brings nothing) and one at the last level; those are compared in blocks.
+3. Recall: a pair of similarity J shares a chosen token with probability J, so it comes down d levels of a run with
+   probability f(d) = 1 - (1 - J f(d - 1)) ** PICKS, f(0) = 1. Runs are repeated until a pair at ``SIMILARITY`` is missed
+   by all of them, at the last level, with probability 1 - ``RECALL`` at most.
+4. Leaves are brute-forced: common values of sketches are counted by matrix
+   products; texts with a partner go on, with whole shingle sets, to an exact check in blocks of at most ``SMALL`` texts
+   and about ``VALUES`` hashes. A pair is handled only in the smallest of its common leaves (each text carries the list
+   of its leaves), so it counts once and pairs are never
    written out: a bucket returns a number of links and a root for each text.
 5. Roots are joined to classes by contraction rounds, each written to the shared folder.
 
 Nothing is capped or sampled away. Defined results: texts of one to four words are one shingle;
 texts without words (null, empty, white) have none and are linked to equal texts only (null equals
 empty); rows with equal ids are documents of their own; the class id is the smallest doc_id of the class; an
-empty table gives an empty table.
+empty table gives an empty table; other columns are not read by the join and pass through the stage, whatever their names.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import batches, free_name, near, table, written
-from tallgrove.llm.shingles import shingle_sets
+from tallgrove.llm.common import batches, free_name, near, small_batches, table, written
+from tallgrove.llm.shingles import CHAIN, mix64, shingle_sets
 
-WORDS, SIMILARITY = 5, 0.8
-PATHS, SKETCH, SMALL = 8, 48, 2048
+WORDS, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-6
+PICKS, DEPTH, PAYS = 2, 3, 0.5
+SKETCH, SMALL, VALUES = 48, 2048, 1 << 20
+
+
+def survival(similarity: float, depth: int) -> float:
+    """Probability that a pair is still together ``depth`` levels down one run."""
+    return 1 - (1 - similarity * survival(similarity, depth - 1)) ** PICKS if depth else 1.0
+
+
+#: Runs until the target recall is reached.
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(SIMILARITY, DEPTH)))
 #: A pair goes on to the exact check if its sketches share this part of the shorter one. At J = 0.8 fewer has a probability of about 1e-6.
 PROMISING = 0.5
 #: Rows up to which ids are broadcast (8 to 16 bytes each).
 FEW = 2_000_000
 
 
+def listed(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
+
+
+def first_of_each(group: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` rows of each group; equal groups stand together."""
+    new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+    at = np.arange(len(group))
+    return np.flatnonzero(at - at[new][np.cumsum(new) - 1] < most)
+
+
+def picked(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens, tokens) that each text chooses at the roots: the ``PICKS`` smallest of each run's class."""
+    flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    key = owner * RUNS + flat % RUNS
+    order = np.argsort(key, kind="stable")
+    order = order[first_of_each(key[order], PICKS)]
+    return np.bincount(owner[order], minlength=len(sketches)), flat[order]
+
+
+def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, path, n, child, used) from (x, path, n, used, sketch): the children that each text of a node chooses, by tokens not used on the path."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        x, path, n = (b.column(i).to_numpy() for i in range(3))
+        used = b.column(3).flatten().to_numpy().reshape(len(x), -1)
+        sizes = np.diff(b.column(4).offsets.to_numpy())
+        flat, owner = b.column(4).flatten().to_numpy(), np.repeat(np.arange(len(x)), sizes)
+        free = np.flatnonzero((used[owner] != flat[:, None]).all(axis=1))
+        flat, owner = flat[free], owner[free]
+        none = np.setdiff1d(np.arange(len(x)), owner)  # a text whose tokens are all used stays with those of the same tokens
+        flat, owner = np.concatenate([flat, np.zeros(len(none), np.int64)]), np.concatenate([owner, none])
+        seed = mix64(path.view(np.uint64))
+        order = np.lexsort((mix64(flat.view(np.uint64) ^ seed[owner]), owner))
+        order = order[first_of_each(owner[order], PICKS)]
+        flat, owner = flat[order], owner[order]
+        with np.errstate(over="ignore"):
+            child = (mix64(seed[owner] * CHAIN + flat.view(np.uint64)) >> np.uint64(1)).view(np.int64)
+        deeper = np.concatenate([used[owner], flat[:, None]], axis=1)
+        yield pa.record_batch([pa.array(x[owner]), pa.array(path[owner]), pa.array(n[owner]), pa.array(child), listed(np.full(len(owner), deeper.shape[1]), deeper.ravel())], ["x", "path", "n", "child", "used"])
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(x, doc_id, copies, size, sketch) of each different text."""
+    """(x, doc_id, copies, size, sketch, picks) of each different text."""
 
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2, 2 << 20):
             x = b.column(0).to_numpy()
             _, first = np.unique(x, return_index=True)
             sets = shingle_sets(b.column(2).take(pa.array(first)).to_pylist(), WORDS)
-            yield pa.record_batch([pa.array(x[first]), pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], ["x", "size", "sketch"])
+            small = [s[:SKETCH] for s in sets]
+            yield pa.record_batch([pa.array(x[first]), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.list_(pa.int64())), listed(*picked(small))], ["x", "size", "sketch", "picks"])
 
-    sketches = docs.select("x", "doc_id", "text").mapInArrow(sketch, "x long, size int, sketch array<long>")
-    one = sketches.groupBy("x").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    sketches = docs.select("x", "doc_id", "text").mapInArrow(sketch, "x long, size int, sketch array<long>, picks array<long>")
+    one = sketches.groupBy("x").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "picks")))
     ids = docs.groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     return ids.join(one, "x")
 
@@ -89,7 +147,7 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     col, row = place[at[kept]], owner[kept]
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
-    step = max(64, min(4096, (8 << 20) // max(1, len(sets))))
+    step = max(64, min(4096, (4 << 20) // max(1, len(sets))))
     for start in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(col, [start, start + step])
         m = np.zeros((len(sets), step), np.float32)
@@ -103,8 +161,7 @@ def candidates_in(group: pa.Table, exact: bool) -> tuple[np.ndarray, np.ndarray,
     tok, bi, bj = (group.column(i)[0].as_py() for i in range(3))
     block = group.column("block").to_numpy()
     size = group.column("size").to_numpy().astype(np.int64)
-    flat, offsets = group.column("sketch").combine_chunks(), None
-    sets = [np.asarray(v.values) for v in flat]
+    sets = [np.asarray(v.values) for v in group.column("sketch").combine_chunks()]
     left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
     if len(left) == 0 or len(right) == 0:
         return left, right, np.zeros((len(left), len(right)), bool)
@@ -116,9 +173,8 @@ def candidates_in(group: pa.Table, exact: bool) -> tuple[np.ndarray, np.ndarray,
         ok = common >= PROMISING * np.minimum(n[left][:, None], n[right][None, :])
     if bi == bj:
         ok &= left[:, None] != right[None, :]
-    # a pair belongs to the bucket of its smallest common path: no smaller one may be common
-    paths = [s[:PATHS] for s in sets]
-    smaller = [p[p < tok] for p in paths]
+    # a pair belongs to the smallest of its common leaves: no smaller one may be common
+    smaller = [p[p < tok] for p in (np.asarray(v.values) for v in group.column("leaves").combine_chunks())]
     if any(map(len, smaller)):
         ok &= common_counts(smaller, left, right) == 0
     return left, right, ok
@@ -180,14 +236,35 @@ def in_buckets(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
     return rows.repartition("tok", "bi", "bj").sortWithinPartitions("tok", "bi", "bj").mapInArrow(f, schema)
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(tok, bi, bj, block, x): where each text is compared."""
-    paths = reps.select("x", F.explode(F.slice("sketch", 1, PATHS)).alias("tok"))
-    counts = paths.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = written(paths.join(counts, "tok"))
-    small = rows.where(F.col("n") <= SMALL).select("tok", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("block"), "x")
-    large = rows.where(F.col("n") > SMALL).withColumn("nb", F.ceil(F.col("n") / SMALL).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("x", F.lit(7)), F.col("nb")).cast("int"))
+def leaves(reps: DataFrame) -> DataFrame:
+    """(tok, x, n): the leaves of each text, and how many texts a leaf has (two or more)."""
+    rows = reps.select("x", F.explode("picks").alias("path")).withColumn("used", F.array("path"))
+    out = None
+    for depth in range(1, DEPTH + 1):
+        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = written(rows.join(counts, "path").select("x", "path", "n", "used"))
+        done = rows if depth == DEPTH else rows.where(F.col("n") <= SMALL)
+        large = rows.where(F.col("n") > SMALL)
+        last = depth == DEPTH or large.isEmpty()
+        if not last:
+            below = written(large.join(reps.select("x", "sketch"), "x").select("x", "path", "n", "used", "sketch").mapInArrow(split, "x long, path long, n long, child long, used array<long>"))
+            pairs = below.groupBy("path", "child").agg(F.count(F.lit(1)).cast("double").alias("c"), F.first("n").alias("n"))
+            pairs = pairs.groupBy("path").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("below"), F.first("n").cast("double").alias("n"))
+            alike = written(pairs.where(F.col("below") > PAYS * F.col("n") * (F.col("n") - 1)).select(F.col("path").alias("alike")))
+            alike = near(alike, FEW)
+            done = done.unionByName(large.join(alike, F.col("path") == F.col("alike"), "left_semi"))
+            rows = below.join(alike, F.col("path") == F.col("alike"), "left_anti").select("x", F.col("child").alias("path"), "used")
+        done = done.select(F.col("path").alias("tok"), "x", "n")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+
+
+def dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """(tok, bi, bj, block, x) of (tok, x) rows: a bucket of several blocks is compared in pairs of blocks."""
+    rows = rows.withColumn("nb", F.greatest(F.ceil(blocks), F.lit(1)).cast("int"))
+    small = rows.where("nb = 1").select("tok", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("block"), "x")
+    large = rows.where("nb > 1").withColumn("block", F.pmod(F.xxhash64("x", F.lit(7)), F.col("nb")).cast("int"))
     large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     large = large.select("tok", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "x")
     return small.unionByName(large)
@@ -217,9 +294,12 @@ def with_hash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def classes_of(docs: DataFrame) -> DataFrame:
     """(x2, class_id, keep_x, n_links) of each different text of ``with_hash``; keep_x is the text of the class's row to be kept."""
-    reps = written(sketched(docs))
-    rows = buckets(reps)
-    found = written(in_buckets(rows.join(reps.select("x", "size", "sketch"), "x").select("tok", "bi", "bj", "block", "x", "size", "sketch"), promising, "tok long, bi int, bj int, block int, x long"))
+    reps = written(sketched(small_batches(docs)))
+    tree = written(leaves(reps))
+    own = tree.groupBy("x").agg(F.collect_list("tok").alias("leaves"))
+    about = written(own.join(reps.select("x", "size", "sketch"), "x"))
+    rows = dealt(tree, F.col("n") / SMALL).join(about, "x").select("tok", "bi", "bj", "block", "x", "size", "sketch", "leaves")
+    found = written(in_buckets(rows, promising, "tok long, bi int, bj int, block int, x long").select("tok", "x").distinct())
     wanted = written(found.select("x").distinct().join(reps.select("x", "doc_id", "copies", "size"), "x"))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +310,11 @@ def classes_of(docs: DataFrame) -> DataFrame:
     few = near(wanted.withColumnRenamed("x", "x2").withColumnRenamed("doc_id", "id2"), FEW)
     texts = docs.join(few, (F.col("x") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("id2"))).select("x", "copies", "size", "text")
     sets = texts.mapInArrow(whole, "x long, copies long, size int, sketch array<long>").dropDuplicates(["x"])
-    exact = in_buckets(found.join(sets, "x").select("tok", "bi", "bj", "block", "x", "copies", "size", "sketch"), linked, "x long, links long, root long")
+    held = found.join(wanted.select("x", "size"), "x")
+    load = held.groupBy("tok").agg(F.greatest(F.sum("size") / VALUES, F.count(F.lit(1)) / SMALL).alias("blocks"))
+    again = dealt(held.join(load, "tok"), F.col("blocks"))
+    rows = again.join(sets, "x").join(about.select("x", "leaves"), "x").select("tok", "bi", "bj", "block", "x", "copies", "size", "sketch", "leaves")
+    exact = in_buckets(rows, linked, "x long, links long, root long")
     exact = written(exact)
     links = exact.groupBy("x").agg(F.sum("links").alias("links"))
     roots = components(exact.select(F.col("x").alias("a"), F.col("root").alias("b")))
