@@ -1,13 +1,16 @@
 """Chat formatting [native]: schema fingerprints select mappings to canonical turns; a template marks the turns.
 
-A record is JSON. The fingerprint is the SHA-256 of its nested field paths (its shape
-without scalar types); it selects one of ``LAYOUTS``, each of which declares where roles and
-texts are. The template escapes its own control strings inside texts by one backslash after
+A record is a struct or JSON. The fingerprint is the SHA-256 of its nested field paths (its shape
+without scalar types: the struct's type, or that of the parsed JSON); it selects one of ``LAYOUTS``, each of which declares where roles and
+texts are. Texts of a struct are read from its fields, so their length has no limit. The template escapes its own control strings inside texts by one backslash after
 their first character (and one more for each that is there already), so that reading back is exact.
 
 Defined results: a null text or role is empty; a record of unknown shape has layout null and
-no turns; equal turns sort by role, then text; a null conversation id is one conversation; texts
-are used whole; an empty table gives an empty table (the query adds its own conversation -1).
+no turns; JSON that cannot be parsed for its length (a string of 20,000,000 characters or more) is an error;
+other names of roles are replaced in layouts of message lists, never in a row that is a turn; equal turns
+sort by role, then text; a null conversation id is one conversation; texts
+are used whole; an empty table gives an empty table (the query adds its own conversation -1); other columns
+pass through ``canonical`` and ``formatted``, one named like the output is replaced.
 """
 from __future__ import annotations
 
@@ -16,11 +19,14 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallgrove.llm.common import table
 
 TURNS = "array<struct<role:string,text:string>>"
-#: Other names of the roles.
+#: Longest string that Spark's JSON parser takes.
+LONGEST_JSON = 20_000_000
+#: Other names of the roles, as message lists have them.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 #: name: (example of the shape, mapping). A mapping is either (array path, role field, text field) or a list of (role or $path, text path).
@@ -51,6 +57,13 @@ def shape(example: object) -> str:
     return "_"
 
 
+def shape_of(kind: T.DataType) -> str:
+    """The shape of a Spark type, as ``shape`` has it."""
+    if isinstance(kind, T.StructType):
+        return "OBJECT<" + ", ".join(f"{f.name}: {shape_of(f.dataType)}" for f in sorted(kind, key=lambda f: f.name)) + ">"
+    return f"ARRAY<{shape_of(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+
+
 def layout_hash(example: dict) -> str:
     return hashlib.sha256(shape(example).encode()).hexdigest()
 
@@ -66,28 +79,44 @@ def _role(role: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[low], low)
 
 
-def _turns(v: Column, mapping: tuple | list) -> Column:
-    get = lambda p: F.coalesce(F.variant_get(v, p, "string"), F.lit(""))
+def _turns(mapping: tuple | list, get, items) -> Column:
+    """Turns by a mapping; ``get`` reads the text at a path, ``items`` the (role, text) structs of the array at one."""
     if isinstance(mapping, tuple):
         path, role, text = mapping
-        found = F.variant_get(v, path, f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(found, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        return F.transform(items(path, role, text), lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text].cast("string"), F.lit("")).alias("text")))
 
     def value(p: str) -> Column:
-        parts = [get(x) for x in p.split("+")]
+        parts = [F.coalesce(get(x), F.lit("")) for x in p.split("+")]
         return parts[0] if len(parts) == 1 else F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
-    return F.array(*(F.struct((_role(get(r)) if r[0] == "$" else F.lit(r)).alias("role"), value(t).alias("text")) for r, t in mapping))
+    return F.array(*(F.struct((value(r) if r[0] == "$" else F.lit(r)).alias("role"), value(t).alias("text")) for r, t in mapping))
+
+
+def _field(record: Column, path: str) -> Column:
+    for name in path.split(".")[1:]:
+        record = record[name]
+    return record
 
 
 def canonical(df: DataFrame, record: str, out: str = "chat") -> DataFrame:
-    """Adds ``out``: struct(fingerprint, layout, turns) of the JSON column ``record``."""
-    df = df.withColumn("__v", F.try_parse_json(F.col(record))).withColumn("__f", fingerprint(F.col("__v")))
+    """Adds ``out``: struct(fingerprint, layout, turns) of the column ``record``, a struct or JSON."""
+    kind = df.schema[record].dataType
+    if isinstance(kind, T.StructType):
+        own = hashlib.sha256(shape_of(kind).encode()).hexdigest()
+        name, mapping = next(((k, m) for k, (example, m) in LAYOUTS.items() if layout_hash(example) == own), (None, None))
+        row = F.col(record)
+        turns = _turns(mapping, lambda p: _field(row, p).cast("string"), lambda p, *_: _field(row, p)) if name else F.array()
+        return df.withColumn(out, F.struct(F.lit(own).alias("fingerprint"), F.lit(name).cast("string").alias("layout"), turns.cast(TURNS).alias("turns")))
+    parsed = F.try_parse_json(F.col(record))
+    too_long = parsed.isNull() & (F.length(record) >= LONGEST_JSON)
+    df = df.withColumn("__v", F.when(too_long, F.raise_error(F.lit("a record is too long for the JSON parser"))).otherwise(parsed)).withColumn("__f", fingerprint(F.col("__v")))
+    v = F.col("__v")
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for name, (example, mapping) in reversed(LAYOUTS.items()):
         own = F.col("__f") == layout_hash(example)
+        found = _turns(mapping, lambda p: F.variant_get(v, p, "string"), lambda p, role, text: F.variant_get(v, p, f"array<struct<`{role}`:string,`{text}`:string>>"))
         layout = F.when(own, F.lit(name)).otherwise(layout)
-        turns = F.when(own, _turns(F.col("__v"), mapping).cast(TURNS)).otherwise(turns)
+        turns = F.when(own, found.cast(TURNS)).otherwise(turns)
     return df.withColumn(out, F.struct(F.col("__f").alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))).drop("__v", "__f")
 
 
@@ -136,8 +165,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN).alias("text"))
-    records = rows.unionByName(own).withColumn("record", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}))
-    turns = canonical(records, "record").select("conv_id", F.explode("chat.turns").alias("t"), "turn")
+    records = rows.unionByName(own).select("conv_id", "turn", F.struct("role", "text").alias("record"))
+    turns = canonical(records, "record").select("conv_id", "turn", F.explode("chat.turns").alias("t"))
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "t.role", "t.text"))).alias("turns"))
     done = read_back(formatted(convs, "turns"))
     flat = F.array_join(F.transform("back.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
