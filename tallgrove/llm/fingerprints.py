@@ -13,12 +13,13 @@ and another text are not (0).
 
 The next document of a document (descending doc_id) is found without a global sort: ids are
 cut at approximate quantiles into ranges of about ``RANGE_DOCS`` documents (at most ``RANGES``
-ranges), however the ids are spread; every range also gets a copy of the first document of the next one
+ranges), however the ids are spread, and the rows of an id that has very many by the hashes of their texts;
+every range also gets a copy of the first document of the next one
 that has any, and a window inside the range does the rest. The texts move once.
 
 Defined results: null texts are empty; rows with equal doc_id follow each other in the order of
 their texts' hashes; a null id sorts after all others; an empty table gives an empty table; a
-single document is its own next one; texts are used whole.
+single document is its own next one; texts are used whole; other columns are not read, whatever their names.
 """
 from __future__ import annotations
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tallgrove.llm.common import WHITE, table
 
 SAMPLES, RANGE_DOCS, RANGES = 32, 2000, 10_000
+#: Most pieces of the range of one id.
+SUBS = 1 << 20
 
 
 def samples(df: DataFrame, term: str, log_weight: str, keys: list[str], n: int = SAMPLES) -> DataFrame:
@@ -106,27 +109,42 @@ def _range(x: Column, bounds: list[int]) -> Column:
 
 
 def with_next(df: DataFrame) -> DataFrame:
-    """Rows of (doc_id, __t text, __x) plus __range, __rank, and ghosts: the first row of the following range and, at the end, of all."""
+    """Rows of (doc_id, __t text, __x hash of it) plus __range and __ghost: 1 for a copy of the first row of the following range and, at the end, of all.
+
+    Rows follow each other by descending __range, inside it by descending doc_id (null last), then __x.
+    """
     spark = df.sparkSession
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    low, n = df.agg(F.min("doc_id"), F.count(F.lit(1))).first()
     ranges = min(RANGES, n // RANGE_DOCS)
     at = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx("doc_id", at, 10 * RANGES)).first()[0] if at else None
-    part = _range(F.coalesce(F.col("doc_id"), F.lit(low)), sorted({*(bounds or []), *([low] if low is not None else [])}))
-    docs = df.withColumn("__range", part)
-    # ids only: the first (largest) of each range, and the range that needs it
-    heads = docs.groupBy("__range").agg(F.max("doc_id").alias("head"), F.min(F.when(F.col("doc_id").isNull(), 0)).alias("null_here"))
+    bounds = (df.agg(F.percentile_approx("doc_id", at, 10 * RANGES)).first()[0] if at else None) or []
+    # an id of very many rows gets a range of its own, which is cut by the hashes of its texts; at most RANGES such ids
+    most = max(2 * RANGE_DOCS, n // RANGES)
+    hot = {r.doc_id: r.k for r in df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most).collect()}
+    own = {i + k for i in hot if i is not None for k in (0, 1) if i + k < 1 << 63}
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range(F.col("doc_id"), sorted({*bounds, *own, *([low] if low is not None else [])})) + 1).cast("long") * SUBS
+    if hot:
+        pieces = spark.createDataFrame([(i, min(SUBS, -(-k // RANGE_DOCS))) for i, k in hot.items()], "hot long, pieces long")
+        df = df.join(F.broadcast(pieces), F.col("doc_id").eqNullSafe(F.col("hot")) & F.col("pieces").isNotNull(), "left")
+        piece = F.least(F.floor((F.col("__x") / 2.0**64 + 0.5) * F.col("pieces")), F.col("pieces") - 1)
+        part = part + F.coalesce(F.col("pieces") - 1 - piece, F.lit(0))
+    docs = df.withColumn("__range", part).select("doc_id", "__t", "__x", "__range")
+    # of each range the place of its first row (no texts), and the range that needs it
+    heads = docs.groupBy("__range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.col("__x").alias("x"))).alias("head"))
     order = Window.orderBy(F.col("__range").desc())
-    needed = heads.select("__range", F.lead("head").over(order).alias("ghost"))
-    needed = needed.select("__range", F.coalesce("ghost", F.lit(high).cast("long")).alias("ghost"), F.col("ghost").isNull().cast("int").alias("__last"))
-    first_of = df.join(F.broadcast(needed) if n // RANGE_DOCS < 200_000 else needed, F.col("doc_id") == F.col("ghost")).select("doc_id", "__t", "__range")
-    return docs.withColumn("__ghost", F.lit(0)).unionByName(first_of.withColumn("__ghost", F.lit(1)))
+    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    needed = heads.select(F.col("__range").alias("for"), F.coalesce(F.lead("head").over(order), first).alias("head"))
+    needed = needed.select("for", F.bitwise_not("head.id").alias("id"), F.col("head.x").alias("x"))
+    needed = F.broadcast(needed) if n // RANGE_DOCS < 200_000 else needed
+    first_of = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__x") == F.col("x")))
+    ghosts = first_of.groupBy(F.col("for").alias("__range")).agg(F.first("doc_id").alias("doc_id"), F.first("__t").alias("__t"), F.first("__x").alias("__x"))
+    return docs.withColumn("__ghost", F.lit(0)).unionByName(ghosts.withColumn("__ghost", F.lit(1)))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text, and their likeness."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))
-    rows = with_next(docs).withColumn("__x", F.xxhash64("__t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).withColumn("__x", F.xxhash64("__t"))
+    rows = with_next(docs)
     order = Window.partitionBy("__range").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), "__x")
     rows = rows.withColumns({"__rank": F.row_number().over(order), "__next": F.lead("__t").over(order)})
     half = F.expr("length(__t) div 2")
