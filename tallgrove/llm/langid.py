@@ -2,13 +2,17 @@
 
 Training counts the n-grams (orders 1 to 3) of every training text into ``BUCKETS`` hash
 buckets a language, inside each task; Spark sums the counts; the log-probability matrix (512
-KB a language; at most ``MOST_LANGUAGES``) is broadcast, and texts are scored in numpy by
+KB a language) is broadcast, and texts are scored in numpy by
 gathering matrix rows for all n-grams of a batch and adding them up by document.
 
+The matrix holds ``BLOCK`` languages at most (32 MB). Of more languages, each block in code point order has a matrix and a pass over the
+texts of its own; what is known so far (best language, its log score, log of the sum of all) goes from one pass to the
+next through a table in the shared folder, so any number of languages is told apart in bounded memory.
+
 Defined results: ``und`` with score 0 for a null text, one without a letter, and when
 nothing was learned; ties go to the language first in code point order; texts are read
 whole; repeated rows get equal results; an empty table gives an empty table; a null id is
-neither held out nor learned from; a column named like the output is replaced.
+neither held out nor learned from; a null language is not learned from; a column named like the output is replaced.
 """
 from __future__ import annotations
 
@@ -19,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import parts
+from tallgrove.llm.common import free_name, parts, small_batches, written
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
-MOST_LANGUAGES = 1000
+#: Languages of one matrix.
+BLOCK = 64
 #: Code points that numpy handles at once.
 SLICE = 1 << 18
 #: Odd multipliers that mix the code points of an n-gram.
@@ -50,8 +55,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and their (BUCKETS, languages) log probabilities, the prior in row BUCKETS."""
+class Model:
+    """What is learned: blocks of languages, each learned when it is asked for."""
+
+    def __init__(self, train: DataFrame, lang: str = "lang", text: str = "text") -> None:
+        self.rows = small_batches(train).where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray, bool]]:
+        """(languages in code point order, their (BUCKETS + 1, languages) log weights, whether more follow); the prior is row BUCKETS."""
+        rows, more = self.rows, True
+        while more:
+            names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(BLOCK + 1).collect()]
+            more = len(names) > BLOCK
+            if names:
+                yield *learned(rows.where(F.col("lang") <= names[:BLOCK][-1])), more
+                rows = rows.where(F.col("lang") > names[:BLOCK][-1])
+
+
+def fit(train: DataFrame, lang: str = "lang", text: str = "text") -> Model:
+    return Model(train, lang, text)
+
+
+def learned(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages (those with a text that has a letter) and log weights of the rows; the prior is the log of the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -70,70 +96,81 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
-    rows = train.where(F.col(lang).isNotNull()).select(lang, text).mapInArrow(count, "lang string, bucket int, n long")
-    total = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = total.toArrow()
+    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BLOCK * (BUCKETS + 1) rows
     names = sorted(set(got.column("lang").to_pylist()))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} fit the broadcast")
     at = {x: i for i, x in enumerate(names)}
     c = np.zeros((BUCKETS + 1, len(names)))
     c[got.column("bucket").to_numpy(), [at[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
-    out = np.empty_like(c)
     grams = c[:BUCKETS] + SMOOTHING
-    out[:BUCKETS] = np.log(grams / grams.sum(axis=0)) if names else 0
-    out[BUCKETS] = np.log(c[BUCKETS] / c[BUCKETS].sum()) if names else 0
-    return names, out
-
-
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: str = "language") -> DataFrame:
+    return names, np.log(np.concatenate([grams / grams.sum(axis=0), c[BUCKETS:]]))
+
+
+def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
+    """Log scores (texts, languages): rows gathered for a group of texts at once, added by text."""
+    totals = np.repeat(logs[BUCKETS:], len(texts), axis=0)
+    held: list[np.ndarray] = []
+    owner: list[int] = []
+    size = 0
+
+    def add() -> None:
+        rows = np.add.reduceat(logs[np.concatenate(held)], np.cumsum([0, *map(len, held[:-1])]), axis=0)
+        np.add.at(totals, owner, rows)
+        held.clear(), owner.clear()
+
+    for i, value in enumerate(texts):
+        for idx in buckets_of(value):
+            held.append(idx)
+            owner.append(i)
+            size += len(idx)
+            if size * logs.shape[1] > 4 * SLICE:
+                add()
+                size = 0
+    if held:
+        add()
+    return totals
+
+
+def _guess(shared: object):
+    """The UDF of one block of languages: (text, what is known so far) to what is known then."""
+    kind = pa.struct([("lang", pa.string()), ("top", pa.float64()), ("total", pa.float64())])
+
+    @F.arrow_udf("lang string, top double, total double")
+    def guess(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        names, logs = shared.value
+        for texts, known in it:
+            start = 0
+            for batch in parts([texts]):
+                rows, old = [x.as_py() for x in batch], known.slice(start, len(batch)).to_pylist()
+                start += len(batch)
+                told = [i for i, x in enumerate(rows) if has_letter(x)]
+                if told:
+                    t = scores([rows[i] for i in told], logs)
+                    best = t.argmax(axis=1)
+                    top = t[np.arange(len(told)), best]
+                    total = top + np.log(np.exp(t - top[:, None]).sum(axis=1))
+                    for i, b, x, y in zip(told, best, top, total):
+                        now = {"lang": names[b], "top": float(x), "total": float(y)}
+                        if old[i] is not None:  # an equal score belongs to the language before
+                            now = {**(now if x > old[i]["top"] else old[i]), "total": float(np.logaddexp(old[i]["total"], y))}
+                        old[i] = now
+                yield pa.array(old, kind)
+
+    return guess
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """Adds ``out``: struct(lang, score); score is the posterior probability of the language."""
-    names, matrix = model
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-
-    def score(texts: list[str], logs: np.ndarray) -> np.ndarray:
-        """Log scores (texts, languages): rows gathered for a group of texts at once, added by text."""
-        totals = np.repeat(logs[BUCKETS :], len(texts), axis=0)
-        held: list[np.ndarray] = []
-        owner: list[int] = []
-        size = 0
-
-        def add() -> None:
-            rows = np.add.reduceat(logs[np.concatenate(held)], np.cumsum([0, *map(len, held[:-1])]), axis=0)
-            np.add.at(totals, owner, rows)
-            held.clear(), owner.clear()
-
-        for i, value in enumerate(texts):
-            for idx in buckets_of(value):
-                held.append(idx)
-                owner.append(i)
-                size += len(idx)
-                if size > SLICE:
-                    add()
-                    size = 0
-        if held:
-            add()
-        return totals
-
-    @F.arrow_udf("lang string, score double")
-    def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        logs = shared.value
-        for batch in parts(texts):
-            rows = [x.as_py() for x in batch]
-            told = [i for i, x in enumerate(rows) if names and has_letter(x)]
-            lang: list[str] = ["und"] * len(rows)
-            value = np.zeros(len(rows))
-            if told:
-                t = score([rows[i] for i in told], logs)
-                best = t.argmax(axis=1)
-                top = t[np.arange(len(told)), best]
-                value[told] = 1 / np.exp(t - top[:, None]).sum(axis=1)
-                for i, b in zip(told, best):
-                    lang[i] = names[b]
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value)], fields=list(kind))
-
-    return df.withColumn(out, guess(F.col(text)))
+    state = free_name(df, "language")
+    df = small_batches(df).withColumn(state, F.lit(None).cast("struct<lang:string,top:double,total:double>"))
+    for names, matrix, more in model.blocks():
+        if not names:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast((names, matrix))
+        df = df.withColumn(state, _guess(shared)(F.col(text), F.col(state)))
+        df = written(df) if more else df
+    s = F.col(state)
+    found = F.struct(F.coalesce(s["lang"], F.lit("und")).alias("lang"), F.when(s["lang"].isNull(), 0.0).otherwise(F.exp(F.least(s["top"] - s["total"], F.lit(0.0)))).alias("score"))
+    return df.withColumn(out, found).drop(state)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
