@@ -1,9 +1,12 @@
 """Secret scans: base patterns plus assignment-aware lexing.
 
-The lexer reads source and configuration syntax (``name = "value"``, ``name: value``,
-``"name": 'value'``, ``name := a + "b"``, ``d["name"] = value``) into name-literal pairs,
-follows constants (a name that was bound to literals stands for them when it is assigned or
-concatenated later), and judges every literal that reaches a sensitive target name: a strong name
+A lexer cuts a text into strings (quoted, triple-quoted, back-quoted, with prefixes), names, bare values, operators, brackets and
+line ends; a machine over these tokens reads the syntax of source and configuration files into name-literal pairs:
+``name = "value"``, ``name: type = "value"``, ``a = b = "value"``, ``name: value``, ``"name": 'value'``, ``name => "value"``, ``d["name"] = value``,
+``f(name="value")``, ``set("name", "value")``, ``getenv("X", "default")`` (the default only), lists, sums and adjacent strings over several lines in
+brackets or after a backslash. Members of a map belong to their own keys. Comments are read like code, as keys are commented out.
+A name that was bound to literals stands for them when it is assigned or concatenated later (its last binding before); every literal that reaches a
+sensitive target name is judged: a strong name
 (password, token, ...) takes any literal of ``LEAST_LITERAL`` characters that is no placeholder or
 reference, a weaker one those whose entropy is high enough.
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import free_name, parts
+from tallgrove.llm.common import free_name, parts, small_batches
 
 #: The base kinds, in their order, and the kind that the lexer adds.
 KINDS = ("assign", "access", "hex", "literal")
@@ -36,7 +39,10 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0,
     "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.6, "private": 0.6, "access": 0.4, "client": 0.2,
 }
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****")
+#: Words that make a literal a placeholder if all its other words are of the second kind.
+PLACEHOLDERS = {"example", "changeme", "change", "placeholder", "your", "todo", "insert", "dummy", "sample", "redacted", "xxx"}
+FILLERS = {"my", "me", "the", "a", "an", "here", "this", "password", "passwd", "pass", "secret", "token", "key", "api", "apikey", "value", "user", "test", "goes", "with", "real", "x"}
+MASK = re.compile(r"[xX*.#_•-]+")
 #: Placeholders if there is nothing else, or after "todo" anything.
 NOTHING = re.compile(r"\W*(?:todo\b.*|(?:none|null|true|false)(?:\W+(?:none|null|true|false))*\W*)", re.S)
 #: Names of other values, as templates and shells write them.
@@ -49,14 +55,10 @@ LEAST_SCORE = 0.5
 #: Bits of a literal (entropy a character times length) that count as fully random.
 FULL_BITS = 60.0
 
-_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-_ATOM = rf"{_STRING}|[A-Za-z0-9_$][A-Za-z0-9+/_.$=-]*"
-
-
 def name_weight(name: str) -> float:
-    """The largest weight of the name's words; "api key", "access key" and "private key" count in full."""
+    """The largest weight of the name's words, plurals too; "api key", "access key" and "private key" count in full."""
     parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
-    weight = max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
+    weight = max((SENSITIVE.get(p, SENSITIVE.get(p.removesuffix("s"), 0.0)) for p in parts), default=0.0)
     if "key" in parts and {"api", "access", "private", "secret", "signing", "encryption"} & set(parts):
         weight = 1.0
     return max(weight, *(v for k, v in SENSITIVE.items() if len(k) > 5 and k in name.lower()), 0.0) if name else 0.0
@@ -64,8 +66,9 @@ def name_weight(name: str) -> float:
 
 def candidate(value: str) -> bool:
     """Whether a literal can be a secret: neither short nor white nor a placeholder nor a reference."""
-    low = value.lower()
-    return len(value) >= LEAST_LITERAL and not value.isspace() and not any(p in low for p in PLACEHOLDERS) and not NOTHING.fullmatch(low) and not REFERENCE.fullmatch(value)
+    words = set(re.findall("[a-z]+", value.lower()))
+    stands_for = words & PLACEHOLDERS and words <= PLACEHOLDERS | FILLERS
+    return len(value) >= LEAST_LITERAL and not value.isspace() and not stands_for and not MASK.fullmatch(value) and not NOTHING.fullmatch(value.lower()) and not REFERENCE.fullmatch(value)
 
 
 def literal_weight(value: str) -> float:
@@ -83,46 +86,177 @@ def is_secret(weight: float, value: str) -> bool:
     return weight > 0 and candidate(value) and (weight >= STRONG or weight * literal_weight(value) >= LEAST_SCORE)
 
 
+#: Tokens of the lexer; what matches none of them only separates.
+TOKEN = re.compile(
+    r"""(?P<string>(?<![A-Za-z0-9_$])[rRbBuUfF]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|(?<!`)`(?!`)(?:[^`\\\n]|\\.)*`(?!`)))
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)|(?P<number>[0-9][A-Za-z0-9+/_.$=-]*)|(?P<line>\n)|(?P<next>\\\r?\n)
+    |(?P<compare>[=!<>]=+|=>|->|=~)|(?P<glue>\|\||\?\?|&&|[-+.%|&:=?])|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>[,;])""",
+    re.S | re.X,
+)
+#: What makes the token before it a key, the closing bracket of an index included; blanks around the operator are told.
+BOUND = re.compile(r"[ \t]*(\])?([ \t]*)(:=|=>|=(?![=~>])|:(?![:/=]))")
+#: A value without quotes.
+BARE = re.compile(r"[A-Za-z0-9_$][A-Za-z0-9+/_.$=-]*")
+PLAIN = re.compile(r"[A-Za-z_$]+(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*")
+STRING = re.compile(r"[rRbBuUfF]{0,2}(\"{3}|'{3}|[\"'`])")
+#: Calls whose first argument names what is looked up.
+LOOKUP = re.compile(r"(?:.*[._])?(?:get_?env|environ\.get|get|env|lookup|fetch|config|var)", re.I)
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$ -]*")
+CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+class Value:
+    """What names are bound to: its own literals (value, start, end), the values it is made of, and what the names stood for before."""
+
+    __slots__ = ("weight", "named", "own", "made_of", "before")
+
+    def __init__(self) -> None:
+        self.weight = self.named = 0.0
+        self.own: list[tuple[str, int, int]] = []
+        self.made_of: list[Value] = []
+        self.before: dict[str, Value | None] = {}
+
+
+class Frame:
+    """An open bracket: what literals in it belong to, and where in a value the lexer is."""
+
+    __slots__ = ("kind", "base", "target", "state", "code", "first", "skip", "choice")
+
+    def __init__(self, kind: str, base: Value | None = None, skip: bool = False) -> None:
+        self.kind, self.base, self.target = kind, base, base
+        #: "" between values, "bound" after a name's operator, "broken" the same after a line end, "open" where a value goes on, "string" and "atom" after one.
+        self.state = "open" if base else ""
+        self.code, self.first, self.skip, self.choice = True, None, skip, False
+
+
+def bindings(text: str) -> list[Value]:
+    """All values that names are bound to in a text, in one pass over its tokens."""
+    known: dict[str, Value] = {}
+    values: list[Value] = []
+    stack = [Frame("")]
+    at, call = 0, ""
+
+    def bind(frame: Frame, name: str, code: bool) -> None:
+        if frame.target is frame.base or frame.state != "bound":
+            frame.target = Value()
+            values.append(frame.target)
+        frame.target.before.setdefault(name, known.get(name))
+        known[name] = frame.target
+        frame.target.named = max(frame.target.named, name_weight(name))
+        frame.state, frame.code = "bound", code
+
+    def done(frame: Frame) -> None:
+        frame.target, frame.state = frame.base, "open" if frame.base else ""
+
+    while m := TOKEN.search(text, at):
+        kind, start, at, frame = m.lastgroup, m.start(), m.end(), stack[-1]
+        called, call = call, ""
+        if kind in ("string", "name", "number"):
+            if kind == "string":
+                quote = STRING.match(text, start)
+                low, high = quote.end(), at - len(quote[1])
+            else:
+                bare = BARE.match(text, start)
+                if frame.state == "bound" and not (BOUND.match(text, at) and text[at] in " \t:") and not (bare[0][-1] == "=" and text[bare.end() : bare.end() + 1] in ("'", '"', "`")):
+                    at = bare.end()
+                low, high = start, at
+            value = text[low:high]
+            bound = BOUND.match(text, at) if kind != "number" else None
+            if frame.choice and bound and bound[3] == ":":
+                bound, frame.choice = None, False
+            if bound:
+                if bound[1]:
+                    if frame.kind != "[" or kind != "string":
+                        bound = None
+                    else:
+                        stack.pop()
+                        frame = stack[-1]
+                if bound:
+                    spaced = bool(bound[2]) and bound[3] in ("=", ":=")
+                    bind(frame, value, spaced or frame.kind == "(")
+                    at = bound.end()
+                    continue
+            if kind == "name" and value in ("or", "and", "if", "else", "await", "new", "return") and frame.state in ("atom", "string", "open"):
+                frame.state = "open"
+                continue
+            if kind != "string" and text[at : at + 1] == "(":
+                call = value
+                continue
+            if frame.kind == "(" and frame.first is None:
+                frame.first = value if kind == "string" else ""
+                if frame.skip:
+                    frame.state = "atom"
+                    continue
+            if frame.target is None or not frame.state:
+                continue
+            if frame.state == "atom" or (frame.state, kind) not in (("string", "string"), ("broken", "string")) and frame.state not in ("bound", "open"):
+                done(frame)
+                if frame.state != "open" or frame.kind == "":
+                    continue
+            if kind != "string" and value in known:
+                meant = known[value] if known[value] is not frame.target else frame.target.before[value]
+                frame.target.made_of += [meant] if meant else []
+            elif kind == "string" or not (PLAIN.fullmatch(value) and (frame.code or "." in value)):
+                frame.target.own.append((value, low, high))
+            frame.state = "string" if kind == "string" else "atom"
+        elif kind == "open":
+            inner = frame.target if frame.state and m[0] != "{" else None
+            stack.append(Frame(m[0], inner, bool(called and LOOKUP.fullmatch(called))))
+            if frame.target is not None:
+                frame.state = "atom"
+        elif kind == "close":
+            if frame.kind == CLOSES[m[0]]:
+                stack.pop()
+        elif kind == "end":
+            done(frame)
+            if m[0] == "," and frame.kind == "(" and frame.first and frame.base is None and NAME.fullmatch(frame.first):
+                bind(frame, frame.first, True)
+                frame.state = "open"
+            if frame.kind == "(":
+                frame.first = ""
+        elif kind == "line":
+            if frame.kind in ("", "{") and frame.target is not None:
+                if frame.state == "bound":
+                    frame.state = "broken"
+                elif frame.state != "open":
+                    done(frame)
+        elif kind == "compare":
+            done(frame)
+        elif kind == "glue" and frame.state in ("atom", "string"):
+            if m[0] == "=" and frame.target is not None:
+                frame.target.own.clear()  # what stood before was a type
+            frame.state, frame.choice = "open", m[0] == "?"
+    return values
+
+
 class Scanner:
     def __init__(self) -> None:
         self.assign = re.compile(ASSIGN, re.I | re.A).finditer
         self.access = re.compile(ACCESS).finditer
         self.hex = re.compile(HEX).finditer
-        self.statement = re.compile(rf"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*)["']?\]?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*((?:{_ATOM})(?:[ \t]*\+[ \t]*(?:{_ATOM}))*)""").finditer
-        self.atom = re.compile(_ATOM).finditer
+        self.sensitive = re.compile("|".join(SENSITIVE), re.I).search
 
     def literals(self, text: str) -> set[tuple[int, int]]:
         """(start, end) of the literals that are secrets, constants followed; offsets are of the literal itself.
 
-        A value keeps its own literals and the values it is made of, and is gone through again
-        only for a stronger name, so chains of constants are followed whole in linear time.
+        A value is gone through again only for a stronger name, so chains of constants are followed whole in linear time.
         """
-        known: dict[str, list] = {}
         out: set[tuple[int, int]] = set()
-        for m in self.statement(text):
-            own, made_of = [], []
-            for a in self.atom(text, m.start(2), m.end(2)):
-                v = a[0]
-                if v[0] in "\"'":
-                    own.append((v[1:-1], a.start() + 1, a.end() - 1))
-                elif v in known:
-                    made_of.append(known[v])
-                else:
-                    own.append((v, a.start(), a.end()))
-            value = known[m[1]] = [0.0, own, made_of]
-            weight, todo = name_weight(m[1]), [value]
+        for value in bindings(text):
+            weight, todo = value.named, [value]
             while todo:
                 value = todo.pop()
-                if value[0] < weight:
-                    value[0] = weight
-                    out.update((start, end) for v, start, end in value[1] if is_secret(weight, v))
-                    todo += value[2]
+                if value.weight < weight:
+                    value.weight = weight
+                    out.update((start, end) for v, start, end in value.own if is_secret(weight, v))
+                    todo += value.made_of
         return out
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         out = []
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in self.assign(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
+        if self.sensitive(text):
             out += [("literal", start, end) for start, end in self.literals(text)]
         if "AKIA" in text:
             out += [("access", *m.span()) for m in self.access(text)]
@@ -159,7 +293,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", mark: str = "[
                 fields=list(kind),
             )
 
-    return df.withColumn(out, found(F.col(text)))
+    return small_batches(df).withColumn(out, found(F.col(text)))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
