@@ -10,8 +10,8 @@ equal strings meet at their anchor, and about one position in 16 is an anchor.
    context that a smaller document has is covered altogether.
 2. Where one anchor has several contexts in several documents, matches begin or end nearby. One
    fragment (82 bytes) for each context goes to its anchor. Over the fragments, in document order,
-   a suffix array is built; the longest previous factor of a suffix is found from its
-   previous and next smaller position in suffix order, and a suffix whose longest previous factor
+   a suffix array is built; the longest previous factor of a suffix is the longer of the common prefixes with its
+   previous and next smaller position (of a smaller document) in suffix order, and a suffix whose longest previous factor
    reaches 50 is removed. The result is a 33-bit mask of the strings around an anchor.
 3. Masks are packed by document and joined with the texts, whose kept bytes come out.
 
@@ -23,7 +23,7 @@ strings the one of the smallest document is all that a later piece of the group
 
 Defined results: null texts are empty; texts under 50 bytes lose nothing; strings are judged on
 the input; rows with equal ids do not cut each other; a null id neither cuts nor is cut; an
-empty table gives an empty table.
+empty table gives an empty table; other columns are not read, whatever their names.
 """
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import batches, table, written
+from tallgrove.llm.common import batches, small_batches, table, written
 from tallgrove.llm.shingles import mix64
 
 LENGTH, GRAM = 50, 18
@@ -238,17 +238,34 @@ def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
+def smaller_before(rank: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order the nearest earlier place of a smaller rank (-1: none), and the common prefix with it.
+
+    Places point to the one before; a pointer to a rank that is not smaller is replaced by that place's own pointer.
+    """
+    at, common = np.arange(-1, len(rank) - 1), lcp.copy()
+    todo = np.arange(1, len(rank))
+    todo = todo[rank[at[todo]] >= rank[todo]]
+    while len(todo):
+        via = at[todo]
+        common[todo] = np.minimum(common[todo], common[via])
+        at[todo] = at[via]
+        todo = todo[at[todo] >= 0]
+        todo = todo[rank[at[todo]] >= rank[todo]]
+    common[at < 0] = 0
+    return at, common
+
+
 def previous_factors(order: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of ``LENGTH``: from the smaller documents before and after them in suffix order."""
-    run = np.cumsum(lcp < LENGTH)
-    d = doc[order]
-    _, rank = np.unique(d, return_inverse=True)
-    wide = np.int64(len(d) + 1)
-    before = np.minimum.accumulate(rank - run * wide)
-    after = np.minimum.accumulate((rank + run * wide)[::-1])[::-1]
-    earlier = np.minimum(before + run * wide, after - run * wide) < rank
-    out = np.zeros(len(order), bool)
-    out[order] = earlier
+    """Length, ``LENGTH`` at most, of the longest previous factor of each suffix: its longest prefix that also starts in a document with a smaller id.
+
+    It is the longer of the common prefixes with the previous and the next place of a smaller document in suffix order.
+    """
+    rank = doc[order]
+    _, before = smaller_before(rank, lcp)
+    _, after = smaller_before(rank[::-1], np.concatenate([[0], lcp[:0:-1]]))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after[::-1])
     return out
 
 
@@ -271,7 +288,7 @@ def masks_of(doc: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarra
         place, owner, offset = place[by_doc], owner[by_doc], offset[by_doc]
         suffixes = rows.ravel()[place[:, None] + np.arange(LENGTH)]
         order, lcp = suffix_array(suffixes)
-        gone = previous_factors(order, lcp, doc[owner])
+        gone = previous_factors(order, lcp, doc[owner]) == LENGTH
         np.bitwise_or.at(mask, owner[gone], np.int64(1) << offset[gone])
     return mask
 
@@ -382,7 +399,7 @@ def _small(df: DataFrame, size: str) -> DataFrame:
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = docs.withColumn("t", F.unhex(F.md5("text")))
     twins = written(keyed.where(F.octet_length("text") >= LENGTH).groupBy("t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("t").alias("t2"), "least"))
     twins = _small(twins, "t2")
