@@ -6,18 +6,26 @@ A count is read back by probing levels until one is missing. The smoothed probab
 w after v is  a * min(1, c(v w) / c(v)) + (1 - a) * (c(w) + 1) / (N + V + 1)  with
 a = c(v) / (c(v) + BACKOFF), all c by probes. A text begins after an end token and ends with one.
 
-Sizes: a filter is made of segments of 256 KB, ``BITS`` bits a level. The pair filter is
-cut into shards of at most ``MOST_BYTES``; each shard is broadcast in a pass of its own over the
-texts, and the pass adds up the words whose pair falls into the shard, so any number of pairs is
-scored with bounded memory. A word filter of more than ``MOST_BYTES`` is not built: the counts
+Steps, each written to the shared folder:
+
+1. One pass over the training texts sums words and pairs within tasks and packs the sums of one
+   bucket (a range of hashes) into one row, so that few rows are shuffled, and compress well (sorted hashes as differences, bytes by place); buckets are then summed up.
+2. A filter has lines of 512 bits, ``BITS`` bits a level; lines follow the order of the hashes, so that a
+   bucket is a run of lines and sorted probes read memory in order. The word filter is broadcast.
+   The pair filter is cut into shards of at most ``MOST_BYTES``.
+3. One pass over the texts makes the base score and, for each batch of texts and each shard, the sorted
+   different pairs with the levels of their words and the texts they stand in. Every shard is broadcast in turn and
+   read for its own pairs only: a pair is probed once however many shards there are.
+
+A word filter of more than ``MOST_BYTES`` is not built: the counts
 of the words that are not broadcast are joined to the texts by hash, and read as the same levels.
 
 The base score needs exact counts: at most ``MOST_HOT`` of the most frequent words are
-broadcast (12 bytes each); the others, each rarer than all of those, are joined by hash.
+broadcast (16 bytes each); the others, each rarer than all of those, are joined by hash.
 
 Defined results: null and empty texts are one end token; words are whole texts' words; repeated
 rows have equal scores; an empty table gives an empty table; without training texts every
-probability is 1 (N = V = 0). A null id is scored and not learned from.
+probability is 1 (N = V = 0). A null id is scored and not learned from. Other columns are not read, whatever their names.
 """
 from __future__ import annotations
 
@@ -30,22 +38,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import batches, table, written
+from tallgrove.llm.common import batches, small_batches, table, written
 
-SEGMENT, LINE = 1 << 21, 512
+LINE = 512
 #: Hashes of 9 bits each and bits an entry: an absent n-gram is read as seen about 9 times in 10,000.
 HASHES, BITS = 7, 18
 MOST_BYTES, MOST_HOT = 64 << 20, 1 << 20
 BACKOFF = 10.0
-#: One in so many hashes is kept to estimate how many pairs there are.
-SAMPLE = 64
-#: Bytes of text that numpy handles at once: its arrays stay within the processor's cache.
+#: Bytes of training text a bucket of hashes stands for, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+#: Bytes of text that numpy handles at once.
 ATONCE = 2 << 20
-#: Entries that a task sums up before it hands them on.
-HELD = 1 << 19
+#: Pairs that a task sums up before it hands them on; entries of one row of the written counts.
+HELD, CHUNK = 1 << 21, 1 << 20
+#: Shards from which on probes are brought together by shard before they are written.
+MANY_SHARDS = 8
 #: Multipliers of the 64-bit mixer, the end token's hash, and the salts of levels and pairs.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 END, LEVEL, PAIR = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+WORD_KIND, PAIR_KIND = 1, 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -80,26 +91,55 @@ def before(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([END]), h[:-1]])
 
 
+def range_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of hashes each lies in; sorted hashes have sorted ranges."""
+    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """An array's bytes, the lowest of all values first: small values leave runs of zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(data: object, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(h: np.ndarray) -> bytes:
+    """Sorted hashes as the planes of their differences."""
+    return planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def from_steps(data: object) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
 class Sums:
-    """Sums counts by hash; hands them on when many are held."""
+    """Sums counts by hash; ``add`` sums what is held whenever it has doubled."""
 
     def __init__(self) -> None:
         self.h: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
-        self.held = 0
+        self.held, self.limit = 0, 2 * CHUNK
 
     def add(self, h: np.ndarray, n: np.ndarray) -> None:
         self.h.append(h)
         self.n.append(n)
         self.held += len(h)
+        if self.held > self.limit:
+            h, n = self.take()
+            self.h, self.n, self.held, self.limit = [h], [n], len(h), max(2 * CHUNK, 2 * len(h))
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes and their sums; nothing is held any more."""
         if not self.h:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h, at = np.unique(np.concatenate(self.h), return_inverse=True)
-        n = np.bincount(at, np.concatenate(self.n), len(h)).astype(np.int64)
+        h, n = np.concatenate(self.h), np.concatenate(self.n)
         self.__init__()
-        return h, n
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h[at], np.add.reduceat(n, at)
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -118,164 +158,171 @@ def found_in(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, values[at], 0)
 
 
-def starts(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Line of an n-gram within its segment and the hash whose 9-bit fields are the bit places in the line.
+def level_bits(h: np.ndarray, level: int) -> np.ndarray:
+    """Hashes whose 9-bit fields are the places of a level's bits in the n-gram's line.
 
     All bits of all levels of an n-gram lie in one line of 64 bytes, so reading a count touches memory once.
     """
     with np.errstate(over="ignore"):
-        g = mixed(h + np.uint64(level) * LEVEL)
-    return (h & np.uint64(SEGMENT // LINE - 1)) * np.uint64(LINE), g
-
-
-def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """Bit places within a segment, one after the other."""
-    line, g = starts(h, level)
-    for i in range(HASHES):
-        yield line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))
+        return mixed(h + np.uint64(level) * LEVEL)
 
 
-def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(segments)) >> np.uint64(24)
-
-
-def probe(bits: np.ndarray, first: int, segments: int, h: np.ndarray) -> np.ndarray:
-    """Counts read back (0 if missing); ``bits`` has the segments from ``first`` on."""
+def probe(bits: np.ndarray, first: int, lines: int, h: np.ndarray) -> np.ndarray:
+    """Levels read back (0 if missing); ``bits`` has the lines from ``first`` on, of ``lines`` in all."""
     level = np.zeros(len(h), np.int8)
     active = np.arange(len(h))
-    base = (segment_of(h, segments) - np.uint64(first)) * np.uint64(SEGMENT // 8)
+    line = (range_of(h, lines) - np.uint64(first)) * np.uint64(LINE)
     for q in range(1, 64):
-        line, g = starts(h, q)
+        g = level_bits(h, q)
         for i in range(HASHES):
             place = line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))
-            byte = bits[(base + (place >> np.uint64(3))).view(np.int64)]
+            byte = bits[(place >> np.uint64(3)).view(np.int64)]
             hit = np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
             if len(hit) < len(active):
-                active, h, base, line, g = (x[hit] for x in (active, h, base, line, g))
+                active, h, line, g = (x[hit] for x in (active, h, line, g))
         if not len(active):
             break
         level[active] = q
-    return counts_of(level)
+    return level
 
 
-def built(rows: DataFrame, segments: int, parts: int) -> DataFrame:
-    """(seg, bits): segments of the filter of (h, n) rows, which may repeat h; rows meet by segment."""
+def filled(h: np.ndarray, q: np.ndarray, first: int, lines: int, own: int) -> np.ndarray:
+    """The ``own`` lines from ``first`` on of a filter of ``lines`` lines, with the levels 1..q of each hash."""
+    bits = np.zeros(own * LINE, np.uint8)
+    line = (range_of(h, lines) - np.uint64(first)) * np.uint64(LINE)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        h, line, q = (x[q >= level] for x in (h, line, q))
+        g = level_bits(h, level)
+        for i in range(HASHES):
+            bits[line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))] = 1
+    return np.packbits(bits, bitorder="little")
 
-    def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            h = b.column(0).to_numpy().view(np.uint64)
-            yield pa.record_batch([pa.array(segment_of(h, segments).astype(np.int32)), b.column(0), b.column(1)], ["seg", "h", "n"])
 
-    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for b in it:
-            sums.add(b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-            if sums.held > 8 * HELD:
-                sums.add(*sums.take())
-        h, n = sums.take()
-        seg, q = segment_of(h, segments), levels(n)
-        for s in np.unique(seg):
-            bits = np.zeros(SEGMENT, np.uint8)
-            own, most = h[seg == s], q[seg == s]
-            for level in range(1, int(most.max()) + 1):
-                for place in places(own[most >= level], level):
-                    bits[place] = 1
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
-
-    dealt_rows = rows.select("h", "n").mapInArrow(dealt, "seg int, h long, n long").repartition(parts, "seg")
-    return dealt_rows.mapInArrow(put, "seg int, bits binary")
-
-
-def gathered(filters: DataFrame, first: int, end: int) -> np.ndarray:
-    """Segments ``first`` to ``end``, one after the other."""
-    got = filters.where((F.col("seg") >= first) & (F.col("seg") < end)).toArrow()  # (end - first) * 256 KB, MOST_BYTES at most
-    out = np.zeros((end - first) * (SEGMENT // 8), np.uint8)
-    for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits")):
-        at = (seg - first) * (SEGMENT // 8)
-        out[at : at + SEGMENT // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
-    return out
+def counted(train: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, kind, h, n, total, hist): sums of words (kind 1) and pairs (kind 2) as packed hashes and counts.
 
+    hist has the number of entries of each level. Rows of a bucket are cut at ``CHUNK`` entries.
+    """
 
-def counted(train: DataFrame, pairs: bool) -> DataFrame:
-    """(kind, h, n) summed within tasks: words (kind 1) and a sample of pairs (kind 2), or all pairs (kind 2)."""
+    def pack(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        edge = np.searchsorted(range_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        own = np.flatnonzero(edge[1:] > edge[:-1])
+        cut = [(edge[b], edge[b + 1]) for b in own]
+        return pa.record_batch(
+            [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([steps(h[s:e]) for s, e in cut], pa.binary()), pa.array([planes(n[s:e]) for s, e in cut], pa.binary())],
+            ["bucket", "kind", "h", "n"],
+        )
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Sums(), [], 0
-
-        def batch(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
-
         for b in batches(it, most=ATONCE):
             hashes, stream, _ = tokens(b.column(0).to_pylist())
-            if not pairs:
-                words.add(hashes, np.bincount(stream, minlength=len(hashes)))
-                if words.held > HELD:
-                    h, n = words.take()
-                    if len(h) > HELD // 2:
-                        yield batch(1, h, n)
-                    else:
-                        words.add(h, n)
+            words.add(hashes, np.bincount(stream, minlength=len(hashes)))
+            if words.held > HELD:
+                yield pack(WORD_KIND, *words.take())
             h = hashes[stream]
-            two = pairs_of(before(h), h)
-            held.append(two if pairs else two[two % np.uint64(SAMPLE) == 0])
-            size += len(held[-1])
+            held.append(pairs_of(before(h), h))
+            size += len(h)
             if size > HELD:
-                yield batch(2, *np.unique(np.concatenate(held), return_counts=True))
+                yield pack(PAIR_KIND, *np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
-        yield batch(1, *words.take())
+        yield pack(WORD_KIND, *words.take())
         if held:
-            yield batch(2, *np.unique(np.concatenate(held), return_counts=True))
+            yield pack(PAIR_KIND, *np.unique(np.concatenate(held), return_counts=True))
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, key = Sums(), None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            h, n = sums.take()
+            for s in range(0, len(h), CHUNK):
+                own = n[s : s + CHUNK]
+                hist = np.bincount(levels(own), minlength=64)
+                yield pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([steps(h[s : s + CHUNK])], pa.binary()), pa.array([planes(own)], pa.binary()), pa.array([int(own.sum())], pa.int64()), pa.array([hist], pa.list_(pa.int64()))], ["bucket", "kind", "h", "n", "total", "hist"])
+
+        for b in it:
+            for k, h, n in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2), b.column(3)):
+                if k != key:
+                    yield from rows()
+                    key = k
+                sums.add(from_steps(h.as_buffer()), from_planes(n.as_buffer(), np.int64))
+        yield from rows()
+
+    spark = train.sparkSession
+    parts = min(buckets, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    packed = train.select("text").mapInArrow(count, "bucket int, kind int, h binary, n binary")
+    met = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
+    return met.mapInArrow(merge, "bucket int, kind int, h binary, n binary, total long, hist array<long>")
+
+
+def unpacked(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(h, n) of the packed counts from ``least`` up to below ``most``."""
+
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for h, n in zip(b.column(0), b.column(1)):
+                n = from_planes(n.as_buffer(), np.int64)
+                some = (n >= least) & (n < most)
+                yield pa.record_batch([pa.array(from_steps(h.as_buffer()).view(np.int64)[some]), pa.array(n[some])], ["h", "n"])
+
+    return rows.select("h", "n").mapInArrow(unpack, "h long, n long")
 
-    return train.select("text").mapInArrow(count, "kind int, h long, n long")
+
+def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> np.ndarray:
+    """The lines of buckets ``first`` to ``end``, ``each`` lines a bucket, of a filter of ``lines`` lines; at most ``MOST_BYTES``."""
+
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for bucket, h, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                bits = filled(from_steps(h.as_buffer()), levels(from_planes(n.as_buffer(), np.int64)), bucket * each, lines, each)
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["bucket", "bits"])
+
+    got = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end)).select("bucket", "h", "n").mapInArrow(fill, "bucket int, bits binary").toArrow()
+    size = each * LINE // 8
+    out = np.zeros((end - first) * size, np.uint8)
+    for bucket, bits in zip(got.column(0).to_pylist(), got.column(1)):
+        out[(bucket - first) * size : (bucket - first + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
 
 
 class Model:
     """What scoring needs: totals, filters and the frequent words."""
 
     def __init__(self, train: DataFrame) -> None:
-        spark = train.sparkSession
-        counts = written(counted(train, pairs=False).groupBy("kind", "h").agg(F.sum("n").alias("n")))
-        words, sample = counts.where("kind = 1"), counts.where("kind = 2")
-        level = F.sum(1 + F.floor(F.log2("n"))).cast("long")
-        self.n, self.v, of_words = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1)), level).first())
-        of_pairs = SAMPLE * (sample.agg(level).first()[0] or 0)
-        self.word_segments = max(1, math.ceil(of_words * BITS / SEGMENT))
-        self.pair_segments = max(1, math.ceil(of_pairs * BITS / SEGMENT))
-        parts = lambda k: max(k // 4, spark.sparkContext.defaultParallelism)
+        spark = small_batches(train).sparkSession
+        size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+        counts = written(counted(train, self.buckets))
+        self.word_rows, self.pair_rows = counts.where(F.col("kind") == WORD_KIND), counts.where(F.col("kind") == PAIR_KIND)
+        hist = counts.select("kind", F.posexplode("hist").alias("q", "k")).groupBy("kind", "q").agg(F.sum("k").alias("k")).collect()
+        of = lambda kind, weight: sum(r.k * weight(r.q) for r in hist if r.kind == kind)
+        self.n = self.word_rows.agg(F.sum("total")).first()[0] or 0
+        self.v = of(WORD_KIND, lambda q: 1)
+        each = lambda entries: max(1, math.ceil(entries * BITS / LINE / self.buckets))
+        #: Lines a bucket of the two filters.
+        self.word_each, self.pair_each = each(of(WORD_KIND, int)), each(of(PAIR_KIND, int))
         #: Whether word counts are joined, as their filter is too large for a broadcast.
-        self.joined = self.word_segments * (SEGMENT // 8) > MOST_BYTES
-        bits = None if self.joined else gathered(built(words, self.word_segments, parts(self.word_segments)), 0, self.word_segments)
+        self.joined = self.buckets * self.word_each * LINE // 8 > MOST_BYTES
+        bits = None if self.joined else gathered(self.word_rows, 0, self.buckets, self.word_each, self.buckets * self.word_each)
         self.words = spark.sparkContext.broadcast(bits)
-        self.train = train
-        self.parts = parts(self.pair_segments)
-        by_size = words.groupBy(F.floor(F.log2("n")).cast("int").alias("q")).agg(F.count(F.lit(1)).alias("k")).collect()
         least, seen = 64, 0
-        for q, k in sorted(((r.q, r.k) for r in by_size), reverse=True):
+        for q, k in sorted(((r.q, r.k) for r in hist if r.kind == WORD_KIND and r.k), reverse=True):
             if seen + k > MOST_HOT:
                 break
             least, seen = q, seen + k
-        self.least = 1 << least if least < 63 else (1 << 63) - 1
-        hot = words.where(F.col("n") >= self.least).select("h", "n").toArrow()
+        #: Whether every word is broadcast; else those below a count are joined.
+        self.all_hot = seen == self.v
+        bound = 1 << (least - 1) if least < 64 else (1 << 63) - 1
+        hot = unpacked(self.word_rows, bound, (1 << 63) - 1).toArrow()
         h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
         order = np.argsort(h)
         self.hot = spark.sparkContext.broadcast((h[order], n[order]))
-        self.rare = words.where(F.col("n") < self.least).select(F.col("h").alias("rare_h"), F.col("n").alias("rare_n"))
-
-    def one_pass(self) -> bool:
-        return self.pair_segments * (SEGMENT // 8) <= MOST_BYTES
+        self.rare = unpacked(self.word_rows, 1, bound).select(F.col("h").alias("rare_h"), F.col("n").alias("rare_n"))
 
-    def shards(self) -> Iterator[tuple[int, int, object]]:
-        """(first segment, end, broadcast bits) of the pair filter, one after the other."""
-        spark = self.train.sparkSession
-        filters = built(counted(self.train, pairs=True).where("kind = 2"), self.pair_segments, self.parts)
-        if self.one_pass():
-            yield 0, self.pair_segments, spark.sparkContext.broadcast(gathered(filters, 0, self.pair_segments))
-            return
-        filters = written(filters)
-        each = max(1, MOST_BYTES * 8 // SEGMENT)
-        for first in range(0, self.pair_segments, each):
-            end = min(first + each, self.pair_segments)
-            yield first, end, spark.sparkContext.broadcast(gathered(filters, first, end))
+    def shards(self) -> list[tuple[int, int]]:
+        """(first bucket, end) of the parts of the pair filter."""
+        most = max(1, MOST_BYTES * 8 // (LINE * self.pair_each))
+        return [(s, min(s + most, self.buckets)) for s in range(0, self.buckets, most)]
 
 
 def with_counts(df: DataFrame, model: Model) -> DataFrame:
@@ -295,87 +342,119 @@ def with_counts(df: DataFrame, model: Model) -> DataFrame:
             key = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rest] * len(hashes) + stream[rest])
             yield pa.record_batch([pa.array(b.column(2).to_numpy()[key // len(hashes)]), pa.array(hashes[key % len(hashes)].view(np.int64))], ["row", "h"])
 
-    rows = written(df.select("doc_id", "text").mapInArrow(numbered, "doc_id long, text string, row long"))
+    rows = written(df.mapInArrow(numbered, "doc_id long, text string, row long"))
     found = rows.mapInArrow(rare, "row long, h long").join(model.rare, F.col("h") == F.col("rare_h"))
     found = found.groupBy("row").agg(F.collect_list(F.struct("rare_h", "rare_n")).alias("c"))
     return written(rows.join(found, "row", "left").select("doc_id", "text", "row", F.col("c.rare_h").alias("rare_h"), F.col("c.rare_n").alias("rare_n")))
 
 
-def score(df: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every row of ``df`` with columns doc_id, text.
+#: What the pass over the texts writes: base results (shard -1), words to be joined (shard -1, h not null) and the probes of each shard.
+PASSED = "shard int, row long, doc_id long, n_tokens long, n_known long, base_score double, h long, times long, probes binary"
+FIELDS = [x.split() for x in PASSED.split(", ")]
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
-    A row is told apart by its place in the scan, so ``df`` must be read from a table.
-    """
-    n, v, word_bits, word_segments, pair_segments, hot, joined = model.n, model.v, model.words, model.word_segments, model.pair_segments, model.hot, model.joined
-    df = with_counts(df, model) if joined else df.select("doc_id", "text")
-    total = math.log10(n + v + 1)
-
-    def pass_over(first: int, end: int, bits: object) -> DataFrame:
-        def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            task = TaskContext.get().partitionId() << 36
-            hot_h, hot_n = hot.value
-            row = 0
-            for b in batches(it, 1, ATONCE):
-                hashes, stream, sizes = tokens(b.column(1).to_pylist())
-                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                by_text = lambda x: np.add.reduceat(x, begin)
-                if joined:
-                    rare_h, first_at = np.unique(b.column(3).flatten().to_numpy().view(np.uint64), return_index=True)
-                    exact = np.maximum(found_in(hot_h, hot_n, hashes), found_in(rare_h, b.column(4).flatten().to_numpy()[first_at], hashes))
-                    uni = counts_of(np.where(exact > 0, levels(exact), 0))
-                else:
-                    uni = probe(word_bits.value, 0, word_segments, hashes)
-                h = hashes[stream]
-                two = pairs_of(before(h), h)
-                seg = segment_of(two, pair_segments)
-                own = (seg >= first) & (seg < end)
-                pair = np.zeros(len(h))
-                pair[own] = probe(bits.value, first, pair_segments, two[own])
-                c = uni[stream]
-                ahead = np.concatenate([uni[hashes == END], c[:-1]])  # every text has an end token
-                a = ahead / (ahead + BACKOFF)
-                p = a * np.minimum(1.0, pair / np.maximum(np.maximum(ahead, pair), 1.0)) + (1 - a) * np.minimum(1.0, (c + 1) / (n + v + 1))
-                logs = np.where(own, np.log10(np.minimum(p, 1.0)), 0.0)
-                ids = b.column(2).to_numpy() if joined else task + row + np.arange(len(sizes))
-                row += len(sizes)
-                k = len(sizes)
-                cols = [ids, b.column(0), sizes, np.zeros(k, np.int64), np.zeros(k), by_text(logs), mixed(ids.astype(np.uint64)).view(np.int64), np.zeros(k, np.int64)]
-                if first == 0:
-                    at = np.minimum(np.searchsorted(hot_h, hashes), max(len(hot_h) - 1, 0))
-                    known = (hot_h[at] == hashes) if len(hot_h) else np.zeros(len(hashes), bool)
-                    count = np.where(known, hot_n[at] if len(hot_n) else 0, 0)
-                    flags = known[stream]
-                    base = np.where(flags, np.log10(count + 1.0)[stream], 0.0) - total
-                    cols[3], cols[4] = by_text(flags.astype(np.int64)), by_text(base)
-                    rest = np.flatnonzero(~flags)
-                    if len(rest):
-                        owner = np.searchsorted(begin, rest, side="right") - 1
-                        key, times = np.unique(owner * len(hashes) + stream[rest], return_counts=True)
-                        yield batch([ids[key // len(hashes)], pa.nulls(len(key), pa.int64()), *(np.zeros(len(key), t) for t in (np.int64, np.int64, float, float)), hashes[key % len(hashes)].view(np.int64), times])
-                yield batch(cols)
-
-        return df.mapInArrow(one, ", ".join(f"{x} {t}" for x, t in zip(NAMES, TYPES)))
-
-    def batch(cols: list) -> pa.RecordBatch:
-        return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], NAMES)
-
-    # a row's number holds its partition's, which a union would shift: each of several passes is written on its own
-    passes = [pass_over(*s) if model.one_pass() else written(pass_over(*s)) for s in model.shards()]
-    rows = passes[0]
-    for more in passes[1:]:
-        rows = rows.unionByName(more.withColumns({"n_tokens": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("long")}))
-    found = rows.join(model.rare, (F.col("h") == F.col("rare_h")), "left").withColumn("c", F.when(F.col("times") > 0, F.coalesce("rare_n", F.lit(0))).otherwise(0))
-    return found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base_score") + F.sum(F.col("times") * F.log10(F.col("c") + 1.0))).alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("row")
-
-
-NAMES = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "h", "times"]
-TYPES = ["long", "long", "long", "long", "double", "double", "long", "long"]
+
+def passed(n_rows: int, **cols: object) -> pa.RecordBatch:
+    """A batch of ``PASSED``; columns that are not given are null."""
+    arrays = [cols[x] if isinstance(cols.get(x), pa.Array) else pa.array(cols[x], ARROW[t]) if x in cols else pa.nulls(n_rows, ARROW[t]) for x, t in FIELDS]
+    return pa.record_batch(arrays, [x for x, _ in FIELDS])
+
+
+def packed_probes(ids: np.ndarray, two: np.ndarray, left: np.ndarray, right: np.ndarray, times: np.ndarray, owner: np.ndarray) -> bytes:
+    """Numbers of the texts, different pairs in order, levels of their two words, how often each stands here, and in which of the texts."""
+    return b"".join((np.array([len(ids), len(two)], np.int64).tobytes(), ids.tobytes(), steps(two), left.tobytes(), right.tobytes(), planes(times.astype(np.uint32)), planes(owner.astype(np.uint32))))
+
+
+def unpacked_probes(data: pa.Buffer) -> list[np.ndarray]:
+    data = np.frombuffer(data, np.uint8)
+    texts, k = data[:16].view(np.int64).tolist()
+    ids, two, left, right, times, owner = np.split(data[16:], np.cumsum([8 * texts, 8 * k, k, k, 4 * k]))
+    return [np.frombuffer(ids, np.int64), from_steps(two), left.view(np.int8), right.view(np.int8), from_planes(times, np.uint32), from_planes(owner, np.uint32)]
+
+
+def score(df: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for every row of ``df`` with columns doc_id, text."""
+    n, v, words, hot, joined, all_hot, buckets = model.n, model.v, model.words, model.hot, model.joined, model.all_hot, model.buckets
+    word_lines, pair_each = buckets * model.word_each, model.pair_each
+    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    df = with_counts(df, model) if joined else df
+    total, shards = math.log10(n + v + 1), model.shards()
+    starts = np.array([s for s, _ in shards], np.uint64)
+
+    def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 36
+        hot_h, hot_n = hot.value
+        row = 0
+        for b in batches(it, 1, ATONCE):
+            hashes, stream, sizes = tokens(b.column(1).to_pylist())
+            k = len(sizes)
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            exact = found_in(hot_h, hot_n, hashes)
+            flags, known = (exact > 0)[stream], np.where(exact > 0, np.log10(exact + 1.0), 0.0)
+            if joined:
+                rare_h, first_at = np.unique(b.column(3).flatten().to_numpy().view(np.uint64), return_index=True)
+                every = np.maximum(exact, found_in(rare_h, b.column(4).flatten().to_numpy()[first_at], hashes))
+                uni = np.where(every > 0, levels(every), 0).astype(np.int8)
+            else:
+                uni = probe(words.value, 0, word_lines, hashes)
+            ids = b.column(2).to_numpy() if joined else task + row + np.arange(k)
+            row += k
+            yield passed(k, shard=np.full(k, -1), row=ids, doc_id=b.column(0), n_tokens=sizes, n_known=np.add.reduceat(flags.astype(np.int64), begin), base_score=np.add.reduceat(known[stream], begin) - total * sizes)
+            owner = np.repeat(np.arange(k), sizes)
+            if not all_hot and len(rest := np.flatnonzero(~flags)):
+                key, times = np.unique(owner[rest] * len(hashes) + stream[rest], return_counts=True)
+                yield passed(len(key), shard=np.full(len(key), -1), row=ids[key // len(hashes)], h=hashes[key % len(hashes)].view(np.int64), times=times)
+            h = hashes[stream]
+            two = pairs_of(before(h), h)
+            order = np.argsort(two, kind="stable")
+            two = two[order]
+            at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
+            two, times, last = two[at], np.diff(np.append(at, len(order))), order[at]
+            c = uni[stream]
+            left, right = np.concatenate([uni[hashes == END], c[:-1]])[last], c[last]  # every text has an end token
+            edge = np.append(np.searchsorted(range_of(two, buckets), starts), len(two))
+            token = np.append(at, len(order))
+            for s in np.flatnonzero(edge[1:] > edge[:-1]):
+                x, y = edge[s], edge[s + 1]
+                data = packed_probes(ids, two[x:y], left[x:y], right[x:y], times[x:y], owner[order[token[x] : token[y]]])
+                yield passed(1, shard=[s], row=ids[:1], probes=[data])
+
+    def probed(first: int, bits: object):
+        def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for data in b.column(0):
+                    ids, two, left, right, times, owner = unpacked_probes(data.as_buffer())
+                    pair, ahead, c = counts_of(probe(bits.value, first * pair_each, buckets * pair_each, two)), counts_of(left), counts_of(right)
+                    a = ahead / (ahead + BACKOFF)
+                    p = a * np.minimum(1.0, pair / np.maximum(np.maximum(ahead, pair), 1.0)) + (1 - a) * np.minimum(1.0, (c + 1) / (n + v + 1))
+                    logs = np.bincount(owner, np.repeat(np.log10(np.minimum(p, 1.0)), times), len(ids))
+                    yield pa.record_batch([pa.array(ids), pa.array(logs)], ["row", "score"])
+
+        return read
+
+    spark = df.sparkSession
+    rows = df.mapInArrow(one, PASSED)
+    if len(shards) >= MANY_SHARDS:
+        rows = rows.repartition("shard", F.col("row") % (4 * spark.sparkContext.defaultParallelism))
+    rows = written(rows, ["shard"])
+    base = rows.where("shard = -1")
+    scores = None
+    for s, (first, end) in enumerate(shards):
+        bits = spark.sparkContext.broadcast(gathered(model.pair_rows, first, end, pair_each, buckets * pair_each))
+        part = written(rows.where(F.col("shard") == s).select("probes").mapInArrow(probed(first, bits), "row long, score double"))
+        bits.unpersist()
+        scores = part if scores is None else scores.unionByName(part)
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    if all_hot:
+        base = base.select("row", "doc_id", "n_tokens", "n_known", "base_score")
+    else:
+        base = base.join(model.rare, F.col("h") == F.col("rare_h"), "left").withColumn("c", F.coalesce("rare_n", F.lit(0)))
+        more, log = F.when((F.col("h").isNotNull()) & (F.col("c") > 0), F.col("times")), F.col("times") * F.log10(F.col("c") + 1.0)
+        base = base.select("row", "doc_id", "n_tokens", F.coalesce("n_known", more).alias("n_known"), F.coalesce("base_score", log).alias("base_score"))
+    both = base.withColumn("score", F.lit(0.0)).unionByName(scores.selectExpr("row", "null as doc_id", "0 as n_tokens", "0 as n_known", "0.0D as base_score", "score"), allowMissingColumns=True)
+    return both.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), zero("n_tokens").cast("long").alias("n_tokens"), zero("n_known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
+    ).drop("row")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
