@@ -14,14 +14,14 @@ lines of one host are at most its lines a document over ``SHARE``, however large
 
 Defined results: null or empty texts have no words and fail the base rules; a null source
 is a host of its own; rows with equal doc_id are documents of their own, and equal texts count
-once for a line; an empty table gives an empty table; texts are read whole.
+once for a line; an empty table gives an empty table; texts are read whole; other columns pass through ``assess`` and the stage.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import WHITE, table, written
+from tallgrove.llm.common import WHITE, free_name, table, written
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
@@ -117,10 +117,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents without their removed lines; n_chars follows the text."""
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "source", "text")
-    # an id that is never negative keeps the optimiser from pushing the whole verdict below the steps that it is built from
-    done = assess(rows).withColumn("keep", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).otherwise(False)).where("keep")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    kept = free_name(docs, "kept")
+    # written before it is filtered: a filter on the verdict would be pushed below the steps that it is built from, which then run twice
+    done = written(assess(rows).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns), F.col("kept").alias(kept)))
+    return done.where(kept).drop(kept)
 
 
 #: Everything up to the verdict, over a relation ``docs_in`` with doc_id, source and text.
