@@ -9,9 +9,13 @@ def per_query(hits: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFra
     """(qid, precision, recall, f1, mrr, ndcg) from hits (qid, rank, key) and different relevant (qid, key)."""
     rel = relevant.distinct().withColumn("hit", F.lit(1))
     size = rel.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
-    h = hits.join(rel, ["qid", key], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return per_query_hits(hits.join(rel, ["qid", key], "left").withColumn("hit", F.coalesce("hit", F.lit(0))), size, k)
+
+
+def per_query_hits(hits: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """The same from hits (qid, rank, hit = 1 if relevant) and the number of relevant rows (qid, n_rel), where those need not be listed."""
     top = F.col("rank") <= k
-    g = h.groupBy("qid").agg(
+    g = hits.groupBy("qid").agg(
         F.sum(F.when(top, F.col("hit")).otherwise(0)).alias("found"),
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         F.sum(F.when(top & (F.col("hit") == 1), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),

@@ -1,17 +1,33 @@
-"""Retrieval: BM25, exact dense search, rank fusion, document-scoped search, hit merging."""
+"""Retrieval: BM25, exact dense search, rank fusion, document-scoped search, hit merging.
+
+BM25 and dense search score in Arrow batches: a batch of documents against the broadcast query set at once, in numpy; each
+task hands on its best k of a query only, so what is shuffled does not grow with the number of documents that match.
+"""
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallgrove.functions.text import tokens
-from tallgrove.functions.vectors import dot, similarity
+from tallgrove.functions.vectors import similarity
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 #: Rows of a query set up to which it is broadcast; beyond it Spark joins as it likes.
 SMALL = 200_000
-#: Query vectors that are broadcast at once (8 bytes a dimension each).
+#: Queries that are broadcast at once: vectors (8 bytes a dimension each), or terms with weights (16 bytes a term).
 BLOCK = 20_000
+#: Scores that are held at once.
+CELLS = 1 << 21
 
 
 def near(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -26,55 +42,218 @@ def ranked(df: DataFrame, score: str, key: str, by: str = "qid", k: int | None =
     return df if k is None else df.where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): a row for each different token of a document, counted inside the row."""
-    t = docs.select(key, tokens(F.col(text)).alias("__t"))
-    return t.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+class Best:
+    """The best k keys of each query seen so far: scores to nine digits descending, then keys. k is a number, or one for each query."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.known = k, None
+        self.scores, self.at = np.full((0, queries), -np.inf), np.empty((0, queries), np.int64)
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Scores (keys, queries) of keys not seen before; -inf is none."""
+        if len(keys) > self.k:  # what is below the k-th best score here can be left out
+            rounded = np.round(scores, 9)
+            some = (rounded >= np.partition(rounded, len(keys) - self.k, axis=0)[len(keys) - self.k]).any(axis=1)
+            keys, scores = keys[some], scores[some]
+        old = 0 if self.known is None else len(self.known)
+        known = keys if self.known is None else np.concatenate([self.known, keys])
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(known, kind="stable")] = np.arange(len(known))
+        at = np.concatenate([self.at, np.broadcast_to(old + np.arange(len(keys))[:, None], scores.shape)])
+        scores = np.concatenate([self.scores, scores])
+        order = np.lexsort((rank[at], -np.round(scores, 9)), axis=0)[: self.k]
+        self.scores = np.take_along_axis(scores, order, 0)
+        used, at = np.unique(np.take_along_axis(at, order, 0), return_inverse=True)
+        self.known, self.at = known[used], at.reshape(self.scores.shape)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the query, key, score) of the best."""
+        place, q = np.nonzero(self.scores > -np.inf)
+        return q, self.known[self.at[place, q]] if len(q) else np.empty(0, object), self.scores[place, q]
+
+
+def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: str, k: int, scorer: Callable) -> DataFrame:
+    """(qid, key, score): of each task the best k of each query. ``scorer()`` makes a function of batches to scores (rows, queries). Null keys are not found."""
+    kind = df.schema[key].dataType
+    schema = f"qid {qid_type}, `{key}` {kind.simpleString()}, score double"
+    if not qids:
+        return df.sparkSession.createDataFrame([], schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, best = scorer(), Best(len(qids), k)
+        step = max(1, CELLS // len(qids))
+        for b in it:
+            for s in range(0, b.num_rows, step):
+                own = b.slice(s, step)
+                best.add(own.column(0).to_numpy(zero_copy_only=False), score(own))
+        q, keys, scores = best.rows()
+        yield pa.record_batch([pa.array([qids[i] for i in q], arrow.field(0).type), pa.array(keys.tolist(), arrow.field(1).type), pa.array(scores)], ["qid", key, "score"])
+
+    return df.where(F.col(key).isNotNull()).select(key, *columns).mapInArrow(task, schema)
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, df, idf): documents that hold the term, and the raw inverse document frequency."""
-    t = docs.select(tokens(F.col(text)).alias("__t"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = t.select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    df = _counts(docs, text)
+    n = df.where("term is null").select(F.col("df").alias("n"))
+    return df.where("term is not null").crossJoin(F.broadcast(n)).select("term", "df", _idf().alias("idf"))
+
+
+def _idf() -> Column:
+    return F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+
+
+def _counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, df, length): documents that hold a term; the null term has all documents and their tokens. One pass, one shuffle of partial counts."""
+    t = docs.select(tokens(F.col(text)).alias("__t")).select(F.concat(F.array_distinct("__t"), F.array(F.lit(None).cast("string"))).alias("terms"), F.size("__t").alias("length"))
+    t = t.select(F.explode("terms").alias("term"), "length")
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
+
+
+def _statistics(docs: DataFrame, wanted: DataFrame, text: str) -> tuple[float, list]:
+    """(mean length, [(term, idf)] of the wanted terms) by one job over the documents; nothing is returned but these and one row a document frequency."""
+    counts = _counts(docs, text).join(near(wanted).withColumn("own", F.lit(True)), "term", "left")
+    # terms that are not wanted matter by their document frequency only, for the mean
+    rows = counts.groupBy("df", F.when(F.col("own") | F.col("term").isNull(), F.col("term")).alias("term"), F.col("term").isNull().alias("every"), F.col("own")).agg(F.count(F.lit(1)).alias("k"), F.max("length").alias("length")).toArrow().to_pylist()
+    every = [r for r in rows if r["every"]]
+    if not every:
+        return 0.0, []
+    n = every[0]["df"]
+    idf = lambda df: float(np.log(n - df + 0.5) - np.log(df + 0.5))
+    terms = [r for r in rows if not r["every"]]
+    mean = sum(r["k"] * idf(r["df"]) for r in terms) / max(1, sum(r["k"] for r in terms))
+    return every[0]["length"] / n, [(r["term"], idf(r["df"]) if idf(r["df"]) >= 0 else EPSILON * mean) for r in terms if r["own"]]
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text") -> DataFrame:
     """(qid, rank, key, score) of the k best documents of each query with a score above 0.
 
-    ``queries`` has qid and text. Only the postings of the queries' terms are formed: documents
-    are filtered by the (checked) broadcast term list as they are exploded.
+    ``queries`` has qid and text, taken in blocks of at most ``BLOCK``. The documents are read twice: once for the
+    statistics, once (a block) to be scored.
     """
+    spark = docs.sparkSession
     terms = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    vocab = vocabulary(docs, text)
-    wanted = near(terms.select("term").distinct())
-    mean = vocab.agg(F.avg("idf").alias("mean"))
-    idf = vocab.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    weighted = terms.join(idf, "term")
-    t = docs.select(F.col(key), tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    avg = t.agg(F.avg("dl").alias("avgdl"))
-    own = t.select(key, "dl", F.explode("__t").alias("term")).join(wanted, "term").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = own.join(near(weighted), "term").crossJoin(F.broadcast(avg)).groupBy("qid", key).agg(F.sum(part).alias("score"))
-    return ranked(scored.where("score > 0"), "score", key, k=k).select("qid", "rank", key, "score")
+    mean, idf = _statistics(docs, terms.select("term").distinct(), text)
+    idf_of = dict(idf)
+    blocks = max(1, -(-terms.select("qid").distinct().count() // BLOCK))
+    kind = queries.schema["qid"].dataType.simpleString()
+    t = docs.select(F.col(key), tokens(F.col(text)).alias("__t"))
+    out = None
+    for i in range(blocks):
+        own = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow().to_pylist()
+        qids = sorted({r["qid"] for r in own}, key=lambda q: (q is None, q))
+        at, number = {q: i for i, q in enumerate(qids)}, {}
+        own = [r for r in own if r["term"] in idf_of]
+        term = np.array([number.setdefault(r["term"], len(number)) for r in own], np.int64)
+        weight = np.array([r["times"] * idf_of[r["term"]] for r in own])
+        order = np.argsort(term, kind="stable")
+        shared = spark.sparkContext.broadcast((number, np.searchsorted(term[order], np.arange(len(number) + 1)), np.array([at[r["qid"]] for r in own], np.int64)[order], weight[order]))
+
+        def scorer(shared=shared, n=len(qids)):
+            number, start, owner, weight = shared.value
+
+            def score(b: pa.RecordBatch) -> np.ndarray:
+                lists = b.column(1)
+                length = np.diff(lists.offsets.to_numpy())
+                found = np.fromiter((number.get(w, -1) for w in lists.flatten().to_pylist()), np.int64)
+                hit = np.flatnonzero(found >= 0)
+                pair, tf = np.unique(np.repeat(np.arange(len(length)), length)[hit] * (len(number) + 1) + found[hit], return_counts=True)
+                doc, term = np.divmod(pair, len(number) + 1)
+                scores = np.zeros(len(length) * n)
+                if len(doc):
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+                    # every (document, term) meets the queries of the term, about CELLS meetings at once
+                    times = start[term + 1] - start[term]
+                    ends = np.cumsum(times)
+                    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + CELLS, CELLS))
+                    for x, y in zip(cuts, cuts[1:]):
+                        t = times[x:y]
+                        entry = np.repeat(start[term[x:y]] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                        scores += np.bincount(np.repeat(doc[x:y], t) * n + owner[entry], np.repeat(part[x:y], t) * weight[entry], len(scores))
+                scores = scores.reshape(len(length), n)
+                return np.where(scores > 0, scores, -np.inf)
+
+            return score
+
+        best = best_of(t, ["__t"], key, qids, kind, k, scorer)
+        out = best if out is None else out.unionByName(best)
+    return ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
+
+
+def _vector_blocks(queries: DataFrame, columns: list[str]) -> Iterator[tuple[list, object, dict]]:
+    """Blocks of queries (qid, q, columns): ids, the broadcast matrix of their vectors, and the columns as lists."""
+    wanted = queries.select("qid", "q", *columns).where("q is not null")
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    for i in range(blocks):
+        own = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow()
+        qids = own.column("qid").to_pylist()
+        matrix = np.array(own.column("q").to_pylist(), np.float64).reshape(len(qids), -1 if qids else 0)
+        yield qids, queries.sparkSession.sparkContext.broadcast(matrix), {c: own.column(c).to_pylist() for c in columns}
+
+
+def _products(b: pa.RecordBatch, column: int, queries: np.ndarray) -> np.ndarray:
+    """Inner products (rows, queries)."""
+    return b.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) @ queries.T
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
     """(qid, rank, key, score): exact inner products of each query (qid, q) with every vector, best k.
 
     Queries are broadcast in blocks of about ``BLOCK`` at most, each block in a scan of its own over the
-    vectors; every task keeps its best k of a query before the shuffle.
+    vectors; every task keeps its best k of a query before the shuffle. Null vectors are not found.
     """
-    wanted = queries.select("qid", "q")
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    out = None
-    for i in range(blocks):
-        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        pairs = vectors.select(key, vector).crossJoin(F.broadcast(own))
-        scored = pairs.select("qid", key, dot(F.col("q"), F.col(vector)).alias("score"))
-        best = ranked(scored, "score", key, k=k).select("qid", "rank", key, "score")
+    kind, out = queries.schema["qid"].dataType.simpleString(), None
+    for qids, shared, _ in _vector_blocks(queries, []):
+
+        def scorer(shared=shared):
+            return lambda b: _products(b, 1, shared.value)
+
+        best = best_of(vectors.where(F.col(vector).isNotNull()), [vector], key, qids, kind, k, scorer)
         out = best if out is None else out.unionByName(best)
+    return ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
+
+
+def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, vector: str = "embedding") -> DataFrame:
+    """(qid, rank, key, score): of each query (qid, q, doc, budget) the best k vectors of its document among the ``budget`` best of all.
+
+    The best of the document are found first; then those are counted, in a second scan, that come before each of them.
+    """
+    kind, out = queries.schema["qid"].dataType.simpleString(), None
+    for qids, shared, more in _vector_blocks(queries, [doc, "budget"]):
+        docs = np.array(more[doc], object)
+
+        def scorer(shared=shared, docs=docs):
+            return lambda b: np.where(np.array(b.column(2).to_pylist(), object)[:, None] == docs, _products(b, 1, shared.value), -np.inf)
+
+        found = vectors.where(F.col(vector).isNotNull())
+        best = ranked(best_of(found, [vector, doc], key, qids, kind, k, scorer), "score", key, k=k).select("qid", "rank", key, "score").toArrow()  # k rows a query
+        at = {q: i for i, q in enumerate(qids)}
+        place = [(at[q], r - 1) for q, r in zip(best.column("qid").to_pylist(), best.column("rank").to_pylist())]
+        scores = np.full((len(qids), k), np.inf)
+        keys = np.zeros((len(qids), k), object)
+        for (i, r), score, x in zip(place, best.column("score").to_pylist(), best.column(key).to_pylist()):
+            scores[i, r], keys[i, r] = np.round(score, 9), x
+
+        def count(it: Iterator[pa.RecordBatch], shared=shared, scores=scores, keys=keys) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(scores.shape, np.int64)
+            for b in it:
+                for s in range(0, b.num_rows, step):
+                    own = b.slice(s, step)
+                    x, names = np.round(_products(own, 1, shared.value), 9), np.array(own.column(0).to_pylist(), object)
+                    for r in range(scores.shape[1]):
+                        n[:, r] += (x > scores[:, r]).sum(axis=0)
+                        row, q = np.nonzero(x == scores[:, r])
+                        np.add.at(n[:, r], q, [names[i] < keys[j, r] for i, j in zip(row, q)])
+            i, r = np.nonzero(np.isfinite(scores))
+            yield pa.record_batch([pa.array(i), pa.array(r), pa.array(n[i, r])], ["i", "r", "n"])
+
+        step = max(1, CELLS // max(1, len(qids)))
+        counts = found.select(key, vector).mapInArrow(count, "i long, r long, n long").groupBy("i", "r").agg(F.sum("n").alias("n"))
+        before = {(r.i, r.r): r.n for r in counts.collect()} if place else {}
+        keep = pa.array([before.get(p, 0) < more["budget"][p[0]] for p in place], pa.bool_())
+        part = found.sparkSession.createDataFrame(best.filter(keep))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

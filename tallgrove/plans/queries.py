@@ -1,8 +1,13 @@
 """The registered queries of the retrieval engine and their DuckDB SQL, side by side."""
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
 from tallgrove.operators import chunking, context, evaluation, incremental, records, search
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -161,12 +168,18 @@ def _bag_sql(d: str, key: str) -> str:
 
 
 def bag_vectors(df: DataFrame, key: str) -> DataFrame:
-    """(key, embedding): a stand-in embedder, normalised counts of hashed words in 64 dimensions."""
-    w = df.select(key, F.explode(T.tokens(F.col("text"))).alias("term"))
-    dim = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % 64).alias("dim")
-    c = w.select(key, dim).groupBy(key, "dim").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    m = c.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).alias("embedding"))
+    """(key, embedding): a stand-in embedder as an Arrow UDF, normalised counts of hashed words in 64 dimensions."""
+
+    @F.arrow_udf("array<double>")
+    def embed(words: pa.Array) -> pa.Array:
+        each = words.flatten().dictionary_encode()
+        slot = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 for w in each.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+        c = np.bincount(row * 64 + slot[each.indices.to_numpy()] if len(row) else [], minlength=len(words) * 64).reshape(-1, 64).astype(float)
+        return pa.array((c / np.sqrt((c * c).sum(axis=1, keepdims=True))).tolist(), pa.list_(pa.float64()))
+
+    w = T.tokens(F.col("text"))
+    return df.where(F.size(w) > 0).select(key, embed(w).alias("embedding"))
 
 
 @query(f"""with {BM25}, {_bag_sql('documents', 'doc_id')}, {_bag_sql('benchmark', 'item_id')},
@@ -190,13 +203,8 @@ select * from (select qid, row_number() over (partition by qid order by pos) as
 def search_by_document(t):
     v, q = _vectors(t)
     n = v.groupBy("label").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n"))))
-    b = q.join(n, F.col("qlabel") == F.col("label")).select("qid", "qlabel", search.scoped_budget(F.col("k"), F.col("n"), 5).alias("budget"))
-    most = b.agg(F.max("budget")).first()[0] or 0
-    hits = search.dense(v, q, "vec_id", int(most)).join(F.broadcast(b), "qid").where("rank <= budget")
-    own = hits.join(v.select("vec_id", "label"), "vec_id").where("label = qlabel")
-    w = Window.partitionBy("qid").orderBy("rank")
-    out = own.withColumn("new", F.row_number().over(w)).where("new <= 5")
-    return out.select("qid", long("new").alias("rank"), "vec_id", r6("score"))
+    b = q.join(n, F.col("qlabel") == F.col("label")).select("qid", "q", F.col("qlabel").alias("label"), search.scoped_budget(F.col("k"), F.col("n"), 5).cast("long").alias("budget"))
+    return search.scoped(v, b, "vec_id", 5, "label").select("qid", long("rank").alias("rank"), "vec_id", r6("score"))
 
 
 @query(f"""with {DENSE20} select * from (select qid, row_number() over (partition by qid order by (vec_id * 7919 % 1009) desc, rank) as rank, vec_id, (vec_id * 7919 % 1009)::bigint as rerank_score from hits) where rank <= 5""")
@@ -238,8 +246,9 @@ per as (select qid, p as precision, r as recall, case when p + r > 0 then 2 * p
 
 def _per(t) -> DataFrame:
     v, q = _vectors(t)
-    rel = q.join(v, F.col("label") == F.col("qlabel")).select("qid", "vec_id")
-    return evaluation.per_query(_hits(t, 20), rel, "vec_id", 5)
+    hits = _hits(t, 20).join(q.select("qid", "qlabel"), "qid").join(v.select("vec_id", "label"), "vec_id")
+    size = q.join(v.groupBy("label").agg(F.count(F.lit(1)).alias("n_rel")), F.col("label") == F.col("qlabel")).select("qid", "n_rel")
+    return evaluation.per_query_hits(hits.withColumn("hit", (F.col("label") == F.col("qlabel")).cast("int")), size, 5)
 
 
 @query(f"with {METRICS} select qid, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from per")
