@@ -28,19 +28,20 @@ def referenced(have: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.join(have.select("chunk_id"), "chunk_id", "left_anti")
 
 
+#: Patterns of reference lines, with and without a chunk's id.
 REFERENCE = r"^.*?\[\^(\d+)\]:\s*(.+?)(?:\(id:\s*([^)]+)\))?\s*$"
 PLAIN_REFERENCE = r"(?i)\[\^(\d+)\]:\s*([^,\n]+),\s*Page\s+(\w+)"
 
 
 def references(answers: DataFrame, by: str = "qid", answer: str = "answer") -> DataFrame:
-    """(by, pos, marker, label, ref_id) of lines ``[^1]: Doc, Page 5 (id: Doc_p5_c2)``; ref_id is empty without an id."""
+    """(by, pos, marker, label, ref_id) of lines such as ``[^7]: manual, Page 3 (id: manual_p3_c0)``; ref_id is empty without an id."""
     lines = answers.select(by, F.posexplode(F.split(answer, "\n")).alias("pos", "line")).where(F.col("line").rlike(REFERENCE))
     part = lambda i: F.regexp_extract("line", REFERENCE, i)
     return lines.select(by, "pos", part(1).cast("int").alias("marker"), strip(F.rtrim(strip(part(2)), F.lit("("))).alias("label"), strip(part(3)).alias("ref_id"))
 
 
 def plain_references(answers: DataFrame, by: str = "qid", answer: str = "answer") -> DataFrame:
-    """(by, pos, marker, label, page) of references ``[^1]: handbook, Page 27``."""
+    """(by, pos, marker, label, page) of references such as ``[^2]: manual, Page 9``."""
     get = lambda i: F.regexp_extract_all(answer, F.lit(PLAIN_REFERENCE), F.lit(i))
     rows = answers.select(by, F.posexplode(F.arrays_zip(get(1).alias("m"), get(2).alias("d"), get(3).alias("p"))).alias("pos", "r"))
     return rows.select(by, "pos", F.col("r.m").cast("int").alias("marker"), strip(F.col("r.d")).alias("label"), strip(F.col("r.p")).alias("page"))
@@ -69,3 +70,38 @@ def plain_resolved(refs: DataFrame, chunks: DataFrame, by: str = "qid") -> DataF
     exact = (F.col("doc_name") == F.col("label")) & (F.col("chunk_page").cast("string") == F.col("page"))
     loose = (F.coalesce(F.col("doc_name"), F.lit("")) != "") & (F.contains("label", "doc_name") | F.contains("doc_name", "label"))
     return _first_resolved(refs, c, by, exact, loose)
+
+
+CITATION = "struct<marker:int,chunk_id:string,doc_name:string,page:string,section:string>"
+
+
+def _cited(refs: Column, chunks: Column, exact, loose) -> Column:
+    """Array of ``CITATION``: of each marker the first reference that a chunk resolves, by the first exact chunk, else the first loose one."""
+    pick = lambda r: F.coalesce(F.get(F.filter(chunks, lambda c: exact(r, c)), F.lit(0)), F.get(F.filter(chunks, lambda c: loose(r, c)), F.lit(0)))
+    found = F.filter(F.transform(refs, lambda r: F.struct(r["marker"].alias("marker"), pick(r).alias("c"))), lambda x: x["c"].isNotNull())
+    one = F.transform(found, lambda x: F.struct(x["marker"].alias("marker"), *(x["c"][f].cast("string").alias(f) for f in ("chunk_id", "doc_name", "page", "section"))).cast(CITATION))
+    add = lambda a, x: F.when(F.exists(a, lambda y: y["marker"] == x["marker"]), a).otherwise(F.concat(a, F.array(x)))
+    return F.coalesce(F.aggregate(one, F.array().cast(f"array<{CITATION}>"), add), F.array().cast(f"array<{CITATION}>"))
+
+
+def cited(answer: Column, chunks: Column) -> Column:
+    """``references`` and ``resolved`` inside the row: the citations of an answer among an array of chunks in order of rank."""
+    lines = F.filter(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: x.rlike(REFERENCE))
+    part = lambda x, i: F.regexp_extract(x, REFERENCE, i)
+    refs = F.transform(lines, lambda x: F.struct(part(x, 1).cast("int").alias("marker"), strip(F.rtrim(strip(part(x, 2)), F.lit("("))).alias("label"), strip(part(x, 3)).alias("ref_id")))
+
+    def loose(r: Column, c: Column) -> Column:
+        page = F.nullif(F.regexp_extract(r["label"], r"(?i)page\s+(\w+)", 1), F.lit(""))
+        return (F.coalesce(c["doc_name"], F.lit("")) != "") & F.contains(r["label"], c["doc_name"]) & (page.isNull() | (page == c["page"].cast("string")))
+
+    return _cited(refs, chunks, lambda r, c: r["ref_id"] == c["chunk_id"], loose)
+
+
+def plain_cited(answer: Column, chunks: Column) -> Column:
+    """``plain_references`` and ``plain_resolved`` inside the row."""
+    get = lambda i: F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(PLAIN_REFERENCE), F.lit(i))
+    zipped = F.arrays_zip(get(1).alias("m"), get(2).alias("d"), get(3).alias("p"))
+    refs = F.transform(zipped, lambda r: F.struct(r["m"].cast("int").alias("marker"), strip(r["d"]).alias("doc"), strip(r["p"]).alias("page")))
+    exact = lambda r, c: (c["doc_name"] == r["doc"]) & (c["page"].cast("string") == r["page"])
+    loose = lambda r, c: (F.coalesce(c["doc_name"], F.lit("")) != "") & (F.contains(r["doc"], c["doc_name"]) | F.contains(c["doc_name"], r["doc"]))
+    return _cited(refs, chunks, exact, loose)

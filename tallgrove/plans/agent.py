@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
 from tallgrove.operators import context, search
-from tallgrove.plans.index import Index
+from tallgrove.plans.index import Index, checked_answers
 
 Model = Callable[[Column], Column]
 
@@ -41,20 +41,28 @@ def retrieve(index: Index, subs: DataFrame, top_k: int = 5, passes: int = 1, ref
     return search.merged(found.drop("key"), "chunk_id"), last
 
 
-def answered(index: Index, queries: DataFrame, planner: Model, llm: Model, top_k: int = 5, passes: int = 1, reformulate: Model | None = None) -> DataFrame:
-    """(qid, query, context, answer, citations, notes, mismatches, confidence) of every query (qid, text)."""
-    hits, coverage = retrieve(index, sub_queries(queries, planner), top_k, passes, reformulate)
+def contexts(index: Index, hits: DataFrame) -> DataFrame:
+    """(qid, context, n_blocks) of hits and of the chunks that they refer to."""
+    return context.assembled(with_references(index, hits))
+
+
+def with_references(index: Index, hits: DataFrame) -> DataFrame:
+    """(qid, chunk_id, doc_name, page, section, text) of hits and of the sections of the same documents that they refer to."""
     cols = ["qid", "chunk_id", "doc_name", "page", "section", "text"]
     c = index.table("chunks")
     more = context.referenced(hits.select("chunk_id", "doc_name", "text").distinct(), c.select("chunk_id", "doc_name", "page", "section", "text"))
-    full = hits.select(cols).unionByName(more.join(hits.select("qid", "doc_name").distinct(), "doc_name").select(cols))
+    return hits.select(cols).unionByName(more.join(hits.select("qid", "doc_name").distinct(), "doc_name").select(cols))
+
+
+def answered(index: Index, queries: DataFrame, planner: Model, llm: Model, top_k: int = 5, passes: int = 1, reformulate: Model | None = None, verifier: Model | None = None) -> DataFrame:
+    """(qid, query, context, answer, citations, notes, mismatches, confidence) of every query (qid, text); confidence as in ``Index.answer``."""
+    hits, coverage = retrieve(index, sub_queries(queries, planner), top_k, passes, reformulate)
+    full = with_references(index, hits)
     a = context.assembled(full).join(queries.select("qid", F.col("text").alias("query")), "qid")
     a = a.withColumn("answer", llm(F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "query")))
-    ranked = hits.select("qid", F.col("rank").alias("ord"), "chunk_id", "doc_name", "page", "section")
-    cited = context.resolved(context.references(a.select("qid", "answer")), ranked).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("marker", "chunk_id", "doc_name", "page", "section"))).alias("citations"))
+    ranked = F.sort_array(F.collect_list(F.struct("rank", F.struct("chunk_id", "doc_name", "page", "section").alias("c"))))
+    a = a.join(hits.groupBy("qid").agg(F.transform(ranked, lambda x: x["c"]).alias("__ranked")), "qid", "left").withColumn("citations", context.cited(F.col("answer"), F.col("__ranked")))
     weak = F.concat(F.lit("Weak coverage of sub-query "), F.col("sub"))
     notes = coverage.where(~F.col("covered")).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(weak)), "; ").alias("notes"))
-    a = a.join(cited, "qid", "left").join(notes, "qid", "left")
-    bad = T.value_mismatches(F.col("answer"), F.col("context"))
-    ratio = F.coalesce(T.grounding(F.col("answer"), F.col("context")), F.lit(1.0))
-    return a.select("qid", "query", "context", "answer", "citations", F.coalesce("notes", F.lit("")).alias("notes"), bad.alias("mismatches"), T.confidence(F.lit("high"), ratio, bad).alias("confidence"))
+    a = checked_answers(a.join(notes, "qid", "left"), full, verifier)
+    return a.select("qid", "query", "context", "answer", "citations", F.coalesce("notes", F.lit("")).alias("notes"), "mismatches", "confidence")

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, incremental, search
+from tallgrove.operators import chunking, context, enrichment, incremental, search, verification
 from tallgrove.sources.files import write_table
 
 Embed = Callable[[Column], Column]
@@ -37,25 +39,37 @@ class Index:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def build(self, pages: DataFrame, size: int = 800, overlap: int = 200, mode: str = "overwrite") -> None:
-        """Chunks pages (doc_name, page, text) and writes chunks and vectors; ``mode`` append adds new documents."""
-        if mode == "append" and self.table("config").first()["model"] != self.model:
+    def check_model(self) -> None:
+        if self.table("config").first()["model"] != self.model:
             raise ValueError("the index was built with another embedding model")
+
+    def build(self, pages: DataFrame, size: int = 800, overlap: int = 200, mode: str = "overwrite", enrich: Callable[[Column], Column] | None = None) -> None:
+        """Chunks pages (doc_name, page, text) and writes chunks and vectors; ``mode`` append adds new documents.
+
+        With ``enrich``, a model's reply to an enrichment prompt, chunks get a summary, questions and the text that is embedded in place of theirs.
+        """
+        if mode == "append":
+            self.check_model()
         c = chunking.chunks(pages, size, overlap)
+        c = enrichment.enriched(c, enrich) if enrich else c
         write_table(c, f"{self.path}/chunks", mode)
         # vectors are made from the chunks just written, so that pages are cut only once
         c = self.table("chunks").join(pages.select("doc_name").distinct(), "doc_name", "left_semi") if mode == "append" else self.table("chunks")
-        write_table(c.select("chunk_id", self.embed(F.col("text")).alias("embedding")), f"{self.path}/vectors", mode)
+        source = T.embedding_source(F.col("embedding_text"), F.col("text")) if "embedding_text" in c.columns else F.col("text")
+        write_table(c.select("chunk_id", self.embed(source).alias("embedding")), f"{self.path}/vectors", mode)
         n = self.table("chunks").count()
         write_table(self.spark.createDataFrame([(n, self.model, "cosine")], "num_chunks long, model string, similarity string"), f"{self.path}/config")
 
     def update(self, pages: DataFrame, current: DataFrame) -> str:
         """Appends new documents, rebuilds if any was modified or deleted; (name, mtime, size) in ``current`` becomes the manifest."""
-        known = self.table("manifest")
+        known = self.manifest()
         kinds = {r["change"] for r in incremental.changes(current, known).groupBy("change").count().collect()}
         if kinds & {"modified", "deleted"}:
             self.build(pages.join(current.select(F.col("name").alias("doc_name")), "doc_name", "left_semi"))
             done = "rebuilt"
+        elif "new" in kinds and known.isEmpty():
+            self.build(pages.join(current.select(F.col("name").alias("doc_name")), "doc_name", "left_semi"))
+            done = "built"
         elif "new" in kinds:
             fresh = current.join(known, "name", "left_anti").select(F.col("name").alias("doc_name"))
             self.build(pages.join(fresh, "doc_name", "left_semi"), mode="append")
@@ -65,14 +79,31 @@ class Index:
         self.remember(current)
         return done
 
+    def manifest(self) -> DataFrame:
+        """(name, mtime, size) of the documents that are in the index; empty where nothing was remembered yet."""
+        try:
+            return self.table("manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "name string, mtime timestamp, size long")
+
     def remember(self, current: DataFrame) -> None:
         write_table(current.select("name", "mtime", "size"), f"{self.path}/manifest")
 
-    def search(self, queries: DataFrame, top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-        """(qid, rank, score, similarity, chunk_id, doc_name, page, section, text[, rerank_score]) of all queries (qid, text) at once."""
+    def search(self, queries: DataFrame, top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, hyde: Callable[[Column], Column] | None = None) -> DataFrame:
+        """(qid, rank, score, similarity, chunk_id, doc_name, page, section, text[, rerank_score]) of all queries (qid, text) at once.
+
+        With ``hyde``, a model that writes a passage which would answer the query, the vector searched for is the mean of both; a failed or
+        empty passage leaves the query's own. An index of another embedding model is an error.
+        """
+        self.check_model()
         c = self.table("chunks")
         k = search.over_fetch(top_k, max(c.count(), 1), rerank is not None)
-        vectors = queries.select("qid", self.embed(F.col("text")).alias("q"))
+        vectors = queries.select("qid", self.embed(F.col("text")).alias("q"), *([hyde(F.col("text")).alias("__h")] if hyde else []))
+        if hyde:
+            both = V.normalized(V.mean_of(F.col("q"), self.embed(F.coalesce("__h", F.lit("")))))
+            vectors = vectors.select("qid", F.when((F.coalesce("__h", F.lit("")) == "") | models.failed(F.col("__h")), F.col("q")).otherwise(both).alias("q"))
         hits = search.fused(search.dense(self.table("vectors"), vectors, "chunk_id", k), search.bm25(c.select("chunk_id", "text"), queries, "chunk_id", k), "chunk_id", k)
         found = c.select("chunk_id", "doc_name", "page", "section", "text").join(search.near(hits), "chunk_id")
         if rerank:
@@ -93,8 +124,11 @@ class Index:
         c = self.table("chunks")
         return c.agg(F.count(F.lit(1)).alias("num_chunks"), F.count_distinct("doc_name").alias("num_docs"), F.array_sort(F.collect_set("doc_name")).alias("docs"))
 
-    def answer(self, queries: DataFrame, llm: Callable[[Column], Column], top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, budget: int = context.BUDGET) -> DataFrame:
-        """(qid, query, context, answer, mismatches, confidence): retrieve, resolve cross references, assemble, answer, check values."""
+    def answer(self, queries: DataFrame, llm: Callable[[Column], Column], top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, budget: int = context.BUDGET, verifier: Callable[[Column], Column] | None = None) -> DataFrame:
+        """(qid, query, context, answer, mismatches, confidence): retrieve, resolve cross references, assemble, answer, check values.
+
+        ``verifier`` replies to a verification prompt; without one no claim is checked, and the confidence is n/a, or low with a value that no source has.
+        """
         hits = self.search(queries, top_k, rerank)
         c = self.table("chunks")
         more = context.referenced(hits.select("chunk_id", "doc_name", "text").distinct(), c.select("chunk_id", "doc_name", "page", "section", "text"))
@@ -103,6 +137,15 @@ class Index:
         full = hits.select(cols).unionByName(more.join(refs, "doc_name").select(cols))
         a = context.assembled(full, budget=budget).join(queries.select("qid", F.col("text").alias("query")), "qid")
         a = a.withColumn("answer", llm(F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "query")))
+        return checked_answers(a, full, verifier).select("qid", "query", "context", "answer", "mismatches", "confidence")
+
+
+def checked_answers(answers: DataFrame, chunks: DataFrame, verifier: Callable[[Column], Column] | None) -> DataFrame:
+    """Adds mismatches and confidence to answers (qid, answer, context); with a verifier the answer is the verified one."""
+    if verifier is None:
         bad = T.value_mismatches(F.col("answer"), F.col("context"))
-        ratio = F.coalesce(T.grounding(F.col("answer"), F.col("context")), F.lit(1.0))
-        return a.select("qid", "query", "context", "answer", bad.alias("mismatches"), T.confidence(F.lit("high"), ratio, bad).alias("confidence"))
+        return answers.withColumn("mismatches", bad).withColumn("confidence", F.when(F.size("mismatches") > 0, "low").otherwise("n/a"))
+    sources = chunks.groupBy("qid").agg(F.collect_list(F.struct("chunk_id", "doc_name", "page", "text")).alias("__c"))
+    a = answers.join(sources, "qid", "left")
+    a = a.withColumn("__v", verification.verified(F.col("answer"), F.col("__c"), verifier(verification.prompt(F.col("answer"), F.col("__c")))))
+    return a.withColumn("answer", F.col("__v.verified_answer")).withColumn("mismatches", F.col("__v.mismatches")).withColumn("confidence", F.col("__v.confidence")).drop("__v", "__c")

@@ -1,14 +1,18 @@
 """File sources and sinks: raw listings, text extraction, page, chunk, manifest and test-set tables."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrove.functions.text import file_stem
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Suffixes that are extracted, and encodings that are tried in this order.
 SUFFIXES = ("pdf", "docx", "txt")
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
@@ -39,38 +43,45 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def pages_of(name: str, ext: str, raw: bytes) -> list[tuple[int, str]]:
-    """(page, stripped text) of a file. PDF and DOCX need their parser on the workers; without it the import error says so."""
+def pages_of(name: str, ext: str, raw: bytes) -> Iterator[tuple[int, str]]:
+    """(page, stripped text) of a file, page after page, so that pages before a broken one are kept. PDF and DOCX need their parser on the workers; without it the import error says so."""
     import io
 
     if ext == "txt":
         text = decoded(raw).strip()
-        return [(1, text)] if text else []
+        if text:
+            yield 1, text
+        return
     if ext == "pdf":
         from pypdf import PdfReader
 
-        return [(i, t) for i, p in enumerate(PdfReader(io.BytesIO(raw)).pages, 1) if (t := (p.extract_text() or "").strip())]
+        for i, p in enumerate(PdfReader(io.BytesIO(raw)).pages, 1):
+            if t := (p.extract_text() or "").strip():
+                yield i, t
+        return
     from docx import Document
 
-    out, held, n = [], [], 0
+    page, held, n = 1, [], 0
     for p in filter(None, (x.text.strip() for x in Document(io.BytesIO(raw)).paragraphs)):
         held.append(p)
         n += len(p) + 1
         if n >= 3000:
-            out.append((len(out) + 1, "\n".join(held)))
-            held, n = [], 0
-    return out + ([(len(out) + 1, "\n".join(held))] if held else [])
+            yield page, "\n".join(held)
+            page, held, n = page + 1, [], 0
+    if held:
+        yield page, "\n".join(held)
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """Pages (doc_name, page, text, doc_type, error) of ``raw_files``; a file that fails is one row with its error."""
+    """Pages (doc_name, page, text, doc_type, error) of ``raw_files``; a file that fails has a row with its error after the pages that were read."""
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
             for stem, name, ext, raw in zip(*(b.column(i).to_pylist() for i in range(4))):
                 try:
-                    rows += [(stem, page, text, ext, None) for page, text in pages_of(name, ext, raw)]
+                    for page, text in pages_of(name, ext, raw):
+                        rows.append((stem, page, text, ext, None))
                 except Exception as e:  # noqa: BLE001  a broken file must not end the run; the row says what was wrong
                     rows.append((stem, None, None, ext, f"{type(e).__name__}: {e}"))
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -109,6 +120,6 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 def manifest(pages: DataFrame) -> DataFrame:
     """One row: number and sorted names of documents, and those that failed."""
-    ok = F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("doc_name"))))
+    ok = F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("doc_name"))))  # a document with pages counts, even if a later page failed
     bad = F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.col("doc_name"))))
     return pages.agg(F.size(ok).alias("total_docs"), ok.alias("documents"), bad.alias("failed"))
