@@ -49,8 +49,8 @@ BACKOFF = 10.0
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Bytes of text that numpy handles at once.
 ATONCE = 2 << 20
-#: Pairs that a task sums up before it hands them on; entries of one row of the written counts.
-HELD, CHUNK = 1 << 21, 1 << 20
+#: Pairs that a task sums up before it hands them on; entries of one row of the written counts, and of one batch on its way there.
+HELD, CHUNK = 1 << 21, 1 << 18
 #: Shards from which on probes are brought together by shard before they are written.
 MANY_SHARDS = 8
 #: Multipliers of the 64-bit mixer, the end token's hash, and the salts of levels and pairs.
@@ -120,7 +120,7 @@ class Sums:
     def __init__(self) -> None:
         self.h: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
-        self.held, self.limit = 0, 2 * CHUNK
+        self.held, self.limit = 0, HELD
 
     def add(self, h: np.ndarray, n: np.ndarray) -> None:
         self.h.append(h)
@@ -128,7 +128,7 @@ class Sums:
         self.held += len(h)
         if self.held > self.limit:
             h, n = self.take()
-            self.h, self.n, self.held, self.limit = [h], [n], len(h), max(2 * CHUNK, 2 * len(h))
+            self.h, self.n, self.held, self.limit = [h], [n], len(h), max(HELD, 2 * len(h))
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes and their sums; nothing is held any more."""
@@ -142,6 +142,15 @@ class Sums:
         return h[at], np.add.reduceat(n, at)
 
 
+def distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different hashes and how often each is there; ``held`` is empty afterwards."""
+    h = np.concatenate(held)
+    held.clear()
+    h.sort()
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.diff(np.append(at, len(h)))
+
+
 def levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
@@ -186,16 +195,14 @@ def probe(bits: np.ndarray, first: int, lines: int, h: np.ndarray) -> np.ndarray
     return level
 
 
-def filled(h: np.ndarray, q: np.ndarray, first: int, lines: int, own: int) -> np.ndarray:
-    """The ``own`` lines from ``first`` on of a filter of ``lines`` lines, with the levels 1..q of each hash."""
-    bits = np.zeros(own * LINE, np.uint8)
+def fill(bits: np.ndarray, h: np.ndarray, q: np.ndarray, first: int, lines: int) -> None:
+    """Sets the levels 1..q of each hash in ``bits`` (a byte a bit), the lines from ``first`` on of a filter of ``lines`` lines."""
     line = (range_of(h, lines) - np.uint64(first)) * np.uint64(LINE)
     for level in range(1, int(q.max(initial=0)) + 1):
         h, line, q = (x[q >= level] for x in (h, line, q))
         g = level_bits(h, level)
         for i in range(HASHES):
             bits[line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))] = 1
-    return np.packbits(bits, bitorder="little")
 
 
 def counted(train: DataFrame, buckets: int) -> DataFrame:
@@ -204,14 +211,15 @@ def counted(train: DataFrame, buckets: int) -> DataFrame:
     hist has the number of entries of each level. Rows of a bucket are cut at ``CHUNK`` entries.
     """
 
-    def pack(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def pack(kind: int, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.searchsorted(range_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        own = np.flatnonzero(edge[1:] > edge[:-1])
-        cut = [(edge[b], edge[b + 1]) for b in own]
-        return pa.record_batch(
-            [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([steps(h[s:e]) for s, e in cut], pa.binary()), pa.array([planes(n[s:e]) for s, e in cut], pa.binary())],
-            ["bucket", "kind", "h", "n"],
-        )
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        for own in np.split(some, np.flatnonzero(np.diff(edge[some] // CHUNK)) + 1):
+            cut = [(edge[b], edge[b + 1]) for b in own]
+            yield pa.record_batch(
+                [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([steps(h[s:e]) for s, e in cut], pa.binary()), pa.array([planes(n[s:e]) for s, e in cut], pa.binary())],
+                ["bucket", "kind", "h", "n"],
+            )
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Sums(), [], 0
@@ -219,16 +227,16 @@ def counted(train: DataFrame, buckets: int) -> DataFrame:
             hashes, stream, _ = tokens(b.column(0).to_pylist())
             words.add(hashes, np.bincount(stream, minlength=len(hashes)))
             if words.held > HELD:
-                yield pack(WORD_KIND, *words.take())
+                yield from pack(WORD_KIND, *words.take())
             h = hashes[stream]
             held.append(pairs_of(before(h), h))
             size += len(h)
             if size > HELD:
-                yield pack(PAIR_KIND, *np.unique(np.concatenate(held), return_counts=True))
-                held, size = [], 0
-        yield pack(WORD_KIND, *words.take())
+                yield from pack(PAIR_KIND, *distinct(held))
+                size = 0
+        yield from pack(WORD_KIND, *words.take())
         if held:
-            yield pack(PAIR_KIND, *np.unique(np.concatenate(held), return_counts=True))
+            yield from pack(PAIR_KIND, *distinct(held))
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, key = Sums(), None
@@ -268,21 +276,31 @@ def unpacked(rows: DataFrame, least: int, most: int) -> DataFrame:
     return rows.select("h", "n").mapInArrow(unpack, "h long, n long")
 
 
-def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> np.ndarray:
+def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> bytes:
     """The lines of buckets ``first`` to ``end``, ``each`` lines a bucket, of a filter of ``lines`` lines; at most ``MOST_BYTES``."""
 
-    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, own = np.zeros(each * LINE, np.uint8), None
+
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([own], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
         for b in it:
             for bucket, h, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                bits = filled(from_steps(h.as_buffer()), levels(from_planes(n.as_buffer(), np.int64)), bucket * each, lines, each)
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["bucket", "bits"])
-
-    got = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end)).select("bucket", "h", "n").mapInArrow(fill, "bucket int, bits binary").toArrow()
+                if own is not None and bucket != own:
+                    yield done()
+                    bits[:] = 0
+                own = bucket
+                fill(bits, from_steps(h.as_buffer()), levels(from_planes(n.as_buffer(), np.int64)), bucket * each, lines)
+        if own is not None:
+            yield done()
+
+    got = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end)).select("bucket", "h", "n").mapInArrow(put, "bucket int, bits binary").toArrow()
     size = each * LINE // 8
     out = np.zeros((end - first) * size, np.uint8)
     for bucket, bits in zip(got.column(0).to_pylist(), got.column(1)):
         out[(bucket - first) * size : (bucket - first + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
-    return out
+    return out.tobytes()  # workers read bytes without a second copy
 
 
 class Model:
@@ -316,7 +334,7 @@ class Model:
         hot = unpacked(self.word_rows, bound, (1 << 63) - 1).toArrow()
         h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
         order = np.argsort(h)
-        self.hot = spark.sparkContext.broadcast((h[order], n[order]))
+        self.hot = spark.sparkContext.broadcast((h[order].tobytes(), n[order].tobytes()))
         self.rare = unpacked(self.word_rows, 1, bound).select(F.col("h").alias("rare_h"), F.col("n").alias("rare_n"))
 
     def shards(self) -> list[tuple[int, int]]:
@@ -325,6 +343,12 @@ class Model:
         return [(s, min(s + most, self.buckets)) for s in range(0, self.buckets, most)]
 
 
+def frequent(hot: object) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the words that are broadcast."""
+    h, n = hot.value
+    return np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)
+
+
 def with_counts(df: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, row, rare_h, rare_n): the rows with the trained counts of those of their words that are not broadcast."""
     hot = model.hot
@@ -338,7 +362,7 @@ def with_counts(df: DataFrame, model: Model) -> DataFrame:
     def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 1, ATONCE):
             hashes, stream, sizes = tokens(b.column(1).to_pylist())
-            rest = np.flatnonzero(found_in(*hot.value, hashes)[stream] == 0)
+            rest = np.flatnonzero(found_in(*frequent(hot), hashes)[stream] == 0)
             key = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rest] * len(hashes) + stream[rest])
             yield pa.record_batch([pa.array(b.column(2).to_numpy()[key // len(hashes)]), pa.array(hashes[key % len(hashes)].view(np.int64))], ["row", "h"])
 
@@ -381,50 +405,51 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     total, shards = math.log10(n + v + 1), model.shards()
     starts = np.array([s for s, _ in shards], np.uint64)
 
+    def scored(b: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hot_h, hot_n = frequent(hot)
+        hashes, stream, sizes = tokens(b.column(1).to_pylist())
+        k = len(sizes)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        exact = found_in(hot_h, hot_n, hashes)
+        flags, known = (exact > 0)[stream], np.where(exact > 0, np.log10(exact + 1.0), 0.0)
+        if joined:
+            rare_h, first_at = np.unique(b.column(3).flatten().to_numpy().view(np.uint64), return_index=True)
+            every = np.maximum(exact, found_in(rare_h, b.column(4).flatten().to_numpy()[first_at], hashes))
+            uni = np.where(every > 0, levels(every), 0).astype(np.int8)
+        else:
+            uni = probe(np.frombuffer(words.value, np.uint8), 0, word_lines, hashes)
+        yield passed(k, shard=np.full(k, -1), row=ids, doc_id=b.column(0), n_tokens=sizes, n_known=np.add.reduceat(flags.astype(np.int64), begin), base_score=np.add.reduceat(known[stream], begin) - total * sizes)
+        owner = np.repeat(np.arange(k, dtype=np.int32), sizes)
+        if not all_hot and len(rest := np.flatnonzero(~flags)):
+            key, times = np.unique(owner[rest].astype(np.int64) * len(hashes) + stream[rest], return_counts=True)
+            yield passed(len(key), shard=np.full(len(key), -1), row=ids[key // len(hashes)], h=hashes[key % len(hashes)].view(np.int64), times=times)
+        h = hashes[stream]
+        two = pairs_of(before(h), h)
+        order = np.argsort(two, kind="stable")
+        two = two[order]
+        at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
+        two, times, last = two[at], np.diff(np.append(at, len(order))), order[at]
+        c = uni[stream]
+        left, right = np.concatenate([uni[hashes == END], c[:-1]])[last], c[last]  # every text has an end token
+        edge = np.append(np.searchsorted(range_of(two, buckets), starts), len(two))
+        token = np.append(at, len(order))
+        for s in np.flatnonzero(edge[1:] > edge[:-1]):
+            x, y = edge[s], edge[s + 1]
+            data = packed_probes(ids, two[x:y], left[x:y], right[x:y], times[x:y], owner[order[token[x] : token[y]]])
+            yield passed(1, shard=[s], row=ids[:1], probes=[data])
+
     def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 36
-        hot_h, hot_n = hot.value
-        row = 0
+        row = TaskContext.get().partitionId() << 36
         for b in batches(it, 1, ATONCE):
-            hashes, stream, sizes = tokens(b.column(1).to_pylist())
-            k = len(sizes)
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            exact = found_in(hot_h, hot_n, hashes)
-            flags, known = (exact > 0)[stream], np.where(exact > 0, np.log10(exact + 1.0), 0.0)
-            if joined:
-                rare_h, first_at = np.unique(b.column(3).flatten().to_numpy().view(np.uint64), return_index=True)
-                every = np.maximum(exact, found_in(rare_h, b.column(4).flatten().to_numpy()[first_at], hashes))
-                uni = np.where(every > 0, levels(every), 0).astype(np.int8)
-            else:
-                uni = probe(words.value, 0, word_lines, hashes)
-            ids = b.column(2).to_numpy() if joined else task + row + np.arange(k)
-            row += k
-            yield passed(k, shard=np.full(k, -1), row=ids, doc_id=b.column(0), n_tokens=sizes, n_known=np.add.reduceat(flags.astype(np.int64), begin), base_score=np.add.reduceat(known[stream], begin) - total * sizes)
-            owner = np.repeat(np.arange(k), sizes)
-            if not all_hot and len(rest := np.flatnonzero(~flags)):
-                key, times = np.unique(owner[rest] * len(hashes) + stream[rest], return_counts=True)
-                yield passed(len(key), shard=np.full(len(key), -1), row=ids[key // len(hashes)], h=hashes[key % len(hashes)].view(np.int64), times=times)
-            h = hashes[stream]
-            two = pairs_of(before(h), h)
-            order = np.argsort(two, kind="stable")
-            two = two[order]
-            at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
-            two, times, last = two[at], np.diff(np.append(at, len(order))), order[at]
-            c = uni[stream]
-            left, right = np.concatenate([uni[hashes == END], c[:-1]])[last], c[last]  # every text has an end token
-            edge = np.append(np.searchsorted(range_of(two, buckets), starts), len(two))
-            token = np.append(at, len(order))
-            for s in np.flatnonzero(edge[1:] > edge[:-1]):
-                x, y = edge[s], edge[s + 1]
-                data = packed_probes(ids, two[x:y], left[x:y], right[x:y], times[x:y], owner[order[token[x] : token[y]]])
-                yield passed(1, shard=[s], row=ids[:1], probes=[data])
+            yield from scored(b, b.column(2).to_numpy() if joined else row + np.arange(b.num_rows))
+            row += b.num_rows
 
     def probed(first: int, bits: object):
         def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 for data in b.column(0):
                     ids, two, left, right, times, owner = unpacked_probes(data.as_buffer())
-                    pair, ahead, c = counts_of(probe(bits.value, first * pair_each, buckets * pair_each, two)), counts_of(left), counts_of(right)
+                    pair, ahead, c = counts_of(probe(np.frombuffer(bits.value, np.uint8), first * pair_each, buckets * pair_each, two)), counts_of(left), counts_of(right)
                     a = ahead / (ahead + BACKOFF)
                     p = a * np.minimum(1.0, pair / np.maximum(np.maximum(ahead, pair), 1.0)) + (1 - a) * np.minimum(1.0, (c + 1) / (n + v + 1))
                     logs = np.bincount(owner, np.repeat(np.log10(np.minimum(p, 1.0)), times), len(ids))
