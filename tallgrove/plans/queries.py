@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, evaluation, incremental, records, search
+from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, records, search, verification
+from tallgrove.plans import harness
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -380,7 +381,7 @@ PAGES = [("a", "1.2 Scope of use\nbody\nSAFETY RULES\n12. not a header"), ("b",
 @query("""select 'doc' || (doc_id::varchar) as doc_name, 0::bigint as char_offset, '' as header from documents where false
 union all values ('a', 0::bigint, '1.2 Scope of use'), ('a', 22::bigint, 'SAFETY RULES'), ('b', 0::bigint, 'STEP 3: Open it'), ('b', 16::bigint, 'Procedure 4. Close it')
 union all select 'doc' || (doc_id::varchar), (length(array_to_string(l[1:i - 1], chr(10))) + (i > 1)::int)::bigint, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))
-where regexp_matches(regexp_replace(l[i], '^\\s+|\\s+$', '', 'g'), '^(\\d+\\.\\d*\\.?\\d*)\\s+([A-Z][^\\n]+)|^([A-Z][A-Z\\s]{3,}[A-Z])$|^(STEP\\s+\\d+[:\\.])\\s*(.+)|^(Procedure\\s+\\d+[:\\.])\\s*(.+)')""".replace("\\\\", "\\"))
+where regexp_matches(regexp_replace(l[i], '^\\s+|\\s+$', '', 'g'), '{headers}')""".replace("\\\\", "\\").replace("{headers}", "|".join(T.HEADERS)))
 def section_headers(t):
     docs = t("documents")
     own = docs.sparkSession.createDataFrame(PAGES, "doc_name string, text string")
@@ -429,12 +430,9 @@ def assemble_context(t):
     return context.assembled(c).select("qid", "n_blocks", F.md5("context").alias("digest"))
 
 
-_PATTERNS = [r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"[A-Za-z]:\\[^\s]+", r"(?:/[\w.-]+){2,}", r"\b\d+(?:\.\d+)?\b"]
-
-
 def _values(text: str) -> str:
     found = f"regexp_replace(split_part({text}, 'References', 1), '\\[\\^\\d+\\]', ' ', 'g')"
-    return "list_distinct(list_filter(list_concat(" + ", ".join(f"regexp_extract_all({found}, '{p}')" for p in _PATTERNS) + "), lambda x: length(x) > 1))"
+    return "list_distinct(list_filter(list_concat(" + ", ".join(f"regexp_extract_all({found}, '{p}')" for p in T.VALUES) + "), lambda x: length(x) > 1))"
 
 
 @query(f"select doc_id, unnest({_values('text')}) as value from documents")
@@ -619,3 +617,77 @@ def one_document(t):
     s = records.document_sections(c, "src3")
     own = c.where("doc_name = 'src3'").groupBy(F.col("doc_name").alias("source"), "section").agg(F.count(F.lit(1)).alias("n"))
     return own.join(s, "section", "left_semi").select("source", "section", "n")
+
+
+# -- model replies: verification, enrichment, pipelines ----------------------------------------------
+
+
+@query(rf"""with x as (select doc_id, text, quality, toxic, {_values('text')} as v, regexp_replace(text[1:length(text) // 2], '\s+', ' ', 'g') as src from documents join labels using (doc_id)),
+y as (select *, len(list_filter(v, lambda z: not contains(src, z)))::bigint as mismatches, (2 + quality + (1 - toxic)) / 4.0::double as ratio from x)
+select doc_id, 4::bigint as n_claims, concat_ws('|', case when quality = 0 then 'good' end, case when toxic = 1 then 'clean' end) as removed, mismatches,
+case when mismatches > 0 then 'low' when ratio >= 0.95 then 'high' when ratio >= 0.75 then 'medium' else 'low' end as confidence, md5(text) as digest from y""")
+def verified_answers(t):
+    d = t("documents").join(t("labels"), "doc_id")
+    claim = lambda name, ok: F.struct(F.lit(f" {name} ").alias("claim"), ok.alias("supported"))
+    claims = F.array(claim("a", F.lit(True)), claim("good", F.col("quality") == 1), claim("clean", F.col("toxic") == 0), claim("b", F.lit(True)))
+    reply = F.concat(F.lit("Here:\n"), F.to_json(F.struct(claims.alias("claims"), F.lit(" High ").alias("confidence"))))
+    half = F.expr("substring(text, 1, length(text) div 2)")
+    chunk = F.array(F.struct(F.lit("k").alias("chunk_id"), F.col("source").alias("doc_name"), F.lit(1).alias("page"), half.alias("text")))
+    v = d.select("doc_id", "text", verification.verified(F.col("text"), chunk, reply).alias("v"))
+    return v.select("doc_id", long(F.size("v.claim_checks")).alias("n_claims"), F.array_join("v.removed_claims", "|").alias("removed"), long(F.size("v.mismatches")).alias("mismatches"), F.col("v.confidence").alias("confidence"), F.md5(F.when(F.col("v.verified_answer") == T.strip(F.col("text")), F.col("text"))).alias("digest"))
+
+
+@query("""with p as (select doc_id, source, lang, text, length(text) + length('document excerpt:' || chr(10) || chr(10) || chr(10) || 'Enrichment JSON:') as n from documents),
+e as (select *, case when n % 2 = 0 then 'len ' || n else '' end as summary, case when n % 2 = 0 then 'Questions answered: a b' else '' end as asked from p)
+select doc_id, summary, case when n % 2 = 0 then 2 else 0 end::bigint as n_questions, md5(array_to_string(list_filter([source || ' > ' || lang, summary, asked, text], lambda x: x <> ''), chr(10))) as digest from e""")
+def enriched_chunks(t):
+    chunks = t("documents").select("doc_id", F.col("source").alias("doc_name"), F.col("lang").alias("section"), "text", F.lit("old").alias("summary"))
+    reply = lambda p: F.when(F.length(p) % 2 == 0, F.concat(F.lit('Sure: {"summary": " len '), F.length(p).cast("string"), F.lit(' ", "questions": ["a", "", " b "]}'))).otherwise("[LLM Error] none")
+    return enrichment.enriched(chunks, reply).select("doc_id", "summary", long(F.size("questions")).alias("n_questions"), F.md5("embedding_text").alias("digest"))
+
+
+@query("select doc_id, md5(case when quality = 1 then 'enriched ' || lang else text end) as digest from documents left join labels using (doc_id)")
+def embedding_source(t):
+    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    enriched = F.when(F.col("quality") == 1, F.concat(F.lit("enriched "), "lang")).when(F.col("quality") == 0, "")
+    return d.select("doc_id", F.md5(T.embedding_source(enriched, F.col("text"))).alias("digest"))
+
+
+@query(rf"""with d as (select doc_id, case when doc_id % 3 = 0 then text || ' That  IS' || chr(10) || 'not Found in the files.' else text end as text from documents)
+select doc_id, len(list_filter({_MARKERS}, lambda m: contains(lower(regexp_replace(text, '\s+', ' ', 'g')), m))) > 0 as abstained from d""")
+def abstained_answers(t):
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" That  IS\nnot Found in the files."))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", T.abstained(said).alias("abstained"))
+
+
+@query(f"""with {VEC}, {_q(1)}, {_topk('h', 'q1', 5)} select qid, round(max(greatest(0, least(1, score))), 6) as best, max(greatest(0, least(1, score))) >= 0.999 as covered from h where vec_id <> qid + 1 or qid % 100 = 0 group by qid""")
+def coverage_gates(t):
+    v, _ = _vectors(t)
+    hits = search.dense(v, _shifted(t, 1), "vec_id", 5).withColumn("similarity", V.similarity(F.col("score")))
+    return search.covered(hits.where((F.col("vec_id") != F.col("qid") + 1) | (F.col("qid") % 100 == 0)), 0.999).select("qid", r6("best"), "covered")
+
+
+@query(rf"""with b as (select doc_id, text, source, n_chars, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1:3] as facts from documents),
+r as (select doc_id, 'agentic' as pipeline, text as answer, 'k' || doc_id as cited, facts, text[1:length(text) // 2] as chunk, n_chars / 10.0::double as latency_ms, 3 as calls from b
+  union all select doc_id, 'traditional', text[length(text) // 2 + 1:], 'x', facts, text[1:length(text) // 2], n_chars / 20.0::double, 1 from b),
+v as (select *, {_values('answer')} as v, regexp_replace(chunk, '\s+', ' ', 'g') as src, lower(regexp_replace(answer, '\s+', ' ', 'g')) as flat from r),
+m as (select pipeline, latency_ms, calls, length(answer) as tokens, len(list_filter(facts, lambda f: contains(flat, f)))::double / nullif(len(facts), 0) as fact_coverage,
+  case when cited = 'x' then 0.0 else 1.0 end as citation_validity, len(list_filter(v, lambda y: contains(src, y)))::double / nullif(len(v), 0) as grounding,
+  len(list_filter({_MARKERS}, lambda p: contains(flat, p))) > 0 as gone, doc_id % 7 = 0 as out, doc_id % 2 = 0 as labelled from v)
+select pipeline, count(*) as num_queries, round(avg(fact_coverage), 6) as fact_coverage, round(avg(citation_validity), 6) as citation_validity, round(avg(grounding), 6) as grounding, round(avg(gone::int), 6) as abstain_rate,
+round(avg(calls), 6) as llm_calls, round(avg(tokens), 6) as total_tokens, round(avg(case when labelled then 0.5 end), 6) as precision, round(avg(case when labelled then 1 end), 6) as recall, round(avg(case when labelled then 1 end), 6) as ndcg,
+round(avg(case when out then gone::int end), 6) as resilience, round(avg(latency_ms), 6) as avg_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) as p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) as p95_latency_ms from m group by pipeline""")
+def pipeline_scorecard(t):
+    d = t("documents").withColumn("query", F.concat(F.lit("q"), "doc_id"))
+    own = F.concat(F.lit("k"), "doc_id")
+    first, last = F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)")
+    usage = lambda calls, answer: F.struct(F.lit(calls).alias("calls"), F.length(answer).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"))
+
+    def results(pipeline: str, answer: Column, cited: Column, parts: float, calls: int) -> DataFrame:
+        chunk = F.array(F.struct(own.alias("chunk_id"), F.col("source").alias("doc_name"), first.alias("text")))
+        return d.select("query", F.lit(pipeline).alias("pipeline"), answer.alias("answer"), F.lit("n/a").alias("confidence"), F.array(F.struct(cited.alias("chunk_id"), F.col("source").alias("doc_name"))).alias("citations"), chunk.alias("chunks"), usage(calls, answer).alias("usage"), (F.col("n_chars") / parts).alias("total_latency_ms"))
+
+    labels = d.select("query", F.when(F.col("doc_id") % 2 == 0, F.array(own)).alias("relevant"), F.slice(T.tokens(F.col("text")), 1, 3).alias("expected_facts"), F.array("source").alias("must_cite"), (F.col("doc_id") % 7 == 0).alias("out_of_scope"))
+    both = results("agentic", F.col("text"), own, 10.0, 3).unionByName(results("traditional", last, F.lit("x"), 20.0, 1))
+    card, _ = harness.compare(both, labels, 2)
+    return card.select("pipeline", "num_queries", *(r6(c) for c in card.columns if c not in ("pipeline", "num_queries", "must_cite_recall")))
