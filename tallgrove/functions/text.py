@@ -145,6 +145,11 @@ def citation_label(doc: Column, page: Column) -> Column:
     return F.concat(doc.cast("string"), F.lit(", Page "), page.cast("string"))
 
 
+def snippet(text: Column, most: int = 240) -> Column:
+    """The first characters of a text, as a preview."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 

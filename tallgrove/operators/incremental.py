@@ -17,7 +17,7 @@ def changes(current: DataFrame, manifest: DataFrame) -> DataFrame:
 def appended(index: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
     """Index rows plus new rows, whose ``ord`` goes on after the largest one.
 
-    ord is dense within the new rows: ranks inside hash-sized ranges of the order plus the ranges' offsets, no global window.
+    ord is dense within the new rows: ranks inside the groups of the first column of the order plus the groups' offsets, so a group is numbered by one task.
     """
     top = index.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
     key = F.col(order[0])

@@ -47,9 +47,16 @@ def response(chunks: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def wire(results: DataFrame) -> DataFrame:
-    """(qid, json): a pipeline result as it is sent; latency with two decimals, chunks by id only."""
+    """(qid, json): a pipeline result as it is sent; latencies with two decimals, chunks by id only, traces of the stages if there are any."""
+
+    def trace(s: Column) -> Column:
+        tokens = (s["usage"]["prompt_tokens"] + s["usage"]["completion_tokens"]).alias("total_tokens")
+        calls = [s["usage"]["calls"].alias("llm_calls"), s["usage"]["prompt_tokens"].alias("prompt_tokens"), s["usage"]["completion_tokens"].alias("completion_tokens")]
+        return F.struct(s["name"].alias("name"), F.round(s["latency_ms"], 2).alias("latency_ms"), *calls, tokens)
+
+    stages = [F.transform("stages", trace).alias("stages")] if "stages" in results.columns else []
     body = F.struct(
-        "query", "pipeline", "answer", "confidence", "citations", F.transform("chunks", lambda c: c["chunk_id"]).alias("retrieved_chunks"),
+        "query", "pipeline", "answer", "confidence", "citations", F.transform("chunks", lambda c: c["chunk_id"]).alias("retrieved_chunks"), *stages,
         F.round("total_latency_ms", 2).alias("total_latency_ms"), F.col("usage.calls").alias("total_llm_calls"),
         (F.col("usage.prompt_tokens") + F.col("usage.completion_tokens")).alias("total_tokens"),
     )

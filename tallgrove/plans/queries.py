@@ -581,14 +581,6 @@ def llm_json(t):
     return t("events").select("event_id", T.llm_json(raw).alias("json"))
 
 
-@query("""with h as (select item_id as qid, doc_id, row_number() over (partition by item_id order by doc_id) as rank, source, lang, left(documents.text, 50) as snippet from benchmark join documents on item_id = doc_id // 8)
-select qid, string_agg('[Source: ' || source || ', Page ' || doc_id || ', Section: ' || lang || ']' || chr(10) || snippet, chr(10) || chr(10) order by rank) as context from h where rank <= 5 group by qid""")
-def prompt_contexts(t):
-    d = t("documents").withColumn("qid", F.expr("doc_id div 8")).join(F.broadcast(t("benchmark").select(F.col("item_id").alias("qid"))), "qid")
-    h = d.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).alias("rank"), F.col("source").alias("doc_name"), F.col("doc_id").alias("page"), F.col("lang").alias("section"), F.substring("text", 1, 50).alias("text"))
-    return records.prompt_contexts(h, 5)
-
-
 @query(f"""with {BM25} select qid, string_agg('[Source: ' || coalesce(source, '') || ', Page ' || doc_id || ', Section: ' || case when coalesce(lang, '') = '' then 'N/A' else lang end || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context
 from lex join documents using (doc_id) where rank <= 5 group by qid""")
 def bm25_prompt_contexts(t):
@@ -691,3 +683,39 @@ def pipeline_scorecard(t):
     both = results("agentic", F.col("text"), own, 10.0, 3).unionByName(results("traditional", last, F.lit("x"), 20.0, 1))
     card, _ = harness.compare(both, labels, 2)
     return card.select("pipeline", "num_queries", *(r6(c) for c in card.columns if c not in ("pipeline", "num_queries", "must_cite_recall")))
+
+
+# -- small shapes -----------------------------------------------------------------------------------
+
+
+@query(f"""with {BM25} select qid, rank, doc_id, left(coalesce(text, ''), 240) as snippet from lex join documents using (doc_id) where rank <= 5""")
+def hit_snippets(t):
+    hits = search.bm25(t("documents").select("doc_id", "text"), _items(t), "doc_id", 5)
+    return t("documents").select("doc_id", "text").join(hits, "doc_id").select("qid", long("rank").alias("rank"), "doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("""with c as (select doc_id, source, case when doc_id % 5 = 0 then 'appendix ' || (doc_id % 2) else (doc_id * 37 % 101)::varchar end as page, 'd_c' || case when doc_id % 11 = 0 then 'x' else (doc_id * 13 % 17)::varchar end as chunk_id from documents)
+select doc_id, row_number() over (partition by source order by try_cast(page as int) is null, try_cast(page as int), page, coalesce(try_cast(nullif(regexp_extract(chunk_id, '_c(\\d+)$', 1), '') as int), 0), doc_id) as pos from c""".replace("\\\\", "\\"))
+def page_order(t):
+    page = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("appendix "), (F.col("doc_id") % 2).cast("string"))).otherwise((F.col("doc_id") * 37 % 101).cast("string"))
+    chunk = F.concat(F.lit("d_c"), F.when(F.col("doc_id") % 11 == 0, "x").otherwise((F.col("doc_id") * 13 % 17).cast("string")))
+    w = Window.partitionBy("source").orderBy(*T.page_key(F.col("page")), T.chunk_index(F.col("chunk_id")), "doc_id")
+    return t("documents").select("doc_id", "source", page.alias("page"), chunk.alias("chunk_id")).select("doc_id", long(F.row_number().over(w)).alias("pos"))
+
+
+@query("""select page_id, list_last(string_split(regexp_replace(url, '/+$', ''), '/')) as stem, 'tar' as archive from pages""")
+def file_stems(t):
+    name = F.concat(F.regexp_replace("url", "/+$", ""), F.lit(".pdf"))
+    return t("pages").select("page_id", T.file_stem(name).alias("stem"), T.file_stem(F.concat(F.lit("/a.b/"), F.lit("tar.gz"))).alias("archive"))
+
+
+@query("""select doc_id, '{"query":"q' || doc_id || '","pipeline":"agentic","answer":"a","confidence":"high","citations":[{"marker":1,"chunk_id":"k"}],"retrieved_chunks":["k"],"stages":[{"name":"planner","latency_ms":0.13,"llm_calls":1,"prompt_tokens":2,"completion_tokens":3,"total_tokens":5}],"total_latency_ms":1.24,"total_llm_calls":2,"total_tokens":' || (n_chars + 4) || '}' as json from documents""")
+def wire_results(t):
+    usage = lambda calls, given, made: F.struct(F.lit(calls).alias("calls"), given.alias("prompt_tokens"), F.lit(made).alias("completion_tokens"))
+    stage = F.struct(F.lit("planner").alias("name"), F.lit(0.128).alias("latency_ms"), usage(1, F.lit(2), 3).alias("usage"))
+    d = t("documents").select(
+        F.col("doc_id").alias("qid"), F.concat(F.lit("q"), "doc_id").alias("query"), F.lit("agentic").alias("pipeline"), F.lit("a").alias("answer"), F.lit("high").alias("confidence"),
+        F.array(F.struct(F.lit(1).alias("marker"), F.lit("k").alias("chunk_id"))).alias("citations"), F.array(F.struct(F.lit("k").alias("chunk_id"), F.lit("t").alias("text"))).alias("chunks"),
+        F.array(stage).alias("stages"), F.lit(1.239).alias("total_latency_ms"), usage(2, F.col("n_chars"), 4).alias("usage"),
+    )
+    return records.wire(d).select(F.col("qid").alias("doc_id"), "json")

@@ -17,7 +17,7 @@ from tallgrove.sources import files
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels", "conversations", "events"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations", "events", "pages"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
