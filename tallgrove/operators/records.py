@@ -78,10 +78,25 @@ def section_chunks(chunks: DataFrame, doc: str, section: str) -> DataFrame:
     return chunks.where((F.col("doc_name") == doc) & (F.col("section") == section)).orderBy("ord")
 
 
+def index_stats(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks and documents, and the documents' sorted names."""
+    return chunks.agg(F.count(F.lit(1)).alias("num_chunks"), F.count_distinct("doc_name").alias("num_docs"), F.array_sort(F.collect_set("doc_name")).alias("docs"))
+
+
+def all_sections(chunks: DataFrame) -> DataFrame:
+    """(doc_name, section, pos): different sections of each document that are not empty, numbered as first seen."""
+    own = chunks.where(F.coalesce("section", F.lit("")) != "").groupBy("doc_name", "section").agg(F.min("ord").alias("__first"))
+    return own.select("doc_name", "section", F.row_number().over(Window.partitionBy("doc_name").orderBy("__first")).alias("pos"))
+
+
+def sampled(chunks: DataFrame, key: str, n: int, seed: str = ":1") -> DataFrame:
+    """n rows drawn by a hash of their key, the same ones each time; adds the hash as ``digest``."""
+    return chunks.withColumn("digest", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).orderBy("digest").limit(n)
+
+
 def document_sections(chunks: DataFrame, doc: str) -> DataFrame:
     """Different sections of a document that are not empty, first seen first."""
-    own = chunks.where((F.col("doc_name") == doc) & (F.coalesce("section", F.lit("")) != ""))
-    return own.groupBy("section").agg(F.min("ord").alias("__first")).orderBy("__first").select("section")
+    return all_sections(chunks.where(F.col("doc_name") == doc)).orderBy("pos").select("section")
 
 
 def scored_answers(results: DataFrame, labels: DataFrame) -> DataFrame:

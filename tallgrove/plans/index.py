@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, enrichment, incremental, search, verification
+from tallgrove.operators import chunking, context, enrichment, incremental, records, search, verification
 from tallgrove.sources.files import write_table
 
 Embed = Callable[[Column], Column]
@@ -121,8 +121,7 @@ class Index:
         return hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top_k).withColumn("rank", F.col("__n")).drop("__n")
 
     def stats(self) -> DataFrame:
-        c = self.table("chunks")
-        return c.agg(F.count(F.lit(1)).alias("num_chunks"), F.count_distinct("doc_name").alias("num_docs"), F.array_sort(F.collect_set("doc_name")).alias("docs"))
+        return records.index_stats(self.table("chunks"))
 
     def answer(self, queries: DataFrame, llm: Callable[[Column], Column], top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, budget: int = context.BUDGET, verifier: Callable[[Column], Column] | None = None) -> DataFrame:
         """(qid, query, context, answer, mismatches, confidence): retrieve, resolve cross references, assemble, answer, check values.

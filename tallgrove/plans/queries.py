@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
 from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, records, search, verification
@@ -356,7 +357,9 @@ def claim_confidence(t):
 
 @query("select role, count(*) as calls, sum(length(text))::bigint as chars from conversations group by role")
 def usage_totals(t):
-    return t("conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("chars"))
+    none = F.lit(0).cast("long")
+    d = t("conversations").select("role", F.struct(F.lit(1).alias("calls"), F.length("text").alias("prompt_tokens"), none.alias("completion_tokens")).alias("usage"))
+    return d.groupBy("role").agg(models.total_usage("usage").alias("u")).select("role", "u.calls", F.col("u.prompt_tokens").alias("chars"))
 
 
 # -- text, chunks, context -----------------------------------------------------------------------
@@ -545,20 +548,21 @@ def doc_list(t):
 
 @query("select count(*) as n_chunks, count(distinct source) as n_docs, string_agg(distinct source, ',' order by source) as docs, (select max(len(embedding))::bigint from embeddings) as dim from documents")
 def index_stats(t):
-    d = t("documents").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source").alias("n_docs"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("docs"))
+    d = records.index_stats(t("documents").select(F.col("source").alias("doc_name")))
+    d = d.select(F.col("num_chunks").alias("n_chunks"), F.col("num_docs").alias("n_docs"), F.array_join("docs", ",").alias("docs"))
     return d.crossJoin(t("embeddings").agg(long(F.max(F.size("embedding"))).alias("dim")))
 
 
 @query("select source, lang as section, row_number() over (partition by source order by min(doc_id)) as pos from documents group by source, lang")
 def doc_sections(t):
-    g = t("documents").groupBy("source", F.col("lang").alias("section")).agg(F.min("doc_id").alias("first"))
-    return g.select("source", "section", long(F.row_number().over(Window.partitionBy("source").orderBy("first"))).alias("pos"))
+    d = records.all_sections(t("documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("section"), F.col("doc_id").alias("ord")))
+    return d.select(F.col("doc_name").alias("source"), "section", long("pos").alias("pos"))
 
 
 @query("select doc_id, source || ', Page ' || doc_id as label, md5(doc_id || ':1') as digest from documents order by md5(doc_id || ':1') limit 100")
 def sample_chunks(t):
-    d = t("documents").select("doc_id", T.citation_label(F.col("source"), F.col("doc_id")).alias("label"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":1"))).alias("digest"))
-    return d.orderBy("digest").limit(100)
+    d = records.sampled(t("documents").select("doc_id", "source"), "doc_id", 100)
+    return d.select("doc_id", T.citation_label(F.col("source"), F.col("doc_id")).alias("label"), "digest")
 
 
 @query("""select event_id, event_type as summary, 2::bigint as n_questions, 'q1|' || user_id as questions from events where value > 10 union all select event_id, '', 0, '' from events where value <= 10 or value is null""")

@@ -1,4 +1,5 @@
 """The retrieval engine: queries against their SQL, and small frames for what the tables never trigger."""
+import collections
 import json
 import math
 
@@ -129,6 +130,35 @@ def test_dense_in_blocks(spark, sf, monkeypatch):
     assert rounded() == want
 
 
+def test_best_of_many_tasks(spark, monkeypatch):
+    """Ties go by key, string keys too; tasks, batches and blocks of queries do not matter; documents without words and null keys are not found."""
+    words = ["red", "green", "blue", "red green", "blue blue red", None, ""]
+    docs = spark.createDataFrame([(f"k{i:03d}" if i % 50 else None, words[i % 7]) for i in range(300)] + [("z", "rare")], "id string, text string").repartition(6)
+    queries = spark.createDataFrame([("a", "red"), ("b", "rare green"), ("c", "none"), (None, "blue blue")], "qid string, text string")
+    rounded = lambda: sorted(((r.qid or "", r.rank, r.id, round(r.score, 9)) for r in search.bm25(docs, queries, "id", 4).collect()))
+    want = rounded()
+    assert {q for q, *_ in want} == {"", "a", "b"} and [r[2] for r in want if r[0] == "b"][0] == "z" and all(r[2] for r in want)
+    tied = [r for r in want if r[0] == "a"]
+    assert [r[2] for r in tied] == sorted(r[2] for r in tied) and len({r[3] for r in tied}) == 1
+    monkeypatch.setattr(search, "BLOCK", 1)
+    monkeypatch.setattr(search, "CELLS", 7)
+    assert rounded() == want
+
+
+def test_scoped_search_equals_ranking(spark, sf):
+    """The best of a document among the budget best of all, against a full ranking."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label", (10 + F.col("vec_id") % 37).alias("budget"))
+    full = search.dense(v, q, "vec_id", 10_000).join(v.select("vec_id", "label"), "vec_id").join(q.select("qid", F.col("label").alias("own"), "budget"), "qid")
+    want = collections.defaultdict(list)
+    for r in sorted(full.where("label = own and rank <= budget").collect(), key=lambda r: (r.qid, r.rank)):
+        want[r.qid].append(r.vec_id)
+    got = collections.defaultdict(list)
+    for r in sorted(search.scoped(v, q, "vec_id", 3, "label").collect(), key=lambda r: (r.qid, r.rank)):
+        got[r.qid].append(r.vec_id)
+    assert got == {k: x[:3] for k, x in want.items()}
+
+
 def test_metrics_by_hand(spark):
     hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "z")], "qid long, rank int, key string")
     rel = spark.createDataFrame([(1, "b"), (1, "c"), (1, "x"), (1, "x")], "qid long, key string")
@@ -368,6 +398,13 @@ def test_test_set_and_streams(spark, tmp_path):
     assert [n for n in seen if n] == [1]
     log = spark.sql("select timestamp'2024-01-01 10:05:00' as timestamp, 2.0D as latency_ms, true as cache_hit")
     assert ingest.windowed_stats(log).first().n == 1
+    # as a stream: windows end with the watermark, late rows are left out
+    rows = "select timestamp'2024-01-01 {}' as timestamp, 2.0D as latency_ms, true as cache_hit"
+    for i, at in enumerate(("10:05:00", "10:50:00", "12:30:00", "10:55:00", "14:00:00")):
+        spark.sql(rows.format(at)).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = ingest.windowed_stats(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")))
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "stats")).awaitTermination()
+    assert sorted((r.start.hour, r.n) for r in spark.read.parquet(str(tmp_path / "stats")).collect()) == [(10, 2), (12, 1)]
 
 
 def test_entry(spark):
