@@ -54,7 +54,8 @@ def targets(sizes: DataFrame) -> DataFrame:
         "caps": F.coalesce(F.sum("cap").over(before), F.lit(0)),
         "weights": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)),
     })
-    s = s.withColumn("full", F.col("caps") * F.col("w") + F.col("cap") * F.col("weights") <= F.col("total") * F.col("w"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  words times weights go beyond a long
+    s = s.withColumn("full", wide("caps") * wide("w") + wide("cap") * wide("weights") <= wide("total") * wide("w"))
     rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0))
     share = rest.cast("double") / F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share * F.col("w")))
