@@ -10,15 +10,21 @@ BUDGET = 12_000
 
 
 def assembled(chunks: DataFrame, by: str = "qid", budget: int = BUDGET) -> DataFrame:
-    """(by, context, n_blocks): blocks in document, page and chunk order until the next would exceed the budget; the first always stays."""
+    """(by, context, n_blocks): blocks in document, page and chunk order until the next would exceed the budget; the first always stays.
+
+    Chunks are ordered by their keys and the lengths of their blocks; only the blocks that stay are joined to them.
+    """
     block = source_block(F.col("doc_name"), F.col("page"), F.col("section"), F.col("chunk_id"), F.col("text"))
-    order = [F.col("doc_name"), *page_key(F.col("page")), chunk_index(F.col("chunk_id")), F.col("chunk_id")]
-    w = Window.partitionBy(by).orderBy(*order)
-    d = chunks.withColumn("__b", block).withColumn("__n", F.row_number().over(w))
-    d = d.withColumn("__sum", F.sum(F.length("__b")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.where((F.col("__sum") <= budget) | (F.col("__n") == 1))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("__n", "__b"))), lambda x: x["__b"])
-    return d.groupBy(by).agg(F.array_join(texts, "\n\n").alias("context"), F.count(F.lit(1)).alias("n_blocks"))
+    own = F.xxhash64("doc_name", "page", "section", "chunk_id", "text")
+    order = [F.col("doc_name"), *page_key(F.col("page")), chunk_index(F.col("chunk_id")), F.col("chunk_id"), F.col("__own")]
+    w = Window.partitionBy("__by").orderBy(*order)
+    lean = chunks.select(F.col(by).alias("__by"), "doc_name", "page", "chunk_id", own.alias("__own"), F.length(block).alias("__len"))
+    lean = lean.withColumn("__n", F.row_number().over(w)).withColumn("__sum", F.sum("__len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = lean.where((F.col("__sum") <= budget) | (F.col("__n") == 1)).groupBy("__by", "__own").agg(F.collect_list("__n").alias("__ns"))
+    texts = chunks.select(by, own.alias("__key"), block.alias("__b"))
+    found = texts.join(kept, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__key") == F.col("__own"))).select(by, F.explode("__ns").alias("__n"), "__b")
+    blocks = F.sort_array(F.collect_set(F.struct("__n", "__b")))  # a set, as equal chunks find each other's places
+    return found.groupBy(by).agg(blocks.alias("__bs")).select(by, F.array_join(F.transform("__bs", lambda x: x["__b"]), "\n\n").alias("context"), F.size("__bs").cast("long").alias("n_blocks"))
 
 
 def referenced(have: DataFrame, chunks: DataFrame) -> DataFrame:

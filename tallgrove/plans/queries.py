@@ -534,7 +534,7 @@ def incremental_append(t):
     d = t("documents").select("doc_id", "source", "lang")
     en = d.where("lang = 'en'").drop("lang")
     empty = en.where("false").withColumn("ord", F.lit(0).cast("long"))
-    index = incremental.appended(empty, en.withColumn("part", F.expr("doc_id div 1024")), ["part", "doc_id"])
+    index = incremental.appended(empty, en, ["doc_id"])
     return incremental.appended(index, d.where("lang = 'fr'").drop("lang"), ["source", "doc_id"]).select("doc_id", "ord")
 
 

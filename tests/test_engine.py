@@ -378,6 +378,16 @@ def test_records_and_log(spark, tmp_path):
     assert json.loads(records.wire(res).first().json)["total_latency_ms"] == 1.24
 
 
+def test_numbers_in_ranges(spark, monkeypatch):
+    """Many small ranges give the same dense numbers, with one value in a third of the rows, nulls and ties of the first column."""
+    rows = [(None if i % 10 == 0 else "hot" if i % 3 == 0 else f"s{i % 7}", i * 7919 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "source string, doc_id long").repartition(5)
+    monkeypatch.setattr(incremental, "RANGE", 90)
+    got = {(r.source, r.doc_id): r.ord for r in incremental.numbered(df, ["source", "doc_id"], "ord").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [got[r] for r in want] == list(range(1, 1001))
+
+
 def test_changes(spark):
     old = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "name string, mtime long, size long")
     new = spark.createDataFrame([("a", 1, 5), ("b", 2, 5), ("d", 1, 5)], "name string, mtime long, size long")
