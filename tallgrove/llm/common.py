@@ -67,6 +67,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; maps and variants, which Spark does not hash, by their JSON."""
+    plain = lambda c: not re.search('"(map|variant)"', df.schema[c].dataType.json())
+    return F.xxhash64(*(F.col(f"`{c}`") if plain(c) else F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null or white texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")

@@ -17,14 +17,14 @@
 Defined results: null and empty texts have size 0, are taken 0 words and stay in the result;
 equal hashes are ordered by doc_id and size; repeated rows are documents of their own; an empty
 table gives an empty table. No document is taken more than ``MOST_EPOCHS`` times its size. Other columns are not read by
-the mix and pass through the stage, whatever their names (maps, which cannot be hashed, excepted).
+the mix and pass through the stage, whatever their names.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import WHITE, free_name, near, table, written
+from tallgrove.llm.common import WHITE, free_name, near, row_hash, table, written
 
 BLOCK, MOST_EPOCHS, SEED = 512, 3, ":mix"
 #: Sources up to which their table (about 60 bytes each) is broadcast; beyond it Spark joins as it likes.
@@ -150,7 +150,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row, slot, own, slots = (free_name(docs, x) for x in ("row", "slot", "own", "slots"))
     docs_columns = docs.columns
-    docs = docs.withColumn(row, F.xxhash64(*(F.col(c) for c in docs_columns)))
+    docs = docs.withColumn(row, row_hash(docs))
     none, segments, n = mix(docs.select(F.col(row).alias("doc_id"), "text", "source"))
     copies = segments.where("taken > 0").groupBy("doc_id", "idx", "at", "epoch").agg(F.min("slot").alias("slot")).select("doc_id", "slot")
     copies = copies.unionByName(none.select("doc_id", F.lit(None).cast("long").alias("slot")))
