@@ -723,3 +723,34 @@ def wire_results(t):
         F.array(stage).alias("stages"), F.lit(1.239).alias("total_latency_ms"), usage(2, F.col("n_chars"), 4).alias("usage"),
     )
     return records.wire(d).select(F.col("qid").alias("doc_id"), "json")
+
+
+def _mixed(t) -> DataFrame:
+    """Answers whose first reference is found by id or by page, or not at all, and the chunks as an array."""
+    label = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(", Page 1 (id: "), "source", F.lit("_p1_c0)"))).when(F.col("doc_id") % 3 == 1, F.concat("lang", F.lit(", Page 2"))).otherwise("nothing, Page 9")
+    answer = F.concat(F.lit("It is so [^1], or so [^2].\n[^1]: "), label, F.lit("\n[^2]: "), "lang", F.lit(", Page 3\n[^2]: "), "source", F.lit(", Page 1"))
+    one = lambda doc, page: F.struct(F.concat(F.col(doc), F.lit(f"_p{page}_c0")).alias("chunk_id"), F.col(doc).alias("doc_name"), F.lit(page).alias("page"), F.lit("s").alias("section"))
+    return t("documents").select(F.col("doc_id").alias("qid"), answer.alias("answer"), F.array(one("source", 1), one("lang", 2), one("lang", 3)).alias("chunks"))
+
+
+MIXED = """with v as (select doc_id as qid, case doc_id % 3 when 0 then source || '_p1_c0' when 1 then lang || '_p2_c0' end as a, lang || '_p3_c0' as b from documents)
+select qid, 1::bigint as marker, a as chunk_id from v where a is not null union all select qid, 2, b from v"""
+
+
+@query(MIXED)
+def cited_in_rows(t):
+    d = _mixed(t).select("qid", F.inline(context.cited(F.col("answer"), F.col("chunks"))))
+    return d.select("qid", long("marker").alias("marker"), "chunk_id")
+
+
+@query(MIXED)
+def plain_cited_in_rows(t):
+    d = _mixed(t).select("qid", F.inline(context.plain_cited(F.col("answer"), F.col("chunks"))))
+    return d.select("qid", long("marker").alias("marker"), "chunk_id")
+
+
+@query(MIXED)
+def resolve_mixed_citations(t):
+    d = _mixed(t)
+    chunks = d.select("qid", F.posexplode("chunks").alias("ord", "c")).select("qid", "ord", "c.*")
+    return context.resolved(context.references(d), chunks).select("qid", long("marker").alias("marker"), "chunk_id")

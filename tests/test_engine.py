@@ -394,6 +394,20 @@ def test_changes(spark):
     assert {tuple(r) for r in incremental.changes(new, old).collect()} == {("a", "unchanged"), ("b", "modified"), ("c", "deleted"), ("d", "new")}
 
 
+def test_page_and_chunk_files(spark, tmp_path):
+    """JSON arrays of pages and chunks; files that are something else are left out."""
+    pages = [{"doc_name": "d", "page": i, "text": f"t{i}", "doc_type": "txt"} for i in (1, 2)]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/d.json").write_text(json.dumps(pages))
+    (tmp_path / "pages/manifest.json").write_text(json.dumps({"total_docs": 1, "documents": ["d"]}))
+    (tmp_path / "pages/notes.txt").write_text("no")
+    assert sorted((r.doc_name, r.page, r.text, r.doc_type) for r in files.read_pages(spark, str(tmp_path / "pages")).collect()) == [("d", 1, "t1", "txt"), ("d", 2, "t2", "txt")]
+    chunk = {"chunk_id": "d_p1_c0", "doc_name": "d", "page": 1, "section": "S", "text": "t", "char_start": 0, "char_end": 1}
+    (tmp_path / "chunks.json").write_text(json.dumps([chunk, chunk | {"chunk_id": "d_p1_c1", "summary": "s", "questions": ["q"]}]))
+    got = {r.chunk_id: r for r in files.read_chunks(spark, str(tmp_path / "chunks.json")).collect()}
+    assert got["d_p1_c0"].summary is None and got["d_p1_c1"].questions == ["q"] and got["d_p1_c0"].char_end == 1
+
+
 def test_test_set_and_streams(spark, tmp_path):
     from tallgrove.streaming import ingest
 
