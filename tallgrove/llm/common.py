@@ -73,11 +73,6 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") if plain(c) else F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns))
 
 
-def words_of(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null or white texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")
-
-
 def batches(it, columns: int = 0, most: int = 8 << 20):
     """Arrow batches cut so that none holds more than about ``most`` bytes of the text column."""
     for b in it:
