@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrove.llm.common import batches, small_batches, table, written
+from tallgrove.llm.shingles import mix64, word_hashes
 
 LINE = 512
 #: Hashes of 9 bits each and bits an entry: an absent n-gram is read as seen about 9 times in 10,000.
@@ -53,38 +54,22 @@ ATONCE = 2 << 20
 HELD, CHUNK = 1 << 21, 1 << 18
 #: Shards from which on probes are brought together by shard before they are written.
 MANY_SHARDS = 8
-#: Multipliers of the 64-bit mixer, the end token's hash, and the salts of levels and pairs.
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The end token's hash, and the salts of levels and pairs.
 END, LEVEL, PAIR = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 WORD_KIND, PAIR_KIND = 1, 2
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * M1
-        h = (h ^ (h >> np.uint64(27))) * M2
-        return h ^ (h >> np.uint64(31))
-
-
 def pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(left * PAIR + right)
-
+        return mix64(left * PAIR + right)
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the different tokens, index of each token in stream order, tokens of each text)."""
-    from xxhash import xxh64_intdigest
 
-    stream: list[bytes] = []
-    sizes = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        before = len(stream)
-        stream += (t or "").encode().lower().split()
-        stream.append(b"\n")
-        sizes[i] = len(stream) - before
-    at = {w: i for i, w in enumerate(dict.fromkeys(stream))}
-    hashes = np.fromiter((END if w == b"\n" else xxh64_intdigest(w) for w in at), np.uint64, len(at))
-    return hashes, np.fromiter(map(at.__getitem__, stream), np.int64, len(stream)), sizes
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token in order, tokens of each text): words, A-Z lower-cased, and an end after each text."""
+    h, sizes = word_hashes(texts, lower=True)
+    out = np.full(len(h) + len(sizes), END)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(sizes)), sizes)] = h
+    return out, sizes + 1
 
 
 def before(h: np.ndarray) -> np.ndarray:
@@ -173,7 +158,7 @@ def level_bits(h: np.ndarray, level: int) -> np.ndarray:
     All bits of all levels of an n-gram lie in one line of 64 bytes, so reading a count touches memory once.
     """
     with np.errstate(over="ignore"):
-        return mixed(h + np.uint64(level) * LEVEL)
+        return mix64(h + np.uint64(level) * LEVEL)
 
 
 def probe(bits: np.ndarray, first: int, lines: int, h: np.ndarray) -> np.ndarray:
@@ -224,11 +209,10 @@ def counted(train: DataFrame, buckets: int) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Sums(), [], 0
         for b in batches(it, most=ATONCE):
-            hashes, stream, _ = tokens(b.column(0).to_pylist())
-            words.add(hashes, np.bincount(stream, minlength=len(hashes)))
+            h, _ = tokens(b.column(0).to_pylist())
+            words.add(*np.unique(h, return_counts=True))
             if words.held > HELD:
                 yield from pack(WORD_KIND, *words.take())
-            h = hashes[stream]
             held.append(pairs_of(before(h), h))
             size += len(h)
             if size > HELD:
@@ -361,7 +345,8 @@ def with_counts(df: DataFrame, model: Model) -> DataFrame:
 
     def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 1, ATONCE):
-            hashes, stream, sizes = tokens(b.column(1).to_pylist())
+            h, sizes = tokens(b.column(1).to_pylist())
+            hashes, stream = np.unique(h, return_inverse=True)
             rest = np.flatnonzero(found_in(*frequent(hot), hashes)[stream] == 0)
             key = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rest] * len(hashes) + stream[rest])
             yield pa.record_batch([pa.array(b.column(2).to_numpy()[key // len(hashes)]), pa.array(hashes[key % len(hashes)].view(np.int64))], ["row", "h"])
@@ -407,7 +392,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     def scored(b: pa.RecordBatch, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         hot_h, hot_n = frequent(hot)
-        hashes, stream, sizes = tokens(b.column(1).to_pylist())
+        h, sizes = tokens(b.column(1).to_pylist())
+        hashes, stream = np.unique(h, return_inverse=True)
         k = len(sizes)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         exact = found_in(hot_h, hot_n, hashes)
@@ -423,9 +409,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         if not all_hot and len(rest := np.flatnonzero(~flags)):
             key, times = np.unique(owner[rest].astype(np.int64) * len(hashes) + stream[rest], return_counts=True)
             yield passed(len(key), shard=np.full(len(key), -1), row=ids[key // len(hashes)], h=hashes[key % len(hashes)].view(np.int64), times=times)
-        h = hashes[stream]
         two = pairs_of(before(h), h)
-        order = np.argsort(two, kind="stable")
+        order = np.argsort(two)
         two = two[order]
         at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
         two, times, last = two[at], np.diff(np.append(at, len(order))), order[at]
