@@ -452,7 +452,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     for s, (first, end) in enumerate(shards):
         bits = spark.sparkContext.broadcast(gathered(model.pair_rows, first, end, pair_each, buckets * pair_each))
         part = written(rows.where(F.col("shard") == s).select("probes").mapInArrow(probed(first, bits), "row long, score double"))
-        bits.unpersist()
+        bits.destroy()  # what was probed is written
         scores = part if scores is None else scores.unionByName(part)
     zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
     if all_hot:
