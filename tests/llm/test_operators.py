@@ -78,6 +78,20 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def test_word_hashes():
+    """Equal words and only those have equal hashes, however blocks fall; words and texts are counted as by a regular expression."""
+    from tallgrove.llm import shingles as own
+
+    texts = [t for _, t, *_ in rows()] + ["Ab aB ab\x00 ab \x85 \xa0x", "\x1f \x0b\x0c", "x" * 700_000 + " y", "aa a aaa"]
+    for lower in (False, True):
+        h, sizes = own.word_hashes(texts, lower)
+        low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w) if lower else w  # noqa: E731,B023
+        words = [low(w) for t in texts for w in words_in(t)]
+        assert sizes.tolist() == [len(words_in(t)) for t in texts] and len(h) == len(words)
+        of = dict(zip(words, h.tolist()))
+        assert [of[w] for w in words] == h.tolist() and len(set(of.values())) == len(of) > 300
+
+
 def test_join_is_exact(spark, small):
     docs = [(i, t or "") for i, t, *_ in rows()]
     near = lambda a, b: a == b or bool(a[1:] and (x := shingles(a)) and (y := shingles(b)) and len(x & y) >= 0.8 * len(x | y))
@@ -290,15 +304,17 @@ def test_mixing_stage_follows_the_schedule(spark):
     """Documents come out in the order of their slots, as often as epochs take them; equal rows and rows of one id too."""
     docs = [(i % 50, " ".join(f"w{i}x{k}" for k in range(20 + i)), "a" if i % 4 else "b", {"n": i % 50}) for i in range(120)]
     docs += [(1, "same row " * 30, "b", {"n": 1})] * 3 + [(None, None, None, None), (7, "", "a", None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, __row struct<n:long>")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, __row struct<n:long>").withColumn("__slot", F.create_map(F.lit("k"), F.coalesce("doc_id", F.lit(0))))
     done = mixing.stage(spark, df, "")
     assert done.columns == df.columns
-    rows = df.withColumn("x", F.xxhash64(*df.columns))
+    from tallgrove.llm.common import row_hash
+
+    rows = df.withColumn("x", row_hash(df))
     want = collections.Counter()
     for r in mixing.taken_words(rows.select(F.col("x").alias("doc_id"), "text", "source")).collect():
         want[r.doc_id] += -(-r.taken // r.size) if r.size else 1
     first = {r.doc_id: r.first_slot for r in mixing.taken_words(rows.select(F.col("x").alias("doc_id"), "text", "source")).collect()}
-    got = [r.x for r in done.withColumn("x", F.xxhash64(*df.columns)).collect()]
+    got = [r.x for r in done.withColumn("x", row_hash(done)).collect()]
     assert collections.Counter(got) == +want
     firsts = [first[x] for x in dict.fromkeys(got) if first[x] is not None]
     assert firsts == sorted(firsts) and len({x % 2 for x in firsts}) == 2
@@ -591,3 +607,140 @@ def test_pipeline_runs(spark, small, empty):
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert out.select(F.max("n_tokens")).first()[0] > 0
+
+
+def words_in(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def plain_quality(docs):
+    """Kept rows with their cleaned texts, by counting lines in dictionaries."""
+    norm = lambda line: " ".join(words_in(line)).lower()
+    held, size = collections.defaultdict(set), collections.Counter()
+    first = {}
+    for i, t, s in docs:
+        size[s] += 1
+        for line in (t or "").split("\n"):
+            if words_in(line):
+                held[s, norm(line)].add(t)
+                first[s, norm(line)] = min(first.get((s, norm(line)), (i, t)), (i, t))
+    hot = {k for k, texts in held.items() if len(texts) > 20 and len(texts) > math.ceil(size[k[0]] * 0.05)}
+    out = []
+    for i, t, s in docs:
+        w, gone = words_in(t), lambda line: (s, norm(line)) in hot and first[s, norm(line)][1] != t  # noqa: E731,B023
+        grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        repeated = {p for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        left = sum(len(words_in(line)) for line in (t or "").split("\n") if not gone(line))
+        if len(w) >= 10 and 100 * len(repeated) <= 20 * len(w) and left >= 10 and left >= 0.3 * len(w):
+            out.append((i, "\n".join(line for line in t.split("\n") if not gone(line)), s))
+    return out
+
+
+def plain_classes(docs):
+    """One row of each class of near texts: of the smallest id."""
+    sets, root = [shingles(t) for _, t, _ in docs], list(range(len(docs)))
+    find = lambda a: a if root[a] == a else find(root[a])
+    for a in range(len(docs)):
+        for b in range(a):
+            if docs[a][1] == docs[b][1] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    best = {}
+    for k, d in enumerate(docs):
+        best[find(k)] = min(best.get(find(k), d), d)
+    return sorted(best.values())
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """The rows of run() on 150 documents, stage by stage in plain Python (the mix by its SQL, ids by tiktoken)."""
+    import corpus_pipeline
+    import public_tokenizers as vocab
+    import tiktoken
+
+    random = __import__("random").Random(4)
+    prose = lambda n: " ".join(f"w{random.randrange(4000)}" for _ in range(n))
+    line = "This boilerplate  line is on many pages of the site"
+    docs = [(i, prose(random.randrange(20, 60)) + "\n" + (line.upper() if i % 2 else line) * (i % 3 > 0) + "\n" + prose(20), f"s{i % 2}") for i in range(100)]
+    docs += [(200 + i, docs[i][1] + (" tail" if i % 2 else ""), "s2") for i in range(0, 40)]
+    docs += [(300, "too short", "s0"), (301, prose(8) + " " + "again and again and " * 20, "s1"), (302, None, None), (303, prose(60) + '\npassword = "hunter2hunter"\n', None), (304, prose(12) + " token: abcdefgh12", "s2")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = plain_classes(plain_quality(docs))
+    assert 90 < len(kept) < 110 and not {300, 301, 302} & {d[0] for d in kept}
+    scanner = secrets.Scanner()
+    clean = [(i, secrets.redacted(t, scanner(t), "[SECRET]"), s) for i, t, s in kept]
+    assert sum("[SECRET]" in t for _, t, _ in clean) == 2
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", clean)
+    taken = dict(con.sql(f"select doc_id, ceil(taken / size)::int from ({SQL['op4_mix']})").fetchall())
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(vocab.path("byte_bpe_multi_50k.tiktoken")))}
+    enc = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: b"".join(x.to_bytes(4, "little") for x in enc.encode_ordinary(t)) for i, t, _ in clean}
+    got = collections.Counter((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # the mix orders the stage's rows by a hash of the whole row: which document of a source is cut may differ, how much of a source is taken may not
+    assert {k[0]: k[1] for k in got} == {i: ids[i] for i in {k[0] for k in got}}
+    sources = {i: s for i, _, s in clean}
+    sizes = {i: len(words_in(t)) for i, t, _ in clean}
+    for s in {*sources.values()}:
+        words = lambda times: sum(n * sizes[i] for i, n in times if sources[i] == s)  # noqa: E731,B023
+        assert abs(words([(k[0], n) for k, n in got.items()]) - words(taken.items())) <= max(sizes.values())
+
+
+def test_join_equals_brute_force_on_all_documents(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [frozenset(map(hash, shingles(t))) for _, t in docs]
+    links = collections.Counter()
+    for a, (i, t) in enumerate(docs):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if docs[b][1] == t or (0.8 * len(x) <= len(y) and 0.8 * len(y) <= len(x) and len(x & y) >= 0.8 * len(x | y)):
+                links[i] += 1
+                links[docs[b][0]] += 1
+    assert {r.doc_id: r.n_links for r in result(spark, "/root/testdata/sf0.01", "op1_ngram_jaccard_join")} == {i: links[i] for i, _ in docs}
+
+
+def test_suffix_dedup_equals_brute_force_on_all_documents(spark):
+    docs = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    seen, want = set(), {}
+    for i, b in docs:
+        own = [b[k : k + 50] for k in range(len(b) - 49)]
+        covered = bytearray(len(b))
+        for k, x in enumerate(own):
+            if x in seen:
+                covered[k : k + 50] = b"\1" * 50
+        seen.update(own)
+        spans = sum(1 for k in range(len(b)) if covered[k] and (not k or not covered[k - 1]))
+        want[i] = (len(b), sum(covered), spans, hashlib.sha256(bytes(c for c, m in zip(b, covered) if not m)).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result(spark, "/root/testdata/sf0.01", "op2_suffix_dedup")} == want
+
+
+def test_several_megabytes(spark, tmp_path):
+    """One text of 3 MB, with its near copy, among small ones, in every operator on documents."""
+    text = " ".join(f"word{i * 7919 % 50021}" for i in range(300_000))
+    docs = [(1, text, "en", "a"), (2, text + " tail", "en", "a"), (3, "a few words that stand on their own, ten of them here", "en", "b"), (4, None, None, None)]
+    spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {n: {r.doc_id: r for r in result(spark, str(tmp_path), n)} for n in sorted(QUERIES) if n != "op6_chat"}
+    assert all(set(f) == {1, 2, 3, 4} for f in found.values())
+    assert found["op1_ngram_jaccard_join"][2].class_id == 1 and found["op2_suffix_dedup"][2].n_removed >= len(text) and found["op3_fingerprints"][1].near_next < 1
+    assert found["op4_mix"][1].size == 300_000 and found["op5_quality"][1].n_words == 300_000 and found["op8_bpe_round_trip"][1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert found["op10_lm_score"][2].n_tokens == 300_002
+
+
+def test_shared_folder(spark):
+    """Intermediates go below spark.checkpoint.dir; a cluster without it is an error; release deletes them."""
+    from types import SimpleNamespace
+
+    from tallgrove.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder or d), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.session_dir(session(master))
+        assert common.session_dir(session(master, "s3a://shared/")) == "s3a://shared/tallgrove-app"
+    assert common.session_dir(session("local[8]")).endswith("/tallgrove-app") and common.session_dir(session("local")).endswith("/tallgrove-app")
+    kept = common.written(spark.range(3))
+    assert kept.count() == 3
+    common.release(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
