@@ -6,7 +6,7 @@ equal strings meet at their anchor, and about one position in 16 is an anchor.
 
 1. Each document gives the different (anchor, context) pairs it has; the context is the 32 bytes
    before and after the anchor, all that its strings of 50 bytes can touch. What a smaller document of the
-   same batch has as well is settled there and then; the rest is dealt out by anchor and streamed in sorted order: a
+   same batch has as well, or one that the task remembers, is settled there and then; the rest is dealt out by anchor and streamed in sorted order: a
    context that a smaller document has is covered altogether.
 2. Where one anchor has several contexts in several documents, matches begin or end nearby. One
    fragment (82 bytes) for each context goes to its anchor. Over the fragments, in document order,
@@ -42,6 +42,8 @@ SIDE = LENGTH - GRAM
 FRAGMENT = LENGTH + SIDE
 WHOLE = (1 << (SIDE + 1)) - 1
 SLICE, FRAGMENTS, STREAMED = 1 << 20, 1 << 14, 1 << 18
+#: Contexts of several documents that a task remembers from batch to batch (16 bytes each), so that it hands a frequent one on once.
+KNOWN = 1 << 18
 PACKED_BYTES = 32 << 20
 #: Contexts of one anchor from which on its strings are dealt out one by one; the bit of a wanted number that says so.
 MANY, HOT = 1 << 15, 1 << 30
@@ -113,7 +115,8 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def contexts_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, c, doc, nr, done) from (doc, text): done if a smaller document of the batch has the context; then ``a`` is a salt."""
+    """Rows (a, c, doc, nr, done) from (doc, text): done if a smaller document of the batch, or one that the task remembers, has the context; then ``a`` is a salt."""
+    known, first_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for b in batches(it, 1):
         parts = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -128,8 +131,21 @@ def contexts_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, c))
         a, c, doc, nr = a[order], c[order], doc[order], nr[order]
         new = np.concatenate([[True], c[1:] != c[:-1]])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        done = doc > least
+        at = np.flatnonzero(new)
+        kind, least, several = c[at], doc[at], np.diff(np.append(at, len(c))) > 1
+        if len(known):
+            place = np.minimum(np.searchsorted(known, kind), len(known) - 1)
+            met = known[place] == kind
+            least = np.where(met, np.minimum(least, first_of[place]), least)
+            several |= met
+            rest = np.ones(len(known), bool)
+            rest[place[met]] = False
+            known, first_of = known[rest], first_of[rest]
+        room = max(0, KNOWN - int(several.sum()))
+        known, first_of = np.concatenate([kind[several][:KNOWN], known[:room]]), np.concatenate([least[several][:KNOWN], first_of[:room]])
+        by_kind = np.argsort(known)
+        known, first_of = known[by_kind], first_of[by_kind]
+        done = doc > least[np.cumsum(new) - 1]
         with np.errstate(over="ignore"):
             a = np.where(done, mix64(doc.view(np.uint64) * BASE + nr.astype(np.uint64)), a)
         # equal ids may hold a context twice; one row is enough for a source

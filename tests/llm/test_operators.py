@@ -196,6 +196,27 @@ def test_suffix_dedup_is_exact(spark, small, monkeypatch, limits):
     assert got == cut([(i, t) for i, t, *_ in rows()])
 
 
+@pytest.mark.parametrize("most", [1 << 18, 5])
+def test_contexts_are_settled_within_a_task(monkeypatch, most):
+    """Over several batches: a context is done only if a smaller document has it, never for the smallest; with room to remember, one in several batches is handed on about once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "KNOWN", most)
+    random = __import__("random").Random(6)
+    shared = " ".join(f"s{random.randrange(10**6)}" for _ in range(60))
+    docs = [(i, " ".join(f"u{random.randrange(10**6)}" for _ in range(20)) + shared * (i % 2)) for i in random.sample(range(1000), 90)] + [(7, shared)] * 2
+    batch = lambda rows: pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc", "text"])
+    out = [tuple(r.values()) for b in suffix_dedup.contexts_of(iter([batch(docs[k : k + 10]) for k in range(0, len(docs), 10)])) for r in b.to_pylist()]
+    least = {}
+    for _, c, doc, _, _ in out:
+        least[c] = min(doc, least.get(c, doc))
+    assert all(doc > least[c] for _, c, doc, _, done in out if done) and {c for _, c, doc, _, done in out if not done and doc == least[c]} == set(least)
+    open_rows = collections.Counter(c for _, c, _, _, done in out if not done)
+    assert len(out) == sum(len(suffix_dedup.numbered(suffix_dedup.anchors(t.encode())[2])[0]) for _, t in docs)
+    if most > 5:
+        assert max(open_rows.values()) < 8
+
+
 def test_longest_previous_factors():
     """Suffix order, common prefixes and previous factors against a search for every suffix, on texts of few letters."""
     import numpy as np
