@@ -394,19 +394,34 @@ def section_headers(t):
     return lines.where(T.is_header(T.strip(F.col("line")))).select("doc_name", long(at).alias("char_offset"), T.strip(F.col("line")).alias("header"))
 
 
-@query(f"""with recursive {SENTENCES}, p as (select doc_id, s, len(s) as n, list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda y: length(y) + 1))))::bigint[] as p from sen where len(s) > 0),
+PACKED = f"""with recursive {SENTENCES}, p as (select doc_id, s, len(s) as n, list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda y: length(y) + 1))))::bigint[] as p from sen where len(s) > 0),
 w as (
   select doc_id, 0::bigint as ord, 0::bigint as st, coalesce(list_max(list_filter(range(0, n), lambda k: p[k + 2] <= 800)), 0)::bigint as e from p
   union all
   select doc_id, ord + 1, t, greatest(e + 1, coalesce(list_max(list_filter(range(e + 1, n), lambda k: p[k + 2] - p[t + 1] <= 800)), e + 1))::bigint
   from (select doc_id, ord, e, n, p, case when p[e + 3] - p[t0 + 1] > 800 then e + 1 else t0 end as t from
-    (select w.doc_id, ord, e, n, p, coalesce(list_min(list_filter(range(st, e + 1), lambda j: p[e + 2] - p[j + 1] <= 200)), e + 1) as t0 from w join p using (doc_id) where e + 1 < n)))
+    (select w.doc_id, ord, e, n, p, coalesce(list_min(list_filter(range(st, e + 1), lambda j: p[e + 2] - p[j + 1] <= 200)), e + 1) as t0 from w join p using (doc_id) where e + 1 < n)))"""
+
+
+@query(f"""{PACKED}
 select doc_id || '_p1_c' || ord as chunk_id, ord, st as first, e as last, array_to_string(s[st + 1:e + 1], ' ') as text from w join p using (doc_id)""")
 def chunks(t):
     pages = t("documents").select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page"), "text")
     return chunking.chunks(pages).select("chunk_id", long("ord").alias("ord"), long("first").alias("first"), long("last").alias("last"), "text")
 
 
+#: Texts between two headers, by SQL and by expressions.
+HEADED = "(select doc_id, 'INTRO PART' || chr(10) || coalesce(text, '') || chr(10) || 'FINAL PART' || chr(10) || 'It ends here.' as text from documents)"
+
+
+@query(f"""{PACKED.replace('from documents)', f'from {HEADED})')}
+select doc_id || '_p1_c' || ord as chunk_id, case when st >= len(s) - 2 then 'FINAL PART' else 'INTRO PART' end as section from w join p using (doc_id)""")
+def chunk_sections(t):
+    text = F.concat(F.lit("INTRO PART\n"), F.coalesce("text", F.lit("")), F.lit("\nFINAL PART\nIt ends here."))
+    pages = t("documents").select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page"), text.alias("text"))
+    return chunking.chunks(pages).select("chunk_id", "section")
+
+
 @query(r"""with recursive l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents),
 p as (select doc_id, l, len(l) as n, list_prepend(0, list_transform(range(1, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda y: length(y) + 1))))::bigint[] as p from l where len(l) > 0),
 w as (select doc_id, 1::bigint as page, 0::bigint as st, coalesce(list_min(list_filter(range(0, n), lambda k: p[k + 2] >= 3000)), n - 1)::bigint as e from p
