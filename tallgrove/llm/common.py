@@ -13,6 +13,8 @@ WHITE = r"\x20\x09-\x0D"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 4 << 20
+#: Bytes of a row group of intermediate tables, which a task holds when it writes and reads large values.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,7 @@ def release(spark: SparkSession) -> None:
 def written(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: cuts lineage, survives executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
     (out.partitionBy(*parts) if parts else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -52,6 +52,8 @@ BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 ATONCE = 2 << 20
 #: Pairs that a task sums up before it hands them on; entries of one row of the written counts, and of one batch on its way there.
 HELD, CHUNK = 1 << 21, 1 << 18
+#: Bytes of a filter that the driver collects at once.
+GATHERED = 16 << 20
 #: Shards from which on probes are brought together by shard before they are written.
 MANY_SHARDS = 8
 #: The end token's hash, and the salts of levels and pairs.
@@ -260,7 +262,7 @@ def unpacked(rows: DataFrame, least: int, most: int) -> DataFrame:
     return rows.select("h", "n").mapInArrow(unpack, "h long, n long")
 
 
-def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> bytes:
+def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> bytearray:
     """The lines of buckets ``first`` to ``end``, ``each`` lines a bucket, of a filter of ``lines`` lines; at most ``MOST_BYTES``."""
 
     def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +281,15 @@ def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> by
         if own is not None:
             yield done()
 
-    got = rows.where((F.col("bucket") >= first) & (F.col("bucket") < end)).select("bucket", "h", "n").mapInArrow(put, "bucket int, bits binary").toArrow()
     size = each * LINE // 8
-    out = np.zeros((end - first) * size, np.uint8)
-    for bucket, bits in zip(got.column(0).to_pylist(), got.column(1)):
-        out[(bucket - first) * size : (bucket - first + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
-    return out.tobytes()  # workers read bytes without a second copy
+    out, step = bytearray((end - first) * size), max(1, GATHERED // size)
+    whole = np.frombuffer(out, np.uint8)
+    for s in range(first, end, step):
+        got = rows.where((F.col("bucket") >= s) & (F.col("bucket") < min(s + step, end))).select("bucket", "h", "n").mapInArrow(put, "bucket int, bits binary").toArrow()
+        for bucket, bits in zip(got.column(0).to_pylist(), got.column(1)):
+            whole[(bucket - first) * size : (bucket - first + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
+        del got
+    return out  # workers read bytes without a second copy
 
 
 class Model:
