@@ -50,8 +50,8 @@ BACKOFF = 10.0
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Bytes of text that numpy handles at once.
 ATONCE = 2 << 20
-#: Pairs that a task sums up before it hands them on; entries of one row of the written counts, and of one batch on its way there.
-HELD, CHUNK = 1 << 21, 1 << 18
+#: Pairs that a task sums up before it hands them on; entries of one row (rows stay below the size from which the JVM gives a value regions of its own), and of a batch of rows.
+HELD, PIECE, CHUNK = 1 << 21, 1 << 14, 1 << 18
 #: Bytes of a filter that the driver collects at once.
 GATHERED = 16 << 20
 #: Shards from which on probes are brought together by shard before they are written.
@@ -192,19 +192,31 @@ def fill(bits: np.ndarray, h: np.ndarray, q: np.ndarray, first: int, lines: int)
             bits[line | ((g >> np.uint64(9 * i)) & np.uint64(LINE - 1))] = 1
 
 
+def sized_cuts(at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of pieces of at most ``PIECE`` of n entries, none across the places ``at`` (the first is 0), for about ``CHUNK`` entries at a time."""
+    if not len(at):
+        return
+    ends = np.append(at[1:], n)
+    pieces = -(-(ends - at) // PIECE)
+    start = np.repeat(at, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = np.minimum(start + PIECE, np.repeat(ends, pieces))
+    cut = np.flatnonzero(np.diff(start // CHUNK)) + 1
+    yield from ((s, e) for s, e in zip(np.split(start, cut), np.split(end, cut)) if len(s))
+
+
 def counted(train: DataFrame, buckets: int) -> DataFrame:
     """(bucket, kind, h, n, total, hist): sums of words (kind 1) and pairs (kind 2) as packed hashes and counts.
 
-    hist has the number of entries of each level. Rows of a bucket are cut at ``CHUNK`` entries.
+    hist has the number of entries of each level. Rows of a bucket are cut at ``PIECE`` entries.
     """
 
     def pack(kind: int, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.searchsorted(range_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        some = np.flatnonzero(edge[1:] > edge[:-1])
-        for own in np.split(some, np.flatnonzero(np.diff(edge[some] // CHUNK)) + 1):
-            cut = [(edge[b], edge[b + 1]) for b in own]
+        own = range_of(h, buckets)
+        at = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1)))
+        for s, e in sized_cuts(at, len(h)):
+            some = [(x, y) for x, y in zip(s, e)]
             yield pa.record_batch(
-                [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([steps(h[s:e]) for s, e in cut], pa.binary()), pa.array([planes(n[s:e]) for s, e in cut], pa.binary())],
+                [pa.array(own[s].astype(np.int32)), pa.array([kind] * len(s), pa.int32()), pa.array([steps(h[x:y]) for x, y in some], pa.binary()), pa.array([planes(n[x:y]) for x, y in some], pa.binary())],
                 ["bucket", "kind", "h", "n"],
             )
 
@@ -229,10 +241,11 @@ def counted(train: DataFrame, buckets: int) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             h, n = sums.take()
-            for s in range(0, len(h), CHUNK):
-                own = n[s : s + CHUNK]
-                hist = np.bincount(levels(own), minlength=64)
-                yield pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([steps(h[s : s + CHUNK])], pa.binary()), pa.array([planes(own)], pa.binary()), pa.array([int(own.sum())], pa.int64()), pa.array([hist], pa.list_(pa.int64()))], ["bucket", "kind", "h", "n", "total", "hist"])
+            for s, e in sized_cuts(np.zeros(min(1, len(h)), np.int64), len(h)):
+                some = [(x, y) for x, y in zip(s, e)]
+                hist = [np.bincount(levels(n[x:y]), minlength=64) for x, y in some]
+                cols = [pa.array([k] * len(s), pa.int32()) for k in key] + [pa.array([steps(h[x:y]) for x, y in some], pa.binary()), pa.array([planes(n[x:y]) for x, y in some], pa.binary())]
+                yield pa.record_batch([*cols, pa.array([int(n[x:y].sum()) for x, y in some], pa.int64()), pa.array(hist, pa.list_(pa.int64()))], ["bucket", "kind", "h", "n", "total", "hist"])
 
         for b in it:
             for k, h, n in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2), b.column(3)):
@@ -265,11 +278,15 @@ def unpacked(rows: DataFrame, least: int, most: int) -> DataFrame:
 def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> bytearray:
     """The lines of buckets ``first`` to ``end``, ``each`` lines a bucket, of a filter of ``lines`` lines; at most ``MOST_BYTES``."""
 
+    size = each * LINE // 8
+
     def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, own = np.zeros(each * LINE, np.uint8), None
 
         def done() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([own], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+            packed = np.packbits(bits, bitorder="little").tobytes()
+            at = range(0, len(packed), 8 * PIECE)
+            return pa.record_batch([pa.array([own * size + x for x in at], pa.int64()), pa.array([packed[x : x + 8 * PIECE] for x in at], pa.binary())], ["at", "bits"])
 
         for b in it:
             for bucket, h, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
@@ -281,13 +298,13 @@ def gathered(rows: DataFrame, first: int, end: int, each: int, lines: int) -> by
         if own is not None:
             yield done()
 
-    size = each * LINE // 8
     out, step = bytearray((end - first) * size), max(1, GATHERED // size)
     whole = np.frombuffer(out, np.uint8)
     for s in range(first, end, step):
-        got = rows.where((F.col("bucket") >= s) & (F.col("bucket") < min(s + step, end))).select("bucket", "h", "n").mapInArrow(put, "bucket int, bits binary").toArrow()
-        for bucket, bits in zip(got.column(0).to_pylist(), got.column(1)):
-            whole[(bucket - first) * size : (bucket - first + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
+        got = rows.where((F.col("bucket") >= s) & (F.col("bucket") < min(s + step, end))).select("bucket", "h", "n").mapInArrow(put, "at long, bits binary").toArrow()
+        for at, bits in zip(got.column(0).to_pylist(), got.column(1)):
+            own = np.frombuffer(bits.as_buffer(), np.uint8)
+            whole[at - first * size : at - first * size + len(own)] |= own
         del got
     return out  # workers read bytes without a second copy
 
@@ -424,9 +441,10 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         edge = np.append(np.searchsorted(range_of(two, buckets), starts), len(two))
         token = np.append(at, len(order))
         for s in np.flatnonzero(edge[1:] > edge[:-1]):
-            x, y = edge[s], edge[s + 1]
-            data = packed_probes(ids, two[x:y], left[x:y], right[x:y], times[x:y], owner[order[token[x] : token[y]]])
-            yield passed(1, shard=[s], row=ids[:1], probes=[data])
+            for x in range(edge[s], edge[s + 1], PIECE):
+                y = min(x + PIECE, edge[s + 1])
+                data = packed_probes(ids, two[x:y], left[x:y], right[x:y], times[x:y], owner[order[token[x] : token[y]]])
+                yield passed(1, shard=[s], row=ids[:1], probes=[data])
 
     def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -436,14 +454,22 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     def probed(first: int, bits: object):
         def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, total = np.zeros(0, np.int64), np.zeros(0)
+
+            def done() -> pa.RecordBatch:
+                return pa.record_batch([pa.array(ids), pa.array(total)], ["row", "score"])
+
             for b in it:
                 for data in b.column(0):
-                    ids, two, left, right, times, owner = unpacked_probes(data.as_buffer())
+                    own, two, left, right, times, owner = unpacked_probes(data.as_buffer())
+                    if not np.array_equal(own, ids):  # the pieces of a batch of texts stand together
+                        yield done()
+                        ids, total = own, np.zeros(len(own))
                     pair, ahead, c = counts_of(probe(np.frombuffer(bits.value, np.uint8), first * pair_each, buckets * pair_each, two)), counts_of(left), counts_of(right)
                     a = ahead / (ahead + BACKOFF)
                     p = a * np.minimum(1.0, pair / np.maximum(np.maximum(ahead, pair), 1.0)) + (1 - a) * np.minimum(1.0, (c + 1) / (n + v + 1))
-                    logs = np.bincount(owner, np.repeat(np.log10(np.minimum(p, 1.0)), times), len(ids))
-                    yield pa.record_batch([pa.array(ids), pa.array(logs)], ["row", "score"])
+                    total += np.bincount(owner, np.repeat(np.log10(np.minimum(p, 1.0)), times), len(ids))
+            yield done()
 
         return read
 
