@@ -200,14 +200,12 @@ def balanced_json(raw: str | None) -> str | None:
 
 
 def llm_json(raw: Column) -> Column:
-    """``balanced_json``: replies that are JSON as they are stay in the JVM, the others go through Arrow batches."""
+    """``balanced_json`` over Arrow batches; Spark's own parser would take text after the JSON for part of it."""
     @F.arrow_udf("string")
     def parse(x: pa.Array) -> pa.Array:
         return pa.array([balanced_json(v.as_py()) for v in x], pa.string())
 
-    whole = strip(raw)
-    plain = F.try_parse_json(whole).isNotNull()
-    return F.when(plain, whole).otherwise(parse(F.when(~F.coalesce(plain, F.lit(False)), raw)))
+    return parse(raw)
 
 
 def planned(raw: Column, query: Column, most: int = 5) -> Column:
