@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,10 +106,20 @@ def _idf() -> Column:
 
 
 def _counts(docs: DataFrame, text: str) -> DataFrame:
-    """(term, df, length): documents that hold a term; the null term has all documents and their tokens. One pass, one shuffle of partial counts."""
-    t = docs.select(tokens(F.col(text)).alias("__t")).select(F.concat(F.array_distinct("__t"), F.array(F.lit(None).cast("string"))).alias("terms"), F.size("__t").alias("length"))
-    t = t.select(F.explode("terms").alias("term"), "length")
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
+    """(term, df, length): documents that hold a term; the null term has all documents and their tokens. One pass; what is shuffled is counted by batches before."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column(0)
+            flat = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            once = np.unique(row * (len(flat.dictionary) + 1) + flat.indices.to_numpy()) % (len(flat.dictionary) + 1)
+            df = np.bincount(once, minlength=len(flat.dictionary))
+            terms = pa.concat_arrays([flat.dictionary, pa.nulls(1, pa.string())])
+            yield pa.record_batch([terms, pa.array(np.append(df, len(lists))), pa.array([*[None] * len(df), len(row)], pa.int64())], ["term", "df", "length"])
+
+    t = docs.select(tokens(F.col(text)).alias("__t")).mapInArrow(count, "term string, df long, length long")
+    return t.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
 
 
 def _statistics(docs: DataFrame, wanted: DataFrame, text: str) -> tuple[float, list]:
@@ -148,25 +159,37 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
         term = np.array([number.setdefault(r["term"], len(number)) for r in own], np.int64)
         weight = np.array([r["times"] * idf_of[r["term"]] for r in own])
         order = np.argsort(term, kind="stable")
-        shared = spark.sparkContext.broadcast((number, np.searchsorted(term[order], np.arange(len(number) + 1)), np.array([at[r["qid"]] for r in own], np.int64)[order], weight[order]))
+        shared = spark.sparkContext.broadcast((list(number), np.searchsorted(term[order], np.arange(len(number) + 1)), np.array([at[r["qid"]] for r in own], np.int64)[order], weight[order]))
 
         def scorer(shared=shared, n=len(qids)):
             number, start, owner, weight = shared.value
+            terms = pa.array(number, pa.string())
+            dense = len(number) * n <= CELLS  # then the weights are a matrix, and scores products of it
+            matrix = np.zeros((len(number), n) if dense else (0, 0))
+            if dense:
+                np.add.at(matrix, (np.repeat(np.arange(len(number)), np.diff(start)), owner), weight)
 
             def score(b: pa.RecordBatch) -> np.ndarray:
                 lists = b.column(1)
                 length = np.diff(lists.offsets.to_numpy())
-                found = np.fromiter((number.get(w, -1) for w in lists.flatten().to_pylist()), np.int64)
+                found = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy()
                 hit = np.flatnonzero(found >= 0)
                 pair, tf = np.unique(np.repeat(np.arange(len(length)), length)[hit] * (len(number) + 1) + found[hit], return_counts=True)
                 doc, term = np.divmod(pair, len(number) + 1)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean)) if len(doc) else np.zeros(0)
                 scores = np.zeros(len(length) * n)
-                if len(doc):
-                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+                if dense:
+                    step = max(1, CELLS // max(1, len(number)))
+                    for s in range(0, len(length), step):
+                        x, y = np.searchsorted(doc, [s, s + step])
+                        rows = np.zeros((min(step, len(length) - s), len(number)))
+                        rows[doc[x:y] - s, term[x:y]] = part[x:y]
+                        scores[s * n : (s + len(rows)) * n] = (rows @ matrix).ravel()
+                elif len(doc):
                     # every (document, term) meets the queries of the term, about CELLS meetings at once
                     times = start[term + 1] - start[term]
                     ends = np.cumsum(times)
-                    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + CELLS, CELLS))
+                    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + CELLS, CELLS), side="right")
                     for x, y in zip(cuts, cuts[1:]):
                         t = times[x:y]
                         entry = np.repeat(start[term[x:y]] - np.cumsum(t) + t, t) + np.arange(t.sum())

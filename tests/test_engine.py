@@ -140,8 +140,10 @@ def test_best_of_many_tasks(spark, monkeypatch):
     assert {q for q, *_ in want} == {"", "a", "b"} and [r[2] for r in want if r[0] == "b"][0] == "z" and all(r[2] for r in want)
     tied = [r for r in want if r[0] == "a"]
     assert [r[2] for r in tied] == sorted(r[2] for r in tied) and len({r[3] for r in tied}) == 1
+    monkeypatch.setattr(search, "CELLS", 13)
+    assert rounded() == want
     monkeypatch.setattr(search, "BLOCK", 1)
-    monkeypatch.setattr(search, "CELLS", 7)
+    monkeypatch.setattr(search, "CELLS", 2)
     assert rounded() == want
 
 
