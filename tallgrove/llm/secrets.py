@@ -229,12 +229,37 @@ def bindings(text: str) -> list[Value]:
     return values
 
 
+#: What every sensitive name holds, and what follows if it may be a key: an operator, or the end of a string and an operator or a comma.
+STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "private", "access", "client")
+RUN, OPERATOR = re.compile(r"[A-Za-z0-9_.$-]*"), re.compile(r"[ \t]*[:=]")
+STOP, CLOSED = re.compile(r"""[\n"'`]"""), re.compile(r"""["'`]\]?\s*[:=,]""")
+
+
+def may_bind(text: str) -> bool:
+    """Whether a sensitive name may be a key somewhere in a text; if not, no literal in it is a secret. Names and strings are gone through once a stem."""
+    low = text.lower()
+    for stem in STEMS:
+        at, run, stop = low.find(stem), -1, -1
+        while at >= 0:
+            end = at + len(stem)
+            if run < end:
+                run = RUN.match(low, end).end()
+                if OPERATOR.match(low, run):
+                    return True
+            if stop < end:
+                found = STOP.search(low, end)
+                stop = found.start() if found else len(low)
+                if CLOSED.match(low, stop):
+                    return True
+            at = low.find(stem, end)
+    return False
+
+
 class Scanner:
     def __init__(self) -> None:
         self.assign = re.compile(ASSIGN, re.I | re.A).finditer
         self.access = re.compile(ACCESS).finditer
         self.hex = re.compile(HEX).finditer
-        self.sensitive = re.compile("|".join(SENSITIVE), re.I).search
 
     def literals(self, text: str) -> set[tuple[int, int]]:
         """(start, end) of the literals that are secrets, constants followed; offsets are of the literal itself.
@@ -256,7 +281,7 @@ class Scanner:
         out = []
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in self.assign(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
-        if self.sensitive(text):
+        if may_bind(text):
             out += [("literal", start, end) for start, end in self.literals(text)]
         if "AKIA" in text:
             out += [("access", *m.span()) for m in self.access(text)]
