@@ -27,6 +27,8 @@ K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 SMALL = 200_000
 #: Queries that are broadcast at once: vectors (8 bytes a dimension each), or terms with weights (16 bytes a term).
 BLOCK = 20_000
+#: Bytes a core below which a table is dealt out to all cores.
+SPLIT = 16 << 20
 #: Scores that are held at once.
 CELLS = 1 << 21
 
@@ -36,6 +38,16 @@ def near(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is too small to have a split for each.
+
+    A small file is often one row group, so one task; what is moved is at most ``SPLIT`` a core. Larger tables stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df
+
+
 def ranked(df: DataFrame, score: str, key: str, by: str = "qid", k: int | None = None) -> DataFrame:
     """Adds rank within ``by``: score descending (ties to nine digits by key); keeps the first k."""
     w = Window.partitionBy(by).orderBy(F.round(score, 9).desc(), F.col(key))
@@ -145,6 +157,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
     """
     spark = docs.sparkSession
     terms = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    docs = spread(docs.select(key, text))
     mean, idf = _statistics(docs, terms.select("term").distinct(), text)
     idf_of = dict(idf)
     blocks = max(1, -(-terms.select("qid").distinct().count() // BLOCK))
@@ -232,7 +245,7 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str
         def scorer(shared=shared):
             return lambda b: _products(b, 1, shared.value)
 
-        best = best_of(vectors.where(F.col(vector).isNotNull()), [vector], key, qids, kind, k, scorer)
+        best = best_of(spread(vectors).where(F.col(vector).isNotNull()), [vector], key, qids, kind, k, scorer)
         out = best if out is None else out.unionByName(best)
     return ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
 

@@ -77,7 +77,7 @@ def bm25_topk(t):
 
 @query(f"with {BM25} select term, df, round(raw, 6) as idf from vocab")
 def bm25_vocab_idf(t):
-    return search.vocabulary(t("documents")).select("term", "df", r6("idf"))
+    return search.vocabulary(search.spread(t("documents").select("text"))).select("term", "df", r6("idf"))
 
 
 @query(f"""with {BM25} select doc_id, dl::bigint as n_tokens, len(list_distinct(t))::bigint as n_terms from dt join dl using (doc_id)""")
@@ -192,7 +192,7 @@ fused as (select qid, doc_id, coalesce(1.0::double / (60 + a.rank), 0) + coalesc
 select * from (select qid, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank, doc_id, round(score, 6) as score, round(similarity, 6) as similarity from fused) where rank <= 20""")
 def hybrid_search(t):
     docs, items = t("documents").select("doc_id", "text"), _items(t)
-    den = search.dense(bag_vectors(docs, "doc_id"), bag_vectors(items, "qid").withColumnRenamed("embedding", "q"), "doc_id", 20)
+    den = search.dense(bag_vectors(search.spread(docs), "doc_id"), bag_vectors(items, "qid").withColumnRenamed("embedding", "q"), "doc_id", 20)
     out = search.fused(den, search.bm25(docs, items, "doc_id", 20), "doc_id", 20)
     return out.select("qid", long("rank").alias("rank"), "doc_id", r6("score"), r6("similarity"))
 
