@@ -229,30 +229,38 @@ def bindings(text: str) -> list[Value]:
     return values
 
 
-#: What every sensitive name holds, and what follows if it may be a key: an operator, or the end of a string and an operator or a comma.
+#: What every sensitive name holds.
 STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "private", "access", "client")
-RUN, OPERATOR = re.compile(r"[A-Za-z0-9_.$-]*"), re.compile(r"[ \t]*[:=]")
-STOP, CLOSED = re.compile(r"""[\n"'`]"""), re.compile(r"""["'`]\]?\s*[:=,]""")
+#: What follows the stem of a name that is bound: the rest of a bare name (or of a bare value that turns out to be a name) and an
+#: operator, the rest of a call's first string and its quote, or, for any other string, somewhere later a quote and an operator.
+RUN, WIDE, OPERATOR = re.compile(r"[A-Za-z0-9_.$-]*"), re.compile(r"[A-Za-z0-9+/_.$=-]*"), re.compile(r"[ \t]*[:=]")
+FIRST, QUOTES = re.compile(r"[A-Za-z0-9_.$ -]*"), ('"', "'", "`")
+CLOSED = re.compile(r"""["'`][ \t]*\]?[ \t]*[:=]""")
 
 
 def may_bind(text: str) -> bool:
-    """Whether a sensitive name may be a key somewhere in a text; if not, no literal in it is a secret. Names and strings are gone through once a stem."""
+    """False only if ``bindings`` can bind no sensitive name, so that no literal of the text is a secret. Linear: each stem's names are gone through once."""
     low = text.lower()
+    first = len(low)
     for stem in STEMS:
-        at, run, stop = low.find(stem), -1, -1
+        at, run, wide, rest = low.find(stem), -1, -1, -1
+        first = min(first, at) if at >= 0 else first
         while at >= 0:
             end = at + len(stem)
             if run < end:
                 run = RUN.match(low, end).end()
                 if OPERATOR.match(low, run):
                     return True
-            if stop < end:
-                found = STOP.search(low, end)
-                stop = found.start() if found else len(low)
-                if CLOSED.match(low, stop):
+                if wide < end:
+                    wide = WIDE.match(low, run).end()
+                    if OPERATOR.match(low, wide):
+                        return True
+            if rest < end:
+                rest = FIRST.match(low, end).end()
+                if low.startswith(QUOTES, rest):
                     return True
             at = low.find(stem, end)
-    return False
+    return CLOSED.search(low, first) is not None
 
 
 class Scanner:
