@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from tallgrove.functions.text import tokens
 from tallgrove.functions.vectors import similarity
+from tallgrove.operators.incremental import numbered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,23 +86,43 @@ class Best:
         return q, self.known[self.at[place, q]] if len(q) else np.empty(0, object), self.scores[place, q]
 
 
-def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: str, k: int, scorer: Callable) -> DataFrame:
-    """(qid, key, score): of each task the best k of each query. ``scorer()`` makes a function of batches to scores (rows, queries). Null keys are not found."""
-    kind = df.schema[key].dataType
-    schema = f"qid {qid_type}, `{key}` {kind.simpleString()}, score double"
+class Collected:
+    """Scores of batches as rows (qid, key, score): the best k of each query at the end, or with k None all of them as they come."""
+
+    def __init__(self, qids: list, schema: pa.Schema, k: int | None) -> None:
+        self.arrow, self.qids, self.best = schema, qids, None if k is None else Best(len(qids), k)
+
+    def rows(self, q: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([self.qids[i] for i in q], self.arrow.field(0).type), pa.array(keys.tolist(), self.arrow.field(1).type), pa.array(scores)], self.arrow.names)
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.best is not None:
+            self.best.add(keys, scores)
+            return
+        at, q = np.nonzero(scores > -np.inf)
+        yield self.rows(q, keys[at], scores[at, q])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.best is not None:
+            yield self.rows(*self.best.rows())
+
+
+def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: str, k: int | None, scorer: Callable) -> DataFrame:
+    """(qid, key, score): of each task the best k of each query, with k None all. ``scorer()`` makes a function of batches to scores (rows, queries). Null keys are not found."""
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"qid {qid_type}, `{key}` {kind}, score double"
     if not qids:
         return df.sparkSession.createDataFrame([], schema)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, best = scorer(), Best(len(qids), k)
+        score, out = scorer(), Collected(qids, arrow, k)
         step = max(1, CELLS // len(qids))
         for b in it:
             for s in range(0, b.num_rows, step):
                 own = b.slice(s, step)
-                best.add(own.column(0).to_numpy(zero_copy_only=False), score(own))
-        q, keys, scores = best.rows()
-        yield pa.record_batch([pa.array([qids[i] for i in q], arrow.field(0).type), pa.array(keys.tolist(), arrow.field(1).type), pa.array(scores)], ["qid", key, "score"])
+                yield from out.add(own.column(0).to_numpy(zero_copy_only=False), score(own))
+        yield from out.rest()
 
     return df.where(F.col(key).isNotNull()).select(key, *columns).mapInArrow(task, schema)
 
@@ -149,6 +170,50 @@ def _statistics(docs: DataFrame, wanted: DataFrame, text: str) -> tuple[float, l
     return every[0]["length"] / n, [(r["term"], idf(r["df"]) if idf(r["df"]) >= 0 else EPSILON * mean) for r in terms if r["own"]]
 
 
+def weights_of(rows: list[dict], idf_of: dict[str, float]) -> tuple[list, tuple]:
+    """(qids, weights) of query terms (qid, term, times): the terms, where the queries of each begin, the queries and their weights."""
+    qids = sorted({r["qid"] for r in rows}, key=lambda q: (q is None, q))
+    at, number = {q: i for i, q in enumerate(qids)}, {}
+    own = [r for r in rows if r["term"] in idf_of]
+    term = np.array([number.setdefault(r["term"], len(number)) for r in own], np.int64)
+    weight = np.array([r["times"] * idf_of[r["term"]] for r in own])
+    order = np.argsort(term, kind="stable")
+    return qids, (list(number), np.searchsorted(term[order], np.arange(len(number) + 1)), np.array([at[r["qid"]] for r in own], np.int64)[order], weight[order])
+
+
+def _weighted(weights: tuple, n: int) -> Callable:
+    """A function of occurrences (document from 0 on, term, times, the document's length) to the BM25 scores (documents, n queries) of that many documents."""
+    number, start, owner, weight = weights
+    dense = len(number) * n <= CELLS  # then the weights are a matrix, and scores products of it
+    matrix = np.zeros((len(number), n) if dense else (0, 0))
+    if dense:
+        np.add.at(matrix, (np.repeat(np.arange(len(number)), np.diff(start)), owner), weight)
+
+    def score(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, docs: int, mean: float) -> np.ndarray:
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) if len(doc) else np.zeros(0)
+        scores = np.zeros(docs * n)
+        if dense:
+            step = max(1, CELLS // max(1, len(number)))
+            for s in range(0, docs, step):
+                x, y = np.searchsorted(doc, [s, s + step])
+                rows = np.zeros((min(step, docs - s), len(number)))
+                rows[doc[x:y] - s, term[x:y]] = part[x:y]
+                scores[s * n : (s + len(rows)) * n] = (rows @ matrix).ravel()
+        elif len(doc):
+            # every (document, term) meets the queries of the term, about CELLS meetings at once
+            times = start[term + 1] - start[term]
+            ends = np.cumsum(times)
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1] + CELLS, CELLS), side="right")
+            for x, y in zip(cuts, cuts[1:]):
+                t = times[x:y]
+                entry = np.repeat(start[term[x:y]] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                scores += np.bincount(np.repeat(doc[x:y], t) * n + owner[entry], np.repeat(part[x:y], t) * weight[entry], len(scores))
+        scores = scores.reshape(docs, n)
+        return np.where(scores > 0, scores, -np.inf)
+
+    return score
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text") -> DataFrame:
     """(qid, rank, key, score) of the k best documents of each query with a score above 0.
 
@@ -166,51 +231,24 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
     out = None
     for i in range(blocks):
         own = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow().to_pylist()
-        qids = sorted({r["qid"] for r in own}, key=lambda q: (q is None, q))
-        at, number = {q: i for i, q in enumerate(qids)}, {}
-        own = [r for r in own if r["term"] in idf_of]
-        term = np.array([number.setdefault(r["term"], len(number)) for r in own], np.int64)
-        weight = np.array([r["times"] * idf_of[r["term"]] for r in own])
-        order = np.argsort(term, kind="stable")
-        shared = spark.sparkContext.broadcast((list(number), np.searchsorted(term[order], np.arange(len(number) + 1)), np.array([at[r["qid"]] for r in own], np.int64)[order], weight[order]))
+        qids, weights = weights_of(own, idf_of)
+        shared = spark.sparkContext.broadcast(weights)
 
         def scorer(shared=shared, n=len(qids)):
-            number, start, owner, weight = shared.value
-            terms = pa.array(number, pa.string())
-            dense = len(number) * n <= CELLS  # then the weights are a matrix, and scores products of it
-            matrix = np.zeros((len(number), n) if dense else (0, 0))
-            if dense:
-                np.add.at(matrix, (np.repeat(np.arange(len(number)), np.diff(start)), owner), weight)
-
-            def score(b: pa.RecordBatch) -> np.ndarray:
+            score = _weighted(shared.value, n)
+            terms = pa.array(shared.value[0], pa.string())
+            width = len(terms) + 1
+
+            def tokens_of(b: pa.RecordBatch) -> np.ndarray:
                 lists = b.column(1)
                 length = np.diff(lists.offsets.to_numpy())
                 found = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy()
                 hit = np.flatnonzero(found >= 0)
-                pair, tf = np.unique(np.repeat(np.arange(len(length)), length)[hit] * (len(number) + 1) + found[hit], return_counts=True)
-                doc, term = np.divmod(pair, len(number) + 1)
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean)) if len(doc) else np.zeros(0)
-                scores = np.zeros(len(length) * n)
-                if dense:
-                    step = max(1, CELLS // max(1, len(number)))
-                    for s in range(0, len(length), step):
-                        x, y = np.searchsorted(doc, [s, s + step])
-                        rows = np.zeros((min(step, len(length) - s), len(number)))
-                        rows[doc[x:y] - s, term[x:y]] = part[x:y]
-                        scores[s * n : (s + len(rows)) * n] = (rows @ matrix).ravel()
-                elif len(doc):
-                    # every (document, term) meets the queries of the term, about CELLS meetings at once
-                    times = start[term + 1] - start[term]
-                    ends = np.cumsum(times)
-                    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + CELLS, CELLS), side="right")
-                    for x, y in zip(cuts, cuts[1:]):
-                        t = times[x:y]
-                        entry = np.repeat(start[term[x:y]] - np.cumsum(t) + t, t) + np.arange(t.sum())
-                        scores += np.bincount(np.repeat(doc[x:y], t) * n + owner[entry], np.repeat(part[x:y], t) * weight[entry], len(scores))
-                scores = scores.reshape(len(length), n)
-                return np.where(scores > 0, scores, -np.inf)
-
-            return score
+                pair, tf = np.unique(np.repeat(np.arange(len(length)), length)[hit] * width + found[hit], return_counts=True)
+                doc, term = np.divmod(pair, width)
+                return score(doc, term, tf, length[doc], len(length), mean)
+
+            return tokens_of
 
         best = best_of(t, ["__t"], key, qids, kind, k, scorer)
         out = best if out is None else out.unionByName(best)
@@ -233,8 +271,8 @@ def _products(b: pa.RecordBatch, column: int, queries: np.ndarray) -> np.ndarray
     return b.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) @ queries.T
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
-    """(qid, rank, key, score): exact inner products of each query (qid, q) with every vector, best k.
+def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int | None, vector: str = "embedding") -> DataFrame:
+    """(qid, rank, key, score): exact inner products of each query (qid, q) with every vector, best k; with k None all of them, without ranks.
 
     Queries are broadcast in blocks of about ``BLOCK`` at most, each block in a scan of its own over the
     vectors; every task keeps its best k of a query before the shuffle. Null vectors are not found.
@@ -247,7 +285,7 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str
 
         best = best_of(spread(vectors).where(F.col(vector).isNotNull()), [vector], key, qids, kind, k, scorer)
         out = best if out is None else out.unionByName(best)
-    return ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
+    return out if k is None else ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
 
 
 def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, vector: str = "embedding") -> DataFrame:
@@ -303,6 +341,32 @@ def fused(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:
     return ranked(scored, "score", key, k=k).select("qid", "rank", key, "score", "similarity")
 
 
+def counted_ranks(rows: DataFrame, score: str, key: str) -> DataFrame:
+    """Adds rank as ``ranked`` does, for lists of any length: rows are numbered in ranges over all queries, so no task holds a query's list."""
+    order = rows.withColumn("__s", -F.round(score, 9))
+    order = numbered(order, ["qid", "__s", key], "__n").drop("__s")
+    first = order.groupBy("qid").agg(F.min("__n").alias("__first"))
+    return order.join(near(first), "qid").withColumn("rank", (F.col("__n") - F.col("__first") + 1).cast("long")).drop("__n", "__first")
+
+
+def scoped_fused(a: DataFrame, b: DataFrame, budgets: DataFrame, members: DataFrame, key: str, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(qid, rank, key, score, similarity): the best k of each query's own document among the ``budget`` best of the fused list.
+
+    ``a`` and ``b`` have all scores (qid, key, score); ``budgets`` (qid, doc, budget); ``members`` (key, doc). Ranks come from counting in ranges, not from
+    fetching a query's ``budget`` hits, which may be as many as there are chunks. ``keep`` writes a table that is read twice.
+    """
+    wide = lambda d, r: counted_ranks(keep(d), "score", key).withColumnRenamed("rank", r).join(near(budgets.select("qid", "budget")), "qid").where(F.col(r) <= F.col("budget"))
+    left = wide(a, "ra").select("qid", key, "ra", F.col("score").alias("sa"))
+    right = wide(b, "rb").select("qid", key, "rb")
+    both = left.join(right, ["qid", key], "full_outer")
+    term = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
+    fused_ = both.select("qid", key, (term("ra") + term("rb")).alias("score"), similarity(F.col("sa")).alias("similarity"))
+    found = counted_ranks(keep(fused_), "score", key).join(near(budgets), "qid").where(F.col("rank") <= F.col("budget"))
+    own = found.join(members.select(key, F.col("doc").alias("__doc")), key).where(F.col("doc") == F.col("__doc"))
+    w = Window.partitionBy("qid").orderBy("rank")
+    return own.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).select("qid", F.col("__n").alias("rank"), key, "score", "similarity")
+
+
 def over_fetch(top_k: int, n: int, rerank: bool, factor: int = 4) -> int:
     return min(factor * top_k, n) if rerank else top_k
 

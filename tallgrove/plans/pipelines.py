@@ -1,7 +1,8 @@
 """Two pipelines over one index with one result shape: single-shot (traditional) and staged with verification (agentic).
 
 A result is (qid, query, answer, pipeline, confidence, citations, chunks, stages, total_latency_ms, usage), a row a query; all
-queries of a batch are one plan, in which each model is called once a query. Latencies are those of the model calls: retrieval is shared by the batch.
+queries of a batch are handled at once. Each stage's replies are written before the next stage reads them (``replies``), so each model is called once for each different
+prompt, however often the result is read. Latencies are those of the model calls: retrieval is shared by the batch.
 """
 from __future__ import annotations
 
@@ -14,12 +15,16 @@ from tallgrove.functions import models
 from tallgrove.operators import context, records, verification
 from tallgrove.plans import agent
 from tallgrove.plans.index import Index
+from tallgrove.plans.replies import Replies
+from tallgrove.sources.store import kept
 
 ANSWER, PLAN, VERIFY = (
     "Answer from the context only. Cite sources as footnotes.",
     "Split the question into sub-queries. Return JSON.",
     "Check every claim of the answer against the sources. Return JSON.",
 )
+#: Fixed value: the reply where nothing was found.
+NOTHING = "I could not find information about this in the indexed documents."
 CHUNK = ("chunk_id", "doc_name", "page", "section", "text", "score", "similarity", "source_query")
 
 
@@ -50,36 +55,56 @@ def _result(rows: DataFrame, pipeline: str, confidence: Column, stages: list[tup
     )
 
 
-def traditional(index: Index, queries: DataFrame, call: models.Call | None, top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, hyde: Callable[[Column], Column] | None = None) -> DataFrame:
+def _free(text: str) -> Column:
+    """A completion that no model was asked for."""
+    none = lambda kind: F.lit(0).cast(kind)
+    return F.struct(F.lit(text).alias("text"), none("long").alias("calls"), none("long").alias("prompt_tokens"), none("long").alias("completion_tokens"), none("double").alias("latency_ms"))
+
+
+def traditional(
+    index: Index, queries: DataFrame, call: models.Call | None, top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None,
+    hyde: Callable[[Column], Column] | None = None, replies: Replies | None = None,
+) -> DataFrame:
     """One search, one answer; citations by document and page; confidence is not judged (n/a)."""
-    hits = index.search(queries, top_k, rerank, hyde)
-    kept = records.retrieved(hits.join(queries.select("qid", F.col("text").alias("__q")), "qid"), F.col("__q"))
-    kept = kept.join(hits.select("qid", F.col("chunk_id"), "rank"), ["qid", "chunk_id"])
+    replies = replies or Replies(index.spark)
+    hits = kept(index.search(queries, top_k, rerank, hyde))
+    own = records.retrieved(hits.join(queries.select("qid", F.col("text").alias("__q")), "qid"), F.col("__q"))
+    own = own.join(hits.select("qid", F.col("chunk_id"), "rank"), ["qid", "chunk_id"])
     blocks = records.prompt_contexts(hits, top_k)
-    a = queries.select("qid", F.col("text").alias("query")).join(blocks, "qid", "left").join(_chunks_of(kept), "qid", "left")
-    a = a.withColumn("__answer", models.completion(call, ANSWER, _question(F.col("context"), F.col("query")))).withColumn("answer", F.col("__answer.text"))
-    a = a.withColumn("__answer", F.col("__answer").withField("calls", F.greatest(F.col("__answer.calls"), F.lit(1).cast("long"))))  # an answer is one call, even if it failed
+    a = queries.select("qid", F.col("text").alias("query")).join(blocks, "qid", "left").join(_chunks_of(own), "qid", "left")
+    a = replies.ask(a, call, ANSWER, _question(F.col("context"), F.col("query")), "__answer")
+    # an answer is one call, even if it failed
+    a = a.withColumn("__answer", F.col("__answer").withField("calls", F.when(models.failed(F.col("__answer.text")), F.lit(1).cast("long")).otherwise(F.col("__answer.calls")))).withColumn("answer", F.col("__answer.text"))
     a = a.withColumn("citations", context.plain_cited(F.col("answer"), F.col("chunks")))
     return _result(a, "traditional", F.lit("n/a"), [("retrieval", None), ("answer", "__answer")])
 
 
-def agentic(index: Index, queries: DataFrame, call: models.Call | None, top_k: int = 5, passes: int = 3, verify: bool = True, reformulate: Callable[[Column], Column] | None = None, verifier: models.Call | None = None, planner: models.Call | None = None) -> DataFrame:
-    """Plan, retrieve with a coverage gate, assemble, answer, verify. ``planner`` and ``verifier`` default to ``call``."""
-    planned = queries.withColumn("__plan", models.completion(planner or call, PLAN, F.col("text")))
-    subs = agent.sub_queries(planned.select("qid", "text", "__plan"), lambda _: F.col("__plan.text"))
-    hits, _ = agent.retrieve(index, subs, top_k, passes, reformulate)
-    texts = subs.select("qid", F.col("sub").alias("__s"), F.col("text").alias("__t"))
-    kept = hits.withColumn("__s", F.expr("sub div 100")).join(texts, ["qid", "__s"], "left")
-    kept = records.retrieved(kept, F.col("__t")).join(hits.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"])
-    a = agent.contexts(index, hits).join(planned.select("qid", F.col("text").alias("query"), "__plan"), "qid", "right").join(_chunks_of(kept), "qid", "left")
-    a = a.withColumn("__answer", models.completion(call, ANSWER, _question(F.col("context"), F.col("query")))).withColumn("answer", F.col("__answer.text"))
+def agentic(
+    index: Index, queries: DataFrame, call: models.Call | None, top_k: int = 5, passes: int = 3, verify: bool = True, reformulate: models.Call | None = None,
+    verifier: models.Call | None = None, planner: models.Call | None = None, rerank: Callable[[Column, Column], Column] | None = None, replies: Replies | None = None,
+) -> DataFrame:
+    """Plan, retrieve with a coverage gate, assemble, answer, verify. ``planner`` and ``verifier`` default to ``call``.
+
+    Citations, the verifier and the result see the chunks of the assembled context, those of referenced sections too. A query without context gets the fixed
+    reply ``NOTHING`` without a call, at low confidence. Models named differently share no replies.
+    """
+    replies = replies or Replies(index.spark)
+    planned = replies.ask(queries.select("qid", F.col("text").alias("query")), planner or call, PLAN, F.col("query"), "__plan", model="planner")
+    subs = agent.sub_queries(planned.select("qid", F.col("query").alias("text"), "__plan"), lambda _: F.col("__plan.text"))
+    hits, coverage = agent.retrieve(index, subs, top_k, passes, reformulate, rerank=rerank, replies=replies)
+    add = lambda f: F.sum(F.col("cost")[f]).alias(f)
+    cost = coverage.groupBy("qid").agg(F.struct(*map(add, ("calls", "prompt_tokens", "completion_tokens", "latency_ms"))).alias("__retrieval"))
+    a = planned.join(agent.blocks(index, hits), "qid", "left").join(cost, "qid", "left")
+    some = F.coalesce(F.size("chunks"), F.lit(0)) > 0
+    a = replies.ask(a, call, ANSWER, _question(F.col("context"), F.col("query")), "__answer", when=some, model="answerer")
+    a = a.withColumn("__answer", F.coalesce("__answer", _free(NOTHING))).withColumn("answer", F.col("__answer.text"))
     a = a.withColumn("citations", context.cited(F.col("answer"), F.col("chunks")))
-    stages: list[tuple[str, str | None]] = [("planner", "__plan"), ("retriever", None), ("assembler", None), ("answerer", "__answer")]
+    stages: list[tuple[str, str | None]] = [("planner", "__plan"), ("retriever", "__retrieval"), ("assembler", None), ("answerer", "__answer")]
     if not verify:
         return _result(a, "agentic", F.lit("n/a"), stages)
-    a = a.withColumn("__check", models.completion(verifier or call, VERIFY, verification.prompt(F.col("answer"), F.col("chunks"))))
+    a = replies.ask(a, verifier or call, VERIFY, verification.prompt(F.col("answer"), F.col("chunks")), "__check", when=some & (F.col("answer") != ""), model="verifier")
     a = a.withColumn("__v", verification.verified(F.col("answer"), F.col("chunks"), F.col("__check.text"))).withColumn("answer", F.col("__v.verified_answer"))
-    return _result(a, "agentic", F.col("__v.confidence"), [*stages, ("verifier", "__check")])
+    return _result(kept(a), "agentic", F.col("__v.confidence"), [*stages, ("verifier", "__check")])
 
 
 PIPELINES = {"traditional": traditional, "agentic": agentic}

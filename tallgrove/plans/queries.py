@@ -529,7 +529,18 @@ select chunk_id, section from c where lang <> 'fr' and exists (select 1 from r w
 def xref_sections(t):
     d = t("documents")
     c = d.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), F.concat((F.col("n_chars") % 30).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit(" Part")).alias("section"), F.concat(F.lit("as in Section "), (F.col("n_chars") % 7).cast("string"), F.lit(" here")).alias("text"), "lang")
-    return context.referenced(c.where("lang = 'fr'").drop("lang"), c.drop("lang")).select("chunk_id", "section")
+    return context.referenced(c.where("lang = 'fr'").drop("lang").withColumn("qid", F.lit(1)), c.drop("lang")).select("chunk_id", "section")
+
+
+@query("""with c as (select doc_id, doc_id % 7 as qid, 'c' || doc_id as chunk_id, source as doc_name, (n_chars % 30) || '.' || (doc_id % 3) || ' Part' as section, 'as in Section ' || (n_chars % 7) || case when n_chars % 2 = 0 then '.' || (doc_id % 3) else '' end || ' here' as text, lang from documents),
+h as (select * from c where lang <> 'en'), r as (select distinct qid, doc_name, regexp_extract(text, 'Section ([0-9.]+[0-9]|[0-9])', 1) as ref from h)
+select distinct r.qid, c.chunk_id, c.section from c join r on r.doc_name = c.doc_name and starts_with(c.section, r.ref) where not exists (select 1 from h where h.qid = r.qid and h.chunk_id = c.chunk_id)""")
+def xref_by_query(t):
+    part = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("."), (F.col("doc_id") % 3).cast("string"))).otherwise("")
+    section = F.concat((F.col("n_chars") % 30).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit(" Part"))
+    text = F.concat(F.lit("as in Section "), (F.col("n_chars") % 7).cast("string"), part, F.lit(" here"))
+    c = t("documents").select((F.col("doc_id") % 7).alias("qid"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), section.alias("section"), text.alias("text"), "lang")
+    return context.referenced(c.where("lang <> 'en'").drop("lang"), c.drop("lang", "qid")).select("qid", "chunk_id", "section")
 
 
 # -- index upkeep ----------------------------------------------------------------------------------

@@ -214,7 +214,7 @@ def test_sources_and_index(spark, tmp_path):
     assert index.search(q, 1, rerank=overlap).count() == 2
     answers = {r.qid: r for r in index.answer(q, lambda p: F.lit("It runs at 30 bar, not 77."), top_k=1).collect()}
     assert answers[1].mismatches == ["77"] and answers[1].confidence == "low"
-    assert index.update(stored, seen.where("name = 'b'")) == "rebuilt" and index.stats().first().docs == ["b"]
+    assert index.update(stored, seen.where("name = 'b'")) == "updated" and index.stats().first().docs == ["b"]
 
 
 def test_agent(spark, tmp_path):
@@ -226,7 +226,7 @@ def test_agent(spark, tmp_path):
     q = spark.createDataFrame([(1, "pump bar"), (2, "zzz qqq")], "qid long, text string")
     plan = lambda t: F.when(t == "pump bar", F.lit('{"sub_queries": [{"text": "the pump"}, {"text": "the valve"}]}')).otherwise("no plan")
     assert {(r.qid, r.sub, r.text) for r in agent.sub_queries(q, plan).collect()} == {(1, 0, "the pump"), (1, 1, "the valve"), (2, 0, "zzz qqq")}
-    hits, coverage = agent.retrieve(index, agent.sub_queries(q, plan), 1, passes=3, reformulate=lambda t: F.lit("The valve opens at 7 bar."))
+    hits, coverage = agent.retrieve(index, agent.sub_queries(q, plan), 1, passes=3, reformulate=lambda system, user: json.dumps({"reformulated_query": " The valve opens at 7 bar. "}))
     assert {r.doc_name for r in hits.where("qid = 1").collect()} == {"pump", "valve"}
     assert {(r.qid, r.sub): r.passes for r in coverage.collect()}[(2, 0)] == 2
     llm = lambda p: F.lit("At 30 bar [^1].\n[^1]: pump, Page 1")
