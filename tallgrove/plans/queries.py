@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, records, search, verification
+from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, postings, records, search, verification
 from tallgrove.plans import harness
+from tallgrove.sources.store import kept, scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -80,6 +81,51 @@ def bm25_vocab_idf(t):
     return search.vocabulary(search.spread(t("documents").select("text"))).select("term", "df", r6("idf"))
 
 
+def _segments(t, parts: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(postings, terms, dfs, chunks, tokens) of all documents, written as one segment after another."""
+    docs = t("documents").select("doc_id", "source", "text")
+    top, tables = scratch(docs.sparkSession), {"postings": [], "terms": [], "dfs": []}
+    for i, part in enumerate(parts):
+        own = docs.where(part).withColumn("seg", F.lit(i))
+        postings.write_postings(postings.postings(own, "doc_id", "source"), f"{top}/{i}/postings", "doc_id", own.count(), 64)
+        change = postings.term_counts(docs.sparkSession.read.parquet(f"{top}/{i}/postings"), 64)
+        postings.write_statistics(change, postings.united(docs.sparkSession, tables["terms"]), f"{top}/{i}")
+        for name, paths in tables.items():
+            paths.append(f"{top}/{i}/{name}")
+    found = [postings.united(docs.sparkSession, paths) for paths in tables.values()]
+    return *found, docs.count(), found[0].agg(F.sum("tf")).first()[0]
+
+
+@query(SQL["bm25_topk"])
+def postings_topk(t):
+    """``bm25_topk`` from a persisted inverted index: the buckets of the queries' terms are read, no text is."""
+    rows, terms, dfs, n, length = _segments(t, [F.lit(True)])
+    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, 64).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
+
+
+@query(SQL["bm25_vocab_idf"])
+def postings_vocab_idf(t):
+    """``bm25_vocab_idf`` from the statistics of segments by language, added up."""
+    _, terms, _, n, _ = _segments(t, [F.col("lang") == "en", F.col("lang") == "de", ~F.col("lang").isin("en", "de") | F.col("lang").isNull()])
+    return postings.summed(terms).select("term", "df", r6(postings._idf(F.col("df"), n), "idf"))
+
+
+@query(f"""with {BM25.replace("from documents", "from (select * from documents where doc_id not in (select doc_id from labels where toxic = 1))")}
+select qid, rank, doc_id, round(score, 6) as score from lex where rank <= 5""")
+def postings_after_deletes(t):
+    """The same after three appends and the deletion of all documents that are labelled toxic: changes of the statistics add up, postings stay where they are."""
+    rows, terms, dfs, n, length = _segments(t, [F.col("lang") == "en", F.col("lang") == "de", ~F.col("lang").isin("en", "de") | F.col("lang").isNull()])
+    gone = t("labels").where("toxic = 1").select("doc_id")
+    dead = kept(t("documents").join(search.near(gone), "doc_id", "left_semi").select("doc_id", "source", "text", F.lit(3).alias("seg")))
+    lost = kept(postings.postings(dead, "doc_id", "source"))
+    top = scratch(rows.sparkSession)
+    postings.write_statistics(postings.term_counts(lost, 64, -1), terms, top)
+    terms, dfs = terms.unionByName(postings.united(rows.sparkSession, [f"{top}/terms"])), dfs.unionByName(postings.united(rows.sparkSession, [f"{top}/dfs"]))
+    live = lambda d: d.join(search.near(gone), "doc_id", "left_anti")
+    n, length = n - dead.count(), length - (lost.agg(F.sum("tf")).first()[0] or 0)
+    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, 64, live).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
+
+
 @query(f"""with {BM25} select doc_id, dl::bigint as n_tokens, len(list_distinct(t))::bigint as n_terms from dt join dl using (doc_id)""")
 def token_counts(t):
     w = T.tokens(F.col("text"))
@@ -197,6 +243,28 @@ def hybrid_search(t):
     return out.select("qid", long("rank").alias("rank"), "doc_id", r6("score"), r6("similarity"))
 
 
+@query(f"""with {BM25.replace("where rank <= 20)", ")")}, {_bag_sql('documents', 'doc_id')}, {_bag_sql('benchmark', 'item_id')},
+s as (select source, row_number() over (order by source) - 1 as i, count(*) as own from documents where source is not null group by source),
+b as (select item_id as qid, source as src, least((select count(*) from documents), greatest(15, floor(5 / (own::double / (select count(*) from documents))))) as budget from benchmark join s on i = item_id % (select count(*) from s)),
+den as (select q.k as qid, d.k as doc_id, list_inner_product(q.e, d.e) as score, row_number() over (partition by q.k order by round(list_inner_product(q.e, d.e), 9) desc, d.k) as rank from documents_v d, benchmark_v q),
+fused as (select qid, doc_id, coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score
+  from (select den.* from den join b using (qid) where rank <= budget) a full join (select lex.* from lex join b using (qid) where rank <= budget) b using (qid, doc_id)),
+r as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as pos from fused)
+select * from (select qid, row_number() over (partition by qid order by pos) as rank, r.doc_id, round(score, 6) as score from r join b using (qid) join documents d on d.doc_id = r.doc_id where pos <= budget and d.source = src) where rank <= 5""")
+def scoped_hybrid(t):
+    """Hybrid search within one source of each query, by counted ranks; ranks are long lists here, so nothing is cut but by the budget."""
+    docs, items = t("documents").select("doc_id", "source", "text"), _items(t)
+    own = incremental.numbered(docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("own")), ["source"], "i").withColumn("i", F.col("i") - 1)
+    n = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(own.agg(F.count(F.lit(1)).alias("sources")))
+    b = items.select("qid").crossJoin(F.broadcast(n)).join(own, F.col("qid") % F.col("sources") == F.col("i"))
+    b = kept(b.select("qid", F.col("source").alias("doc"), search.scoped_budget(F.col("own"), F.col("n"), 5).cast("long").alias("budget")))
+    dense = search.dense(bag_vectors(search.spread(docs.select("doc_id", "text")), "doc_id"), bag_vectors(items, "qid").withColumnRenamed("embedding", "q"), "doc_id", None)
+    rows, terms, dfs, chunks, length = _segments(t, [F.lit(True)])
+    lexical = postings.bm25(rows, terms, dfs, chunks, length, items, "doc_id", None, 64)
+    out = search.scoped_fused(dense, lexical, b, docs.select("doc_id", F.col("source").alias("doc")), "doc_id", 5, kept)
+    return out.select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
+
+
 @query(f"""with {VEC}, n as (select label, count(*) as k, sum(count(*)) over () as n from v group by label),
 b as (select qid, q, qlabel, least(n, greatest(15, floor(5 / (k::double / n)))) as budget from q join n on qlabel = label),
 r as (select qid, qlabel, budget, vec_id, label, score, row_number() over (partition by qid order by round(score, 9) desc, vec_id) as pos
