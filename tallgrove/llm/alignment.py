@@ -38,11 +38,14 @@ WINDOW = 1 << 20
 #: Links that are made at once.
 STEP = 1 << 21
 #: Parts that a task remembers, of at most ``SHORT`` characters; beyond it the memory starts afresh (speed only).
-REMEMBERED, SHORT = 200_000, 64
+REMEMBERED, SHORT = 300_000, 64
 #: Bytes of text, and different pairs, after which a batch of documents ends.
 BATCH, PAIRS = 64 << 20, 1 << 20
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Where a text may be cut, and what a text must hold for single spaces to stand elsewhere.
+CUT, TWICE = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s")
+#: Parts that are encoded at once.
+JOINED = 200
 
 
 class Tokenizers:
@@ -67,17 +70,54 @@ class Tokenizers:
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes parts, each of which begins with a space; None where the tokens' bytes are not those of the part."""
-        ids_a = (e.ids for e in self.a.encode_batch(parts, add_special_tokens=False))
-        ids_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        for p, x, y in zip(parts, ids_a, ids_b):
-            raw = p.encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-            self.known[p] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None
+        """Encodes parts, each of which begins with a space. Those that may stand side by side are encoded ``JOINED`` at once and told apart by their bytes' ends."""
+        plain = [p for p in parts if len(p) > 1 and not p[1].isspace() and not p[-1].isspace()] if self.local else []
+        for i in range(0, len(plain), JOINED):
+            self.learn_joined(plain[i : i + JOINED])
+        for p in parts:
+            if p not in self.known:
+                self.known[p] = self.learn_one(p)
+
+    def ids_of(self, text: str) -> tuple[list[int], list[int]]:
+        """(A ids, B ids) of a text that begins with a space; B adds its own."""
+        (a,) = self.a.encode_batch_fast([text], add_special_tokens=False)
+        return a.ids, self.b.encode(text[1:], num_threads=1)
+
+    def learn_one(self, part: str) -> tuple[bytes, bytes] | None:
+        """The packed ids of a part; None where the tokens' bytes are not those of the part."""
+        x, y = self.ids_of(part)
+        if not b"".join([self.bytes_a[i] for i in x]) == part.encode() == b"".join([self.bytes_b[i] for i in y]):
+            return None
+        return np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()
+
+    def learn_joined(self, parts: list[str]) -> None:
+        text = "".join(parts)
+        x, y = self.ids_of(text)
+        if not b"".join([self.bytes_a[i] for i in x]) == text.encode() == b"".join([self.bytes_b[i] for i in y]):
+            return  # they are learnt one by one
+        x, y = np.array(x, "<i4"), np.array(y, "<i4")
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        at_x, at_y = (4 * (np.searchsorted(np.cumsum(size[ids]), ends) + 1) for size, ids in ((self.size_a, x), (self.size_b, y)))
+        raw_x, raw_y = x.tobytes(), y.tobytes()
+        i = j = 0
+        for p, k, m in zip(parts, at_x.tolist(), at_y.tolist()):
+            self.known[p] = (raw_x[i:k], raw_y[j:m])
+            i, j = k, m
+
+    def cut(self, text: str | None) -> list[str]:
+        """Parts of space and text that encode as they do in the whole."""
+        if not text:
+            return []
+        text = " " + text
+        if not self.local:
+            return [text]
+        if TWICE.search(text) is None and text[-1] != " ":
+            return [" " + p for p in text[1:].split(" ")]
+        return CUT.split(text)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(A ids, B ids) of each text."""
-        cut = [(CUT.split(" " + t) if self.local else [" " + t]) if t else [] for t in texts]
+        cut = [self.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         missing = list({p: None for own in cut for p in own if p not in self.known})
