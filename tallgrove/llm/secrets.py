@@ -4,11 +4,13 @@ A lexer cuts a text into strings (quoted, triple-quoted, back-quoted, with prefi
 line ends; a machine over these tokens reads the syntax of source and configuration files into name-literal pairs:
 ``name = "value"``, ``name: type = "value"``, ``a = b = "value"``, ``name: value``, ``"name": 'value'``, ``name => "value"``, ``d["name"] = value``,
 ``f(name="value")``, ``set("name", "value")``, ``getenv("X", "default")`` (the default only), lists, sums and adjacent strings over several lines in
-brackets or after a backslash. Members of a map belong to their own keys. Comments are read like code, as keys are commented out.
+brackets or after a backslash, block scalars (``name: |`` and the deeper lines below it) and elements (``<name>value</name>``). Members of a map
+belong to their own keys. Comments are read like code, as keys are commented out. Literals that are added up or stand side by side are judged as one
+as well, so a secret in short parts is found.
 A name that was bound to literals stands for them when it is assigned or concatenated later (its last binding before); every literal that reaches a
 sensitive target name is judged: a strong name
 (password, token, ...) takes any literal of ``LEAST_LITERAL`` characters that is no placeholder or
-reference, a weaker one those whose entropy is high enough.
+reference, a weaker one those whose entropy is high enough. Names that say how many or where (``max_tokens``, ``password_file``) are none.
 
 Defined results: a null or empty text has no spans; texts are scanned whole; equal starts
 sort by kind in the order of ``KINDS``, then end; repeated rows each get their own result; an
@@ -20,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,15 @@ LEAST_ASSIGN = 6
 
 #: How strongly a word of a target name says that its value is a secret.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0,
-    "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.6, "private": 0.6, "access": 0.4, "client": 0.2,
+    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "jwt": 1.0, "pw": 1.0,
+    "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "pass": 0.8, "pat": 0.8, "auth": 0.6, "key": 0.6, "private": 0.6, "access": 0.4, "client": 0.2,
 }
+#: Words that, last in a name, say that its value is something about a secret, and words that anywhere in it say that it is a number.
+ABOUT = {
+    "count", "counts", "file", "files", "filename", "path", "paths", "dir", "directory", "folder", "url", "uri", "endpoint", "length", "len", "size", "type", "field", "format", "policy",
+    "prompt", "label", "hint", "regex", "pattern", "expiry", "expires", "timeout", "ttl", "enabled", "required", "limit", "budget",
+}
+NUMBER = {"max", "min", "num", "total"}
 #: Words that make a literal a placeholder if all its other words are of the second kind.
 PLACEHOLDERS = {"example", "changeme", "change", "placeholder", "your", "todo", "insert", "dummy", "sample", "redacted", "xxx"}
 FILLERS = {"my", "me", "the", "a", "an", "here", "this", "password", "passwd", "pass", "secret", "token", "key", "api", "apikey", "value", "user", "test", "goes", "with", "real", "x"}
@@ -58,7 +67,11 @@ FULL_BITS = 60.0
 def name_weight(name: str) -> float:
     """The largest weight of the name's words, plurals too; "api key", "access key" and "private key" count in full."""
     parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+    if parts and (parts[-1] in ABOUT or NUMBER & set(parts)):
+        return 0.0
     weight = max((SENSITIVE.get(p, SENSITIVE.get(p.removesuffix("s"), 0.0)) for p in parts), default=0.0)
+    if "pass" in parts and len(parts) > 1:
+        weight = 1.0  # db_pass; alone it is a word of prose as well
     if "key" in parts and {"api", "access", "private", "secret", "signing", "encryption"} & set(parts):
         weight = 1.0
     return max(weight, *(v for k, v in SENSITIVE.items() if len(k) > 5 and k in name.lower()), 0.0) if name else 0.0
@@ -102,17 +115,20 @@ STRING = re.compile(r"[rRbBuUfF]{0,2}(\"{3}|'{3}|[\"'`])")
 #: Calls whose first argument names what is looked up.
 LOOKUP = re.compile(r"(?:.*[._])?(?:get_?env|environ\.get|get|env|lookup|fetch|config|var)", re.I)
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$ -]*")
+#: The start of a block scalar after its key, the indent of a line, and an element that holds text only.
+BLOCK, INDENT = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*\r?\n"), re.compile(r"[ \t]*(?:- )?[ \t]*")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*([^<>\s](?:[^<>]*[^<>\s])?)\s*</\1\s*>")
 CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
 class Value:
-    """What names are bound to: its own literals (value, start, end), the values it is made of, and what the names stood for before."""
+    """What names are bound to: its own literals (value, start, end, number of the run that they are added up in), the values it is made of, and what the names stood for before."""
 
     __slots__ = ("weight", "named", "own", "made_of", "before")
 
     def __init__(self) -> None:
         self.weight = self.named = 0.0
-        self.own: list[tuple[str, int, int]] = []
+        self.own: list[tuple[str, int, int, int]] = []
         self.made_of: list[Value] = []
         self.before: dict[str, Value | None] = {}
 
@@ -120,13 +136,40 @@ class Value:
 class Frame:
     """An open bracket: what literals in it belong to, and where in a value the lexer is."""
 
-    __slots__ = ("kind", "base", "target", "state", "code", "first", "skip", "choice")
+    __slots__ = ("kind", "base", "target", "state", "code", "first", "skip", "choice", "run")
 
     def __init__(self, kind: str, base: Value | None = None, skip: bool = False) -> None:
         self.kind, self.base, self.target = kind, base, base
         #: "" between values, "bound" after a name's operator, "broken" the same after a line end, "open" where a value goes on, "string" and "atom" after one.
         self.state = "open" if base else ""
-        self.code, self.first, self.skip, self.choice = True, None, skip, False
+        self.code, self.first, self.skip, self.choice, self.run = True, None, skip, False, 0
+
+
+def block_scalar(text: str, key: int, at: int, target: Value) -> int:
+    """Binds the lines from ``at`` on that are indented deeper than the line of the key at ``key``, each stripped; returns their end."""
+    line = text.rfind("\n", 0, key) + 1
+    indent = INDENT.match(text, line).end() - line
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        held = text[at:end].rstrip()
+        own = held.lstrip()
+        if own:
+            if len(held) - len(own) <= indent:
+                break
+            target.own.append((own, at + len(held) - len(own), at + len(held), len(target.own)))
+        at = end
+    return at
+
+
+def elements(text: str) -> list[Value]:
+    """Values of elements that hold text only, ``<name>value</name>``."""
+    out = []
+    for m in ELEMENT.finditer(text):
+        value = Value()
+        value.named = name_weight(m[1])
+        value.own.append((m[2], m.start(2), m.end(2), 0))
+        out.append(value)
+    return out
 
 
 def bindings(text: str) -> list[Value]:
@@ -143,9 +186,10 @@ def bindings(text: str) -> list[Value]:
         frame.target.before.setdefault(name, known.get(name))
         known[name] = frame.target
         frame.target.named = max(frame.target.named, name_weight(name))
-        frame.state, frame.code = "bound", code
+        frame.state, frame.code, frame.run = "bound", code, frame.run + 1
 
     def done(frame: Frame) -> None:
+        frame.run += 1
         frame.target, frame.state = frame.base, "open" if frame.base else ""
 
     while m := TOKEN.search(text, at):
@@ -175,6 +219,9 @@ def bindings(text: str) -> list[Value]:
                     spaced = bool(bound[2]) and bound[3] in ("=", ":=")
                     bind(frame, value, spaced or frame.kind == "(")
                     at = bound.end()
+                    if bound[3] == ":" and (block := BLOCK.match(text, at)):
+                        at = block_scalar(text, start, block.end(), frame.target)
+                        done(frame)
                     continue
             if kind == "name" and value in ("or", "and", "if", "else", "await", "new", "return") and frame.state in ("atom", "string", "open"):
                 frame.state = "open"
@@ -197,7 +244,7 @@ def bindings(text: str) -> list[Value]:
                 meant = known[value] if known[value] is not frame.target else frame.target.before[value]
                 frame.target.made_of += [meant] if meant else []
             elif kind == "string" or not (PLAIN.fullmatch(value) and (frame.code or "." in value)):
-                frame.target.own.append((value, low, high))
+                frame.target.own.append((value, low, high, frame.run))
             frame.state = "string" if kind == "string" else "atom"
         elif kind == "open":
             inner = frame.target if frame.state and m[0] != "{" else None
@@ -226,11 +273,12 @@ def bindings(text: str) -> list[Value]:
             if m[0] == "=" and frame.target is not None:
                 frame.target.own.clear()  # what stood before was a type
             frame.state, frame.choice = "open", m[0] == "?"
+            frame.run += m[0] not in "+.&"
     return values
 
 
 #: What every sensitive name holds.
-STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "private", "access", "client")
+STEMS = ("pass", "pw", "jwt", "pat", "secret", "token", "key", "credential", "bearer", "auth", "private", "access", "client")
 #: What follows the stem of a name that is bound: the rest of a bare name (or of a bare value that turns out to be a name) and an
 #: operator, the rest of a call's first string and its quote, or, for any other string, somewhere later a quote and an operator.
 RUN, WIDE, OPERATOR = re.compile(r"[A-Za-z0-9_.$-]*"), re.compile(r"[A-Za-z0-9+/_.$=-]*"), re.compile(r"[ \t]*[:=]")
@@ -241,7 +289,7 @@ CLOSED = re.compile(r"""["'`][ \t]*\]?[ \t]*[:=]""")
 def may_bind(text: str) -> bool:
     """False only if ``bindings`` can bind no sensitive name, so that no literal of the text is a secret. Linear: each stem's names are gone through once."""
     low = text.lower()
-    first = len(low)
+    first, element = len(low), "</" in low
     for stem in STEMS:
         at, run, wide, rest = low.find(stem), -1, -1, -1
         first = min(first, at) if at >= 0 else first
@@ -255,6 +303,8 @@ def may_bind(text: str) -> bool:
                     wide = WIDE.match(low, run).end()
                     if OPERATOR.match(low, wide):
                         return True
+            if element:
+                return True
             if rest < end:
                 rest = FIRST.match(low, end).end()
                 if low.startswith(QUOTES, rest):
@@ -275,13 +325,16 @@ class Scanner:
         A value is gone through again only for a stronger name, so chains of constants are followed whole in linear time.
         """
         out: set[tuple[int, int]] = set()
-        for value in bindings(text):
+        for value in [*bindings(text), *(elements(text) if "</" in text else [])]:
             weight, todo = value.named, [value]
             while todo:
                 value = todo.pop()
                 if value.weight < weight:
                     value.weight = weight
-                    out.update((start, end) for v, start, end in value.own if is_secret(weight, v))
+                    for _, run in groupby(value.own, key=lambda x: x[3]):
+                        run = list(run)
+                        whole = len(run) > 1 and is_secret(weight, "".join(x[0] for x in run))
+                        out.update((start, end) for v, start, end, _ in run if end > start and (whole or is_secret(weight, v)))
                     todo += value.made_of
         return out
 

@@ -481,6 +481,9 @@ def test_secrets_of_little_entropy():
         ('password = "aB3$xYz9"', ["aB3$xYz9"]), ('db_pwd = "Tr0ub4dor"', ["Tr0ub4dor"]), ('PW = "S3cr3t!x"\npassword = PW', ["S3cr3t!x"]),
         ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]), ("pwd = 'qwerty'", ["qwerty"]), ('password = "TrueLove99"', ["TrueLove99"]),
         ('password = "12345"', []), ('password = "<your password>"', []), ('pwd = "${DB_PWD}"', []), ('pwd = "changeme1"', []), ('token = "      "', []), ('secret = "null null"', []), ('pwd = "none shall pass"', ["none shall pass"]),
+        ('db_pass = "hunter2222"', ["hunter2222"]), ("DB_PASS=Zx81kP03vbQ7", ["Zx81kP03vbQ7"]), ("pass: Zx81kP03vbQ7", ["Zx81kP03vbQ7"]), ("The pass: difficult in winter", []), ('jwt = "eyJhbGciOi"', ["eyJhbGciOi"]),
+        ("export GITHUB_PAT=ghp_16C7e42F292c6912E7710c838347Ae178B4a", ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]),
+        ("max_tokens = 4096000", []), ('token_count = "1000000"', []), ('password_file = "/etc/passwd.txt"', []), ('secret_url: "https://host/x"', []), ("num_tokens_total: 12345678", []),
         ('auth = "aB3$xYz9"', []), ('key = "some words of prose, not a key"', []), ('auth = "a8Zk2-QpL9+xV7tR3mW5"', ["a8Zk2-QpL9+xV7tR3mW5"]), ('colour = "aB3$xYz9kkPq"', []),
     ]:
         assert literals(text) == want, text
@@ -495,6 +498,9 @@ def test_secrets_of_many_syntaxes():
         (f'password = ("{key}"\n   "second half")', [key, "second half"]), (f'password = "{key}" + \\\n  "second half"', [key, "second half"]), (f'password =\n    "{key}"', [key]), (f'secret = """{key}"""', [key]), (f"secret = b'{key}'", [key]), (f"const token = `{key}`;", [key]),
         (f'# password = "{key}"', [key]), (f'// token: "{key}"', [key]), (f"DB_PWD={key}", [key]), (f"pwd: {key} # it's mine", [key]), (f'tokens = ["{key}", "{key[::-1]}"]', [key, key[::-1]]), (f'token = cond ? "{key}" : "{key[::-1]}"', [key, key[::-1]]),
         (f'auth_key = "Zx81kNoneP03vbQ77aaLm"', ["Zx81kNoneP03vbQ77aaLm"]), ('token = "Zx81yourP03vbQ77aaLm"', ["Zx81yourP03vbQ77aaLm"]), (f'x = "{key}"\ny = x\nx = "other text"\ntoken = y', [key]),
+        ('token = "Zx81" "kP03"', ["Zx81", "kP03"]), ('token = ("Zx81" +\n  "kP" + "03")', ["Zx81", "kP", "03"]), ('P = "Zx81" + "kP03"\npassword = P', ["Zx81", "kP03"]), ('tokens = ["ab", "cd", "ef", "gh"]', []), ('password = "ab" + "cd"', []), ('token = "xx" "xxxx"', []),
+        (f"password: |\n  {key}\n  second line \nnext: {key}", [key, "second line"]), (f"a:\n  - token: >-\n\n      {key}\n    other: {key}", [key]), ("password: |", []), (f"secret: |2\r\n\t{key}\r\n", [key]), (f"note: |\n  {key}", []),
+        (f"<conf><password>{key}</password></conf>", [key]), (f'<db:token kind="x">\n {key} \n</db:token>', [key]), (f"<password>{key}</other>", []), ("<password>changeme</password>", []), (f"<user>{key}</user>", []),
         ('password = "your_password_here"', []), ('token = "xxxxxxxxxxxx"', []), ('password = self.password', []), ('token = request.token', []), ('token = get_the_token("some name")', ["some name"]), ('if password == "something": pass', []), (f'name = "{key}"', []),
         ('token = {"kind": "something", "use": "everything"}', []), ("password:\n\nEverything else is prose. Don't read it, it isn't one.", []), ("The secret is out: nobody's token was ever (in fact) lost, 'they said'.", []),
     ]:
@@ -516,7 +522,7 @@ def test_secrets_gate_misses_nothing():
         "'client \"token\" of me' = 'hunter2222'", "name:password+:=hunter2222", 'set("my token" /* c */, "hunter2222")',
     ):
         assert scanner.literals(text) and secrets.may_bind(text), text
-    pieces = ["password", "token", "api_key", "auth", "x", "\u0130", "\u212a", "hunter2222", "Zx81kNQ03vbQ77aaLm", "set", "getenv", '"""', "/*c*/", ":=", "=>", "==", *" \t\n\"'`\\=:()[]{},;+#?-/."]
+    pieces = ["password", "token", "api_key", "auth", "x", "\u0130", "\u212a", "hunter2222", "Zx81kNQ03vbQ77aaLm", "set", "getenv", "|", "<token>", "</token>", '"""', "/*c*/", ":=", "=>", "==", *" \t\n\"'`\\=:()[]{},;+#?-/."]
     draw, found = random.Random(9), 0
     for _ in range(60_000):
         text = "".join(draw.choices(pieces, k=draw.randint(3, 24)))
@@ -531,7 +537,7 @@ def test_secrets_lexer_is_linear():
     import time
 
     start = time.time()
-    for text in ("password=[" * 50_000, "token={" * 50_000, "password='" * 50_000, "a=" * 100_000 + '"Zx81kP03vbQ7"', 'password="""' * 20_001, "\\\n" * 100_000 + "token", "(((" * 50_000 + "token=" + ")" * 9, "password " * 300_000, "password" * 300_000, "password/" * 300_000):
+    for text in ("password=[" * 50_000, "token={" * 50_000, "password='" * 50_000, "a=" * 100_000 + '"Zx81kP03vbQ7"', 'password="""' * 20_001, "\\\n" * 100_000 + "token", "(((" * 50_000 + "token=" + ")" * 9, "password " * 300_000, "password" * 300_000, "password/" * 300_000, "password: |\n" + "  x\n" * 300_000, "password: |\n" + " " * 1_000_000 + "x", "password: |\n" * 100_000, "<token>" * 200_000, "<token>" + " x" * 500_000, "<token>" + " " * 1_000_000 + "</token>", 'token="a"' + '+"b"' * 200_000):
         secrets.Scanner()(text)
     assert time.time() - start < 20
 
