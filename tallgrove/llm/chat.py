@@ -2,7 +2,7 @@
 
 A record is a struct or JSON. The fingerprint is the SHA-256 of its nested field paths (its shape
 without scalar types: the struct's type, or that of the parsed JSON); it selects one of ``LAYOUTS``, each of which declares where roles and
-texts are. Texts of a struct are read from its fields, so their length has no limit. The template escapes its own control strings inside texts by one backslash after
+texts are. A struct whose type is no layout, as when files of several layouts are read as one table, is fingerprinted row by row, by the fields that are not null there. Texts of a struct are read from its fields, so their length has no limit. The template escapes its own control strings inside texts by one backslash after
 their first character (and one more for each that is there already), so that reading back is exact.
 
 Defined results: a null text or role is empty; a record of unknown shape has layout null and
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrove.llm.common import table
+from tallgrove.llm.common import free_name, table
 
 TURNS = "array<struct<role:string,text:string>>"
 #: Longest string that Spark's JSON parser takes.
@@ -74,6 +74,30 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(F.regexp_replace(F.schema_of_variant(record), scalar, "_"), 256)
 
 
+def present(value: Column, kind: T.DataType) -> Column:
+    """The shape of a struct's row: of fields that are not null, and of the first element of arrays."""
+    if isinstance(kind, T.StructType):
+        own = [F.when(value[f.name].isNotNull(), F.concat(F.lit(f"{f.name}: "), present(value[f.name], f.dataType))) for f in sorted(kind, key=lambda f: f.name)]
+        return F.concat(F.lit("OBJECT<"), F.array_join(F.array(*own), ", "), F.lit(">"))
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("ARRAY<"), F.when(F.size(value) > 0, present(F.get(value, 0), kind.elementType)).otherwise("_"), F.lit(">"))
+    return F.lit("_")
+
+
+def _at(kind: T.DataType, path: str) -> T.DataType | None:
+    for name in path.split(".")[1:]:
+        kind = kind[name].dataType if isinstance(kind, T.StructType) and name in kind.fieldNames() else None
+    return kind
+
+
+def _readable(kind: T.StructType, mapping: tuple | list) -> bool:
+    """Whether a struct's type has all fields that a mapping reads."""
+    if isinstance(mapping, tuple):
+        found = _at(kind, mapping[0])
+        return isinstance(found, T.ArrayType) and isinstance(found.elementType, T.StructType) and {*mapping[1:]} <= {*found.elementType.fieldNames()}
+    return all(isinstance(_at(kind, p), T.AtomicType) for pair in mapping for x in pair if x[0] == "$" for p in x.split("+"))
+
+
 def _role(role: Column) -> Column:
     low = F.coalesce(role, F.lit(""))
     return F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[low], low)
@@ -102,22 +126,29 @@ def canonical(df: DataFrame, record: str, out: str = "chat") -> DataFrame:
     """Adds ``out``: struct(fingerprint, layout, turns) of the column ``record``, a struct or JSON."""
     kind = df.schema[record].dataType
     if isinstance(kind, T.StructType):
-        own = hashlib.sha256(shape_of(kind).encode()).hexdigest()
-        name, mapping = next(((k, m) for k, (example, m) in LAYOUTS.items() if layout_hash(example) == own), (None, None))
-        row = F.col(record)
-        turns = _turns(mapping, lambda p: _field(row, p).cast("string"), lambda p, *_: _field(row, p)) if name else F.array()
-        return df.withColumn(out, F.struct(F.lit(own).alias("fingerprint"), F.lit(name).cast("string").alias("layout"), turns.cast(TURNS).alias("turns")))
+        typed = hashlib.sha256(shape_of(kind).encode()).hexdigest()
+        fixed = any(layout_hash(example) == typed for example, _ in LAYOUTS.values())
+        row, f = F.col(record), free_name(df, "fingerprint")
+        df = df.withColumn(f, F.lit(typed) if fixed else F.sha2(present(row, kind), 256))
+        layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+        for name, (example, mapping) in LAYOUTS.items():
+            if _readable(kind, mapping) and (not fixed or layout_hash(example) == typed):
+                own = F.col(f) == layout_hash(example)
+                layout = F.when(own, F.lit(name)).otherwise(layout)
+                turns = F.when(own, _turns(mapping, lambda p: _field(row, p).cast("string"), lambda p, *_: _field(row, p)).cast(TURNS)).otherwise(turns)
+        return df.withColumn(out, F.struct(F.col(f).alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))).drop(f)
     parsed = F.try_parse_json(F.col(record))
     too_long = parsed.isNull() & (F.length(record) >= LONGEST_JSON)
-    df = df.withColumn("__v", F.when(too_long, F.raise_error(F.lit("a record is too long for the JSON parser"))).otherwise(parsed)).withColumn("__f", fingerprint(F.col("__v")))
-    v = F.col("__v")
+    held, f = free_name(df, "variant"), free_name(df, "fingerprint")
+    v = F.col(held)
+    df = df.withColumn(held, F.when(too_long, F.raise_error(F.lit("a record is too long for the JSON parser"))).otherwise(parsed)).withColumn(f, fingerprint(v))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for name, (example, mapping) in reversed(LAYOUTS.items()):
-        own = F.col("__f") == layout_hash(example)
+        own = F.col(f) == layout_hash(example)
         found = _turns(mapping, lambda p: F.variant_get(v, p, "string"), lambda p, role, text: F.variant_get(v, p, f"array<struct<`{role}`:string,`{text}`:string>>"))
         layout = F.when(own, F.lit(name)).otherwise(layout)
         turns = F.when(own, found.cast(TURNS)).otherwise(turns)
-    return df.withColumn(out, F.struct(F.col("__f").alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))).drop("__v", "__f")
+    return df.withColumn(out, F.struct(F.col(f).alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))).drop(held, f)
 
 
 def escaped(text: Column) -> Column:
@@ -132,8 +163,9 @@ def formatted(df: DataFrame, turns: str, out: str = "chat") -> DataFrame:
     """Adds ``out``: struct(text, loss = array of (start, end) in code points: what the loss covers, the assistant texts)."""
     head = lambda t: F.when(t["role"] == "user", "[INST] ").when(t["role"] == "assistant", "[ASST] ").otherwise(F.concat(F.lit("[ROLE|"), F.url_encode(t["role"]), F.lit("] ")))
     tail = lambda t: F.when(t["role"] == "user", " [/INST]").otherwise("</s>")
-    df = df.withColumn("__p", F.transform(turns, lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escaped(t["text"]).alias("body"), tail(t).alias("tail"))))
-    text = F.concat(F.lit(START), F.array_join(F.transform("__p", lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
+    pieces = free_name(df, "pieces")
+    df = df.withColumn(pieces, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escaped(t["text"]).alias("body"), tail(t).alias("tail"))))
+    text = F.concat(F.lit(START), F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
     span = "array<struct<start:int,end:int>>"
     begin = F.struct(F.lit(len(START)).alias("at"), F.array().cast(span).alias("loss"))
 
@@ -143,18 +175,19 @@ def formatted(df: DataFrame, turns: str, out: str = "chat") -> DataFrame:
         more = F.when(p["role"] == "assistant", F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast(span))
         return F.struct((end + F.length(p["tail"])).alias("at"), F.concat(a["loss"], more).alias("loss"))
 
-    return df.withColumn(out, F.struct(text.alias("text"), F.aggregate("__p", begin, step, lambda a: a["loss"]).alias("loss"))).drop("__p")
+    return df.withColumn(out, F.struct(text.alias("text"), F.aggregate(pieces, begin, step, lambda a: a["loss"]).alias("loss"))).drop(pieces)
 
 
 def read_back(df: DataFrame, chat: str = "chat", out: str = "back") -> DataFrame:
     """Adds ``out``: struct(turns, loss = the unescaped texts under the loss mask), from the formatted text alone and its mask."""
     turn = r"(?s)\[(INST|ASST|ROLE\|[^\]]*)\] (.*?)(?: \[/INST\]|</s>)"
     text = F.col(chat)["text"]
-    df = df.withColumns({"__m": F.regexp_extract_all(text, F.lit(turn), F.lit(1)), "__b": F.regexp_extract_all(text, F.lit(turn), F.lit(2))})
+    marks, bodies = free_name(df, "marks"), free_name(df, "bodies")
+    df = df.withColumns({marks: F.regexp_extract_all(text, F.lit(turn), F.lit(1)), bodies: F.regexp_extract_all(text, F.lit(turn), F.lit(2))})
     role = lambda m: F.when(m == "INST", "user").when(m == "ASST", "assistant").otherwise(F.url_decode(F.substring(m, 6, 1 << 30)))
-    turns = F.zip_with("__m", "__b", lambda m, b: F.struct(role(m).alias("role"), unescaped(b).alias("text")))
+    turns = F.zip_with(marks, bodies, lambda m, b: F.struct(role(m).alias("role"), unescaped(b).alias("text")))
     loss = F.transform(F.col(chat)["loss"], lambda s: unescaped(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-    return df.withColumn(out, F.struct(turns.alias("turns"), loss.alias("loss"))).drop("__m", "__b")
+    return df.withColumn(out, F.struct(turns.alias("turns"), loss.alias("loss"))).drop(marks, bodies)
 
 
 #: Fixed value: the text of both turns of conversation -1.

@@ -363,6 +363,27 @@ def test_chat_layouts(spark):
     assert chat.layout_hash(records[0]) == found[0].chat.fingerprint
 
 
+def test_chat_layouts_by_row(spark):
+    """Files of several layouts read as one table: each row is fingerprinted by its own fields."""
+    import json
+
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]},
+        {"prompt": "a", "completion": "b"}, {"prompt": "a", "response": "b"}, {"instruction": "a", "input": "", "output": "b"}, {"instruction": "a", "output": "b"},
+        {"data": {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}}, {"prompt": "a"}, {"messages": []}, {"prompt": "a", "completion": "b", "response": "c"},
+    ]
+    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i long, line string")
+    schema = spark.read.json(lines.select("line").rdd.map(lambda r: r.line)).schema
+    df = lines.select("i", F.from_json("line", schema).alias("record"), F.lit(1).alias("__fingerprint"), F.lit(2).alias("__PIECES"), F.lit(3).alias("__marks"))
+    found = {r.i: r for r in chat.canonical(df, "record").collect()}
+    by_json = {r.i: r.chat for r in chat.canonical(lines.withColumn("__variant", F.lit(1)), "line").collect()}
+    want = ["messages", "conversations", "prompt_completion", "prompt_response", "instruction_input_output", "instruction_output", "nested_data", None, None, None]
+    assert [found[i].chat.layout for i in range(10)] == want and all(found[i].chat == by_json[i] for i in range(10))
+    assert all([tuple(t) for t in found[i].chat.turns] == [("user", "a"), ("assistant", "b")] for i in range(7))
+    back = chat.read_back(chat.formatted(chat.canonical(df, "record").withColumn("turns", F.col("chat.turns")), "turns", "text"), "text")
+    assert {"__fingerprint", "__PIECES", "__marks", "back"} <= set(back.columns) and all(r.back.turns == r.turns for r in back.collect())
+
+
 def test_chat_long_texts_and_roles(spark, tmp_path):
     """A text of 22 million characters; roles of the table are kept as they are."""
     rows = [(0, 0, "user", "q"), (1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c")]
