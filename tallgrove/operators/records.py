@@ -1,11 +1,12 @@
 """Row shapes: index metadata, retrieved chunks, responses, prompts, scored answers; look-ups; the query log's tables."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
-from tallgrove.operators import evaluation
+from tallgrove.operators import evaluation, rollups
 
 LONGEST_QUERY, MOST_RESULTS, MOST_DAYS, LONGEST_COMMENT = 2000, 100, 365, 1000
 
@@ -121,7 +122,11 @@ def scored_answers(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class QueryLog:
-    """The append-only tables ``queries`` and ``feedback`` below a folder."""
+    """The append-only tables ``queries``, a partition a day, and ``feedback`` below a folder, and ``daily``: sums of the days that were rolled up.
+
+    Statistics read the sums of rolled-up days and the rows of the others, of the days of their window only. A day that gets rows after it was rolled up is rolled up
+    again by the same call (should that die in between, ``roll_up`` of the day mends it).
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -132,7 +137,43 @@ class QueryLog:
     def log_queries(self, queries: DataFrame, results: DataFrame) -> None:
         """Appends a row for each of (qid, query, timestamp, top_k, latency_ms, cache_hit, use_rerank, generate_answer) with its results' figures; the id is a UUID."""
         rows = queries.join(evaluation.log_rows(results), "qid", "left").withColumn("num_results", F.coalesce("num_results", F.lit(0)).cast("long"))
-        rows.withColumn("id", F.expr("uuid()")).write.mode("append").parquet(f"{self.path}/queries")
+        rows.withColumn("id", F.expr("uuid()")).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(f"{self.path}/queries")
+        late = [r.day for r in queries.select(F.to_date("timestamp").alias("day")).distinct().join(self.rolled_up(), "day").collect()]
+        if late:
+            self.roll_up(late)
+
+    def rolled_up(self) -> DataFrame:
+        """(day): the days that have sums."""
+        return self._daily().select("day").distinct()
+
+    def _daily(self) -> DataFrame:
+        kind = ", ".join(f"sum_{c} double, count_{c} long" for c in rollups.AVERAGED)
+        try:
+            return self.spark.read.schema(f"query string, n long, cache_hits long, {kind}, day date").parquet(f"{self.path}/daily")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"query string, n long, cache_hits long, {kind}, day date")
+
+    def roll_up(self, days: list) -> None:
+        """Writes the sums of some days in place of those they had."""
+        rows = rollups.daily(self.table("queries").where(F.col("day").isin([str(d) for d in days])))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/daily")
+
+    def days(self, since: Column | None = None) -> DataFrame:
+        """Daily sums from a date on: those that are there, and those of the other days from their rows."""
+        recent = lambda d: d if since is None else d.where(F.col("day") >= since)
+        sums = recent(self._daily())
+        known = [r.day for r in recent(self.rolled_up()).collect()]
+        rows = recent(self.table("queries"))
+        rows = rows.where(~F.col("day").isin([str(d) for d in known]) | F.col("day").isNull()) if known else rows
+        return sums.unionByName(rollups.daily(rows))
+
+    def query_stats(self, today: str, window: int) -> DataFrame:
+        return rollups.query_stats(self.days(F.date_sub(F.lit(today).cast("date"), window)), today, window)
+
+    def top_queries(self, limit: int = 10) -> DataFrame:
+        return rollups.top_queries(self.days(), limit)
 
     def log_feedback(self, feedback: DataFrame) -> None:
         """Appends (query_id, timestamp, rating, relevant_results, comments); ratings are 1 to 5, comments are cut at 1000 characters."""
@@ -143,8 +184,7 @@ class QueryLog:
 
     def exported(self, today: str, now: str) -> DataFrame:
         """One row with the statistics of 7 and 30 days, the 20 top queries and the feedback, as nested columns (write it as JSON)."""
-        q = self.table("queries")
         one = lambda d, name: d.select(F.struct("*").alias(name))
-        top = evaluation.top_queries(q, 20).agg(F.collect_list(F.struct("*")).alias("top_queries"))
-        out = one(evaluation.query_stats(q, today, 7), "query_stats_7d").crossJoin(one(evaluation.query_stats(q, today, 30), "query_stats_30d"))
+        top = self.top_queries(20).agg(F.collect_list(F.struct("*")).alias("top_queries"))
+        out = one(self.query_stats(today, 7), "query_stats_7d").crossJoin(one(self.query_stats(today, 30), "query_stats_30d"))
         return out.crossJoin(top).crossJoin(one(evaluation.feedback_stats(self.table("feedback")), "feedback_stats")).withColumn("export_timestamp", F.lit(now))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, postings, records, search, verification
+from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, postings, records, rollups, search, verification
 from tallgrove.plans import harness
 from tallgrove.sources.store import kept, scratch
 
@@ -399,6 +399,29 @@ def latency_distribution(t):
     return d.select("query", *(r6(c) for c in d.columns[1:]))
 
 
+@query(_stats_sql(7))
+def rollup_stats_7d(t):
+    """``query_stats_7d`` from daily sums."""
+    d = rollups.query_stats(rollups.daily(_log(t)), TODAY, 7)
+    return d.select(*(r6(c) if k == "double" else F.col(c) for c, k in d.dtypes))
+
+
+@query(SQL["top_queries"])
+def rollup_top_queries(t):
+    return rollups.top_queries(rollups.daily(_log(t)), 10).select("query", "n", r6("avg_latency_ms"), r6("avg_similarity"))
+
+
+@query(f"""with {LOG}, k as (select query as key, latency_ms from log union all select 'all', latency_ms from log)
+select key, round(quantile_cont(latency_ms, 0), 6) as p0, round(quantile_cont(latency_ms, 0.5), 6) as p50, round(quantile_cont(latency_ms, 0.95), 6) as p95, round(quantile_cont(latency_ms, 0.99), 6) as p99,
+round(quantile_cont(latency_ms, 1), 6) as p100 from k group by key""")
+def latency_percentiles(t):
+    """Exact percentiles by rank selection, of each query and of all rows under one key."""
+    log = _log(t).select(F.col("query").alias("key"), "latency_ms")
+    rows = log.unionByName(log.withColumn("key", F.lit("all")))
+    out = rollups.percentiles(rows, "key", "latency_ms", [0.0, 0.5, 0.95, 0.99, 1.0], kept, leaves=1000)
+    return out.select("key", *(r6(F.get("percentiles", i), f"p{p}") for i, p in enumerate((0, 50, 95, 99, 100))))
+
+
 @query("""with f as (select 1 + 3 * quality + (1 - toxic) as rating from labels)
 select count(*) as total, round(coalesce(avg(rating), 0), 6) as avg_rating, count(*) filter (rating >= 4) as positive, count(*) filter (rating <= 2) as negative, round(coalesce((count(*) filter (rating >= 4))::double / nullif(count(*), 0), 0), 6) as satisfaction from f""")
 def feedback_stats(t):
