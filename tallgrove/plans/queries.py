@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, enrichment, evaluation, incremental, postings, records, rollups, search, verification
+from tallgrove.operators import chunking, clustered, context, enrichment, evaluation, incremental, postings, records, rollups, search, verification
 from tallgrove.plans import harness
 from tallgrove.sources.store import kept, scratch
 
@@ -175,6 +175,15 @@ def dense_topk(t):
     return _hits(t, 20).select("qid", long("rank").alias("rank"), "vec_id", r6(V.similarity(F.col("score")), "similarity"))
 
 
+@query(SQL["dense_topk"])
+def clustered_topk(t):
+    """``dense_topk`` from vectors in cells; cells whose bound reaches no query's 20th best score are not read."""
+    v, q = _vectors(t)
+    index = clustered.Clustered(v.sparkSession, scratch(v.sparkSession))
+    index.build(v, "vec_id", cells=32)
+    return index.search(q, "vec_id", 20).select("qid", long("rank").alias("rank"), "vec_id", r6(V.similarity(F.col("score")), "similarity"))
+
+
 @query("""with v as (select vec_id, embedding::double[] as e from embeddings), n as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v)
 select vec_id, round(n, 6) as norm, round(list_sum(list_transform(e, lambda x: x / n)), 6) as total from n""")
 def l2_normalized(t):
