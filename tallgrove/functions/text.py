@@ -65,18 +65,26 @@ def answer_body(c: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.coalesce(c, F.lit("")), "References", 1), r"\[\^\d+\]", " ")
 
 
-def grounding(answer: Column, source: Column) -> Column:
-    """Share of the answer's values that the source holds (white space collapsed); null if it has none."""
-    found = value_tokens(answer_body(answer))
+def values_checked(answer: Column, source: Column) -> Column:
+    """An array of one struct(n, mismatches): how many values an answer has, and those that the source lacks, sorted; white space of the source collapsed.
+
+    Both texts are gone through once: what a lambda is handed is not worked out again for each value.
+    """
     flat = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?U)\s+", " ")
-    hits = F.size(F.filter(found, lambda t: F.contains(flat, t)))
-    return F.when(F.size(found) > 0, hits / F.size(found))
+    both = F.struct(value_tokens(answer_body(answer)).alias("found"), flat.alias("flat"))
+    lacking = lambda x: F.array_sort(F.filter(x["found"], lambda t: ~F.contains(x["flat"], t)))
+    return F.transform(F.array(both), lambda x: F.struct(F.size(x["found"]).alias("n"), lacking(x).alias("mismatches")))
+
+
+def grounding(answer: Column, source: Column) -> Column:
+    """Share of the answer's values that the source holds; null if it has none."""
+    share = lambda x: F.when(x["n"] > 0, (x["n"] - F.size(x["mismatches"])) / x["n"])
+    return F.get(F.transform(values_checked(answer, source), share), 0)
 
 
 def value_mismatches(answer: Column, source: Column) -> Column:
     """Values of the answer that the source lacks, sorted."""
-    flat = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?U)\s+", " ")
-    return F.array_sort(F.filter(value_tokens(answer_body(answer)), lambda t: ~F.contains(flat, t)))
+    return F.get(values_checked(answer, source), 0)["mismatches"]
 
 
 def abstained(answer: Column) -> Column:
@@ -115,9 +123,14 @@ def page_key(page: Column) -> list[Column]:
     return [n.isNull(), n, page.cast("string")]
 
 
+#: A reference to a section, and a fenced block in a model's reply.
+XREF = r"(?i)\b(?:see\s+)?section\s+(\d+(?:\.\d+)*)\b"
+FENCE = r"```(?:json)?\s*(.*?)```"
+
+
 def xrefs(text: Column) -> Column:
     """Numbers of the sections that a text refers to."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:see\s+)?section\s+(\d+(?:\.\d+)*)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(XREF), F.lit(1)))
 
 
 def source_block(doc: Column, page: Column, section: Column, chunk: Column, text: Column, with_id: bool = True) -> Column:
@@ -185,7 +198,7 @@ def balanced_json(raw: str | None) -> str | None:
     text = raw.strip()
     if good(text):
         return text
-    if (m := re.search(r"```(?:json)?\s*(.*?)```", text, re.S)) and good(m[1].strip()):
+    if (m := re.search(FENCE, text, re.S)) and good(m[1].strip()):
         return m[1].strip()
     starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
     if not starts:

@@ -562,8 +562,9 @@ def value_tokens(t):
 select doc_id, round(len(list_filter(v, lambda y: contains(src, y)))::double / nullif(len(v), 0), 6) as grounding, len(list_filter(v, lambda y: not contains(src, y)))::bigint as mismatches from x where len(v) > 0""")
 def grounding(t):
     half = F.expr("substring(text, 1, length(text) div 2)")
-    d = t("documents").select("doc_id", T.grounding(F.col("text"), half).alias("grounding"), long(F.size(T.value_mismatches(F.col("text"), half))).alias("mismatches"))
-    return d.where("grounding is not null").select("doc_id", r6("grounding"), "mismatches")
+    d = t("documents").select("doc_id", F.inline(T.values_checked(F.col("text"), half))).where("n > 0")
+    bad = F.size("mismatches")
+    return d.select("doc_id", r6((F.col("n") - bad) / F.col("n"), "grounding"), long(bad).alias("mismatches"))
 
 
 _MARKERS = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in T.ABSTAINS) + "]"

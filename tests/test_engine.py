@@ -374,6 +374,9 @@ def test_records_and_log(spark, tmp_path):
     assert log.table("queries").where("qid = 1").first().top_similarity == 0.5 and len(log.table("feedback").first().comments) == 1000
     result = "named_struct('chunk_id', 'k', 'text', 'it is 30 bar', 'doc_name', 'd')"
     res = spark.sql(f"select 1L qid, 'q' query, 'agentic' pipeline, 'It is 30' answer, 'high' confidence, array(named_struct('chunk_id', 'k', 'doc_name', 'd')) citations, array({result}) chunks, named_struct('calls', 2, 'prompt_tokens', 3, 'completion_tokens', 4) usage, 1.239D total_latency_ms")
+    hits = spark.createDataFrame([(1, "a", "d", 2, "s", "t", 0.2, None), (1, "b", "d", None, None, "u", 0.9, 0.5)], "qid long, chunk_id string, doc_name string, page int, section string, text string, score double, similarity double")
+    rows = records.response(records.retrieved(hits, F.lit(None).cast("string")), [F.desc("score"), F.col("chunk_id")]).collect()
+    assert [(x["rank"], x.chunk_id, x.page, x.section, x.similarity) for x in rows] == [(1, "b", "", "", 0.5), (2, "a", "2", "s", 0.0)]
     lab = spark.createDataFrame([("q", ["it is 30"], ["d"], False)], "query string, expected_facts array<string>, must_cite array<string>, out_of_scope boolean")
     s = records.scored_answers(res, lab).first()
     assert (s.fact_coverage, s.must_cite_recall, s.citation_validity, s.grounding, s.abstained, s.total_tokens, s.resilience) == (1.0, 1.0, 1.0, 1.0, False, 7, None)
