@@ -12,8 +12,8 @@ fingerprints. Texts without words have an empty fingerprint; two of those are al
 and another text are not (0).
 
 The next document of a document (descending doc_id) is found without a global sort: ids are
-cut at approximate quantiles into ranges of about ``RANGE_DOCS`` documents (at most ``RANGES``
-ranges), however the ids are spread, and the rows of an id that has very many by the hashes of their texts;
+cut at approximate quantiles into ranges of about ``RANGE_DOCS`` documents, however the ids are spread, and the rows of an id that has very many by the hashes of their texts;
+past ``RANGES`` quantiles each range is cut evenly once more, into as many pieces as bring it down to that size;
 every range also gets a copy of the first document of the next one
 that has any, and a window inside the range does the rest. The texts move once.
 
@@ -108,13 +108,22 @@ def _range(x: Column, bounds: list[int]) -> Column:
     return F.coalesce(group * step + F.size(F.filter(inner, lambda b: b <= x)), F.lit(0))
 
 
+def _piece(x: Column, bounds: list[int], top: int, pieces: int) -> Column:
+    """Which of ``pieces`` even pieces of its range x lies in; ``bounds`` begin with the least id, ``top`` is the greatest."""
+    ends = F.expr("array(" + ",".join(f"{i}L" for i in [*bounds, top]) + ")")
+    at = _range(x, bounds)
+    low, high = F.get(ends, at - 1).cast("double"), F.get(ends, at).cast("double")
+    share = F.try_divide(x.cast("double") - low, high - low)
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * pieces), F.lit(pieces - 1)).cast("long")
+
+
 def with_next(df: DataFrame) -> DataFrame:
     """Rows of (doc_id, __t text, __x hash of it) plus __range and __ghost: 1 for a copy of the first row of the following range and, at the end, of all.
 
     Rows follow each other by descending __range, inside it by descending doc_id (null last), then __x.
     """
     spark = df.sparkSession
-    low, n = df.agg(F.min("doc_id"), F.count(F.lit(1))).first()
+    low, top, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     ranges = min(RANGES, n // RANGE_DOCS)
     at = [i / ranges for i in range(1, ranges)]
     bounds = (df.agg(F.percentile_approx("doc_id", at, 10 * RANGES)).first()[0] if at else None) or []
@@ -122,7 +131,11 @@ def with_next(df: DataFrame) -> DataFrame:
     most = max(2 * RANGE_DOCS, n // RANGES)
     hot = {r.doc_id: r.k for r in df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most).collect()}
     own = {i + k for i in hot if i is not None for k in (0, 1) if i + k < 1 << 63}
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range(F.col("doc_id"), sorted({*bounds, *own, *([low] if low is not None else [])})) + 1).cast("long") * SUBS
+    bounds = sorted({*bounds, *own, *([low] if low is not None else [])})
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range(F.col("doc_id"), bounds) + 1).cast("long") * SUBS
+    even = min(SUBS, -(-n // (RANGE_DOCS * RANGES)))
+    if even > 1 and bounds:  # more documents than the quantiles bring down to RANGE_DOCS a range
+        part = part + F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_piece(F.col("doc_id"), bounds, top, even))
     if hot:
         pieces = spark.createDataFrame([(i, min(SUBS, -(-k // RANGE_DOCS))) for i, k in hot.items()], "hot long, pieces long")
         df = df.join(F.broadcast(pieces), F.col("doc_id").eqNullSafe(F.col("hot")) & F.col("pieces").isNotNull(), "left")
