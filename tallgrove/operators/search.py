@@ -295,10 +295,15 @@ def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, v
     """
     kind, out = queries.schema["qid"].dataType.simpleString(), None
     for qids, shared, more in _vector_blocks(queries, [doc, "budget"]):
-        docs = np.array(more[doc], object)
+        names = pa.array(more[doc]).dictionary_encode(null_encoding="encode")
+        wanted, names = names.indices.to_numpy(), names.dictionary
 
-        def scorer(shared=shared, docs=docs):
-            return lambda b: np.where(np.array(b.column(2).to_pylist(), object)[:, None] == docs, _products(b, 1, shared.value), -np.inf)
+        def scorer(shared=shared, names=names, wanted=wanted):
+            def score(b: pa.RecordBatch) -> np.ndarray:
+                own = pc.index_in(b.column(2), names.cast(b.column(2).type)).fill_null(-1).to_numpy()
+                return np.where(own[:, None] == wanted, _products(b, 1, shared.value), -np.inf)
+
+            return score
 
         found = vectors.where(F.col(vector).isNotNull())
         best = ranked(best_of(found, [vector, doc], key, qids, kind, k, scorer), "score", key, k=k).select("qid", "rank", key, "score").toArrow()  # k rows a query

@@ -284,3 +284,15 @@ def test_passes_search_open_sub_queries_only(spark, tmp_path, monkeypatch):
     assert sum(r.usage.calls for r in rows.values()) == sum(model.counts().values())
     _, coverage = agent.retrieve(index, spark.createDataFrame([(1, 0, "uuu")], "qid long, sub int, text string"), 1)
     assert coverage.first().note == "Weak coverage (sim=0.00) for: uuu" and coverage.first().passes == 1
+
+
+def test_speed_and_configurations(spark, tmp_path):
+    from tallgrove.plans import harness
+
+    index = Index(spark, str(tmp_path / "i"), hashed_embed(), buckets=2)
+    index.build(pages_of(spark, 4))
+    r = harness.speed(index, 2).first()
+    assert r.num_queries == 2 and 0 < r.min <= r.median <= r.p95 <= r.p99 <= r.max and 0 <= r.cache_hit_rate <= 1
+    overlap = lambda a, b: F.size(F.array_intersect(F.split(a, " "), F.split(b, " "))).cast("double")
+    rows = {x.configuration: x for x in harness.compare_configurations(index, "number 3", {"baseline": {}, "with_reranking": {"rerank": overlap}}, 1, 2).collect()}
+    assert rows["baseline"].top_rerank_score == 0 < rows["with_reranking"].top_rerank_score and rows["baseline"].avg_latency_ms > 0
