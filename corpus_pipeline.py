@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
 again as the documents of the next one.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; null ids are documents like any other; rows with equal ids
+are told apart by their texts, and of equal rows one stays; ties among near duplicates go to the smallest id, a null one last;
+texts are used whole; further columns pass through all stages but the last; an empty table gives an empty table.
 """
 from __future__ import annotations
 
