@@ -81,14 +81,18 @@ def bm25_vocab_idf(t):
     return search.vocabulary(search.spread(t("documents").select("text"))).select("term", "df", r6("idf"))
 
 
+#: Buckets of terms of the indexes that queries write; an ``Index`` has more by default.
+BUCKETS = 16
+
+
 def _segments(t, parts: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
     """(postings, terms, dfs, chunks, tokens) of all documents, written as one segment after another."""
     docs = t("documents").select("doc_id", "source", "text")
     top, tables = scratch(docs.sparkSession), {"postings": [], "terms": [], "dfs": []}
     for i, part in enumerate(parts):
         own = docs.where(part).withColumn("seg", F.lit(i))
-        postings.write_postings(postings.postings(own, "doc_id", "source"), f"{top}/{i}/postings", "doc_id", own.count(), 64)
-        change = postings.term_counts(docs.sparkSession.read.parquet(f"{top}/{i}/postings"), 64)
+        postings.write_postings(postings.postings(own, "doc_id", "source"), f"{top}/{i}/postings", "doc_id", own.count(), BUCKETS)
+        change = postings.term_counts(docs.sparkSession.read.parquet(f"{top}/{i}/postings"), BUCKETS)
         postings.write_statistics(change, postings.united(docs.sparkSession, tables["terms"]), f"{top}/{i}")
         for name, paths in tables.items():
             paths.append(f"{top}/{i}/{name}")
@@ -100,7 +104,7 @@ def _segments(t, parts: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame,
 def postings_topk(t):
     """``bm25_topk`` from a persisted inverted index: the buckets of the queries' terms are read, no text is."""
     rows, terms, dfs, n, length = _segments(t, [F.lit(True)])
-    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, 64).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
+    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, BUCKETS).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
 
 
 @query(SQL["bm25_vocab_idf"])
@@ -119,11 +123,11 @@ def postings_after_deletes(t):
     dead = kept(t("documents").join(search.near(gone), "doc_id", "left_semi").select("doc_id", "source", "text", F.lit(3).alias("seg")))
     lost = kept(postings.postings(dead, "doc_id", "source"))
     top = scratch(rows.sparkSession)
-    postings.write_statistics(postings.term_counts(lost, 64, -1), terms, top)
+    postings.write_statistics(postings.term_counts(lost, BUCKETS, -1), terms, top)
     terms, dfs = terms.unionByName(postings.united(rows.sparkSession, [f"{top}/terms"])), dfs.unionByName(postings.united(rows.sparkSession, [f"{top}/dfs"]))
     live = lambda d: d.join(search.near(gone), "doc_id", "left_anti")
     n, length = n - dead.count(), length - (lost.agg(F.sum("tf")).first()[0] or 0)
-    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, 64, live).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
+    return postings.bm25(rows, terms, dfs, n, length, _items(t), "doc_id", 5, BUCKETS, live).select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
 
 
 @query(f"""with {BM25} select doc_id, dl::bigint as n_tokens, len(list_distinct(t))::bigint as n_terms from dt join dl using (doc_id)""")
@@ -269,7 +273,7 @@ def scoped_hybrid(t):
     b = kept(b.select("qid", F.col("source").alias("doc"), search.scoped_budget(F.col("own"), F.col("n"), 5).cast("long").alias("budget")))
     dense = search.dense(bag_vectors(search.spread(docs.select("doc_id", "text")), "doc_id"), bag_vectors(items, "qid").withColumnRenamed("embedding", "q"), "doc_id", None)
     rows, terms, dfs, chunks, length = _segments(t, [F.lit(True)])
-    lexical = postings.bm25(rows, terms, dfs, chunks, length, items, "doc_id", None, 64)
+    lexical = postings.bm25(rows, terms, dfs, chunks, length, items, "doc_id", None, BUCKETS)
     out = search.scoped_fused(dense, lexical, b, docs.select("doc_id", F.col("source").alias("doc")), "doc_id", 5, kept)
     return out.select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
 
