@@ -173,10 +173,10 @@ def bm25(postings: DataFrame, terms: DataFrame, dfs: DataFrame, n: int, length:
     return out if k is None else search.ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
 
 
-def united(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tables with folders of their own for partitions, as one."""
+def united(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Tables with folders of their own for partitions, as one; columns that some lack are null there. None if there are none."""
     out = None
     for p in paths:
         d = spark.read.parquet(p)
-        out = d if out is None else out.unionByName(d)
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out

@@ -139,6 +139,8 @@ def test_many_blocks_and_empty_cases(spark, tmp_path, monkeypatch):
     assert empty.search(q, 2).count() == 0 and empty.stats().first().num_chunks == 0 and empty.table("config").first().num_chunks == 0
     empty.build(pages_of(spark, 3), mode="append")
     assert empty.search(q.where("qid = 1"), 2).count() == 2
+    empty.build(pages_of(spark, 4), mode="append", enrich=lambda p: F.lit('{"summary": "zebra"}'))  # a segment with further columns
+    assert {(r.doc_name, r.summary) for r in empty.table("chunks").collect()} == {("d000", None), ("d001", None), ("d002", None), ("d003", "zebra")}
 
 
 def test_open_takes_the_embedder_that_the_index_names(spark, tmp_path):
