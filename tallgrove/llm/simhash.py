@@ -22,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrove.llm.common import near, parts, small_batches, table, written
+from tallgrove.llm.common import batches, near, small_batches, table, written
 from tallgrove.llm.ngram_join import FEW, components
 
 WORDS, BITS, SPARE, SEED = 3, 2, 3, 42
@@ -53,15 +53,15 @@ def majority(raw: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * count > len(start), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: Column, words: int = WORDS) -> Column:
-    """The fingerprint of each text as a long."""
+def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, fp as a long) of rows (doc_id, text); texts leave the worker's memory a batch of about 1 MB after another."""
 
-    @F.arrow_udf("long")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in parts(texts):
-            yield pa.array([majority((x.as_py() or "").encode(), words) for x in a], pa.int64())
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 1, 1 << 20):
+            fps = [majority(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return of(text)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def choices(free: int, bits: int) -> list[int]:
@@ -144,7 +144,7 @@ def near_fingerprints(rows: DataFrame, bits: int = BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """(doc_id, fingerprint as a long, component_id) of every row."""
-    rows = written(small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
+    rows = written(fingerprinted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words))
     return rows.join(near(written(near_fingerprints(rows, bits)), FEW), "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
