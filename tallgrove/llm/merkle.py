@@ -269,7 +269,7 @@ SQL = f"""
 WITH RECURSIVE leaves AS (
     SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
         CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other,
-        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {_leaf_sql("text")}) - 1 AS pos,
         count(*) OVER (PARTITION BY source) AS n
     FROM documents),
 own(tree, lv, pos, node, n) AS (
@@ -291,12 +291,12 @@ steps AS (
         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
     FROM subroots s JOIN upper a ON a.n > 1 AND a.pos = s.tree // (16 ** a.lv)::BIGINT JOIN upper b ON a.lv = b.lv AND a.pos // 16 = b.pos // 16
     GROUP BY s.tree, s.depth, a.lv, a.pos),
-fold(doc_id, tree, lv, pos, node, proof) AS (
-    SELECT doc_id, tree, 0::BIGINT, pos, coalesce(other, leaf), '' FROM leaves
+fold(p0, tree, lv, pos, node, proof) AS (
+    SELECT pos, tree, 0::BIGINT, pos, coalesce(other, leaf), '' FROM leaves
     UNION ALL
-    SELECT f.doc_id, f.tree, f.lv + 1, f.pos // 16, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
+    SELECT f.p0, f.tree, f.lv + 1, f.pos // 16, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
     FROM fold f JOIN steps s ON s.tree = f.tree AND s.lv = f.lv AND coalesce(s.pos, f.pos) = f.pos),
-ends AS (SELECT doc_id, arg_max(node, lv) AS folded_root, sha256(arg_max(proof, lv)) AS proof_sha256 FROM fold GROUP BY doc_id)
+ends AS (SELECT tree, p0 AS pos, arg_max(node, lv) AS folded_root, sha256(arg_max(proof, lv)) AS proof_sha256 FROM fold GROUP BY tree, p0)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
-FROM leaves JOIN subroots USING (tree) CROSS JOIN root JOIN ends USING (doc_id)
+FROM leaves JOIN subroots USING (tree) CROSS JOIN root JOIN ends USING (tree, pos)
 """
