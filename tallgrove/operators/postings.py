@@ -128,15 +128,15 @@ def _then_none(it: Iterator) -> Iterator:
     yield None
 
 
-def scores_of(matched: DataFrame, key: str, qids: list, qid_type: str, weights: tuple, mean: float, k: int | None) -> DataFrame:
-    """(qid, key, score) of postings (key, t, tf, length): the k best of each query in each task, or with None all above 0."""
+def scores_of(matched: DataFrame, key: str, qids: list, qid_type: str, weights: tuple, mean: float, k: int | list | None) -> DataFrame:
+    """(qid, key, score) of postings (key, t, tf, length): the k best of each query (a number, or one for each) in each task, or with None all above 0."""
     spark = matched.sparkSession
     shared, schema = spark.sparkContext.broadcast(weights), f"qid {qid_type}, `{key}` {dict(matched.dtypes)[key]}, score double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = search._weighted(shared.value, len(qids))
-        out = search.Collected(qids, arrow, k)
+        out = search.Collected(qids, arrow, search.places(k, len(qids)))
         step = max(1, search.CELLS // len(qids))
         for keys, doc, term, tf, length in by_key(it):
             for s in range(0, len(keys), step):
@@ -149,28 +149,33 @@ def scores_of(matched: DataFrame, key: str, qids: list, qid_type: str, weights:
     return rows.mapInArrow(task, schema)
 
 
-def bm25(postings: DataFrame, terms: DataFrame, dfs: DataFrame, n: int, length: int, queries: DataFrame, key: str, k: int | None, buckets: int, live: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def bm25(postings: DataFrame, terms: DataFrame, dfs: DataFrame, n: int, length: int, queries: DataFrame, key: str, k: int | str | None, buckets: int, live: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """``search.bm25`` from an inverted index of ``n`` chunks with ``length`` tokens: (qid, rank, key, score); with k None all scores, without ranks.
 
+    k may name a column of the queries: then scores come without ranks, among them as many of the best as the query asks for.
+
     Queries (qid, text) are taken in blocks of at most ``search.BLOCK``. ``live`` drops postings of deleted documents.
     """
     spark = postings.sparkSession
     rows = query_terms(queries, buckets)
-    blocks = max(1, -(-rows.select("qid").distinct().count() // search.BLOCK))
+    limits = queries.select("qid", k) if isinstance(k, str) else rows.select("qid").distinct()
+    blocks = search.blocks_of(limits, k)
     kind, out = queries.schema["qid"].dataType.simpleString(), None
     for i in range(blocks):
-        own = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow().to_pylist()
+        block = lambda d, i=i: (d if blocks == 1 else d.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow().to_pylist()
+        own = block(rows)
         if not own or not n:
             continue
         where = sorted({r["bucket"] for r in own})
         qids, weights = search.weights_of(own, idf_of(terms, dfs, n, sorted({r["term"] for r in own}), where))
         numbers = spark.createDataFrame(list(enumerate(weights[0])), "t long, term string")
         matched = live(postings.where(F.col("bucket").isin(where)).join(F.broadcast(numbers), "term"))
-        part = scores_of(matched, key, qids, kind, weights, length / n, k)
+        most = {r["qid"]: r[k] for r in block(limits)} if isinstance(k, str) else None
+        part = scores_of(matched, key, qids, kind, weights, length / n, k if most is None else [most[q] for q in qids])
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"qid {kind}, `{key}` {dict(postings.dtypes)[key]}, score double")
-    return out if k is None else search.ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
+    return search.ranked(out, "score", key, k=k).select("qid", "rank", key, "score") if isinstance(k, int) else out
 
 
 def united(spark: SparkSession, paths: list[str]) -> DataFrame | None:

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from tallgrove.functions.text import tokens
 from tallgrove.functions.vectors import similarity
-from tallgrove.operators.incremental import numbered
+from tallgrove.operators import incremental
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,7 +31,9 @@ BLOCK = 20_000
 #: Bytes a core below which a table is dealt out to all cores.
 SPLIT = 16 << 20
 #: Scores that are held at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
+#: Hits that a task keeps for all queries of a block; hits that a query asks for beyond which a task keeps none but hands on all; rows of a batch of hits.
+HELD, LONG, PIECE = 1 << 20, 1 << 18, 1 << 16
 
 
 def near(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -57,58 +59,91 @@ def ranked(df: DataFrame, score: str, key: str, by: str = "qid", k: int | None =
 
 
 class Best:
-    """The best k keys of each query seen so far: scores to nine digits descending, then keys. k is a number, or one for each query."""
+    """The best keys of each query seen so far, as many as ``k`` has for it: scores to nine digits descending, then keys.
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k, self.known = k, None
-        self.scores, self.at = np.full((0, queries), -np.inf), np.empty((0, queries), np.int64)
+    Scores that reach a query's last place wait until there are many of them, and are then sorted together with the best.
+    """
+
+    def __init__(self, k: np.ndarray) -> None:
+        self.k, self.known = k, np.empty(0, object)
+        self.q, self.at, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.least = np.where(k > 0, -np.inf, np.inf)  # what a score has to reach
+        self.new, self.waiting = [], 0
 
     def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
         """Scores (keys, queries) of keys not seen before; -inf is none."""
-        if len(keys) > self.k:  # what is below the k-th best score here can be left out
-            rounded = np.round(scores, 9)
-            some = (rounded >= np.partition(rounded, len(keys) - self.k, axis=0)[len(keys) - self.k]).any(axis=1)
-            keys, scores = keys[some], scores[some]
-        old = 0 if self.known is None else len(self.known)
-        known = keys if self.known is None else np.concatenate([self.known, keys])
+        row, q = np.nonzero((scores >= self.least - 1e-9) & (scores > -np.inf))
+        if len(row):
+            used, at = np.unique(row, return_inverse=True)
+            self.new.append((keys[used], at, q, scores[row, q]))
+            self.waiting += len(row)
+        if self.waiting > max(CELLS // 4, len(self.q)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Puts what waits in its place."""
+        if not self.new:
+            return
+        groups = [(self.known, self.at, self.q, self.scores)] * bool(len(self.q)) + self.new
+        before = np.cumsum([0, *(len(g[0]) for g in groups)])
+        known, q, scores = (np.concatenate([g[i] for g in groups]) for i in (0, 2, 3))
+        at = np.concatenate([g[1] + n for g, n in zip(groups, before)])
+        self.new, self.waiting = [], 0
         rank = np.empty(len(known), np.int64)
         rank[np.argsort(known, kind="stable")] = np.arange(len(known))
-        at = np.concatenate([self.at, np.broadcast_to(old + np.arange(len(keys))[:, None], scores.shape)])
-        scores = np.concatenate([self.scores, scores])
-        order = np.lexsort((rank[at], -np.round(scores, 9)), axis=0)[: self.k]
-        self.scores = np.take_along_axis(scores, order, 0)
-        used, at = np.unique(np.take_along_axis(at, order, 0), return_inverse=True)
-        self.known, self.at = known[used], at.reshape(self.scores.shape)
+        order = np.lexsort((rank[at], -np.round(scores, 9), q))
+        q = q[order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k[q]]
+        used, self.at = np.unique(at[order], return_inverse=True)
+        self.known, self.scores = known[used], scores[order]
+        counts = np.minimum(np.bincount(q, minlength=len(self.k)), self.k)
+        self.q = np.repeat(np.arange(len(self.k)), counts)
+        full = (counts >= self.k) & (counts > 0)
+        self.least[full] = np.round(self.scores[np.cumsum(counts)[full] - 1], 9)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the query, key, score) of the best."""
-        place, q = np.nonzero(self.scores > -np.inf)
-        return q, self.known[self.at[place, q]] if len(q) else np.empty(0, object), self.scores[place, q]
+        self.settle()
+        return self.q, self.known[self.at], self.scores
 
 
 class Collected:
-    """Scores of batches as rows (qid, key, score): the best k of each query at the end, or with k None all of them as they come."""
+    """Scores of batches as rows (qid, key, score): at the end the best of each query, as many as ``k`` has for it; of those with more than ``LONG`` all, as they come."""
 
-    def __init__(self, qids: list, schema: pa.Schema, k: int | None) -> None:
-        self.arrow, self.qids, self.best = schema, qids, None if k is None else Best(len(qids), k)
+    def __init__(self, qids: list, schema: pa.Schema, k: np.ndarray) -> None:
+        self.arrow, self.qids, self.whole = schema, qids, k > LONG
+        self.best = Best(np.where(self.whole, 0, k))
 
-    def rows(self, q: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([self.qids[i] for i in q], self.arrow.field(0).type), pa.array(keys.tolist(), self.arrow.field(1).type), pa.array(scores)], self.arrow.names)
+    def rows(self, q: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(q), PIECE):
+            own = slice(s, s + PIECE)
+            yield pa.record_batch([pa.array([self.qids[i] for i in q[own]], self.arrow.field(0).type), pa.array(keys[own].tolist(), self.arrow.field(1).type), pa.array(scores[own])], self.arrow.names)
 
     def add(self, keys: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if self.best is not None:
+        if self.whole.any():
+            at, q = np.nonzero((scores > -np.inf) & self.whole)
+            yield from self.rows(q, keys[at], scores[at, q])
+        if not self.whole.all():
             self.best.add(keys, scores)
-            return
-        at, q = np.nonzero(scores > -np.inf)
-        yield self.rows(q, keys[at], scores[at, q])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.best is not None:
-            yield self.rows(*self.best.rows())
+        yield from self.rows(*self.best.rows())
+
 
+def places(k: int | list | None, queries: int) -> np.ndarray:
+    """How many hits each query asks for; with None all."""
+    return np.broadcast_to(np.asarray(LONG + 1 if k is None else k, np.int64), queries)
 
-def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: str, k: int | None, scorer: Callable) -> DataFrame:
-    """(qid, key, score): of each task the best k of each query, with k None all. ``scorer()`` makes a function of batches to scores (rows, queries). Null keys are not found."""
+
+def blocks_of(queries: DataFrame, k: int | str | None) -> int:
+    """In how many blocks queries (qid[, k]) are taken: ``BLOCK`` of them at most, and about ``HELD`` hits that a task keeps."""
+    most = F.col(k) if isinstance(k, str) else F.lit(0 if k is None else k)
+    n, held = queries.agg(F.count(F.lit(1)), F.sum(F.when(most <= LONG, most).otherwise(0))).first()
+    return max(1, -(-n // BLOCK), -(-(held or 0) // HELD))
+
+
+def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: str, k: int | list | None, scorer: Callable) -> DataFrame:
+    """(qid, key, score): of each task the best k of each query (a number, or one for each), with k None all. ``scorer()`` makes a function of batches to scores (rows, queries). Null keys are not found."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"qid {qid_type}, `{key}` {kind}, score double"
     if not qids:
@@ -116,7 +151,7 @@ def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: s
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, out = scorer(), Collected(qids, arrow, k)
+        score, out = scorer(), Collected(qids, arrow, places(k, len(qids)))
         step = max(1, CELLS // len(qids))
         for b in it:
             for s in range(0, b.num_rows, step):
@@ -184,7 +219,7 @@ def weights_of(rows: list[dict], idf_of: dict[str, float]) -> tuple[list, tuple]
 def _weighted(weights: tuple, n: int) -> Callable:
     """A function of occurrences (document from 0 on, term, times, the document's length) to the BM25 scores (documents, n queries) of that many documents."""
     number, start, owner, weight = weights
-    dense = len(number) * n <= CELLS  # then the weights are a matrix, and scores products of it
+    dense = len(number) * n <= 4 * CELLS  # then the weights are a matrix, and scores products of it
     matrix = np.zeros((len(number), n) if dense else (0, 0))
     if dense:
         np.add.at(matrix, (np.repeat(np.arange(len(number)), np.diff(start)), owner), weight)
@@ -225,7 +260,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
     docs = spread(docs.select(key, text))
     mean, idf = _statistics(docs, terms.select("term").distinct(), text)
     idf_of = dict(idf)
-    blocks = max(1, -(-terms.select("qid").distinct().count() // BLOCK))
+    blocks = blocks_of(terms.select("qid").distinct(), k)
     kind = queries.schema["qid"].dataType.simpleString()
     t = docs.select(F.col(key), tokens(F.col(text)).alias("__t"))
     out = None
@@ -255,10 +290,10 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "tex
     return ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
 
 
-def _vector_blocks(queries: DataFrame, columns: list[str]) -> Iterator[tuple[list, object, dict]]:
+def _vector_blocks(queries: DataFrame, columns: list[str], k: int | str | None) -> Iterator[tuple[list, object, dict]]:
     """Blocks of queries (qid, q, columns): ids, the broadcast matrix of their vectors, and the columns as lists."""
     wanted = queries.select("qid", "q", *columns).where("q is not null")
-    blocks = max(1, -(-wanted.count() // BLOCK))
+    blocks = blocks_of(wanted, k)
     for i in range(blocks):
         own = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow()
         qids = own.column("qid").to_pylist()
@@ -271,21 +306,23 @@ def _products(b: pa.RecordBatch, column: int, queries: np.ndarray) -> np.ndarray
     return b.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) @ queries.T
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int | None, vector: str = "embedding") -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int | str | None, vector: str = "embedding") -> DataFrame:
     """(qid, rank, key, score): exact inner products of each query (qid, q) with every vector, best k; with k None all of them, without ranks.
 
+    k may name a column of the queries: then scores come without ranks, among them as many of the best as the query asks for.
+
     Queries are broadcast in blocks of about ``BLOCK`` at most, each block in a scan of its own over the
     vectors; every task keeps its best k of a query before the shuffle. Null vectors are not found.
     """
     kind, out = queries.schema["qid"].dataType.simpleString(), None
-    for qids, shared, _ in _vector_blocks(queries, []):
+    for qids, shared, more in _vector_blocks(queries, [k] if isinstance(k, str) else [], k):
 
         def scorer(shared=shared):
             return lambda b: _products(b, 1, shared.value)
 
-        best = best_of(spread(vectors).where(F.col(vector).isNotNull()), [vector], key, qids, kind, k, scorer)
+        best = best_of(spread(vectors).where(F.col(vector).isNotNull()), [vector], key, qids, kind, more[k] if isinstance(k, str) else k, scorer)
         out = best if out is None else out.unionByName(best)
-    return out if k is None else ranked(out, "score", key, k=k).select("qid", "rank", key, "score")
+    return ranked(out, "score", key, k=k).select("qid", "rank", key, "score") if isinstance(k, int) else out
 
 
 def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, vector: str = "embedding") -> DataFrame:
@@ -294,7 +331,7 @@ def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, v
     The best of the document are found first; then those are counted, in a second scan, that come before each of them.
     """
     kind, out = queries.schema["qid"].dataType.simpleString(), None
-    for qids, shared, more in _vector_blocks(queries, [doc, "budget"]):
+    for qids, shared, more in _vector_blocks(queries, [doc, "budget"], k):
         names = pa.array(more[doc]).dictionary_encode(null_encoding="encode")
         wanted, names = names.indices.to_numpy(), names.dictionary
 
@@ -347,18 +384,24 @@ def fused(a: DataFrame, b: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def counted_ranks(rows: DataFrame, score: str, key: str) -> DataFrame:
-    """Adds rank as ``ranked`` does, for lists of any length: rows are numbered in ranges over all queries, so no task holds a query's list."""
-    order = rows.withColumn("__s", -F.round(score, 9))
-    order = numbered(order, ["qid", "__s", key], "__n").drop("__s")
+    """Adds rank as ``ranked`` does, for lists of any length: those of more than ``incremental.RANGE`` rows are numbered in ranges, so no task holds such a list."""
+    many = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > incremental.RANGE).select("qid")
+    plain = lambda d: ranked(d, score, key).withColumn("rank", F.col("rank").cast("long"))
+    if many.isEmpty():
+        return plain(rows)
+    many = near(many)
+    short, order = plain(rows.join(many, "qid", "left_anti")), rows.join(many, "qid", "left_semi")
+    order = order.withColumn("__s", -F.round(score, 9))
+    order = incremental.numbered(order, ["qid", "__s", key], "__n").drop("__s")
     first = order.groupBy("qid").agg(F.min("__n").alias("__first"))
-    return order.join(near(first), "qid").withColumn("rank", (F.col("__n") - F.col("__first") + 1).cast("long")).drop("__n", "__first")
+    return short.unionByName(order.join(near(first), "qid").withColumn("rank", (F.col("__n") - F.col("__first") + 1).cast("long")).drop("__n", "__first"))
 
 
 def scoped_fused(a: DataFrame, b: DataFrame, budgets: DataFrame, members: DataFrame, key: str, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(qid, rank, key, score, similarity): the best k of each query's own document among the ``budget`` best of the fused list.
 
-    ``a`` and ``b`` have all scores (qid, key, score); ``budgets`` (qid, doc, budget); ``members`` (key, doc). Ranks come from counting in ranges, not from
-    fetching a query's ``budget`` hits, which may be as many as there are chunks. ``keep`` writes a table that is read twice.
+    ``a`` and ``b`` have scores (qid, key, score), the ``budget`` best of each query at least; ``budgets`` (qid, doc, budget); ``members`` (key, doc). A budget may be
+    as large as there are chunks: ranks of long lists come from counting in ranges. ``keep`` writes a table that is read several times.
     """
     wide = lambda d, r: counted_ranks(keep(d), "score", key).withColumnRenamed("rank", r).join(near(budgets.select("qid", "budget")), "qid").where(F.col(r) <= F.col("budget"))
     left = wide(a, "ra").select("qid", key, "ra", F.col("score").alias("sa"))

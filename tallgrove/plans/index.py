@@ -87,15 +87,15 @@ class Index:
         """Number of chunks of a version."""
         return sum(s["chunks"] for s in entry.get("segments", []))
 
-    def lexical(self, queries: DataFrame, k: int | None) -> DataFrame:
-        """(qid, rank, chunk_id, score): BM25 by the index's postings; no text is read. With k None all scores, without ranks."""
+    def lexical(self, queries: DataFrame, k: int | str | None) -> DataFrame:
+        """(qid, rank, chunk_id, score): BM25 by the index's postings; no text is read. With k None all scores, without ranks; k may be a column as in ``postings.bm25``."""
         entry = self.store.entry()
         segments = entry.get("segments", [])
         at = lambda name, which: postings.united(self.spark, [f"{self.path}/{s['path']}/{name}" for s in segments if s[which]])
         n, length = self.size(entry), sum(s["tokens"] for s in segments)
         if not n:
             kind = queries.schema["qid"].dataType.simpleString()
-            return self.spark.createDataFrame([], f"qid {kind}, {'rank int, ' if k is not None else ''}chunk_id string, score double")
+            return self.spark.createDataFrame([], f"qid {kind}, {'rank int, ' if isinstance(k, int) else ''}chunk_id string, score double")
         buckets = entry["config"]["buckets"]
         return postings.bm25(at("postings", "added"), at("terms", "changed"), at("dfs", "changed"), n, length, queries, "chunk_id", k, buckets, self._live(entry))
 
@@ -268,8 +268,9 @@ class Index:
         own, n = members.where(F.col("doc") == doc).count(), self.size(self.store.entry())
         budget = max(1, min(n, max(3 * top_k, int(top_k / (own / n))))) if own else 1
         budgets = queries.select("qid").distinct().withColumn("doc", F.lit(doc)).withColumn("budget", F.lit(budget).cast("long"))
-        dense = search.dense(self.table("vectors"), self.query_vectors(queries), "chunk_id", None)
-        return self._described(search.scoped_fused(dense, self.lexical(queries, None), budgets, members.where(F.col("doc") == doc), "chunk_id", top_k, kept))
+        own_budget = lambda d: d.withColumn("budget", F.lit(budget).cast("long"))
+        dense = search.dense(self.table("vectors"), own_budget(self.query_vectors(queries)), "chunk_id", "budget")
+        return self._described(search.scoped_fused(dense, self.lexical(own_budget(queries), "budget"), budgets, members.where(F.col("doc") == doc), "chunk_id", top_k, kept))
 
     def answer(self, queries: DataFrame, llm: Callable[[Column], Column], top_k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, budget: int = context.BUDGET, verifier: Callable[[Column], Column] | None = None) -> DataFrame:
         """(qid, query, context, answer, mismatches, confidence): retrieve, resolve cross references, assemble, answer, check values.

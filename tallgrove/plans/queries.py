@@ -265,15 +265,16 @@ fused as (select qid, doc_id, coalesce(1.0::double / (60 + a.rank), 0) + coalesc
 r as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as pos from fused)
 select * from (select qid, row_number() over (partition by qid order by pos) as rank, r.doc_id, round(score, 6) as score from r join b using (qid) join documents d on d.doc_id = r.doc_id where pos <= budget and d.source = src) where rank <= 5""")
 def scoped_hybrid(t):
-    """Hybrid search within one source of each query, by counted ranks; ranks are long lists here, so nothing is cut but by the budget."""
+    """Hybrid search within one source of each query, by ranks counted up to its budget: a task hands on no more hits of a query than that."""
     docs, items = t("documents").select("doc_id", "source", "text"), _items(t)
     own = incremental.numbered(docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("own")), ["source"], "i").withColumn("i", F.col("i") - 1)
     n = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(own.agg(F.count(F.lit(1)).alias("sources")))
     b = items.select("qid").crossJoin(F.broadcast(n)).join(own, F.col("qid") % F.col("sources") == F.col("i"))
     b = kept(b.select("qid", F.col("source").alias("doc"), search.scoped_budget(F.col("own"), F.col("n"), 5).cast("long").alias("budget")))
-    dense = search.dense(bag_vectors(search.spread(docs.select("doc_id", "text")), "doc_id"), bag_vectors(items, "qid").withColumnRenamed("embedding", "q"), "doc_id", None)
+    limited = lambda d: d.join(search.near(b.select("qid", "budget")), "qid")
+    dense = search.dense(bag_vectors(search.spread(docs.select("doc_id", "text")), "doc_id"), limited(bag_vectors(items, "qid").withColumnRenamed("embedding", "q")), "doc_id", "budget")
     rows, terms, dfs, chunks, length = _segments(t, [F.lit(True)])
-    lexical = postings.bm25(rows, terms, dfs, chunks, length, items, "doc_id", None, BUCKETS)
+    lexical = postings.bm25(rows, terms, dfs, chunks, length, limited(items), "doc_id", "budget", BUCKETS)
     out = search.scoped_fused(dense, lexical, b, docs.select("doc_id", F.col("source").alias("doc")), "doc_id", 5, kept)
     return out.select("qid", long("rank").alias("rank"), "doc_id", r6("score"))
 

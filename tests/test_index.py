@@ -172,6 +172,35 @@ def test_scoped_search_counts_ranks(spark, tmp_path):
         assert got == want
 
 
+def test_lists_are_cut_at_each_query_s_own_budget(spark, monkeypatch):
+    """A task hands on no more hits of a query than it asks for; neither blocks, nor small lists, nor lists too long to be held, nor ranges change ranks."""
+    v = spark.createDataFrame([(f"k{i:03d}", [float(i * 37 % 50), float(i % 3)]) for i in range(300)], "id string, embedding array<double>").repartition(3).cache()
+    q = spark.createDataFrame([(1, [1.0, 0.0], 4), (2, [0.0, 1.0], 150), (3, [-1.0, 0.5], 0), (4, [0.5, -1.0], 1000)], "qid long, q array<double>, budget long")
+    words = v.select("id", F.lit("d").alias("doc"), F.lit(0).alias("seg"), F.expr("concat('a ', repeat('b ', int(embedding[0]) % 7), substring(id, 4, 1))").alias("text"))
+    rows = postings.postings(words, "id", "doc").withColumn("bucket", postings.bucket_of(F.col("term"), 4)).cache()
+    terms = postings.term_counts(rows, 4).cache()
+    dfs = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
+    asked = q.select("qid", F.when(F.col("qid") == 2, "b").otherwise("3 b").alias("text"), "budget")
+    length = rows.agg(F.sum("tf")).first()[0]
+
+    def best(scores):
+        ranks = search.counted_ranks(scores, "score", "id").join(q.select("qid", "budget"), "qid").where(F.col("rank") <= F.col("budget"))
+        return sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in ranks.collect())
+
+    dense = lambda k: search.dense(v, q, "id", k)
+    lexical = lambda k: postings.bm25(rows, terms, dfs, 300, length, asked, "id", k, 4)
+    want = best(dense(None)), best(lexical(None))
+    assert [len(x) for x in want][0] == 454 and want[1]
+    for settings in ({}, {"CELLS": 5, "HELD": 500}, {"LONG": 100}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(search, name, value)
+            assert (best(dense("budget")), best(lexical("budget"))) == want
+    assert dense("budget").where("qid = 1").count() <= spark.sparkContext.defaultParallelism * 4 and dense("budget").where("qid = 3").count() == 0
+    monkeypatch.setattr("tallgrove.operators.incremental.RANGE", 100)
+    assert best(dense("budget")) == want[0]
+
+
 # -- cross references by query ---------------------------------------------------------------------
 
 
