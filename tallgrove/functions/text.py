@@ -1,6 +1,10 @@
 """Text functions as Column expressions."""
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +23,12 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), rf"(?U){WS}+"), lambda x: x != "")
 
 
+def first_tokens(c: Column, n: int) -> Column:
+    """The first ``n`` of ``tokens``; the rest of the text is not cut."""
+    begun = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"(?U)^{WS}+", "")
+    return F.slice(F.filter(F.split(begun, rf"(?U){WS}+", n + 1), lambda x: x != ""), 1, n)
+
+
 def normalize(c: Column) -> Column:
     """Lower case, runs of white space as one space; null is empty."""
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -87,13 +97,18 @@ def value_mismatches(answer: Column, source: Column) -> Column:
     return F.get(values_checked(answer, source), 0)["mismatches"]
 
 
+def _normalized_once(c: Column, found: Callable[[Column], Column]) -> Column:
+    """``found`` of the normalised text, which is made once: what stands inside a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(normalize(c)), found), 0)
+
+
 def abstained(answer: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, ABSTAINS)), lambda m: F.contains(normalize(answer), m))
+    return _normalized_once(answer, lambda flat: functools.reduce(operator.or_, (F.contains(flat, F.lit(m)) for m in ABSTAINS)))
 
 
 def fact_coverage(answer: Column, facts: Column) -> Column:
     """Share of the facts whose normalised text the normalised answer holds; null if there are none."""
-    hits = F.size(F.filter(facts, lambda f: F.contains(normalize(answer), normalize(f))))
+    hits = _normalized_once(answer, lambda flat: F.size(F.filter(facts, lambda f: F.contains(flat, normalize(f)))))
     return F.when(F.size(facts) > 0, hits / F.size(facts))
 
 

@@ -110,7 +110,7 @@ def scored_answers(results: DataFrame, labels: DataFrame) -> DataFrame:
     source = F.array_join(F.transform("chunks", lambda c: c["text"]), " ")
     cited_docs = F.array_distinct(F.transform("citations", lambda c: c["doc_name"]))
     cited = F.transform("citations", lambda c: c["chunk_id"])
-    gone = T.abstained(F.col("answer"))
+    d, gone = d.withColumn("__gone", T.abstained(F.col("answer"))), F.col("__gone")
     return d.select(
         "query", "pipeline", T.fact_coverage(F.col("answer"), F.coalesce("expected_facts", none)).alias("fact_coverage"),
         T.must_cite_recall(cited_docs, F.coalesce("must_cite", none)).alias("must_cite_recall"),

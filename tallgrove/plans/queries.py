@@ -815,7 +815,7 @@ def pipeline_scorecard(t):
         chunk = F.array(F.struct(own.alias("chunk_id"), F.col("source").alias("doc_name"), first.alias("text")))
         return d.select("query", F.lit(pipeline).alias("pipeline"), answer.alias("answer"), F.lit("n/a").alias("confidence"), F.array(F.struct(cited.alias("chunk_id"), F.col("source").alias("doc_name"))).alias("citations"), chunk.alias("chunks"), usage(calls, answer).alias("usage"), (F.col("n_chars") / parts).alias("total_latency_ms"))
 
-    labels = d.select("query", F.when(F.col("doc_id") % 2 == 0, F.array(own)).alias("relevant"), F.slice(T.tokens(F.col("text")), 1, 3).alias("expected_facts"), F.array("source").alias("must_cite"), (F.col("doc_id") % 7 == 0).alias("out_of_scope"))
+    labels = d.select("query", F.when(F.col("doc_id") % 2 == 0, F.array(own)).alias("relevant"), T.first_tokens(F.col("text"), 3).alias("expected_facts"), F.array("source").alias("must_cite"), (F.col("doc_id") % 7 == 0).alias("out_of_scope"))
     both = results("agentic", F.col("text"), own, 10.0, 3).unionByName(results("traditional", last, F.lit("x"), 20.0, 1))
     card, _ = harness.compare(both, labels, 2)
     return card.select("pipeline", "num_queries", *(r6(c) for c in card.columns if c not in ("pipeline", "num_queries", "must_cite_recall")))

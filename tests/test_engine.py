@@ -147,6 +147,16 @@ def test_best_of_many_tasks(spark, monkeypatch):
     assert rounded() == want
 
 
+def test_answers_are_normalised_once(spark):
+    """One pass over a long answer, not one for each phrase and fact; words that are asked for are the first of all."""
+    row = spark.createDataFrame([("  x\u2003Y\x1cz  w ", ["x y", "nowhere"])], "a string, facts array<string>")
+    plan = row.select(T.abstained(F.col("a")).alias("x"), T.fact_coverage(F.col("a"), F.col("facts")).alias("y"))
+    assert str(plan._jdf.queryExecution().optimizedPlan()).count("regexp_replace(coalesce(a") <= 2 and plan.first()[:] == (False, 0.5)
+    assert "exists" not in str(row.select(T.abstained(F.col("a")))._jdf.queryExecution().optimizedPlan())
+    texts = spark.createDataFrame([(t,) for t in (None, "", "   ", "A", " a b ", "a b c", "\u2003 a\x1cB  c d e", "a b c ")], "t string")
+    assert texts.where(~T.first_tokens(F.col("t"), 3).eqNullSafe(F.slice(T.tokens(F.col("t")), 1, 3))).count() == 0
+
+
 def test_scoped_search_equals_ranking(spark, sf):
     """The best of a document among the budget best of all, against a full ranking."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
