@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Buckets of terms, fixed for an index when it is built.
 BUCKETS = 64
 #: Keys whose postings of a bucket go to one file at most.
-SHARD = 1 << 20
+SHARD = 1 << 15
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -58,8 +58,8 @@ def postings(chunks: DataFrame, key: str, doc: str, text: str = "text") -> DataF
 def write_postings(rows: DataFrame, path: str, key: str, chunks: int, buckets: int) -> None:
     """Postings below ``path``, a folder a bucket; ``chunks`` is about how many keys there are."""
     shards = -(-max(1, chunks) // SHARD)
-    rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("__shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    rows = rows.repartition("bucket", "__shard").sortWithinPartitions("bucket", "term", key).drop("__shard")
+    rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("__part", (F.col("bucket") + buckets * F.pmod(F.xxhash64(key), F.lit(shards))).cast("int"))
+    rows = rows.repartitionById(buckets * shards, "__part").sortWithinPartitions("bucket", "term", key).drop("__part")
     rows.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
-from tallgrove.operators import chunking, context, evaluation, incremental, search
+from tallgrove.operators import chunking, context, evaluation, incremental, postings, search
 from tallgrove.plans.index import Index, hashed_embed
 from tallgrove.plans.queries import QUERIES, SQL
 from tallgrove.sources import files
@@ -147,6 +147,15 @@ def test_best_of_many_tasks(spark, monkeypatch):
     assert rounded() == want
 
 
+def test_postings_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    """A task writes one bucket of one shard: as many files as those, each about as large."""
+    monkeypatch.setattr(postings, "SHARD", 100)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(0).alias("seg"), F.expr("array_join(transform(sequence(0, 39), x -> concat('w', (id * 7 + x * 13) % 500)), ' ')").alias("text"))
+    postings.write_postings(postings.postings(docs, "doc_id", "source"), str(tmp_path / "p"), "doc_id", 400, 4)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "p")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 400 * 40 and len(sizes) == 16 and max(sizes) < 3 * min(sizes)
+
+
 def test_answers_are_normalised_once(spark):
     """One pass over a long answer, not one for each phrase and fact; words that are asked for are the first of all."""
     row = spark.createDataFrame([("  x\u2003Y\x1cz  w ", ["x y", "nowhere"])], "a string, facts array<string>")
