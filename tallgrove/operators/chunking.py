@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrove.functions.text import HEADERS, SENTENCE_END
+from tallgrove.operators.batches import small_batches
 
 CHUNK = "chunk_id string, doc_name string, page int, section string, text string, char_start int, char_end int, ord int, first int, last int"
 UNKNOWN = "Unknown Section"
@@ -81,7 +82,7 @@ def chunks(pages: DataFrame, size: int = 800, overlap: int = 200) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 10
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CHUNK.split(", ")])
 
-    return pages.select(F.col("doc_name").cast("string"), F.col("page").cast("int"), "text").mapInArrow(cut, CHUNK)
+    return small_batches(pages.select(F.col("doc_name").cast("string"), F.col("page").cast("int"), "text")).mapInArrow(cut, CHUNK)
 
 
 def virtual_pages(docs: DataFrame, key: str, text: str = "text", size: int = 3000) -> DataFrame:
@@ -102,4 +103,4 @@ def virtual_pages(docs: DataFrame, key: str, text: str = "text", size: int = 300
             yield pa.record_batch([pa.array(keys, b.column(0).type), pa.array(pages, pa.int32()), pa.array(texts, pa.string())], [key, "page", "text"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(gather, f"{key} {kind}, page int, text string")
+    return small_batches(docs.select(key, text)).mapInArrow(gather, f"{key} {kind}, page int, text string")

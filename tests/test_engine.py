@@ -147,6 +147,21 @@ def test_best_of_many_tasks(spark, monkeypatch):
     assert rounded() == want
 
 
+def test_batches_to_python_are_bounded(spark):
+    """No operator hands its workers more than a few MB of texts or words at once, however long the rows are."""
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "word " * 20
+    docs = spark.createDataFrame([(i, "s", 0, f"{text}w{i}") for i in range(5)], "doc_id long, source string, seg int, text string")
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page"), "text")
+    queries = spark.createDataFrame([(1, "w1")], "qid long, text string")
+    vectors = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    for name, make in {
+        "chunks": lambda: chunking.chunks(pages),
+        "virtual_pages": lambda: chunking.virtual_pages(docs, "doc_id"),
+    }.items():
+        spark.conf.set(key, str(1 << 28))
+        assert make().count() and int(spark.conf.get(key)) <= 4 << 20, name
+
+
 def test_postings_are_dealt_evenly(spark, tmp_path, monkeypatch):
     """A task writes one bucket of one shard: as many files as those, each about as large."""
     monkeypatch.setattr(postings, "SHARD", 100)
