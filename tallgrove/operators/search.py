@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from tallgrove.functions.text import tokens
 from tallgrove.functions.vectors import similarity
 from tallgrove.operators import incremental
+from tallgrove.operators.batches import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -186,7 +187,7 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
             terms = pa.concat_arrays([flat.dictionary, pa.nulls(1, pa.string())])
             yield pa.record_batch([terms, pa.array(np.append(df, len(lists))), pa.array([*[None] * len(df), len(row)], pa.int64())], ["term", "df", "length"])
 
-    t = docs.select(tokens(F.col(text)).alias("__t")).mapInArrow(count, "term string, df long, length long")
+    t = small_batches(docs.select(tokens(F.col(text)).alias("__t"))).mapInArrow(count, "term string, df long, length long")
     return t.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
 
 

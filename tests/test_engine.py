@@ -157,6 +157,7 @@ def test_batches_to_python_are_bounded(spark):
     for name, make in {
         "chunks": lambda: chunking.chunks(pages),
         "virtual_pages": lambda: chunking.virtual_pages(docs, "doc_id"),
+        "vocabulary": lambda: search.vocabulary(docs),
     }.items():
         spark.conf.set(key, str(1 << 28))
         assert make().count() and int(spark.conf.get(key)) <= 4 << 20, name
