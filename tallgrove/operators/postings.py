@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from tallgrove.functions.text import tokens
 from tallgrove.operators import search
+from tallgrove.operators.batches import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,7 +53,7 @@ def postings(chunks: DataFrame, key: str, doc: str, text: str = "text") -> DataF
             )
 
     schema = f"term string, `{key}` {kinds[key]}, `{doc}` {kinds[doc]}, seg {kinds['seg']}, tf int, length int"
-    return chunks.select(key, doc, "seg", tokens(F.col(text)).alias("__t")).mapInArrow(count, schema)
+    return small_batches(chunks.select(key, doc, "seg", tokens(F.col(text)).alias("__t"))).mapInArrow(count, schema)
 
 
 def write_postings(rows: DataFrame, path: str, key: str, chunks: int, buckets: int) -> None:
@@ -146,7 +147,7 @@ def scores_of(matched: DataFrame, key: str, qids: list, qid_type: str, weights:
         yield from out.rest()
 
     rows = matched.select(key, "t", "tf", "length").repartition(key).sortWithinPartitions(key)
-    return rows.mapInArrow(task, schema)
+    return small_batches(rows).mapInArrow(task, schema)
 
 
 def bm25(postings: DataFrame, terms: DataFrame, dfs: DataFrame, n: int, length: int, queries: DataFrame, key: str, k: int | str | None, buckets: int, live: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:

@@ -155,6 +155,7 @@ def test_batches_to_python_are_bounded(spark):
     queries = spark.createDataFrame([(1, "w1")], "qid long, text string")
     vectors = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
     for name, make in {
+        "postings": lambda: postings.postings(docs, "doc_id", "source"),
         "chunks": lambda: chunking.chunks(pages),
         "virtual_pages": lambda: chunking.virtual_pages(docs, "doc_id"),
         "vocabulary": lambda: search.vocabulary(docs),
