@@ -160,7 +160,7 @@ def best_of(df: DataFrame, columns: list[str], key: str, qids: list, qid_type: s
                 yield from out.add(own.column(0).to_numpy(zero_copy_only=False), score(own))
         yield from out.rest()
 
-    return df.where(F.col(key).isNotNull()).select(key, *columns).mapInArrow(task, schema)
+    return small_batches(df.where(F.col(key).isNotNull()).select(key, *columns)).mapInArrow(task, schema)
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -366,7 +366,7 @@ def scoped(vectors: DataFrame, queries: DataFrame, key: str, k: int, doc: str, v
             yield pa.record_batch([pa.array(i), pa.array(r), pa.array(n[i, r])], ["i", "r", "n"])
 
         step = max(1, CELLS // max(1, len(qids)))
-        counts = found.select(key, vector).mapInArrow(count, "i long, r long, n long").groupBy("i", "r").agg(F.sum("n").alias("n"))
+        counts = small_batches(found.select(key, vector)).mapInArrow(count, "i long, r long, n long").groupBy("i", "r").agg(F.sum("n").alias("n"))
         before = {(r.i, r.r): r.n for r in counts.collect()} if place else {}
         keep = pa.array([before.get(p, 0) < more["budget"][p[0]] for p in place], pa.bool_())
         part = found.sparkSession.createDataFrame(best.filter(keep))

@@ -4,6 +4,7 @@ import json
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,11 +160,26 @@ def test_batches_to_python_are_bounded(spark):
         "chunks": lambda: chunking.chunks(pages),
         "virtual_pages": lambda: chunking.virtual_pages(docs, "doc_id"),
         "vocabulary": lambda: search.vocabulary(docs),
+        "bm25": lambda: search.bm25(docs, queries, "doc_id", 2),
+        "dense": lambda: search.dense(vectors, vectors.select(F.col("id").alias("qid"), F.col("embedding").alias("q")), "id", 2),
     }.items():
         spark.conf.set(key, str(1 << 28))
         assert make().count() and int(spark.conf.get(key)) <= 4 << 20, name
 
 
+def test_best_holds_what_it_needs():
+    """The best of many scores for many queries: what waits and what is kept is bounded by the hits asked for, not by the scores."""
+    k, rng = np.array([3, 0, 7]), np.random.default_rng(1)
+    best, every = search.Best(k), rng.integers(0, 50, (40_000, 3)) / 7
+    for s in range(0, len(every), 500):
+        best.add(np.arange(s, s + 500), every[s : s + 500])
+        assert best.waiting + len(best.q) <= max(search.CELLS // 4, 10) + 1500
+    q, keys, scores = best.rows()
+    for i, n in enumerate(k):
+        want = sorted(zip(-np.round(every[:, i], 9), range(len(every))))[:n]
+        assert list(zip(-np.round(scores[q == i], 9), keys[q == i])) == want
+
+
 def test_postings_are_dealt_evenly(spark, tmp_path, monkeypatch):
     """A task writes one bucket of one shard: as many files as those, each about as large."""
     monkeypatch.setattr(postings, "SHARD", 100)
