@@ -15,6 +15,7 @@ from tallgrove.functions import models
 from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
 from tallgrove.operators import chunking, clustered, context, enrichment, evaluation, incremental, postings, records, rollups, search, verification
+from tallgrove.operators.batches import small_batches
 from tallgrove.plans import harness
 from tallgrove.sources.store import kept, scratch
 
@@ -237,10 +238,11 @@ def bag_vectors(df: DataFrame, key: str) -> DataFrame:
         slot = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 for w in each.dictionary.to_pylist()], np.int64)
         row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
         c = np.bincount(row * 64 + slot[each.indices.to_numpy()] if len(row) else [], minlength=len(words) * 64).reshape(-1, 64).astype(float)
-        return pa.array((c / np.sqrt((c * c).sum(axis=1, keepdims=True))).tolist(), pa.list_(pa.float64()))
+        unit = c / np.sqrt((c * c).sum(axis=1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, 64), pa.int32()), pa.array(unit.ravel()))
 
     w = T.tokens(F.col("text"))
-    return df.where(F.size(w) > 0).select(key, embed(w).alias("embedding"))
+    return small_batches(df.where(F.size(w) > 0)).select(key, embed(w).alias("embedding"))
 
 
 @query(f"""with {BM25}, {_bag_sql('documents', 'doc_id')}, {_bag_sql('benchmark', 'item_id')},

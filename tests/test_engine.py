@@ -12,7 +12,7 @@ from tallgrove.functions import text as T
 from tallgrove.functions import vectors as V
 from tallgrove.operators import chunking, context, evaluation, incremental, postings, search
 from tallgrove.plans.index import Index, hashed_embed
-from tallgrove.plans.queries import QUERIES, SQL
+from tallgrove.plans.queries import QUERIES, SQL, bag_vectors
 from tallgrove.sources import files
 
 
@@ -162,6 +162,7 @@ def test_batches_to_python_are_bounded(spark):
         "vocabulary": lambda: search.vocabulary(docs),
         "bm25": lambda: search.bm25(docs, queries, "doc_id", 2),
         "dense": lambda: search.dense(vectors, vectors.select(F.col("id").alias("qid"), F.col("embedding").alias("q")), "id", 2),
+        "bag_vectors": lambda: bag_vectors(docs, "doc_id"),
     }.items():
         spark.conf.set(key, str(1 << 28))
         assert make().count() and int(spark.conf.get(key)) <= 4 << 20, name
